@@ -35,7 +35,7 @@ def flag_history(decisions: DataFrame) -> DataFrame:
     )
 
 
-def risk_changes_since(log: DataFrame, since: dt.datetime) -> DataFrame:
+def risk_changes_since(log: DataFrame, since) -> DataFrame:
     """Flag changes at or after ``since`` (second grain, inclusive) touching a '1'.
 
     Text comparison with '1', as the stored cells are text ('1.0' or 'true' are not 1).
@@ -43,7 +43,7 @@ def risk_changes_since(log: DataFrame, since: dt.datetime) -> DataFrame:
     one = F.lit("1")
     return log.where(
         (F.col("field") == "is_risk")
-        & (F.col("changed_at") >= cells.ts_lit(since))
+        & (F.col("changed_at") >= (cells.ts_lit(since) if isinstance(since, dt.datetime) else since))
         & ((F.coalesce(F.col("old_value"), F.lit("")) == one) | (F.coalesce(F.col("new_value"), F.lit("")) == one))
     )
 

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from riskloom import rules
 from riskloom.functions import cells
+from riskloom.operators import alert as A
 from riskloom.operators import book as B
 from riskloom.operators import changes as C
+from riskloom.operators import notes as N
 from riskloom.sources import bindings
 from riskloom.sources.tables import read_table
 
@@ -50,6 +52,17 @@ def book_after_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.book_upsert(book_text(spark, sf_dir), latest_decisions(spark, sf_dir))
 
 
+def note_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes after the same-second overwrite (A4)."""
+    return N.dedupe_note_writes(bindings.notes(spark, sf_dir))
+
+
+def enriched_changes(spark: SparkSession, sf_dir: str, since=rules.RUN_START) -> DataFrame:
+    """B3 -> D1 -> C1 against the book after the run's decisions were applied."""
+    latest = C.latest_change_per_vendor(changes_since(spark, sf_dir, since))
+    return A.enrich_changes(latest, B.typed_book(book_after_decisions(spark, sf_dir)))
+
+
 # --- A / H: ingest and cells ------------------------------------------------------
 
 
@@ -151,3 +164,60 @@ def q_change_log_diff(spark, sf_dir):
     before = book_text(spark, sf_dir)
     after = book_after_decisions(spark, sf_dir)
     return C.change_log_diff(before, after, rules.RUN_START)
+
+
+# --- notes --------------------------------------------------------------------------
+
+
+def q_note_sink_rows(spark, sf_dir):
+    return note_store(spark, sf_dir)
+
+
+def q_latest_note(spark, sf_dir):
+    newest = N.newest_notes(note_store(spark, sf_dir))
+    b = book_text(spark, sf_dir).select("book_row_id", "vendor")
+    return N.attach_newest_note(b, newest).select("book_row_id", "vendor", "vendor_key", "file_label", "summary_text")
+
+
+# --- alerts -------------------------------------------------------------------------
+
+
+def q_change_enriched(spark, sf_dir):
+    return enriched_changes(spark, sf_dir)
+
+
+def q_change_payload(spark, sf_dir):
+    newest = N.newest_notes(note_store(spark, sf_dir))
+    return A.payload_sections(N.attach_newest_note(enriched_changes(spark, sf_dir), newest))
+
+
+def q_alert_lines(spark, sf_dir):
+    return A.alert_lines(enriched_changes(spark, sf_dir))
+
+
+def q_alert_header(spark, sf_dir):
+    return A.alert_header(enriched_changes(spark, sf_dir).select(A.status().alias("status")))
+
+
+def q_alert_body(spark, sf_dir):
+    return A.alert_pages(A.alert_lines(enriched_changes(spark, sf_dir)))
+
+
+def q_alert_full_text(spark, sf_dir):
+    lines = A.alert_lines(enriched_changes(spark, sf_dir))
+    header = A.alert_header(lines).select("header").scalar()
+    return A.alert_pages(lines).select("page_no", "n_lines", header.alias("header"),
+                                       A.full_text(header, F.col("body")).alias("full_text"))
+
+
+def q_alert_empty(spark, sf_dir):
+    log = change_log(spark, sf_dir)
+    after_last = log.select(F.max("changed_at") + F.expr("INTERVAL 1 SECOND")).scalar()
+    latest = C.latest_change_per_vendor(C.risk_changes_since(log, after_last))
+    head = A.alert_header(latest.select(A.status().alias("status")))
+    return head.select("n_changes", "n_new", "n_cleared", "header", F.col("header").alias("full_text"))
+
+
+def q_alert_outbox(spark, sf_dir):
+    lines = A.alert_lines(enriched_changes(spark, sf_dir))
+    return A.alert_outbox(lines, rules.RUN_START.strftime("%Y-%m-%d %H:%M:%S"))

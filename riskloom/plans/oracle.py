@@ -149,7 +149,8 @@ SELECT book_row_id, vendor, category, hq_country, last_checked,
   {flag_text_sql('is_risk')} AS is_risk, risk_level, risk_reason, last_risk_eval
 FROM v_book_raw"""
 
-BOOK_TYPED = f"""
+def typed_sql(src: str) -> str:
+    return f"""
 SELECT book_row_id, vendor, category, hq_country,
   {ts_sql('last_checked')} AS last_checked,
   CASE WHEN is_risk = '1' THEN true WHEN is_risk = '0' THEN false
@@ -157,7 +158,10 @@ SELECT book_row_id, vendor, category, hq_country,
   {num_sql('risk_level')} AS risk_level,
   risk_reason,
   {ts_sql('last_risk_eval')} AS last_risk_eval
-FROM book_text"""
+FROM {src}"""
+
+
+BOOK_TYPED = typed_sql("book_text")
 
 FLAG_HISTORY = """
 SELECT id, changed_at, vendor, field, old_value, new_value FROM (
@@ -279,4 +283,129 @@ def oracle_statements() -> dict[str, str]:
             {"change_log": FLAG_HISTORY}),
         "change_log_diff": with_views(diff_sql("book_text", "book_upsert", RUN_START_SQL), upsert),
     }
+    out.update(alert_statements())
     return out
+
+
+# --- notes and alerts -------------------------------------------------------------
+
+NOTE_STAMP_RE = r"^research_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})\.md$"
+
+NOTES_DEDUP = f"""
+SELECT vendor_key, file_name, write_seq, noted_at, CAST(noted_at AS DATE) AS note_date, text FROM (
+  SELECT vendor_key, file_name, write_seq, text,
+    try_strptime(regexp_extract(file_name, '{NOTE_STAMP_RE}', 1), '%Y-%m-%d_%H-%M-%S') AS noted_at,
+    row_number() OVER (PARTITION BY vendor_key, file_name ORDER BY write_seq DESC) AS rn
+  FROM v_notes) x WHERE rn = 1"""
+
+NEWEST_NOTES = """
+SELECT vendor_key, max(file_name) AS file_label, arg_max(text, file_name) AS summary_text
+FROM notes_dedup GROUP BY vendor_key"""
+
+
+def vendor_key_sql(expr: str) -> str:
+    return f"COALESCE(NULLIF(trim(translate({expr}, '/\\', '--')), ''), 'unknown')"
+
+
+def status_sql(expr: str = "new_value") -> str:
+    return f"CASE WHEN trim({expr}) = '1' THEN 'NEW RISK' ELSE 'CLEARED' END"
+
+
+def shown_sql(expr: str) -> str:
+    return f"COALESCE(NULLIF(trim({expr}), ''), 'null')"
+
+
+def first_sentence_sql(expr: str) -> str:
+    s = f"COALESCE(NULLIF(regexp_extract({expr}, '^\\s*(.+?[.!?])(\\s|$)', 1), ''), trim({expr}))"
+    return f"CASE WHEN regexp_matches({s}, '[.!?]$') THEN {s} ELSE {s} || '.' END"
+
+
+LEVEL_TEXT = f"COALESCE({num_text_sql('risk_level')}, 'unknown')"
+REASON_TEXT = "COALESCE(risk_reason, 'No reason recorded.')"
+
+ENRICHED = """
+SELECT l.id, l.changed_at, l.vendor, l.field, l.old_value, l.new_value, b.book_row_id, b.risk_level, b.risk_reason
+FROM latest_change l LEFT JOIN typed_after b ON l.vendor = b.vendor"""
+
+ENRICHED_NOTES = f"""
+SELECT e.*, k.vendor_key, COALESCE(n.file_label, 'N/A') AS file_label,
+  COALESCE(n.summary_text, 'No research file found.') AS summary_text
+FROM enriched e
+JOIN (SELECT DISTINCT vendor, {vendor_key_sql('vendor')} AS vendor_key FROM enriched) k ON k.vendor = e.vendor
+LEFT JOIN newest_notes n ON n.vendor_key = k.vendor_key"""
+
+SECTION = (
+    "concat('## ', vendor, chr(10), 'Status: ', " + status_sql() + ", chr(10), 'Transition: ', "
+    + shown_sql("old_value") + " || ' -> ' || " + shown_sql("new_value")
+    + ", chr(10), 'Risk level: ', " + LEVEL_TEXT + ", chr(10), 'Reason: ', " + REASON_TEXT
+    + ", chr(10), 'Source: ', file_label, chr(10), chr(10), 'Research summary:', chr(10), summary_text)"
+)
+
+LINES = f"""
+SELECT id, vendor, book_row_id, status, line,
+  row_number() OVER (ORDER BY status_rank, id DESC, book_row_id ASC NULLS FIRST) AS alert_pos
+FROM (
+  SELECT id, vendor, book_row_id, {status_sql()} AS status,
+    CASE WHEN {status_sql()} = 'NEW RISK' THEN 0 ELSE 1 END AS status_rank,
+    concat({status_sql()}, ' - ', vendor, ': Level ', {LEVEL_TEXT}, '. ', {first_sentence_sql(REASON_TEXT)}) AS line
+  FROM enriched) x"""
+
+HEADER = f"""
+SELECT count(*) AS n_changes, coalesce(count_if(status = 'NEW RISK'), 0) AS n_new,
+  coalesce(count_if(status = 'CLEARED'), 0) AS n_cleared,
+  CASE WHEN count(*) = 0 THEN '{rules.NO_CHANGES_MESSAGE}'
+    ELSE printf('%d new risks, %d cleared', count_if(status = 'NEW RISK'), count_if(status = 'CLEARED')) END AS header
+FROM lines"""
+
+PAGES = f"""
+SELECT CAST(floor((alert_pos - 1) / {rules.ALERT_PAGE_LINES}) AS BIGINT) AS page_no, count(*) AS n_lines,
+  string_agg(line, chr(10) ORDER BY alert_pos) AS body
+FROM lines GROUP BY 1"""
+
+FULL_TEXT = "CASE WHEN trim(body) <> '' THEN concat(h.header, chr(10), chr(10), body) ELSE h.header END"
+
+
+def alert_ctes(since_sql: str | None = None) -> dict[str, str]:
+    c = {
+        "book_text": BOOK_TEXT, "latest_decision": LATEST_DECISION, "book_upsert": BOOK_UPSERT,
+        "typed_after": typed_sql("book_upsert"), "change_log": FLAG_HISTORY,
+        "changes_since": risk_changes_since_sql(RUN_START_SQL) if since_sql is None else f"""
+SELECT * FROM change_log
+WHERE field = 'is_risk' AND changed_at >= ({since_sql})
+  AND (coalesce(old_value, '') = '1' OR coalesce(new_value, '') = '1')""",
+        "latest_change": LATEST_CHANGE, "enriched": ENRICHED, "lines": LINES,
+    }
+    return c
+
+
+def alert_statements() -> dict[str, str]:
+    notes = {"notes_dedup": NOTES_DEDUP, "newest_notes": NEWEST_NOTES}
+    a = alert_ctes()
+    an = {**a, **notes, "enriched_notes": ENRICHED_NOTES}
+    return {
+        "note_sink_rows": with_views("SELECT * FROM notes_dedup", {"notes_dedup": NOTES_DEDUP}),
+        "latest_note": with_views(
+            f"SELECT b.book_row_id, b.vendor, b.vendor_key, COALESCE(n.file_label, 'N/A') AS file_label, "
+            f"COALESCE(n.summary_text, 'No research file found.') AS summary_text "
+            f"FROM (SELECT *, {vendor_key_sql('vendor')} AS vendor_key FROM book_text) b "
+            f"LEFT JOIN newest_notes n ON n.vendor_key = b.vendor_key",
+            {"book_text": BOOK_TEXT, **notes}),
+        "change_enriched": with_views("SELECT * FROM enriched", a),
+        "change_payload": with_views(
+            f"SELECT id, vendor, book_row_id, {status_sql()} AS status, "
+            f"{shown_sql('old_value')} || ' -> ' || {shown_sql('new_value')} AS transition, {SECTION} AS section "
+            f"FROM enriched_notes", an),
+        "alert_lines": with_views("SELECT * FROM lines", a),
+        "alert_header": with_views("SELECT * FROM header", {**a, "header": HEADER}),
+        "alert_body": with_views("SELECT * FROM pages", {**a, "pages": PAGES}),
+        "alert_full_text": with_views(
+            f"SELECT p.page_no, p.n_lines, h.header, {FULL_TEXT} AS full_text FROM pages p, header h",
+            {**a, "header": HEADER, "pages": PAGES}),
+        "alert_empty": with_views(
+            f"SELECT n_changes, n_new, n_cleared, header, header AS full_text FROM header",
+            {**alert_ctes("SELECT max(changed_at) + INTERVAL 1 SECOND FROM change_log"), "header": HEADER}),
+        "alert_outbox": with_views(
+            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.n_lines, h.header AS subject, p.body, {FULL_TEXT} AS full_text "
+            f"FROM pages p, header h",
+            {**a, "header": HEADER, "pages": PAGES}),
+    }

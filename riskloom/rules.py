@@ -43,6 +43,11 @@ NOTE_MISSING_TEXT = "No research file found."
 STATUS_NEW = "NEW RISK"
 STATUS_CLEARED = "CLEARED"
 NO_CHANGES_MESSAGE = "No risk changes to notify."
+ALERT_HEADER_FORMAT = "{new} new risks, {cleared} cleared"
+ALERT_LINE_FORMAT = "{status} - {vendor}: Level {level}. {summary}"
+MISSING_VALUE_TEXT = "null"
+MISSING_LEVEL_TEXT = "unknown"
+MISSING_REASON_TEXT = "No reason recorded."
 SECTION_SEPARATOR = "\n\n---\n\n"
 EMPTY_QUEUE_MESSAGE = "_No vendors in the book._"
 QUEUE_PREVIEW_TITLE = "**Next {n} vendor(s) by oldest Last Checked Date:**"
