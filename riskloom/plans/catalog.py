@@ -16,6 +16,7 @@ from riskloom.operators import alert as A
 from riskloom.operators import book as B
 from riskloom.operators import changes as C
 from riskloom.operators import notes as N
+from riskloom.operators import score as S
 from riskloom.sources import bindings
 from riskloom.sources.tables import read_table
 
@@ -221,3 +222,50 @@ def q_alert_empty(spark, sf_dir):
 def q_alert_outbox(spark, sf_dir):
     lines = A.alert_lines(enriched_changes(spark, sf_dir))
     return A.alert_outbox(lines, rules.RUN_START.strftime("%Y-%m-%d %H:%M:%S"))
+
+
+# --- scoring and decisions ------------------------------------------------------------
+
+
+def adjusted(spark, sf_dir):
+    return S.adjusted_evidence(bindings.evidence(spark, sf_dir))
+
+
+def scored(spark, sf_dir):
+    return S.risk_score(book_text(spark, sf_dir), adjusted(spark, sf_dir))
+
+
+def q_adjusted_evidence(spark, sf_dir):
+    return adjusted(spark, sf_dir)
+
+
+def q_corroborated_conditions(spark, sf_dir):
+    return S.corroborated_conditions(adjusted(spark, sf_dir))
+
+
+def q_risk_score(spark, sf_dir):
+    return scored(spark, sf_dir).select("book_row_id", "vendor", "risk_level", "is_risk", "n_conditions", "n_excluded")
+
+
+def q_risk_reason(spark, sf_dir):
+    return S.risk_reason(scored(spark, sf_dir))
+
+
+def validated(spark, sf_dir):
+    return S.validate_decisions(S.parse_decisions(bindings.decision_payloads(spark, sf_dir)))
+
+
+def q_decision_intake(spark, sf_dir):
+    return S.parse_decisions(bindings.decision_payloads(spark, sf_dir))
+
+
+def q_decision_validation(spark, sf_dir):
+    return validated(spark, sf_dir)
+
+
+def q_run_results(spark, sf_dir):
+    return S.run_results(validated(spark, sf_dir))
+
+
+def q_run_summary(spark, sf_dir):
+    return S.run_summary(S.run_results(validated(spark, sf_dir)))

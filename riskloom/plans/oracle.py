@@ -284,6 +284,7 @@ def oracle_statements() -> dict[str, str]:
         "change_log_diff": with_views(diff_sql("book_text", "book_upsert", RUN_START_SQL), upsert),
     }
     out.update(alert_statements())
+    out.update(score_statements())
     return out
 
 
@@ -409,3 +410,128 @@ def alert_statements() -> dict[str, str]:
             f"FROM pages p, header h",
             {**a, "header": HEADER, "pages": PAGES}),
     }
+
+
+# --- scoring and decisions ------------------------------------------------------------
+
+ADJUSTED = """
+SELECT e.evidence_id, e.vendor, e.condition, e.level,
+  CASE WHEN e.new_models_only THEN least(e.level, 4) ELSE e.level END AS adj_level,
+  e.outlet, e.tier, e.in_scope, e.published_at
+FROM v_evidence e LEFT JOIN (
+  SELECT vendor, max(CASE WHEN is_resolution THEN published_at END) AS resolved_at,
+    bool_or(is_going_concern) AS gc
+  FROM v_evidence GROUP BY vendor) v ON v.vendor = e.vendor
+WHERE NOT COALESCE(e.is_breach AND v.resolved_at IS NOT NULL AND e.published_at < v.resolved_at
+  AND NOT COALESCE(v.gc, false), false)"""
+
+CORROBORATED = """
+SELECT vendor, condition, level, min_tier, n_outlets, capped, CASE WHEN capped THEN 3 ELSE level END AS eff_level
+FROM (
+  SELECT vendor, condition, max(adj_level) AS level, min(tier) AS min_tier, count(DISTINCT outlet) AS n_outlets,
+    (max(adj_level) >= 4 AND min(tier) > 1 AND count(DISTINCT outlet) < 2) AS capped
+  FROM adjusted WHERE in_scope GROUP BY vendor, condition) g"""
+
+ROLLUP = """
+SELECT g.vendor,
+  greatest(1, max_level, CASE WHEN n_level3 >= 2 THEN 4 ELSE 0 END, CASE WHEN n_level4 >= 2 THEN 5 ELSE 0 END) AS in_scope_level,
+  max_level, n_level3, n_level4, n_conditions,
+  d.condition AS driver_condition, d.eff_level AS driver_level, d.capped AS driver_capped
+FROM (
+  SELECT vendor, max(eff_level) AS max_level, count_if(eff_level = 3 AND NOT capped) AS n_level3,
+    count_if(eff_level = 4) AS n_level4, count(*) AS n_conditions
+  FROM corroborated GROUP BY vendor) g
+JOIN (
+  SELECT vendor, condition, eff_level, capped, row_number() OVER (PARTITION BY vendor
+    ORDER BY eff_level DESC, level DESC, n_outlets DESC, condition DESC) AS rn
+  FROM corroborated) d ON d.vendor = g.vendor AND d.rn = 1"""
+
+EXCLUDED = """
+SELECT vendor, count(*) AS n_excluded, string_agg(DISTINCT condition, ', ' ORDER BY condition) AS excluded
+FROM adjusted WHERE NOT in_scope GROUP BY vendor"""
+
+SCORED = """
+SELECT b.book_row_id, b.vendor,
+  CASE WHEN r.in_scope_level IS NOT NULL THEN r.in_scope_level WHEN x.n_excluded > 0 THEN 1 ELSE 0 END AS risk_level,
+  (CASE WHEN r.in_scope_level IS NOT NULL THEN r.in_scope_level WHEN x.n_excluded > 0 THEN 1 ELSE 0 END) >= 3 AS is_risk,
+  COALESCE(r.n_conditions, 0) AS n_conditions, COALESCE(x.n_excluded, 0) AS n_excluded,
+  r.driver_condition, r.driver_level, r.driver_capped, r.n_level3, r.n_level4, r.max_level, x.excluded
+FROM book_text b LEFT JOIN rollup r ON r.vendor = b.vendor LEFT JOIN excluded x ON x.vendor = b.vendor"""
+
+REASON = """
+SELECT book_row_id, vendor, risk_level, is_risk, driver_condition,
+  concat_ws('; ',
+    CASE WHEN risk_level = 0 THEN 'No in-scope or out-of-scope events found'
+         WHEN driver_condition IS NULL THEN 'Only out-of-scope events reported; level 1'
+         ELSE concat('Level ', CAST(risk_level AS VARCHAR), ' driven by ', driver_condition) END,
+    CASE WHEN n_level4 >= 2 THEN 'two or more level-4 conditions'
+         WHEN n_level3 >= 2 AND risk_level = 4 AND max_level < 4 THEN 'two or more level-3 conditions' END,
+    CASE WHEN driver_capped THEN 'single press source, capped at 3 pending confirmation' END,
+    CASE WHEN excluded IS NOT NULL THEN concat('excluded as out of scope: ', excluded) END) || '.' AS risk_reason
+FROM scored"""
+
+LVL8 = "CAST(CAST(CAST(floor(value) AS INT) % 8 - 1 AS INT) AS VARCHAR)"
+PAYLOADS = f"""
+SELECT event_id AS decision_id, concat('Supplier#', lpad(CAST(user_id AS VARCHAR), 9, '0')) AS vendor,
+  date_trunc('second', ts) AS decided_at,
+  CASE WHEN event_id % 13 = 0 THEN props
+       WHEN event_id % 11 = 0 THEN '{{"Risk_level": ' || {LVL8} || '}}'
+       ELSE '{{"Risk_Reason": "' || event_type || '", "Risk_level": ' || {LVL8} || '}}' END AS payload
+FROM events"""
+
+INTAKE = """
+SELECT decision_id, vendor, decided_at,
+  TRY_CAST(json_extract(payload, '$.Risk_level') AS INTEGER) AS risk_level,
+  json_extract_string(payload, '$.Risk_Reason') AS risk_reason
+FROM payloads"""
+
+VALIDATED = """
+SELECT *, quarantine_reason IS NULL AS is_valid,
+  CASE WHEN quarantine_reason IS NULL THEN risk_level >= 3 END AS is_risk
+FROM (
+  SELECT *, CASE WHEN risk_level IS NULL THEN 'missing level'
+    WHEN risk_level < 0 OR risk_level > 5 THEN 'level out of range'
+    WHEN risk_reason IS NULL OR trim(risk_reason) = '' THEN 'missing reason' END AS quarantine_reason
+  FROM intake) x"""
+
+RESULTS = f"""
+SELECT *, CASE WHEN flagged THEN '{rules.RESULT_FLAGGED_LABEL}' WHEN NOT flagged THEN '{rules.RESULT_CLEAR_LABEL}' END AS label,
+  CASE WHEN flagged IS NOT NULL THEN '**Done** — level ' || CAST(risk_level AS VARCHAR) || ' ('
+    || CASE WHEN flagged THEN '{rules.RESULT_FLAGGED_LABEL}' ELSE '{rules.RESULT_CLEAR_LABEL}' END || '). ' || reason
+    ELSE '**Error:** ' || reason END AS log_line
+FROM (
+  SELECT decision_id, vendor, risk_level, is_risk AS flagged, risk_reason AS reason,
+    'Research/' || {vendor_key_sql('vendor')} || '/research_' || strftime(decided_at, '%Y-%m-%d_%H-%M-%S') || '.md' AS research_file
+  FROM validated WHERE is_valid
+  UNION ALL
+  SELECT decision_id, vendor, NULL, NULL, 'Error: ' || quarantine_reason, '' FROM validated WHERE NOT is_valid) u"""
+
+SUMMARY = """
+SELECT count(*) AS processed, count_if(flagged IS NOT NULL) AS ok, count_if(flagged IS NULL) AS failed,
+  coalesce(count_if(flagged), 0) AS flagged
+FROM results"""
+
+
+def score_ctes() -> dict[str, str]:
+    return {"book_text": BOOK_TEXT, "adjusted": ADJUSTED, "corroborated": CORROBORATED,
+            "rollup": ROLLUP, "excluded": EXCLUDED, "scored": SCORED}
+
+
+def decision_ctes() -> dict[str, str]:
+    return {"payloads": PAYLOADS, "intake": INTAKE, "validated": VALIDATED, "results": RESULTS}
+
+
+def score_statements() -> dict[str, str]:
+    sc = score_ctes()
+    dc = decision_ctes()
+    return {
+        "adjusted_evidence": with_views("SELECT * FROM adjusted", {"adjusted": ADJUSTED}),
+        "corroborated_conditions": with_views("SELECT * FROM corroborated", {"adjusted": ADJUSTED, "corroborated": CORROBORATED}),
+        "risk_score": with_views(
+            "SELECT book_row_id, vendor, risk_level, is_risk, n_conditions, n_excluded FROM scored", sc),
+        "risk_reason": with_views("SELECT * FROM reason", {**sc, "reason": REASON}),
+        "decision_intake": with_views("SELECT * FROM intake", dc),
+        "decision_validation": with_views("SELECT * FROM validated", dc),
+        "run_results": with_views("SELECT * FROM results", dc),
+        "run_summary": with_views("SELECT * FROM summary", {**dc, "summary": SUMMARY}),
+    }

@@ -171,3 +171,20 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("file_name"),
         F.col("text"),
     )
+
+
+def decision_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorer output as JSON text, one record per event: some out of range, some without
+    a reason, some of the wrong shape (the event's own ``props``)."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    eid = F.col("event_id")
+    lvl = (F.floor("value").cast("int") % 8 - 1).cast("string")
+    good = F.concat(F.lit('{"Risk_Reason": "'), F.col("event_type"), F.lit('", "Risk_level": '), lvl, F.lit("}"))
+    no_reason = F.concat(F.lit('{"Risk_level": '), lvl, F.lit("}"))
+    payload = F.when(eid % 13 == 0, F.col("props")).when(eid % 11 == 0, no_reason).otherwise(good)
+    return e.select(
+        eid.alias("decision_id"),
+        supplier_name(F.col("user_id")).alias("vendor"),
+        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("decided_at"),
+        payload.alias("payload"),
+    )
