@@ -14,6 +14,7 @@ from riskloom import rules
 from riskloom.functions import cells
 from riskloom.operators import alert as A
 from riskloom.operators import book as B
+from riskloom.operators import news as R
 from riskloom.operators import changes as C
 from riskloom.operators import notes as N
 from riskloom.operators import score as S
@@ -269,3 +270,62 @@ def q_run_results(spark, sf_dir):
 
 def q_run_summary(spark, sf_dir):
     return S.run_summary(S.run_results(validated(spark, sf_dir)))
+
+
+# --- news selection -----------------------------------------------------------------
+
+
+def features(spark, sf_dir):
+    return R.item_features(bindings.news(spark, sf_dir))
+
+
+def confirmed(spark, sf_dir):
+    return R.confirm_entities(bindings.news(spark, sf_dir), bindings.aliases(spark, sf_dir))
+
+
+def q_search_worklist(spark, sf_dir):
+    return R.search_worklist(book_text(spark, sf_dir), bindings.aliases(spark, sf_dir), rules.AS_OF)
+
+
+def q_entity_match(spark, sf_dir):
+    return confirmed(spark, sf_dir)
+
+
+def q_event_dated_items(spark, sf_dir):
+    return R.dated_items(features(spark, sf_dir))
+
+
+def q_recent_items(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return f.where(R.recency(f, rules.AS_OF)).select("item_id", "vendor", "outlet", "tier", "published_on", "event_on")
+
+
+def q_scoped_items(spark, sf_dir):
+    return R.scope(features(spark, sf_dir))
+
+
+def q_source_tier(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages", "page_id", "url")
+    host = R.url_host("url")
+    return p.select("page_id", "url", host.alias("host"), R.source_tier(host).alias("tier"))
+
+
+def q_syndication_exact(spark, sf_dir):
+    return R.syndication_exact(features(spark, sf_dir))
+
+
+def q_scale_figures(spark, sf_dir):
+    return R.scale_figures(bindings.news(spark, sf_dir))
+
+
+def q_note_violations(spark, sf_dir):
+    return R.writing_violations(bindings.news(spark, sf_dir))
+
+
+def q_items_per_vendor(spark, sf_dir):
+    counts = R.item_counts(features(spark, sf_dir), confirmed(spark, sf_dir), rules.AS_OF)
+    return R.items_per_vendor(book_text(spark, sf_dir), counts)
+
+
+def q_indicator_match(spark, sf_dir):
+    return R.indicator_matches(features(spark, sf_dir))

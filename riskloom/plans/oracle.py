@@ -285,6 +285,7 @@ def oracle_statements() -> dict[str, str]:
     }
     out.update(alert_statements())
     out.update(score_statements())
+    out.update(news_statements())
     return out
 
 
@@ -535,3 +536,166 @@ def score_statements() -> dict[str, str]:
         "run_results": with_views("SELECT * FROM results", dc),
         "run_summary": with_views("SELECT * FROM summary", {**dc, "summary": SUMMARY}),
     }
+
+
+# --- news selection -----------------------------------------------------------------
+
+AS_OF_SQL = f"DATE '{rules.AS_OF.isoformat()}'"
+WINDOW_START_SQL = f"(DATE '{rules.AS_OF.isoformat()}' - {rules.RECENCY_DAYS})"
+
+
+def matches_list_sql(norm: str, table, kinds) -> str:
+    whens = ", ".join(f"CASE WHEN regexp_matches({norm}, {_q(p)}) THEN {_q(n)} END"
+                      for n, k, p in table if k in kinds)
+    return f"list_filter([{whens}], lambda x: x IS NOT NULL)"
+
+
+def rubric_any_sql(norm: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({norm}, {_q(p)})" for _, _, p in rules.RUBRIC) + ")"
+
+
+ISO_SQL = "TRY_CAST(NULLIF(regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS DATE)"
+PER_SQL = "regexp_extract(text, '(Q[1-4]|FY) ?(20[0-9]{2})', 1)"
+YEAR_SQL = "TRY_CAST(NULLIF(regexp_extract(text, '(Q[1-4]|FY) ?(20[0-9]{2})', 2), '') AS INTEGER)"
+MONTH_SQL = f"CASE WHEN {PER_SQL} = 'Q1' THEN 3 WHEN {PER_SQL} = 'Q2' THEN 6 WHEN {PER_SQL} = 'Q3' THEN 9 WHEN {PER_SQL} IN ('Q4', 'FY') THEN 12 END"
+PERIOD_END_SQL = f"last_day(make_date({YEAR_SQL}, {MONTH_SQL}, 1))"
+
+FEATURES = f"""
+SELECT item_id, vendor, outlet, tier, published_on, text,
+  {norm_text_sql('text')} AS norm,
+  md5(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')))) AS text_key,
+  COALESCE({ISO_SQL}, {PERIOD_END_SQL}, published_on) AS event_on,
+  CASE WHEN {ISO_SQL} IS NOT NULL THEN 'iso' WHEN {PERIOD_END_SQL} IS NOT NULL THEN 'period'
+       WHEN published_on IS NOT NULL THEN 'published' END AS dated_by,
+  regexp_matches({norm_text_sql('text')}, {_q(" (" + "|".join(rules.CONCLUDING_WORDS) + ") ")}) AS concluded,
+  regexp_matches({norm_text_sql('text')}, {_q(" (" + "|".join(rules.CONTINUING_PHRASES) + ") ")}) AS continuing
+FROM v_news"""
+
+
+def recency_sql() -> str:
+    return (f"(published_on > {WINDOW_START_SQL} AND published_on <= {AS_OF_SQL} AND NOT COALESCE("
+            f"event_on < {WINDOW_START_SQL} AND concluded AND NOT continuing, false))")
+
+
+def mention_sql(text: str, name: str) -> str:
+    return f"regexp_matches({text}, '(?i)(^|[^A-Za-z0-9])\\Q' || {name} || '\\E([^A-Za-z0-9]|$)')"
+
+
+CONFIRMED = f"""
+SELECT item_id, vendor, name_hit OR alias_hit AS confirmed,
+  CASE WHEN name_hit THEN 'name' WHEN alias_hit THEN 'alias' END AS matched_by
+FROM (
+  SELECT n.item_id, n.vendor, bool_or({mention_sql('n.text', 'n.vendor')}) AS name_hit,
+    bool_or(COALESCE({mention_sql('n.text', 'a.alias')}, false)) AS alias_hit
+  FROM v_news n LEFT JOIN v_aliases a ON a.vendor = n.vendor
+  GROUP BY n.item_id, n.vendor) g"""
+
+WORKLIST = f"""
+SELECT vendor, query_norm, query_kind, query_text FROM (
+  SELECT *, row_number() OVER (PARTITION BY vendor, query_norm ORDER BY ord) AS rn FROM (
+    SELECT vendor, ord, query_kind, query_text,
+      trim(lower(regexp_replace(query_text, '[^A-Za-z0-9]+', ' ', 'g'))) AS query_norm
+    FROM (
+      SELECT v.vendor, 0 AS ord, 'name' AS query_kind, v.vendor AS query_text FROM vv v
+      UNION ALL SELECT v.vendor, 1, 'alias', v.alias FROM vv v
+      UNION ALL SELECT v.vendor, 2, 'announcement', v.vendor || ' {rules.QUERY_SUFFIX_ANNOUNCEMENT}' FROM vv v
+      UNION ALL SELECT v.vendor, 3, 'filing', v.vendor || ' {rules.QUERY_SUFFIX_FILING}' FROM vv v
+      UNION ALL SELECT v.vendor, 4, 'year', v.vendor || ' {rules.AS_OF.year}' FROM vv v) f
+    WHERE query_text IS NOT NULL) n
+  WHERE query_norm <> '') r
+WHERE rn = 1"""
+
+VV = """
+SELECT b.vendor, a.alias FROM (SELECT DISTINCT vendor FROM book_text WHERE vendor IS NOT NULL) b
+LEFT JOIN v_aliases a ON a.vendor = b.vendor"""
+
+HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]+)', 1))"
+
+MONEY_UNITS = "million|billion|thousand|bn|mn|m|k"
+MONEY_RE = r"\$ ?[0-9]+(?:[.,][0-9]+)* ?(?:(?:" + MONEY_UNITS + r")(?:[^A-Za-z0-9]|$))?"
+HEAD_RE = r"[0-9]+(?:,[0-9]{3})* (?:employees|staff|workers)"
+
+
+def amount_sql(fig: str, with_unit: bool) -> str:
+    num = f"TRY_CAST(replace(regexp_extract({fig}, '([0-9]+(?:[.,][0-9]+)*)', 1), ',', '') AS DOUBLE)"
+    if not with_unit:
+        return f"TRY_CAST({num} AS DECIMAL(20,2))"
+    unit = f"lower(regexp_extract({fig}, '({MONEY_UNITS})([^A-Za-z0-9]|$)', 1))"
+    mult = (f"CASE {unit} WHEN 'billion' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'mn' THEN 1e6 "
+            f"WHEN 'm' THEN 1e6 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1.0 END")
+    return f"TRY_CAST({num} * CAST({mult} AS DOUBLE) AS DECIMAL(20,2))"
+
+
+FIGURES = f"""
+SELECT item_id, 'money' AS kind, CAST(ord AS BIGINT) AS ordinal, trim(fig) AS figure_text, {amount_sql('fig', True)} AS amount
+FROM (SELECT item_id, unnest(m) AS fig, unnest(range(1, len(m) + 1)) AS ord
+      FROM (SELECT item_id, regexp_extract_all(text, {_q(MONEY_RE)}) AS m FROM v_news) x) y
+UNION ALL
+SELECT item_id, 'headcount', CAST(ord AS BIGINT), trim(fig), {amount_sql('fig', False)}
+FROM (SELECT item_id, unnest(m) AS fig, unnest(range(1, len(m) + 1)) AS ord
+      FROM (SELECT item_id, regexp_extract_all(text, {_q(HEAD_RE)}) AS m FROM v_news) x) y"""
+
+
+QUOTES = """
+SELECT vendor, outlet, item_id, unnest(q) AS quote, unnest(range(1, len(q) + 1)) AS pos
+FROM (SELECT vendor, outlet, item_id, regexp_extract_all(text, '"([^"]*)"', 1) AS q FROM v_news) x"""
+
+
+def violations_sql() -> str:
+    tone = "\nUNION ALL\n".join(
+        f"SELECT vendor, outlet, item_id, 'banned_tone' AS rule, {_q(w)} AS detail FROM v_news "
+        f"WHERE regexp_matches({norm_text_sql('text')}, {_q(' ' + w + 's? ')})"
+        for w in rules.BANNED_TONE_WORDS)
+    return f"""
+{tone}
+UNION ALL
+SELECT vendor, outlet, item_id, 'long_quote', 'quote ' || CAST(pos AS VARCHAR) || ': '
+  || CAST(len(string_split_regex(trim(quote), '[ \\t\\n\\r]+')) AS VARCHAR) || ' words'
+FROM quotes WHERE len(string_split_regex(trim(quote), '[ \\t\\n\\r]+')) >= {rules.QUOTE_MAX_WORDS}
+UNION ALL
+SELECT vendor, outlet, CAST(NULL AS BIGINT), 'quotes_per_source', CAST(count(*) AS VARCHAR) || ' quotes'
+FROM quotes GROUP BY vendor, outlet HAVING count(*) > {rules.QUOTES_PER_SOURCE}"""
+
+
+def rubric_rows_sql(src: str = "features") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT item_id, vendor, {_q(c)} AS condition, {lvl} AS level, outlet, tier, published_on FROM {src} "
+        f"WHERE regexp_matches(norm, {_q(p)})"
+        for c, lvl, p in rules.RUBRIC)
+
+
+def news_statements() -> dict[str, str]:
+    f = {"features": FEATURES}
+    in_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"in"})
+    out_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"out", "transit"})
+    transit_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"transit"})
+    has_in = f"(len({in_list}) > 0 OR {rubric_any_sql('norm')})"
+    return {
+        "search_worklist": with_views("SELECT * FROM worklist", {"book_text": BOOK_TEXT, "vv": VV, "worklist": WORKLIST}),
+        "entity_match": with_views("SELECT * FROM confirmed", {"confirmed": CONFIRMED}),
+        "event_dated_items": with_views("SELECT item_id, published_on, event_on, dated_by FROM features", f),
+        "recent_items": with_views(
+            f"SELECT item_id, vendor, outlet, tier, published_on, event_on FROM features WHERE {recency_sql()}", f),
+        "scoped_items": with_views(
+            f"SELECT item_id, vendor, {has_in} AND NOT (len({transit_list}) > 0) AS in_scope, "
+            f"{has_in} OR len({out_list}) > 0 AS has_event, "
+            f"array_to_string({in_list}, ', ') AS categories, array_to_string({out_list}, ', ') AS excluded_kinds FROM features", f),
+        "source_tier": (
+            f"SELECT page_id, url, {HOST_SQL} AS host, CASE WHEN regexp_matches({HOST_SQL}, {_q(rules.PRIMARY_HOST_PATTERN)}) THEN 1 "
+            f"WHEN regexp_matches({HOST_SQL}, {_q(rules.TRADE_HOST_PATTERN)}) AND NOT regexp_matches({HOST_SQL}, {_q(rules.BLOG_HOST_PATTERN)}) THEN 2 "
+            f"ELSE {rules.UNKNOWN_TIER} END AS tier FROM pages"),
+        "syndication_exact": with_views(
+            "SELECT text_key, item_id, vendor, outlet, tier, published_on, cluster_size FROM ("
+            "SELECT *, count(*) OVER (PARTITION BY text_key) AS cluster_size, row_number() OVER (PARTITION BY text_key "
+            "ORDER BY tier, published_on ASC NULLS LAST, item_id) AS rn FROM features) x WHERE rn = 1", f),
+        "scale_figures": with_views(FIGURES),
+        "note_violations": with_views(violations_sql(), {"quotes": QUOTES}),
+        "items_per_vendor": with_views(
+            "SELECT b.book_row_id, b.vendor, COALESCE(c.n_items, 0) AS n_items, COALESCE(c.n_confirmed, 0) AS n_confirmed, "
+            "COALESCE(c.n_selected, 0) AS n_selected FROM book_text b LEFT JOIN counts c ON c.vendor = b.vendor",
+            {"book_text": BOOK_TEXT, **f, "confirmed": CONFIRMED, "counts": f"""
+SELECT f.vendor, count(*) AS n_items, count_if(c.confirmed) AS n_confirmed,
+  count_if(c.confirmed AND {recency_sql()}) AS n_selected
+FROM features f LEFT JOIN confirmed c ON c.item_id = f.item_id GROUP BY f.vendor"""}),
+        "indicator_match": with_views(rubric_rows_sql(), f),
+    }
