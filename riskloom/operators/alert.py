@@ -45,9 +45,9 @@ def first_sentence(c: Column) -> Column:
     return F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit(".")))
 
 
-def payload_sections(enriched: DataFrame) -> DataFrame:
-    """One text section per changed vendor (after C2 attached the newest note)."""
-    section = F.concat(
+def section_text() -> Column:
+    """The text section of one changed vendor (after C2 attached the newest note)."""
+    return F.concat(
         F.lit("## "), F.col("vendor"),
         F.lit("\nStatus: "), status(),
         F.lit("\nTransition: "), transition(),
@@ -56,8 +56,12 @@ def payload_sections(enriched: DataFrame) -> DataFrame:
         F.lit("\nSource: "), F.col("file_label"),
         F.lit("\n\nResearch summary:\n"), F.col("summary_text"),
     )
+
+
+def payload_sections(enriched: DataFrame) -> DataFrame:
+    """One section per changed vendor."""
     return enriched.select("id", "vendor", "book_row_id", status().alias("status"),
-                           transition().alias("transition"), section.alias("section"))
+                           transition().alias("transition"), section_text().alias("section"))
 
 
 def line_order() -> list[Column]:
@@ -65,8 +69,8 @@ def line_order() -> list[Column]:
     return [F.col("status_rank").asc(), F.col("id").desc(), F.col("book_row_id").asc_nulls_first()]
 
 
-def alert_lines(enriched: DataFrame) -> DataFrame:
-    """N1 + G4: one line per changed vendor, numbered in alert order."""
+def alert_lines(enriched: DataFrame, carry=()) -> DataFrame:
+    """N1 + G4: one line per changed vendor, numbered in alert order (``carry`` columns kept)."""
     st = status()
     line = F.concat(
         st, F.lit(" - "), F.col("vendor"), F.lit(": Level "), level_text(), F.lit(". "),
@@ -74,7 +78,7 @@ def alert_lines(enriched: DataFrame) -> DataFrame:
     )
     lines = enriched.select(
         "id", "vendor", "book_row_id", st.alias("status"),
-        F.when(st == rules.STATUS_NEW, 0).otherwise(1).alias("status_rank"), line.alias("line"),
+        F.when(st == rules.STATUS_NEW, 0).otherwise(1).alias("status_rank"), line.alias("line"), *carry,
     )
     return global_position(lines, line_order(), "alert_pos").drop("status_rank")
 

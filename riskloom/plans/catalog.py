@@ -18,7 +18,9 @@ from riskloom.operators import news as R
 from riskloom.operators import changes as C
 from riskloom.operators import notes as N
 from riskloom.operators import score as S
+from riskloom.plans import monitor as P
 from riskloom.sources import bindings
+from riskloom.streaming import flips as S1
 from riskloom.sources.tables import read_table
 
 # Names of the explicit vendor list (B7 / P4); they exist at every scale factor.
@@ -329,3 +331,38 @@ def q_items_per_vendor(spark, sf_dir):
 
 def q_indicator_match(spark, sf_dir):
     return R.indicator_matches(features(spark, sf_dir))
+
+
+# --- composite plans and the stream ------------------------------------------------------
+
+
+def q_monitor_run(spark, sf_dir):
+    return P.monitor_run(spark, sf_dir, rules.QUEUE_K, rules.AS_OF)
+
+
+def q_alert_since(spark, sf_dir):
+    return P.alert_since(spark, sf_dir, rules.RUN_START)
+
+
+def q_manual_override(spark, sf_dir):
+    return P.manual_override(spark, sf_dir, MANUAL_VENDORS, rules.RUN_START)
+
+
+def _events_to_decisions(events):
+    lvl = F.floor("value").cast("int") % 6
+    return events.select(
+        F.col("event_id").alias("decision_id"),
+        bindings.supplier_name(F.col("user_id")).alias("vendor"),
+        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("decided_at"),
+        (lvl >= 3).alias("is_risk"),
+    )
+
+
+def q_flip_stream(spark, sf_dir):
+    """S1 over the events file as a stream (one micro-batch here); equals E1."""
+    from riskloom.sources.tables import table_path
+
+    path = table_path(sf_dir, "events")
+    schema = spark.read.parquet(path).schema
+    sink = S1.run_flip_stream(spark, path + "*", _events_to_decisions, schema)
+    return S1.read_flips(spark, sink).drop("batch_id")

@@ -286,6 +286,7 @@ def oracle_statements() -> dict[str, str]:
     out.update(alert_statements())
     out.update(score_statements())
     out.update(news_statements())
+    out.update(plan_statements())
     return out
 
 
@@ -699,3 +700,121 @@ SELECT f.vendor, count(*) AS n_items, count_if(c.confirmed) AS n_confirmed,
 FROM features f LEFT JOIN confirmed c ON c.item_id = f.item_id GROUP BY f.vendor"""}),
         "indicator_match": with_views(rubric_rows_sql(), f),
     }
+
+
+# --- composite plans ------------------------------------------------------------------
+
+
+def _lines_from(src: str, carry: str = "") -> str:
+    extra = f", {carry}" if carry else ""
+    return f"""
+SELECT id, vendor, book_row_id, status, line{extra},
+  row_number() OVER (ORDER BY status_rank, id DESC, book_row_id ASC NULLS FIRST) AS alert_pos
+FROM (
+  SELECT id, vendor, book_row_id, {status_sql()} AS status,
+    CASE WHEN {status_sql()} = 'NEW RISK' THEN 0 ELSE 1 END AS status_rank,
+    concat({status_sql()}, ' - ', vendor, ': Level ', {LEVEL_TEXT}, '. ', {first_sentence_sql(REASON_TEXT)}) AS line{extra}
+  FROM {src}) x"""
+
+
+def monitor_ctes() -> dict[str, str]:
+    in_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"in"})
+    out_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"out", "transit"})
+    transit_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"transit"})
+    rubric_any = rubric_any_sql("norm")
+    ev_cols = "vendor, outlet, tier, in_scope, new_models_only, is_resolution, published_on"
+    matched = "\nUNION ALL\n".join(
+        f"SELECT item_id * 100 + {i} AS evidence_id, {_q(c)} AS condition, {lvl} AS level, {ev_cols} "
+        f"FROM scoped WHERE in_scope AND regexp_matches(norm, {_q(p)})"
+        for i, (c, lvl, p) in enumerate(rules.RUBRIC))
+    return {
+        "book_text": BOOK_TEXT,
+        "queue": QUEUE,
+        "news_q": "SELECT * FROM v_news WHERE vendor IN (SELECT vendor FROM queue)",
+        "features": FEATURES.replace("FROM v_news", "FROM news_q"),
+        "confirmed": CONFIRMED.replace(
+            "FROM v_news n LEFT JOIN v_aliases a",
+            "FROM news_q n LEFT JOIN (SELECT * FROM v_aliases WHERE vendor IN (SELECT vendor FROM queue)) a"),
+        "selected": f"""
+SELECT f.* FROM features f JOIN confirmed c ON c.item_id = f.item_id WHERE c.confirmed AND {recency_sql()}""",
+        "reps": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vendor, text_key
+  ORDER BY tier, published_on ASC NULLS LAST, item_id) AS rn FROM selected) x WHERE rn = 1""",
+        "scoped": f"""
+SELECT *, (len({in_list}) > 0 OR {rubric_any}) AND NOT (len({transit_list}) > 0) AS in_scope,
+  {in_list} AS in_list, {out_list} AS out_list, {rubric_any} AS rubric_any,
+  regexp_matches(norm, {_q(rules.NEW_MODELS_ONLY_PATTERN)}) AS new_models_only,
+  regexp_matches(norm, {_q(rules.RESOLUTION_PATTERN)}) AS is_resolution
+FROM reps""",
+        "ev_raw": f"""
+{matched}
+UNION ALL
+SELECT item_id * 100 + 50, in_list[1], 1, {ev_cols} FROM scoped WHERE in_scope AND NOT rubric_any
+UNION ALL
+SELECT item_id * 100 + 59 + ord, cat, 0, {ev_cols}
+FROM (SELECT *, unnest(out_list) AS cat, unnest(range(1, len(out_list) + 1)) AS ord FROM scoped WHERE NOT in_scope) u""",
+        "news_evidence": f"""
+SELECT evidence_id, vendor, condition, level, outlet, tier, in_scope, new_models_only,
+  condition IN ({sql_list(rules.BREACH_CONDITIONS)}) AS is_breach,
+  condition IN ({sql_list(rules.GOING_CONCERN_CONDITIONS)}) AS is_going_concern,
+  is_resolution, CAST(published_on AS TIMESTAMP) AS published_at
+FROM ev_raw""",
+        "adjusted": ADJUSTED.replace("v_evidence", "news_evidence"),
+        "corroborated": CORROBORATED, "rollup": ROLLUP, "excluded": EXCLUDED,
+        "scored": SCORED.replace("FROM book_text b", "FROM (SELECT book_row_id, vendor FROM queue) b"),
+        "reason": REASON,
+        "counts": "SELECT vendor, count(*) AS n_items FROM reps GROUP BY vendor",
+    }
+
+
+MONITOR = """
+SELECT q.queue_pos, q.book_row_id, q.vendor, COALESCE(c.n_items, 0) AS n_items,
+  r.risk_level, r.is_risk, r.risk_reason, b.is_risk AS old_flag,
+  CASE WHEN r.is_risk THEN '1' WHEN NOT r.is_risk THEN '0' END AS new_flag,
+  CASE WHEN b.is_risk IS DISTINCT FROM (CASE WHEN r.is_risk THEN '1' WHEN NOT r.is_risk THEN '0' END)
+        AND (COALESCE(b.is_risk, '') = '1' OR r.is_risk)
+       THEN CASE WHEN r.is_risk THEN 'NEW RISK' ELSE 'CLEARED' END END AS status
+FROM queue q
+LEFT JOIN reason r ON r.book_row_id = q.book_row_id
+LEFT JOIN book_text b ON b.book_row_id = q.book_row_id
+LEFT JOIN counts c ON c.vendor = q.vendor"""
+
+MANUAL_NAMES = "SELECT * FROM (VALUES ('Supplier#000000002', 4), ('Supplier#000000005', 4), ('Supplier#000000009', 5)) AS t(vendor, manual_level)"
+
+
+def plan_statements() -> dict[str, str]:
+    a = alert_ctes()
+    notes = {"notes_dedup": NOTES_DEDUP, "newest_notes": NEWEST_NOTES}
+    an = {**a, **notes, "enriched_notes": ENRICHED_NOTES,
+          "sections": f"SELECT *, {SECTION} AS section FROM enriched_notes",
+          "lines_s": _lines_from("sections", "section"), "header": HEADER.replace("FROM lines", "FROM lines_s")}
+    manual = {
+        "book_text": BOOK_TEXT, "names": MANUAL_NAMES,
+        "subset": "SELECT * FROM book_text WHERE vendor IN (SELECT vendor FROM names)",
+        "decisions_m": f"""
+SELECT -s.book_row_id AS decision_id, s.vendor, TIMESTAMP '2024-01-29 11:59:00' AS decided_at,
+  n.manual_level AS risk_level, n.manual_level >= 3 AS is_risk, 'cleared manual test' AS risk_reason
+FROM subset s JOIN names n ON n.vendor = s.vendor
+UNION ALL
+SELECT decision_id, vendor, decided_at, risk_level, is_risk, risk_reason FROM v_decisions
+WHERE vendor IN (SELECT vendor FROM names)""",
+        "change_log": FLAG_HISTORY.replace("FROM v_decisions", "FROM decisions_m"),
+        "changes_since": risk_changes_since_sql(RUN_START_SQL),
+        "latest_change": LATEST_CHANGE,
+        "latest_decision": LATEST_DECISION.replace("FROM v_decisions", "FROM decisions_m"),
+        "book_upsert": BOOK_UPSERT.replace("FROM book_text b", "FROM subset b"),
+        "typed_after": typed_sql("book_upsert"), "enriched": ENRICHED, "lines": LINES, "header": HEADER,
+    }
+    return {
+        "monitor_run": with_views(MONITOR, monitor_ctes()),
+        "alert_since": with_views(
+            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.n_lines, h.header AS subject, p.body, "
+            f"{FULL_TEXT} AS full_text, p.payload FROM ("
+            f"SELECT CAST(floor((alert_pos - 1) / {rules.ALERT_PAGE_LINES}) AS BIGINT) AS page_no, count(*) AS n_lines, "
+            f"string_agg(line, chr(10) ORDER BY alert_pos) AS body, "
+            f"string_agg(section, {_q(rules.SECTION_SEPARATOR).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} ORDER BY alert_pos) AS payload "
+            f"FROM lines_s GROUP BY 1) p, header h", an),
+        "manual_override": with_views(
+            "SELECT l.alert_pos, l.id, l.vendor, l.book_row_id, l.status, l.line, h.header FROM lines l, header h", manual),
+        "flip_stream": with_views("SELECT * FROM change_log", {"change_log": FLAG_HISTORY}),
+    }
