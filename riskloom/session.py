@@ -49,3 +49,23 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for tables this library writes."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "riskloom", *parts) if "://" not in base else "/".join([base.rstrip("/"), "riskloom", *parts])
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system (local, HDFS or object stores)."""
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def list_children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries directly under ``path`` (empty when it does not exist)."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p)]
