@@ -116,14 +116,24 @@ def _words_pattern(words) -> str:
     return " (" + "|".join(words) + ") "
 
 
-def recency(items: DataFrame, as_of: dt.date, days: int = rules.RECENCY_DAYS) -> Column:
-    """R3 predicate on item features (``published_on``, ``event_on``, ``concluded``,
-    ``continuing``): published in (as_of - days, as_of]; an item about an older event goes
-    when its text states a conclusion and no continuing phrase (X13)."""
+def in_window(as_of: dt.date, days: int = rules.RECENCY_DAYS) -> Column:
+    """R3, first half: published in (as_of - days, as_of]; undated items drop out. Only the
+    publication date is used, so it reaches the scan before any text work."""
+    start = F.date_sub(F.lit(as_of), days)
+    return (F.col("published_on") > start) & (F.col("published_on") <= F.lit(as_of))
+
+
+def not_stale(as_of: dt.date, days: int = rules.RECENCY_DAYS) -> Column:
+    """R3, second half on item features (X13): an item about an event older than the window
+    goes when its text states a conclusion and no continuing phrase."""
     start = F.date_sub(F.lit(as_of), days)
-    in_window = (F.col("published_on") > start) & (F.col("published_on") <= F.lit(as_of))
     stale = (F.col("event_on") < start) & F.col("concluded") & ~F.col("continuing")
-    return in_window & ~F.coalesce(stale, F.lit(False))
+    return ~F.coalesce(stale, F.lit(False))
+
+
+def recency(items: DataFrame, as_of: dt.date, days: int = rules.RECENCY_DAYS) -> Column:
+    """R3 predicate on item features: in the window and not a concluded older matter."""
+    return in_window(as_of, days) & not_stale(as_of, days)
 
 
 # --- R4, R12 -----------------------------------------------------------------------------
@@ -172,13 +182,22 @@ def scope(features: DataFrame) -> DataFrame:
     )
 
 
+def explode_rows(df: DataFrame, array_col, name: str, *keep) -> DataFrame:
+    """Explode an array computed from whole-text regexes.
+
+    ``explode_outer`` + a null filter on the output, because for ``explode`` the optimizer
+    infers ``size(array) > 0`` and pushes it below the projection, where it would run every
+    regex (and the text normalisation) a second time per row.
+    """
+    return df.select(*keep, F.explode_outer(array_col).alias(name)).where(F.col(name).isNotNull())
+
+
 def indicator_matches(features: DataFrame) -> DataFrame:
     """One row per (item, rubric condition) matched; the rubric is a fixed table compiled
     into the projection, so there is no join."""
-    return features.select(
-        "item_id", "vendor", "outlet", "tier", "published_on", F.explode("rubric").alias("r")
-    ).select("item_id", "vendor", F.col("r.condition").alias("condition"), F.col("r.level").alias("level"),
-             "outlet", "tier", "published_on")
+    return explode_rows(features, "rubric", "r", "item_id", "vendor", "outlet", "tier", "published_on").select(
+        "item_id", "vendor", F.col("r.condition").alias("condition"), F.col("r.level").alias("level"),
+        "outlet", "tier", "published_on")
 
 
 # --- R6 ------------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from riskloom.operators import changes as C
 from riskloom.operators import news as R
 from riskloom.operators import notes as N
 from riskloom.operators import score as S
+from riskloom.session import materialize
 from riskloom.sources import bindings
 
 EVIDENCE_ORD_DEFAULT = 50
@@ -30,25 +31,28 @@ def news_evidence(reps: DataFrame) -> DataFrame:
     In-scope items give one row per rubric condition, or a level-1 row for their first
     category when no indicator matched (X4); out-of-scope items give one level-0 row per
     excluded kind, kept for the roll-up's "all out of scope" rule and the reason.
+    All three cases are one array per item and one explode, with no filter before it.
     """
     in_scope = ((F.size("in_categories") > 0) | (F.size("rubric") > 0)) & ~F.col("has_transit")
     base = ["item_id", "vendor", "outlet", "tier", "published_on", "new_models_only", "is_resolution"]
-    x = reps.select(*base, "in_categories", "out_categories", "rubric", in_scope.alias("in_scope"))
-    matched = x.where(F.col("in_scope") & (F.size("rubric") > 0)).select(
-        *base, F.explode("rubric").alias("r"), "in_scope").select(
-        *base, F.col("r.ord").alias("ord"), F.col("r.condition").alias("condition"), F.col("r.level").alias("level"), "in_scope")
-    routine = x.where(F.col("in_scope") & (F.size("rubric") == 0)).select(
-        *base, F.lit(EVIDENCE_ORD_DEFAULT).alias("ord"), F.element_at("in_categories", 1).alias("condition"),
-        F.lit(1).alias("level"), "in_scope")
-    excluded = x.where(~F.col("in_scope")).select(*base, F.posexplode("out_categories").alias("pos", "condition"), "in_scope")
-    excluded = excluded.select(*base, (F.col("pos") + EVIDENCE_ORD_EXCLUDED).alias("ord"), "condition",
-                               F.lit(0).alias("level"), "in_scope")
-    ev = matched.unionByName(routine).unionByName(excluded)
+
+    def row(ord_, cond, level):
+        return F.struct(ord_.alias("ord"), cond.alias("condition"), level.alias("level"))
+
+    matched = F.transform("rubric", lambda r: row(r["ord"], r["condition"], r["level"]))
+    routine = F.array(row(F.lit(EVIDENCE_ORD_DEFAULT), F.element_at("in_categories", 1), F.lit(1)))
+    excluded = F.transform("out_categories", lambda c, i: row(i + EVIDENCE_ORD_EXCLUDED, c, F.lit(0)))
+    rows = (F.when(in_scope & (F.size("rubric") > 0), matched)
+            .when(in_scope, routine)
+            .otherwise(excluded))
+    x = reps.select(*base, in_scope.alias("in_scope"), rows.alias("_rows"))
+    ev = R.explode_rows(x, "_rows", "e", *base, "in_scope")
     return ev.select(
-        (F.col("item_id") * 100 + F.col("ord")).alias("evidence_id"),
-        "vendor", "condition", "level", "outlet", "tier", "in_scope", "new_models_only",
-        F.col("condition").isin(*rules.BREACH_CONDITIONS).alias("is_breach"),
-        F.col("condition").isin(*rules.GOING_CONCERN_CONDITIONS).alias("is_going_concern"),
+        (F.col("item_id") * 100 + F.col("e.ord")).alias("evidence_id"),
+        "vendor", F.col("e.condition").alias("condition"), F.col("e.level").alias("level"),
+        "outlet", "tier", "in_scope", "new_models_only",
+        F.col("e.condition").isin(*rules.BREACH_CONDITIONS).alias("is_breach"),
+        F.col("e.condition").isin(*rules.GOING_CONCERN_CONDITIONS).alias("is_going_concern"),
         "is_resolution",
         F.col("published_on").cast("timestamp_ntz").alias("published_at"),
     )
@@ -56,8 +60,8 @@ def news_evidence(reps: DataFrame) -> DataFrame:
 
 def select_items(features: DataFrame, confirmed: DataFrame, as_of: dt.date) -> DataFrame:
     """R2 + R3 + R7: confirmed, recent items, one per (vendor, normalised text)."""
-    x = features.join(confirmed.select("item_id", "confirmed"), "item_id", "inner")
-    x = x.where(F.col("confirmed") & R.recency(x, as_of))
+    x = features.join(confirmed.where(F.col("confirmed")).select("item_id"), "item_id", "left_semi")
+    x = x.where(R.recency(x, as_of)).withColumn("confirmed", F.lit(True))
     keep = [c for c in x.columns if c not in ("text_key", "vendor", "confirmed")]
     pick = F.struct(F.col("tier").alias("_t"), F.col("published_on").isNull().alias("_u"),
                     F.col("published_on").alias("_p"), F.col("item_id").alias("_i"), *[F.col(c) for c in keep])
@@ -75,9 +79,11 @@ def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of:
     book = B.ingest_book(bindings.book_raw(spark, sf_dir))
     queue = B.vendor_queue(book, B.clamp_batch(k))
     names = F.broadcast(queue.select("vendor").distinct())
-    items = bindings.news(spark, sf_dir).join(names, "vendor", "left_semi")
+    items = bindings.news(spark, sf_dir).join(names, "vendor", "left_semi").where(R.in_window(as_of))
     aliases = bindings.aliases(spark, sf_dir).join(names, "vendor", "left_semi")
-    reps = select_items(R.item_features(items), R.confirm_entities(items, aliases), as_of)
+    # one regex pass over the queued vendors' recent texts, written once and reused
+    features = materialize(R.item_features(items))
+    reps = select_items(features, R.confirm_entities(items, aliases), as_of)
     counts = reps.groupBy("vendor").agg(F.count(F.lit(1)).alias("n_items"))
     adjusted = S.adjusted_evidence(news_evidence(reps))
     scored = S.risk_reason(S.risk_score(queue.select("book_row_id", "vendor"), adjusted))

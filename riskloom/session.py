@@ -45,6 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used where derived rows feed several branches or where the optimizer would otherwise
+    push filters into (and so repeat) an expensive projection such as whole-text regexes.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def work_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for tables this library writes."""
     base = checkpoint_dir(spark)

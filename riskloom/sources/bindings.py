@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.sources.tables import read_table
+from riskloom.sources.tables import read_table, spread
 
 # Fixed values of the test binding: statement templates keyed 0..15.
 TEMPLATES = (
@@ -129,7 +129,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     The template is picked by ``n_chars % 16``; every residue has exactly one template,
     so the inner join of the SQL view is an array lookup here (no join, no shuffle).
     """
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "n_chars")
+    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "n_chars"), "doc_id")
     m = vendor_modulus(spark, sf_dir)
     stmts = F.array(*[F.lit(s) for _, s in TEMPLATES])
     num = F.col("n_chars") % m
@@ -159,7 +159,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_notes: research note writes, in write order ``write_seq``."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     m = vendor_modulus(spark, sf_dir)
     i = F.col("doc_id")
     return d.select(

@@ -20,3 +20,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     """Read one table; naming the columns keeps the Parquet ReadSchema narrow."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row work (regexes over whole texts) enough tasks.
+
+    A scan yields one task per file split; when that is below the session's parallelism
+    (a single-row-group file, say) the rows are hash-partitioned on ``key``, which is
+    deterministic on retry. At scale the scan already has enough splits and this is a
+    no-op, so no shuffle is added.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
