@@ -18,6 +18,7 @@ from riskloom.operators import news as R
 from riskloom.operators import changes as C
 from riskloom.operators import notes as N
 from riskloom.operators import score as S
+from riskloom.operators import similarity as SIM
 from riskloom.plans import monitor as P
 from riskloom.sources import bindings
 from riskloom.streaming import flips as S1
@@ -366,3 +367,16 @@ def q_flip_stream(spark, sf_dir):
     schema = spark.read.parquet(path).schema
     sink = S1.run_flip_stream(spark, path + "*", _events_to_decisions, schema)
     return S1.read_flips(spark, sink).drop("batch_id")
+
+
+def q_syndication_near(spark, sf_dir):
+    """R8 over the items left after exact dedupe (R7): which item each one cites."""
+    news = bindings.news(spark, sf_dir).select(
+        "item_id", "vendor", "tier", "published_on", "text", R.text_key("text").alias("text_key"))
+    items = SIM.with_shingles(news).drop("text")
+    pick = F.struct("tier", F.col("published_on").isNull().alias("_u"), "published_on", "item_id", "vendor", "shingles")
+    reps = items.groupBy("text_key").agg(F.min(pick).alias("_r")).select(
+        "_r.item_id", "_r.vendor", "_r.tier", "_r.published_on", "_r.shingles")
+    cites = SIM.near_copy_citations(reps)
+    return cites.join(reps.select("item_id", "vendor"), "item_id").select(
+        "item_id", "vendor", "cite_id", (F.col("cite_id") != F.col("item_id")).alias("is_copy"), "similarity")

@@ -287,6 +287,7 @@ def oracle_statements() -> dict[str, str]:
     out.update(score_statements())
     out.update(news_statements())
     out.update(plan_statements())
+    out["syndication_near"] = with_views(NEAR, {"features": FEATURES, "reps": NEAR_REPS, "g": NEAR_SETS, "hits": NEAR_HITS})
     return out
 
 
@@ -818,3 +819,34 @@ WHERE vendor IN (SELECT vendor FROM names)""",
             "SELECT l.alert_pos, l.id, l.vendor, l.book_row_id, l.status, l.line, h.header FROM lines l, header h", manual),
         "flip_stream": with_views("SELECT * FROM change_log", {"change_log": FLAG_HISTORY}),
     }
+
+
+# --- R8 brute force -------------------------------------------------------------------
+
+NEAR_REPS = """
+SELECT f.item_id, f.vendor, f.tier, f.published_on, f.text FROM (
+  SELECT *, row_number() OVER (PARTITION BY text_key ORDER BY tier, published_on ASC NULLS LAST, item_id) AS rn
+  FROM features) f WHERE rn = 1"""
+
+NEAR_SETS = """
+SELECT item_id, vendor, tier, published_on, len(sh) AS n, sh FROM (
+  SELECT *, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS sh
+  FROM (SELECT *, string_split(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM reps) x) y"""
+
+NEAR_HITS = """
+SELECT a.item_id AS i, b.item_id AS j, b.tier AS jt, b.published_on AS jp,
+  len(list_intersect(a.sh, b.sh)) / (a.n + b.n - len(list_intersect(a.sh, b.sh))) AS sim
+FROM g a JOIN g b
+  ON (b.tier < a.tier
+      OR (b.tier = a.tier AND (b.published_on IS NULL) < (a.published_on IS NULL))
+      OR (b.tier = a.tier AND (b.published_on IS NULL) = (a.published_on IS NULL)
+          AND (coalesce(b.published_on, DATE '9999-12-31') < coalesce(a.published_on, DATE '9999-12-31')
+               OR (coalesce(b.published_on, DATE '9999-12-31') = coalesce(a.published_on, DATE '9999-12-31') AND b.item_id < a.item_id))))
+WHERE a.n > 0 AND b.n > 0 AND b.n >= a.n * 0.8 AND a.n >= b.n * 0.8
+  AND len(list_intersect(a.sh, b.sh)) / (a.n + b.n - len(list_intersect(a.sh, b.sh))) >= 0.8"""
+
+NEAR = """
+SELECT g.item_id, g.vendor, COALESCE(h.j, g.item_id) AS cite_id, h.j IS NOT NULL AS is_copy, COALESCE(h.sim, 1.0) AS similarity
+FROM g LEFT JOIN (
+  SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i
+    ORDER BY jt, jp IS NULL, coalesce(jp, DATE '9999-12-31'), j) AS rn FROM hits) x WHERE rn = 1) h ON h.i = g.item_id"""
