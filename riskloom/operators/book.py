@@ -108,7 +108,7 @@ def vendor_queue(book: DataFrame, k: int) -> DataFrame:
         & cells.to_timestamp_cell("last_checked").isNull()
     )
     return top.select(
-        F.row_number().over(Window.orderBy(*queue_order())).alias("queue_pos"),
+        F.row_number().over(Window.orderBy(*queue_order())).cast("long").alias("queue_pos"),
         KEY_COLUMN, "vendor", "last_checked", unparsed.alias("unparseable_date"),
     )
 

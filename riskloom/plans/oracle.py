@@ -355,8 +355,8 @@ FROM (
   FROM enriched) x"""
 
 HEADER = f"""
-SELECT count(*) AS n_changes, coalesce(count_if(status = 'NEW RISK'), 0) AS n_new,
-  coalesce(count_if(status = 'CLEARED'), 0) AS n_cleared,
+SELECT count(*) AS n_changes, CAST(coalesce(count_if(status = 'NEW RISK'), 0) AS BIGINT) AS n_new,
+  CAST(coalesce(count_if(status = 'CLEARED'), 0) AS BIGINT) AS n_cleared,
   CASE WHEN count(*) = 0 THEN '{rules.NO_CHANGES_MESSAGE}'
     ELSE printf('%d new risks, %d cleared', count_if(status = 'NEW RISK'), count_if(status = 'CLEARED')) END AS header
 FROM lines"""
@@ -510,8 +510,8 @@ FROM (
   SELECT decision_id, vendor, NULL, NULL, 'Error: ' || quarantine_reason, '' FROM validated WHERE NOT is_valid) u"""
 
 SUMMARY = """
-SELECT count(*) AS processed, count_if(flagged IS NOT NULL) AS ok, count_if(flagged IS NULL) AS failed,
-  coalesce(count_if(flagged), 0) AS flagged
+SELECT count(*) AS processed, CAST(count_if(flagged IS NOT NULL) AS BIGINT) AS ok, CAST(count_if(flagged IS NULL) AS BIGINT) AS failed,
+  CAST(coalesce(count_if(flagged), 0) AS BIGINT) AS flagged
 FROM results"""
 
 
@@ -696,8 +696,8 @@ def news_statements() -> dict[str, str]:
             "SELECT b.book_row_id, b.vendor, COALESCE(c.n_items, 0) AS n_items, COALESCE(c.n_confirmed, 0) AS n_confirmed, "
             "COALESCE(c.n_selected, 0) AS n_selected FROM book_text b LEFT JOIN counts c ON c.vendor = b.vendor",
             {"book_text": BOOK_TEXT, **f, "confirmed": CONFIRMED, "counts": f"""
-SELECT f.vendor, count(*) AS n_items, count_if(c.confirmed) AS n_confirmed,
-  count_if(c.confirmed AND {recency_sql()}) AS n_selected
+SELECT f.vendor, count(*) AS n_items, CAST(count_if(c.confirmed) AS BIGINT) AS n_confirmed,
+  CAST(count_if(c.confirmed AND {recency_sql()}) AS BIGINT) AS n_selected
 FROM features f LEFT JOIN confirmed c ON c.item_id = f.item_id GROUP BY f.vendor"""}),
         "indicator_match": with_views(rubric_rows_sql(), f),
     }
