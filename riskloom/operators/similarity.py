@@ -21,8 +21,6 @@ Search, as Spark jobs:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +112,3 @@ def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: i
     return best.select(F.col("i").alias("item_id"), F.coalesce(F.col("qb.item_id"), F.col("i")).alias("cite_id"),
                        F.coalesce(F.col("sim"), F.lit(1.0)).alias("similarity"))
 
-
-def prefix_length(n: int, threshold: float = THRESHOLD) -> int:
-    return n - math.ceil(threshold * n) + 1
