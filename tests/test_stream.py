@@ -44,3 +44,23 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_out):
     S1.run_flip_stream(spark, src + "/day=*", _events_to_decisions, schema, run_dir=run_dir, max_files_per_trigger=4)
     expected = _rows(flag_history(_events_to_decisions(events)))
     assert _rows(S1.read_flips(spark, sink)) == expected
+
+
+def test_late_decision_is_compared_with_current_state(spark, tmp_out):
+    """A decision arriving in a later batch with an earlier time is compared with the
+    vendor's current flag (arrival order), not re-sorted into the past."""
+    import datetime as dt
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    t = dt.datetime(2024, 1, 10, 12, 0, 0)
+    src = os.path.join(tmp_out, "late")
+    batches = [
+        [(1, t, 7, "x", 4.0, None), (2, t + dt.timedelta(hours=1), 7, "x", 1.0, None)],   # 1 then 0
+        [(3, t - dt.timedelta(hours=5), 7, "x", 5.0, None)],                               # late: 1
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"part={n}"))
+    sink = S1.run_flip_stream(spark, src + "/part=*", _events_to_decisions, spark.createDataFrame([], schema).schema,
+                              run_dir=os.path.join(tmp_out, "late_run"), max_files_per_trigger=1)
+    got = sorted((r.id, r.old_value, r.new_value, r.batch_id) for r in S1.read_flips(spark, sink).collect())
+    assert got == [(1, None, "1", 0), (2, "1", "0", 0), (3, "0", "1", 1)]
