@@ -30,7 +30,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     deterministic on retry. At scale the scan already has enough splits and this is a
     no-op, so no shuffle is added.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as it is
         return df
-    return df.repartition(want, key)
+    return df if have >= want else df.repartition(want, key)
