@@ -34,17 +34,17 @@ def run_alert(spark, bk, decisions):
 
 
 def test_manual_scenario(spark):
-    bk = book(spark, [(1, "Corning", None, "1", "4", "cleared manual test", None),
-                      (2, "Core Sound", None, "1", "4", "cleared manual test", None),
-                      (3, "CommScope", None, "1", "5", "cleared manual test", None)])
+    bk = book(spark, [(1, "Vendor A", None, "1", "4", "cleared manual test", None),
+                      (2, "Vendor B", None, "1", "4", "cleared manual test", None),
+                      (3, "Vendor C", None, "1", "5", "cleared manual test", None)])
     t = RUN + dt.timedelta(minutes=5)
-    lines, head = run_alert(spark, bk, [(11, "Corning", t, 1, False, "Routine results. More."),
-                                        (12, "Core Sound", t, 4, True, "Covenant breach"),
-                                        (13, "CommScope", t, 2, False, None)])
+    lines, head = run_alert(spark, bk, [(11, "Vendor A", t, 1, False, "Routine results. More."),
+                                        (12, "Vendor B", t, 4, True, "Covenant breach"),
+                                        (13, "Vendor C", t, 2, False, None)])
     assert head.header == "0 new risks, 2 cleared"
     got = sorted(r.line for r in lines.collect())
-    assert got == ["CLEARED - CommScope: Level 2. No reason recorded.",
-                   "CLEARED - Corning: Level 1. Routine results."]
+    assert got == ["CLEARED - Vendor C: Level 2. No reason recorded.",
+                   "CLEARED - Vendor A: Level 1. Routine results."]
 
 
 def test_fan_out_and_unknown_vendor(spark):
