@@ -43,8 +43,8 @@ def test_manual_scenario(spark):
                                         (13, "Vendor C", t, 2, False, None)])
     assert head.header == "0 new risks, 2 cleared"
     got = sorted(r.line for r in lines.collect())
-    assert got == ["CLEARED - Vendor C: Level 2. No reason recorded.",
-                   "CLEARED - Vendor A: Level 1. Routine results."]
+    assert got == ["CLEARED - Vendor A: Level 1. Routine results.",
+                   "CLEARED - Vendor C: Level 2. No reason recorded."]
 
 
 def test_fan_out_and_unknown_vendor(spark):
