@@ -94,13 +94,14 @@ def clamp_batch(k: int | None) -> int:
     return max(1, int(k if k is not None else rules.DEFAULT_BATCH_SIZE))
 
 
-def vendor_queue(book: DataFrame, k: int) -> DataFrame:
+def vendor_queue(book: DataFrame, k: int, carry=()) -> DataFrame:
     """G1 + E3: the k vendors checked longest ago, with their queue position.
 
     ``orderBy().limit(k)`` plans as TakeOrderedAndProject (per-partition top-k, then a
-    k-row merge); the position window runs over those k rows only.
+    k-row merge); the position window runs over those k rows only. ``carry`` columns of the
+    book ride along, so callers need not scan the book again.
     """
-    top = book.select(KEY_COLUMN, "vendor", "last_checked").orderBy(*queue_order()).limit(max(0, int(k)))
+    top = book.select(KEY_COLUMN, "vendor", "last_checked", *carry).orderBy(*queue_order()).limit(max(0, int(k)))
     unparsed = (
         F.col("last_checked").isNotNull()
         & (F.trim(F.col("last_checked")) != "")
@@ -108,7 +109,7 @@ def vendor_queue(book: DataFrame, k: int) -> DataFrame:
     )
     return top.select(
         F.row_number().over(Window.orderBy(*queue_order())).cast("long").alias("queue_pos"),
-        KEY_COLUMN, "vendor", "last_checked", unparsed.alias("unparseable_date"),
+        KEY_COLUMN, "vendor", "last_checked", unparsed.alias("unparseable_date"), *carry,
     )
 
 

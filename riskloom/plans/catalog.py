@@ -20,6 +20,7 @@ from riskloom.operators import notes as N
 from riskloom.operators import score as S
 from riskloom.operators import similarity as SIM
 from riskloom.plans import monitor as P
+from riskloom.session import materialize
 from riskloom.sources import bindings
 from riskloom.streaming import flips as S1
 from riskloom.sources.tables import read_table
@@ -299,7 +300,9 @@ def q_event_dated_items(spark, sf_dir):
 
 
 def q_recent_items(spark, sf_dir):
-    f = features(spark, sf_dir)
+    # lineage cut after the regex pass, so the recency filter is not pushed into (and does not
+    # repeat) the text projection
+    f = materialize(features(spark, sf_dir))
     return f.where(R.recency(f, rules.AS_OF)).select("item_id", "vendor", "outlet", "tier", "published_on", "event_on")
 
 
@@ -326,7 +329,7 @@ def q_note_violations(spark, sf_dir):
 
 
 def q_items_per_vendor(spark, sf_dir):
-    counts = R.item_counts(features(spark, sf_dir), confirmed(spark, sf_dir), rules.AS_OF)
+    counts = R.item_counts(materialize(features(spark, sf_dir)), confirmed(spark, sf_dir), rules.AS_OF)
     return R.items_per_vendor(book_text(spark, sf_dir), counts)
 
 

@@ -77,7 +77,8 @@ def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of:
     (a bounded broadcast); everything after it is keyed by vendor.
     """
     book = B.ingest_book(bindings.book_raw(spark, sf_dir))
-    queue = B.vendor_queue(book, B.clamp_batch(k))
+    # the queue (at most k rows, with the old flag) is computed once: one top-k over the book
+    queue = materialize(B.vendor_queue(book, B.clamp_batch(k), carry=("is_risk",)))
     names = F.broadcast(queue.select("vendor").distinct())
     items = bindings.news(spark, sf_dir).join(names, "vendor", "left_semi").where(R.in_window(as_of))
     aliases = bindings.aliases(spark, sf_dir).join(names, "vendor", "left_semi")
@@ -87,14 +88,12 @@ def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of:
     counts = reps.groupBy("vendor").agg(F.count(F.lit(1)).alias("n_items"))
     adjusted = S.adjusted_evidence(news_evidence(reps))
     scored = S.risk_reason(S.risk_score(queue.select("book_row_id", "vendor"), adjusted))
-    prev = book.select("book_row_id", F.col("is_risk").alias("old_flag"))
     new_flag = cells.flag_text("is_risk")
     changed = ~F.col("old_flag").eqNullSafe(F.col("new_flag")) & (
         (F.coalesce(F.col("old_flag"), F.lit("")) == "1") | (F.col("new_flag") == "1"))
     out = (
-        queue.select("queue_pos", "book_row_id", "vendor")
+        queue.select("queue_pos", "book_row_id", "vendor", F.col("is_risk").alias("old_flag"))
         .join(scored.drop("vendor"), "book_row_id", "left")
-        .join(prev, "book_row_id", "left")
         .join(counts, "vendor", "left")
         .withColumn("new_flag", new_flag)
     )
