@@ -1,10 +1,55 @@
-"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, token ids."""
+"""The corpus pipeline: quality rules, near copies, secrets, source mix, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet
+in the shared folder and reads it again as the next stage's documents. All stages but the last return
+the columns of documents. SQL cannot express the near-copy, secret, mixing and token stages, so the
+pipeline is tested against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskloom.llm import bpe, mixing, ngram_join, quality_rules, secret_scan
+from riskloom.llm.common import stored
+from riskloom.sources.tables import read_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.filtered(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return ngram_join.one_of_each_group(docs, size=5, threshold=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their secrets blotted out."""
+    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the source mix takes them."""
+    return mixing.mixture(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids) of every document of the mix."""
+    x = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), bpe.default_path())
+    return x.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("secrets", secrets), ("mix", mix), ("token_ids", token_ids)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", *COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,6 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm import common  # noqa: F401  (ships this package's functions with the job)
 from riskloom.llm.common import documents
@@ -325,7 +326,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     import pyarrow as pa
 
     keep = [c for c in docs.columns if c != "ids"]
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def work(batches):
         bpe = Bpe(path)

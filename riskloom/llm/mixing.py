@@ -26,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")).cast("long")
 
 
+def random_key(id_col: str, text_col: str) -> Column:
+    """A hash-random key of 63 bits, the same in every run."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)), 1)
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
@@ -67,12 +72,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     sized = stored(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)).alias("key")), "sized")
+        random_key(id_col, text_col).alias("key")), "sized")
     goal = stored(targets(sized, weights, share, most), "targets").withColumnRenamed("source", "goal_source")
     bits = power_of_two(sized.count() / BUCKET_DOCS)
     x = sized.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    x = x.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
-    sums = sized.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")).groupBy(
+    x = x.withColumn("bucket", F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("long"))
+    sums = sized.withColumn("bucket", F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("long")).groupBy(
         F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("n"))
     along = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(sums.select("s", "b", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("offset")), "offsets")
@@ -88,5 +93,22 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return x.select("doc_id", "key", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **goals) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
+
+    Documents are taken whole. A source's order is cut at one key, so the texts need no shuffle:
+    they meet a table of one row per source. Documents without words are not taken.
+    """
+    m = mixed(docs, id_col, text_col, source_col, whole=True, **goals)
+    epochs = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("source_size"))).cast("long")
+    cuts = stored(m.where("size > 0").groupBy("source").agg(
+        F.max(epochs).alias("epochs"), F.max(F.when(F.col("taken") > epochs * F.col("size"), F.col("key"))).alias("cut")), "cuts")
+    x = docs.select(F.struct("*").alias("_doc"), F.col(source_col).alias("_source"), random_key(id_col, text_col).alias("_key"), word_count(F.col(text_col)).alias("_size"))
+    x = x.join(cuts, F.col("_source").eqNullSafe(F.col("source")))
+    times = F.col("epochs") + F.when(F.col("_key") <= F.col("cut"), 1).otherwise(0)
+    copies = F.when(F.col("_size") > 0, times).otherwise(0).cast("int")
+    return x.select("_doc", F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select("_doc.*")
+
+
 def q_op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")

@@ -90,13 +90,13 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         for pdf in batches:
             sets = shingle_sets(list(pdf["text"]), size)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
+                "doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"],
                 "n": np.array([len(u) for u in sets], np.int64),
                 "key": pd.array([class_key(u) if len(u) else None for u in sets], "Int64"),
             })
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(work, "doc_id long, n long, key long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return picked.mapInPandas(work, "doc_id long, text_hash long, n long, key long")
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -289,7 +289,7 @@ def links_between(s: DataFrame, threshold: int, centres=CENTRES) -> DataFrame:
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      size: int = 4, threshold: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for every row of ``docs``.
+    """(doc_id, text_hash, n_shingles, class_id, component_id) for every row of ``docs``.
 
     Words are split at ASCII space and control white space, A-Z lower-cased. Two documents link when
     100 * overlap >= threshold * union of their distinct ``size``-word shingles; component_id is the
@@ -309,10 +309,31 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # written, so that the adaptive skew join can split a key that many copies share
     known = stored(classes.join(near, "key", "left").withColumn("component_id", F.coalesce("component_id", "class_id")), "known")
     return sets.join(known, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` less near copies: of each component the row with the smallest id stays.
+
+    Rows with a null id go by a hash of their text, below all ids. Texts without words are groups
+    of their own. Of rows with the same id and text one stays.
+    """
+    name = F.coalesce(F.col(id_col).cast("long"), -F.shiftrightunsigned(F.xxhash64(F.lit(9), text_col), 1) - 1)
+    x = docs.select(F.struct("*").alias("_doc"), name.alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    comp = ngram_components(docs.select(name.alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", size, threshold)
+    stay = stored(comp.where("doc_id = component_id").groupBy("doc_id", "text_hash", "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("rows")), "stay")
+    # two texts under one id can be in one group
+    one = stay.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"), F.sum("rows").alias("rows"))
+    bare = stay.where("n_shingles = 0").select("component_id", "text_hash", "rows")
+    one = stored(one.union(bare), "one")
+    repeated = not one.where("rows > 1").isEmpty()
+    kept = x.join(one, (F.col("_id") == F.col("component_id")) & (F.col("_hash") == F.col("text_hash")), "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["_id", "_hash"])
+    return kept.select("_doc.*")
+
+
 def q_op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir), size=4, threshold=85)
+    return ngram_components(documents(spark, sf_dir), size=4, threshold=85).drop("text_hash")

@@ -55,8 +55,11 @@ def repeated_words(w: Column) -> Column:
         step = F.transform(at, lambda x, p: F.least(F.coalesce(F.get(at, p + 1) - x, F.lit(3)), F.lit(3)))
         return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    found = _let(_let(windows(w), twice), covered)
-    return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(found)
+    def found(w):
+        return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(_let(_let(windows(w), twice), covered))
+
+    # bound, so that no rewrite of the plan can split the text anew for every window
+    return _let(w, found)
 
 
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,28 +124,19 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return quartiles.groupBy(*keys).agg(*aggs)
 
 
-def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Counts, measures, ``base_failed`` and ``kept`` for every row of ``docs``.
-
-    Columns of ``docs`` that are not text, language or source are carried unless their names clash
-    with a result column, which then wins. A null text counts as empty; empty texts have
-    no words and so fail the base rules. Null languages and sources form strata of their own.
-    Documents that fail the base rules do not enter the sketches. With fewer than MIN_DOCS documents
-    in all, no fence applies. Repeated rows count each; an empty table gives no rows.
-    """
-    made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper",
-            "base_failed", "kept", *MEASURES}
-    special = {text_col, lang_col, source_col}
-    carried = [c for c in docs.columns if c not in made | special]
-    x = docs.select(*carried, F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_body"))
-    x = _measures(counts(x, "_body").drop("_body"))
+def _prepared(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The counts, measures and base verdict of every row, with the row itself in ``_doc``."""
+    x = docs.select(F.struct("*").alias("_doc"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_body"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    x = stored(x.withColumn("base_failed", failed), "quality")
-    fine = stored(sketches(x.where("not base_failed"), ["_lang", "_source"]), "sketches")
+    return _measures(counts(x, "_body").drop("_body")).withColumn("base_failed", failed)
+
+
+def _fence_table(measured: DataFrame) -> DataFrame:
+    """The fences that hold for each language and source."""
+    fine = stored(sketches(measured.where("not base_failed"), ["_lang", "_source"]), "sketches")
     by_source = fences(fine, ["_lang", "_source"]).alias("s")
     by_lang = fences(fine, ["_lang"]).alias("g")
     overall = fences(fine, []).first()  # one row of fences
-    limits = [c for c in overall.asDict() if c != "docs"]
     table = by_source.join(by_lang, F.col("s._lang").eqNullSafe(F.col("g._lang")))
 
     def pick(c: str) -> Column:
@@ -150,16 +144,45 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
         return (F.when(F.col("s.docs") >= MIN_DOCS, F.col(f"s.{c}")).when(F.col("g.docs") >= MIN_DOCS, F.col(f"g.{c}"))
                 .otherwise(F.lit(rest).cast("double")).alias(c))
 
-    table = stored(table.select(F.col("s._lang").alias("_l"), F.col("s._source").alias("_s"), *[pick(c) for c in limits]), "fences")
+    limits = [c for c in overall.asDict() if c != "docs"]
+    return stored(table.select(F.col("s._lang").alias("_l"), F.col("s._source").alias("_s"), *[pick(c) for c in limits]), "fences")
+
+
+def _verdict(measured: DataFrame, table: DataFrame) -> DataFrame:
     out = F.lit(False)
     for m in MEASURES:
         out = out | F.coalesce(F.col(m) > F.col(f"hi_{m}"), F.lit(False))
         if m in LOWER:
             out = out | F.coalesce(F.col(m) < F.col(f"lo_{m}"), F.lit(False))
-    y = x.join(table, x["_lang"].eqNullSafe(table["_l"]) & x["_source"].eqNullSafe(table["_s"]), "left")
-    return y.withColumn("kept", ~F.col("base_failed") & ~out).drop("_lang", "_source", "_l", "_s", *limits)
+    y = measured.join(table, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
+    # one expression over both sides of the join: a filter on it is not pushed into the text counts
+    return y.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~out)).drop("_lang", "_source", *table.columns)
+
+
+def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """Counts, measures, ``base_failed`` and ``kept`` for every row of ``docs``; the other columns of the row are in the struct ``doc``.
+
+    A null text counts as empty; empty texts have no words and so fail the base rules. Null languages
+    and sources form strata of their own. Documents that fail the base rules do not enter the
+    sketches. With fewer than MIN_DOCS documents in all, no fence applies. Repeated rows count each,
+    columns of any name pass in ``doc``, and an empty table gives no rows.
+    """
+    rest = [F.col("_doc")[c].alias(c) for c in docs.columns if c != text_col]
+    x = _prepared(docs, text_col, lang_col, source_col)
+    x = stored(x.withColumn("_doc", F.struct(*rest)), "quality")
+    return _verdict(x, _fence_table(x)).withColumnRenamed("_doc", "doc")
+
+
+def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns; see ``judged``.
+
+    The texts are read twice, once for the sketches and once for the verdict, rather than written.
+    """
+    x = _prepared(docs, text_col, lang_col, source_col)
+    measured = stored(x.drop("_doc"), "quality")
+    return _verdict(x, _fence_table(measured)).where("kept").select("_doc.*")
 
 
 def q_op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     x = judged(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
-    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return x.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
