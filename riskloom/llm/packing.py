@@ -1,6 +1,6 @@
 """Operator 9: token-id output, packed by best-fit decreasing into fixed-length rows.
 
-Documents become token ids with an end token. Overlong ones are cut into whole rows and a rest, without
+Documents become token ids (a public rank file, encoded by the tiktoken library) with an end token. Overlong ones are cut into whole rows and a rest, without
 loss. Each map task packs its own pieces, a bounded buffer at a time, so nothing is shuffled: longest
 piece first, into the row whose free space fits it best, found with a segment tree over capacities.
 Each row comes out as a binary id matrix line, the cumulative segment lengths and the positions,
@@ -17,7 +17,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.bpe import Bpe, batches_of, default_path
 from riskloom.llm.common import documents
 
 ROW_TOKENS = 2_048
@@ -26,6 +25,25 @@ SCHEMA = ("shard long, row int, n_tokens int, ids binary, cu_seqlens array<int>,
           "doc_ids array<long>, starts array<int>")
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def open_encoding(path: str):
+    """(text -> ids array, end id) of a rank file; strings of special tokens in a text are ordinary text."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()), max(ranks.values()) + 1
+
+
 class Capacities:
     """A segment tree over free space 0..size: the least free space that fits, in log time."""
 
@@ -105,18 +123,15 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pd.DataFrame(out, columns=["shard", "row", "n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "starts"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(path)
-        end = bpe.size - 1
-        kind = "<u2" if bpe.size <= 1 << 16 else "<u4"
+        ids_of, end = open_encoding(path)
+        kind = "<u2" if end < 1 << 16 else "<u4"
         shard, held, count = TaskContext.get().partitionId() << 20, [], 0
         for pdf in batches:
             names = [None if pd.isna(v) else int(v) for v in pdf["doc_id"]]
-            texts = list(pdf["text"])
-            for a, z in batches_of(texts):
-                for name, chunks in zip(names[a:z], bpe.encode_batch([t or "" for t in texts[a:z]])):
-                    ids = np.fromiter((i for c in (*(c for c, _ in chunks), (end,)) for i in c), kind)
-                    held += [(name, start, p, end) for start, p in pieces_of(ids, row_tokens)]
-                    count += len(ids)
+            for name, text in zip(names, pdf["text"]):
+                ids = np.append(ids_of(text or ""), end).astype(kind)
+                held += [(name, start, p, end) for start, p in pieces_of(ids, row_tokens)]
+                count += len(ids)
                 if count >= BUFFER_TOKENS:
                     yield flush(shard, held)
                     shard, held, count = shard + 1, [], 0

@@ -107,7 +107,7 @@ def test_empty_tables(spark):
     assert quality_rules.judged(none).count() == 0 and quality_rules.filtered(none).count() == 0
     assert secret_scan.scanned(none).count() == 0
     assert mixing.mixed(none).count() == 0 and mixing.mixture(none).count() == 0
-    assert bpe.digests(none, path).count() == 0 and packing.packed(none, path).count() == 0
+    assert bpe.digests(none, path).count() == 0 and packing.packed(none, packing.default_path()).count() == 0
     assert lm_score.lm_scores(none, path).count() == 0
     assert quality_model.quality_scores(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     assert embedding_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
@@ -223,7 +223,7 @@ def test_bpe_digests(docs, texts, tokenizer):
 
 def test_packing_is_lossless(docs, texts, tokenizer):
     parts = {}
-    for r in packing.packed(docs, bpe.default_path(), row_tokens=256).collect():
+    for r in packing.packed(docs, packing.default_path(), row_tokens=256).collect():
         ids = np.frombuffer(r.ids, "<u2")
         pos = np.frombuffer(r.positions, "<u4")
         assert len(ids) == len(pos) == 256 and r.cu_seqlens[-1] == r.n_tokens <= 256
