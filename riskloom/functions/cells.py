@@ -19,9 +19,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_col(c), rules.STRIP_PATTERN, "")
+
+
+def floor_second(c) -> Column:
+    """A timestamp_ntz floored to the second, without a detour over the session's time zone."""
+    return timestamp_text(c).cast("timestamp_ntz")
+
+
 def parse_flag_text(c) -> Column:
-    """H1 on text: trim + lower, then the fixed spellings; anything else is NULL ('2' too)."""
-    t = F.lower(F.trim(_col(c)))
+    """H1 on text: strip + lower, then the fixed spellings; anything else is NULL ('2' too)."""
+    t = F.lower(strip(c))
     return (
         F.when(t.isin(*rules.FLAG_TRUE_SPELLINGS), F.lit(True))
         .when(t.isin(*rules.FLAG_FALSE_SPELLINGS), F.lit(False))
@@ -59,7 +69,7 @@ def ts_lit(value) -> Column:
 
 def timestamp_text(c) -> Column:
     """Timestamp floored to the second, as 'yyyy-MM-dd HH:mm:ss'."""
-    return F.date_format(F.date_trunc("second", _col(c)), rules.TIMESTAMP_TEXT_FORMAT)
+    return F.substring(_col(c).cast("string"), 1, 19)
 
 
 def number_text(c) -> Column:
@@ -81,28 +91,28 @@ def canonical_cell(c, data_type: T.DataType) -> Column:
     if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
         return number_text(c)
     if isinstance(data_type, T.DateType):
-        return F.date_format(_col(c), "yyyy-MM-dd")
+        return F.concat(_col(c).cast("string"), F.lit(" 00:00:00"))
     return _col(c).cast("string")
 
 
 def to_timestamp_cell(c) -> Column:
     """H3: text -> timestamp, parsed per row; junk -> NULL (try_cast, never raises)."""
-    t = F.trim(_col(c))
+    t = strip(c)
     return F.coalesce(
         t.try_cast("timestamp_ntz"),
-        F.try_to_timestamp(t, F.lit("M/d/yyyy")).cast("timestamp_ntz"),
+        F.try_to_date(t, "M/d/yyyy").cast("timestamp_ntz"),
     )
 
 
 def to_number_cell(c) -> Column:
     """H4: text -> double; only plain decimal text parses (Spark alone would take '3d')."""
     x = _col(c)
-    return F.when(x.rlike(_NUMERIC_TEXT), F.trim(x).try_cast("double")).otherwise(F.lit(None).cast("double"))
+    return F.when(x.rlike(_NUMERIC_TEXT), strip(x).try_cast("double")).otherwise(F.lit(None).cast("double"))
 
 
 def vendor_key(c) -> Column:
     """H5: '/' and '\\' -> '-', trim, blank -> 'unknown'."""
-    k = F.trim(F.translate(_col(c), "/\\", "--"))
+    k = strip(F.translate(_col(c), "/\\", "--"))
     return F.coalesce(F.nullif(k, F.lit("")), F.lit(rules.NOTE_DIR_DEFAULT))
 
 
@@ -110,12 +120,13 @@ def note_file_name(ts) -> Column:
     """H6: research_<yyyy-MM-dd_HH-mm-ss>.md for a note written at ``ts``."""
     return F.concat(
         F.lit(rules.NOTE_NAME_PREFIX),
-        F.date_format(_col(ts), rules.NOTE_NAME_STAMP_FORMAT),
+        F.translate(timestamp_text(ts), " :", "_-"),
         F.lit(rules.NOTE_NAME_SUFFIX),
     )
 
 
 def note_time(file_name) -> Column:
     """Inverse of H6: the time encoded in a note file name, NULL when it does not parse."""
-    stamp = F.regexp_extract(_col(file_name), r"^research_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})\.md$", 1)
-    return F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit(rules.NOTE_NAME_STAMP_FORMAT)).cast("timestamp_ntz")
+    stamp = r"^research_([0-9]{4}-[0-9]{2}-[0-9]{2})_([0-9]{2})-([0-9]{2})-([0-9]{2})\.md$"
+    name = _col(file_name)
+    return F.when(name.rlike(stamp), F.regexp_replace(name, stamp, "$1 $2:$3:$4")).try_cast("timestamp_ntz")

@@ -11,6 +11,9 @@ from riskloom.functions import cells
 from riskloom.operators.ordering import global_position
 
 
+ABBREVIATION_PATTERN = r"(^|[^A-Za-z])(" + "|".join(rules.ABBREVIATIONS) + r"|[A-Z](?:\.[A-Z])*)\."
+
+
 def enrich_changes(latest: DataFrame, typed_book: DataFrame) -> DataFrame:
     """Latest change per vendor x current level and reason; duplicate names fan out."""
     cur = typed_book.select("vendor", "book_row_id", "risk_level", "risk_reason")
@@ -19,11 +22,11 @@ def enrich_changes(latest: DataFrame, typed_book: DataFrame) -> DataFrame:
 
 def status(new_value="new_value") -> Column:
     """H8: new value '1' -> NEW RISK, anything else -> CLEARED."""
-    return F.when(F.trim(F.col(new_value)) == "1", F.lit(rules.STATUS_NEW)).otherwise(F.lit(rules.STATUS_CLEARED))
+    return F.when(cells.strip(new_value) == "1", F.lit(rules.STATUS_NEW)).otherwise(F.lit(rules.STATUS_CLEARED))
 
 
 def _shown(c: str) -> Column:
-    return F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(rules.MISSING_VALUE_TEXT))
+    return F.coalesce(F.nullif(cells.strip(c), F.lit("")), F.lit(rules.MISSING_VALUE_TEXT))
 
 
 def transition(old_value="old_value", new_value="new_value") -> Column:
@@ -40,8 +43,10 @@ def reason_text(c="risk_reason") -> Column:
 
 
 def first_sentence(c: Column) -> Column:
-    """The first sentence of a reason, ending in a full stop."""
-    s = F.coalesce(F.nullif(F.regexp_extract(c, r"^\s*(.+?[.!?])(\s|$)", 1), F.lit("")), F.trim(c))
+    """The first sentence of a reason, ending in a full stop; the stops of abbreviations end none."""
+    held = F.regexp_replace(c, ABBREVIATION_PATTERN, "$1$2\x01")
+    first = F.regexp_extract(held, r"^\s*(.+?[.!?])(\s|$)", 1)
+    s = F.translate(F.coalesce(F.nullif(first, F.lit("")), F.trim(held)), "\x01", ".")
     return F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit(".")))
 
 
@@ -110,7 +115,7 @@ def alert_pages(lines: DataFrame, page_lines: int = rules.ALERT_PAGE_LINES) -> D
 
 def full_text(header: Column, body: Column) -> Column:
     """Header, blank line, body; the header alone when the body is blank."""
-    return F.when(F.trim(body) != "", F.concat(header, F.lit("\n\n"), body)).otherwise(header)
+    return F.when(cells.strip(body) != "", F.concat(header, F.lit("\n\n"), body)).otherwise(header)
 
 
 def alert_outbox(lines: DataFrame, run_id: str, page_lines: int = rules.ALERT_PAGE_LINES) -> DataFrame:

@@ -49,9 +49,9 @@ def risk_changes_since(log: DataFrame, since) -> DataFrame:
 
 
 def latest_change_per_vendor(changes: DataFrame) -> DataFrame:
-    """The newest change (greatest id) per vendor, as a partial aggregate (skew-safe)."""
+    """The newest change per vendor in the log's own order (time, then id), as a partial aggregate (skew-safe)."""
     payload = F.struct(*[F.col(c) for c in changes.columns if c != "vendor"])
-    return changes.groupBy("vendor").agg(F.max_by(payload, F.col("id")).alias("_c")).select(
+    return changes.groupBy("vendor").agg(F.max_by(payload, F.struct("changed_at", "id")).alias("_c")).select(
         *[F.col(f"_c.{c}") if c != "vendor" else F.col("vendor") for c in changes.columns]
     )
 

@@ -19,15 +19,15 @@ _BOUND = "[^A-Za-z0-9]"
 
 
 def norm_text(c) -> Column:
-    """Padded lower-case ASCII word text (see ``rules``), the input of every lexicon pattern."""
+    """Padded lower-case word text (letters and digits of any script), the input of every lexicon pattern."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.concat(F.lit(" "), F.lower(F.regexp_replace(col, "[^A-Za-z0-9]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.lower(F.regexp_replace(col, rules.NON_WORD_PATTERN, " ")), F.lit(" "))
 
 
 def text_key(c) -> Column:
     """R7 key: md5 of the normalised text (syndicated copies share it)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.md5(F.trim(F.lower(F.regexp_replace(col, "[^A-Za-z0-9]+", " "))))
+    return F.md5(F.trim(F.lower(F.regexp_replace(col, rules.NON_WORD_PATTERN, " "))))
 
 
 def _matches(norm: Column, table, kinds=None) -> Column:
@@ -42,7 +42,7 @@ def _matches(norm: Column, table, kinds=None) -> Column:
 
 
 def normalise_query(c: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")))
+    return F.trim(F.lower(F.regexp_replace(c, rules.NON_WORD_PATTERN, " ")))
 
 
 def search_worklist(book: DataFrame, aliases: DataFrame, as_of: dt.date) -> DataFrame:
@@ -160,7 +160,7 @@ def item_features(items: DataFrame) -> DataFrame:
     return x.select(
         *[c for c in x.columns if c != "norm"],
         in_cats.alias("in_categories"), out_cats.alias("out_categories"),
-        (F.size(transit) > 0).alias("has_transit"), rubric.alias("rubric"),
+        transit.alias("transit_categories"), rubric.alias("rubric"),
         F.col("norm").rlike(rules.NEW_MODELS_ONLY_PATTERN).alias("new_models_only"),
         F.col("norm").rlike(rules.RESOLUTION_PATTERN).alias("is_resolution"),
         F.col("norm").rlike(_words_pattern(rules.CONCLUDING_WORDS)).alias("concluded"),
@@ -169,13 +169,13 @@ def item_features(items: DataFrame) -> DataFrame:
 
 
 def scope(features: DataFrame) -> DataFrame:
-    """In scope when an in-scope category (or a rubric indicator) fits and nothing
-    concerns goods in transit; out-of-scope kinds are kept for the reason (R16)."""
+    """In scope when an in-scope category (or a rubric indicator) fits. Goods in transit and the
+    other out-of-scope kinds exclude their own events only; they are kept for the reason (R16)."""
     has_in = (F.size("in_categories") > 0) | (F.size("rubric") > 0)
     has_out = F.size("out_categories") > 0
     return features.select(
         "item_id", "vendor",
-        (has_in & ~F.col("has_transit")).alias("in_scope"),
+        has_in.alias("in_scope"),
         (has_in | has_out).alias("has_event"),
         F.array_join("in_categories", ", ").alias("categories"),
         F.array_join("out_categories", ", ").alias("excluded_kinds"),
@@ -210,10 +210,11 @@ def url_host(url) -> Column:
     return F.lower(F.regexp_extract(col, _HOST, 1))
 
 
-def source_tier(host: Column) -> Column:
-    """1 primary (newsroom, investor relations, government), 2 trade press, 3 general."""
+def source_tier(host: Column, url: Column | None = None) -> Column:
+    """1 primary (newsroom, investor relations, government, courts; by host or path), 2 trade press, 3 general."""
+    path = F.lit(False) if url is None else url.rlike(rules.PRIMARY_PATH_PATTERN)
     return (
-        F.when(host.rlike(rules.PRIMARY_HOST_PATTERN), F.lit(1))
+        F.when(host.rlike(rules.PRIMARY_HOST_PATTERN) | path, F.lit(1))
         .when(host.rlike(rules.TRADE_HOST_PATTERN) & ~host.rlike(rules.BLOG_HOST_PATTERN), F.lit(2))
         .otherwise(F.lit(rules.UNKNOWN_TIER))
     )
@@ -240,10 +241,10 @@ def syndication_exact(items: DataFrame) -> DataFrame:
 
 # --- R9 ------------------------------------------------------------------------------
 
-_UNITS = "million|billion|thousand|bn|mn|m|k"
-MONEY_PATTERN = r"\$ ?[0-9]+(?:[.,][0-9]+)* ?(?:(?:" + _UNITS + r")(?:[^A-Za-z0-9]|$))?"
-HEADCOUNT_PATTERN = r"[0-9]+(?:,[0-9]{3})* (?:employees|staff|workers)"
-_MULTIPLIER = (("billion", 1e9), ("bn", 1e9), ("million", 1e6), ("mn", 1e6), ("m", 1e6), ("thousand", 1e3), ("k", 1e3))
+_UNITS = "million|billion|thousand|bn|mn|m|b|k"
+MONEY_PATTERN = r"(?i)(?:\$|€|£|USD|EUR|GBP) ?[0-9]+(?:[.,][0-9]+)* ?(?:(?:" + _UNITS + r")(?:[^A-Za-z0-9]|$))?"
+HEADCOUNT_PATTERN = r"(?i)[0-9]+(?:,[0-9]{3})* (?:employees|staff|workers)"
+_MULTIPLIER = (("billion", 1e9), ("bn", 1e9), ("b", 1e9), ("million", 1e6), ("mn", 1e6), ("m", 1e6), ("thousand", 1e3), ("k", 1e3))
 
 
 def _amount(fig: Column, unit: Column | None) -> Column:
@@ -260,7 +261,7 @@ def _amount(fig: Column, unit: Column | None) -> Column:
 def scale_figures(items: DataFrame) -> DataFrame:
     """Money amounts and headcounts stated in the text, one row per figure, in text order."""
     money = items.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(MONEY_PATTERN), 0)).alias("pos", "figure"))
-    unit = F.lower(F.regexp_extract(F.col("figure"), "(" + _UNITS + r")([^A-Za-z0-9]|$)", 1))
+    unit = F.lower(F.regexp_extract(F.col("figure"), "(?i)(" + _UNITS + r")([^A-Za-z0-9]|$)", 1))
     money = money.select("item_id", F.lit("money").alias("kind"), (F.col("pos") + 1).cast("long").alias("ordinal"),
                          F.trim("figure").alias("figure_text"), _amount(F.col("figure"), unit).alias("amount"))
     heads = items.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(HEADCOUNT_PATTERN), 0)).alias("pos", "figure"))
@@ -271,7 +272,7 @@ def scale_figures(items: DataFrame) -> DataFrame:
 
 # --- R10 -----------------------------------------------------------------------------
 
-QUOTE_PATTERN = r'"([^"]*)"'
+QUOTE_PATTERN = r'["“”„]([^"“”„]*)["“”„]'
 
 
 def writing_violations(items: DataFrame) -> DataFrame:

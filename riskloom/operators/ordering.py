@@ -55,7 +55,10 @@ def keyed_sequence(
     if value is not None:
         summary = summary.withColumn("_prev_last", F.lag("_last").over(w_b))
         cols.append("_prev_last")
-    out = x.join(summary.select(*cols), [key, "_bucket"], "inner")
+    summary = summary.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), *cols[2:])
+    # null-safe, so that rows without a key or a time keep their place
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b"))
+    out = x.join(summary, same).drop("_k", "_b")
     out = out.withColumn(seq_col, F.col("_offset") + F.col("_local_seq"))
     if value is not None:
         out = out.withColumn(

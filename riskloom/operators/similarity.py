@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom import rules
 from riskloom.operators.ordering import keyed_sequence
 from riskloom.session import materialize
 
@@ -34,7 +35,7 @@ RANK_BLOCK = 4
 
 def words_of(text: Column) -> Column:
     """Normalised words of a text (computed once per row, then indexed)."""
-    return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
+    return F.split(F.trim(F.lower(F.regexp_replace(text, rules.NON_WORD_PATTERN, " "))), " ")
 
 
 def with_shingles(df: DataFrame, text: str = "text", out: str = "shingles") -> DataFrame:
@@ -62,9 +63,10 @@ def quality(prefix: str = "") -> Column:
 
 
 def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: int = RANK_BLOCK) -> DataFrame:
-    """items: (item_id, tier, published_on, shingles) -> (item_id, cite_id, similarity)."""
+    """items: (item_id, tier, published_on, shingles, ...) -> (item_id, cite_id, similarity, ...)."""
+    carried = [c for c in items.columns if c not in ("item_id", "tier", "published_on", "shingles")]
     base = materialize(items.select("item_id", "tier", "published_on", "shingles",
-                                    F.size("shingles").alias("n")).withColumn("q", quality()))
+                                    F.size("shingles").alias("n"), *carried).withColumn("q", quality()))
     rows = base.select("item_id", "n", F.explode_outer("shingles").alias("s")).where(F.col("s").isNotNull())
     freq = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
     p_len = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
@@ -83,11 +85,9 @@ def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: i
     active = prefix.select(F.col("item_id").alias("i"), "s").withColumn("next", F.lit(1))
     best = me.select("i", F.lit(None).cast(me.schema["qi"].dataType).alias("qb"), F.lit(None).cast("double").alias("sim"))
     sets = base.select("item_id", "shingles", "n")
-    for _ in range(10_000):
-        if active.isEmpty():
-            break
-        window = active.join(posting, "s").where(
-            (F.col("rank") >= F.col("next")) & (F.col("rank") < F.col("next") + block))
+    while not active.isEmpty():  # every round moves each row on by a block, so the walk ends
+        ranks = F.explode(F.sequence(F.col("next"), F.col("next") + (block - 1))).alias("rank")
+        window = active.select("i", "s", ranks).join(posting, ["s", "rank"])
         cand = window.join(me, "i").join(best.select("i", "qb"), "i", "left").where(
             (F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb"))))
         pairs = cand.select("i", "j", "qj").distinct()
@@ -109,6 +109,7 @@ def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: i
         probe = nxt.join(posting.select("s", F.col("rank").alias("next"), "qj"), ["s", "next"]).join(me, "i").join(
             best.select("i", "qb"), "i").where((F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb"))))
         active = materialize(probe.select("i", "s", "next"))
-    return best.select(F.col("i").alias("item_id"), F.coalesce(F.col("qb.item_id"), F.col("i")).alias("cite_id"),
-                       F.coalesce(F.col("sim"), F.lit(1.0)).alias("similarity"))
+    cited = best.select(F.col("i").alias("item_id"), F.coalesce(F.col("qb.item_id"), F.col("i")).alias("cite_id"),
+                        F.coalesce(F.col("sim"), F.lit(1.0)).alias("similarity"))
+    return cited.join(base.select("item_id", *carried), "item_id") if carried else cited
 

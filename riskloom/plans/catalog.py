@@ -313,7 +313,7 @@ def q_scoped_items(spark, sf_dir):
 def q_source_tier(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages", "page_id", "url")
     host = R.url_host("url")
-    return p.select("page_id", "url", host.alias("host"), R.source_tier(host).alias("tier"))
+    return p.select("page_id", "url", host.alias("host"), R.source_tier(host, F.col("url")).alias("tier"))
 
 
 def q_syndication_exact(spark, sf_dir):
@@ -357,7 +357,7 @@ def _events_to_decisions(events):
     return events.select(
         F.col("event_id").alias("decision_id"),
         bindings.supplier_name(F.col("user_id")).alias("vendor"),
-        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("decided_at"),
+        cells.floor_second("ts").alias("decided_at"),
         (lvl >= 3).alias("is_risk"),
     )
 
@@ -376,10 +376,9 @@ def q_syndication_near(spark, sf_dir):
     """R8 over the items left after exact dedupe (R7): which item each one cites."""
     news = bindings.news(spark, sf_dir).select(
         "item_id", "vendor", "tier", "published_on", "text", R.text_key("text").alias("text_key"))
-    items = SIM.with_shingles(news).drop("text")
-    pick = F.struct("tier", F.col("published_on").isNull().alias("_u"), "published_on", "item_id", "vendor", "shingles")
-    reps = items.groupBy("text_key").agg(F.min(pick).alias("_r")).select(
-        "_r.item_id", "_r.vendor", "_r.tier", "_r.published_on", "_r.shingles")
-    cites = SIM.near_copy_citations(reps)
-    return cites.join(reps.select("item_id", "vendor"), "item_id").select(
+    # the winners of the exact dedupe first, without texts; only their texts are shingled
+    pick = F.struct("tier", F.col("published_on").isNull().alias("_u"), "published_on", "item_id")
+    winners = materialize(news.groupBy("text_key").agg(F.min(pick).alias("_r")).select("_r.item_id"))
+    reps = SIM.with_shingles(news.drop("text_key").join(winners, "item_id", "left_semi")).drop("text")
+    return SIM.near_copy_citations(reps).select(
         "item_id", "vendor", "cite_id", (F.col("cite_id") != F.col("item_id")).alias("is_copy"), "similarity")

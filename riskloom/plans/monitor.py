@@ -21,40 +21,43 @@ from riskloom.operators import score as S
 from riskloom.session import materialize
 from riskloom.sources import bindings
 
-EVIDENCE_ORD_DEFAULT = 50
-EVIDENCE_ORD_EXCLUDED = 60
+EVIDENCE_IDS = 1_000  # evidence ids of one item
+EVIDENCE_ORD_DEFAULT = 500
+EVIDENCE_ORD_EXCLUDED = 600
 
 
 def news_evidence(reps: DataFrame) -> DataFrame:
     """Evidence rows from selected news items (one per item after syndication dedupe).
 
     In-scope items give one row per rubric condition, or a level-1 row for their first
-    category when no indicator matched (X4); out-of-scope items give one level-0 row per
-    excluded kind, kept for the roll-up's "all out of scope" rule and the reason.
-    All three cases are one array per item and one explode, with no filter before it.
+    category when no indicator matched (X4), and an excluded level-0 row for each kind of goods in
+    transit; out-of-scope items give one level-0 row per excluded kind, kept for the roll-up's "all
+    out of scope" rule and the reason. Evidence is dated by its event (R5). All cases are one array per item and one explode, with no filter before it.
     """
-    in_scope = ((F.size("in_categories") > 0) | (F.size("rubric") > 0)) & ~F.col("has_transit")
-    base = ["item_id", "vendor", "outlet", "tier", "published_on", "new_models_only", "is_resolution"]
-
-    def row(ord_, cond, level):
-        return F.struct(ord_.alias("ord"), cond.alias("condition"), level.alias("level"))
-
-    matched = F.transform("rubric", lambda r: row(r["ord"], r["condition"], r["level"]))
-    routine = F.array(row(F.lit(EVIDENCE_ORD_DEFAULT), F.element_at("in_categories", 1), F.lit(1)))
-    excluded = F.transform("out_categories", lambda c, i: row(i + EVIDENCE_ORD_EXCLUDED, c, F.lit(0)))
-    rows = (F.when(in_scope & (F.size("rubric") > 0), matched)
-            .when(in_scope, routine)
-            .otherwise(excluded))
-    x = reps.select(*base, in_scope.alias("in_scope"), rows.alias("_rows"))
-    ev = R.explode_rows(x, "_rows", "e", *base, "in_scope")
+    in_scope = (F.size("in_categories") > 0) | (F.size("rubric") > 0)
+    base = ["item_id", "vendor", "outlet", "tier", "event_on", "new_models_only", "is_resolution"]
+
+    def row(ord_, cond, level, inside):
+        return F.struct(ord_.alias("ord"), cond.alias("condition"), level.alias("level"), F.lit(inside).alias("in_scope"))
+
+    def excluded(kinds):
+        return F.transform(kinds, lambda c, i: row(i + EVIDENCE_ORD_EXCLUDED, c, F.lit(0), False))
+
+    matched = F.transform("rubric", lambda r: row(r["ord"], r["condition"], r["level"], True))
+    routine = F.array(row(F.lit(EVIDENCE_ORD_DEFAULT), F.get("in_categories", F.lit(0)), F.lit(1), True))
+    rows = (F.when(F.size("rubric") > 0, F.concat(matched, excluded("transit_categories")))
+            .when(in_scope, F.concat(routine, excluded("transit_categories")))
+            .otherwise(excluded("out_categories")))
+    x = reps.select(*base, rows.alias("_rows"))
+    ev = R.explode_rows(x, "_rows", "e", *base)
     return ev.select(
-        (F.col("item_id") * 100 + F.col("e.ord")).alias("evidence_id"),
+        (F.col("item_id") * EVIDENCE_IDS + F.col("e.ord")).alias("evidence_id"),
         "vendor", F.col("e.condition").alias("condition"), F.col("e.level").alias("level"),
-        "outlet", "tier", "in_scope", "new_models_only",
+        "outlet", "tier", F.col("e.in_scope").alias("in_scope"), "new_models_only",
         F.col("e.condition").isin(*rules.BREACH_CONDITIONS).alias("is_breach"),
         F.col("e.condition").isin(*rules.GOING_CONCERN_CONDITIONS).alias("is_going_concern"),
         "is_resolution",
-        F.col("published_on").cast("timestamp_ntz").alias("published_at"),
+        F.col("event_on").cast("timestamp_ntz").alias("published_at"),
     )
 
 

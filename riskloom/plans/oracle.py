@@ -40,17 +40,18 @@ FROM events""",
     "v_evidence": """
 SELECT event_id AS evidence_id,
   concat('Supplier#', lpad(CAST(user_id AS STRING), 9, '0')) AS vendor,
-  concat(event_type, '_', CAST(CAST(floor(value) AS INT) % 6 AS STRING)) AS condition,
-  CAST(floor(value) AS INT) % 6 AS level,
+  concat(event_type, '_', CAST(lvl AS STRING), '_', CAST(event_id % 7 AS STRING)) AS condition,
+  lvl AS level,
   concat('src', CAST(event_id % 20 AS STRING)) AS outlet,
   CASE WHEN event_id % 20 < 5 THEN 1 WHEN event_id % 20 < 12 THEN 2 ELSE 3 END AS tier,
   event_id % 5 <> 0 AS in_scope,
   event_id % 7 = 0 AS new_models_only,
   event_type = 'error' AS is_breach,
-  event_type = 'error' AND CAST(floor(value) AS INT) % 6 = 5 AS is_going_concern,
-  event_type = 'purchase' AND CAST(floor(value) AS INT) % 6 <= 1 AS is_resolution,
+  event_type = 'error' AND lvl = 5 AS is_going_concern,
+  event_type = 'purchase' AND lvl <= 1 AS is_resolution,
   ts AS published_at
-FROM events WHERE event_id % 29 = 0""",
+FROM (SELECT *, least(CAST(floor(value) AS INT) % 6, CASE WHEN event_id % 211 = 0 THEN 5 WHEN event_id % 97 = 0 THEN 4
+  WHEN event_id % 41 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 2 ELSE 1 END) AS lvl FROM events) e""",
     "v_templates": f"""
 SELECT * FROM (VALUES
   {_TEMPLATE_VALUES}) AS t(k, stmt)""",
@@ -100,28 +101,36 @@ def sql_list(values) -> str:
     return ", ".join(_q(v) for v in values)
 
 
+def strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, {_q(rules.STRIP_PATTERN)}, '', 'g')"
+
+
+def words_sql(expr: str) -> str:
+    return f"lower(regexp_replace({expr}, {_q(rules.NON_WORD_PATTERN)}, ' ', 'g'))"
+
+
 def flag_text_sql(expr: str) -> str:
     """H1 on text, stored as '1' / '0' / NULL."""
-    t = f"lower(trim({expr}))"
+    t = f"lower({strip_sql(expr)})"
     return (f"CASE WHEN {t} IN ({sql_list(rules.FLAG_TRUE_SPELLINGS)}) THEN '1' "
             f"WHEN {t} IN ({sql_list(rules.FLAG_FALSE_SPELLINGS)}) THEN '0' END")
 
 
 def flag_bool_sql(expr: str) -> str:
-    t = f"lower(trim({expr}))"
+    t = f"lower({strip_sql(expr)})"
     return (f"CASE WHEN {t} IN ({sql_list(rules.FLAG_TRUE_SPELLINGS)}) THEN true "
             f"WHEN {t} IN ({sql_list(rules.FLAG_FALSE_SPELLINGS)}) THEN false END")
 
 
 def ts_sql(expr: str) -> str:
     """H3: per-row timestamp parse, junk -> NULL."""
-    return f"COALESCE(TRY_CAST(trim({expr}) AS TIMESTAMP), try_strptime(trim({expr}), '%m/%d/%Y'))"
+    return f"COALESCE(TRY_CAST({strip_sql(expr)} AS TIMESTAMP), try_strptime({strip_sql(expr)}, '%m/%d/%Y'))"
 
 
 def num_sql(expr: str) -> str:
     """H4: plain decimal text -> double."""
     return (f"CASE WHEN regexp_matches({expr}, '^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$') "
-            f"THEN TRY_CAST(trim({expr}) AS DOUBLE) END")
+            f"THEN TRY_CAST({strip_sql(expr)} AS DOUBLE) END")
 
 
 def num_text_sql(expr: str) -> str:
@@ -140,8 +149,8 @@ def bool_text_sql(expr: str) -> str:
 
 
 def norm_text_sql(expr: str) -> str:
-    """Padded, lower-cased ASCII word text used by all lexicon patterns."""
-    return f"concat(' ', lower(regexp_replace({expr}, '[^A-Za-z0-9]+', ' ', 'g')), ' ')"
+    """Padded, lower-cased word text used by all lexicon patterns."""
+    return f"concat(' ', {words_sql(expr)}, ' ')"
 
 
 BOOK_TEXT = f"""
@@ -184,7 +193,7 @@ WHERE field = 'is_risk' AND changed_at >= TIMESTAMP '{since}'
 
 LATEST_CHANGE = """
 SELECT id, changed_at, vendor, field, old_value, new_value FROM (
-  SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY id DESC) AS rn FROM changes_since) x
+  SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY changed_at DESC, id DESC) AS rn FROM changes_since) x
 WHERE rn = 1"""
 
 LATEST_DECISION = """
@@ -250,7 +259,7 @@ def oracle_statements() -> dict[str, str]:
             f"{bool_text_sql(chr(40) + 'event_type = ' + _q('error') + chr(41))} AS flag_text, props AS props_text FROM events"
         ),
         "vendor_key": (
-            "SELECT page_id, url AS name, COALESCE(NULLIF(trim(translate(url, '/\\', '--')), ''), 'unknown') AS vendor_key FROM pages"
+            f"SELECT page_id, url AS name, {vendor_key_sql('url')} AS vendor_key FROM pages"
         ),
         "book_count": with_views("SELECT count(*) AS n_vendors FROM v_book_raw"),
         "vendor_queue": with_views("SELECT * FROM queue", {**b, "queue": QUEUE}),
@@ -308,19 +317,21 @@ FROM notes_dedup GROUP BY vendor_key"""
 
 
 def vendor_key_sql(expr: str) -> str:
-    return f"COALESCE(NULLIF(trim(translate({expr}, '/\\', '--')), ''), 'unknown')"
+    return f"COALESCE(NULLIF({strip_sql("translate(" + expr + ", '/" + chr(92) + "', '--')")}, ''), 'unknown')"
 
 
 def status_sql(expr: str = "new_value") -> str:
-    return f"CASE WHEN trim({expr}) = '1' THEN 'NEW RISK' ELSE 'CLEARED' END"
+    return f"CASE WHEN {strip_sql(expr)} = '1' THEN 'NEW RISK' ELSE 'CLEARED' END"
 
 
 def shown_sql(expr: str) -> str:
-    return f"COALESCE(NULLIF(trim({expr}), ''), 'null')"
+    return f"COALESCE(NULLIF({strip_sql(expr)}, ''), 'null')"
 
 
 def first_sentence_sql(expr: str) -> str:
-    s = f"COALESCE(NULLIF(regexp_extract({expr}, '^\\s*(.+?[.!?])(\\s|$)', 1), ''), trim({expr}))"
+    short = "|".join(rules.ABBREVIATIONS)
+    held = f"regexp_replace({expr}, '(^|[^A-Za-z])({short}|[A-Z](?:\\.[A-Z])*)\\.', '\\1\\2' || chr(1), 'g')"
+    s = f"replace(COALESCE(NULLIF(regexp_extract({held}, '^\\s*(.+?[.!?])(\\s|$)', 1), ''), trim({held})), chr(1), '.')"
     return f"CASE WHEN regexp_matches({s}, '[.!?]$') THEN {s} ELSE {s} || '.' END"
 
 
@@ -366,7 +377,7 @@ SELECT CAST(floor((alert_pos - 1) / {rules.ALERT_PAGE_LINES}) AS BIGINT) AS page
   string_agg(line, chr(10) ORDER BY alert_pos) AS body
 FROM lines GROUP BY 1"""
 
-FULL_TEXT = "CASE WHEN trim(body) <> '' THEN concat(h.header, chr(10), chr(10), body) ELSE h.header END"
+FULL_TEXT = "CASE WHEN " + strip_sql("body") + " <> '' THEN concat(h.header, chr(10), chr(10), body) ELSE h.header END"
 
 
 def alert_ctes(since_sql: str | None = None) -> dict[str, str]:
@@ -565,7 +576,7 @@ PERIOD_END_SQL = f"last_day(make_date({YEAR_SQL}, {MONTH_SQL}, 1))"
 FEATURES = f"""
 SELECT item_id, vendor, outlet, tier, published_on, text,
   {norm_text_sql('text')} AS norm,
-  md5(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')))) AS text_key,
+  md5(trim({words_sql('text')})) AS text_key,
   COALESCE({ISO_SQL}, {PERIOD_END_SQL}, published_on) AS event_on,
   CASE WHEN {ISO_SQL} IS NOT NULL THEN 'iso' WHEN {PERIOD_END_SQL} IS NOT NULL THEN 'period'
        WHEN published_on IS NOT NULL THEN 'published' END AS dated_by,
@@ -596,7 +607,7 @@ WORKLIST = f"""
 SELECT vendor, query_norm, query_kind, query_text FROM (
   SELECT *, row_number() OVER (PARTITION BY vendor, query_norm ORDER BY ord) AS rn FROM (
     SELECT vendor, ord, query_kind, query_text,
-      trim(lower(regexp_replace(query_text, '[^A-Za-z0-9]+', ' ', 'g'))) AS query_norm
+      trim({words_sql('query_text')}) AS query_norm
     FROM (
       SELECT v.vendor, 0 AS ord, 'name' AS query_kind, v.vendor AS query_text FROM vv v
       UNION ALL SELECT v.vendor, 1, 'alias', v.alias FROM vv v
@@ -613,17 +624,17 @@ LEFT JOIN v_aliases a ON a.vendor = b.vendor"""
 
 HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]+)', 1))"
 
-MONEY_UNITS = "million|billion|thousand|bn|mn|m|k"
-MONEY_RE = r"\$ ?[0-9]+(?:[.,][0-9]+)* ?(?:(?:" + MONEY_UNITS + r")(?:[^A-Za-z0-9]|$))?"
-HEAD_RE = r"[0-9]+(?:,[0-9]{3})* (?:employees|staff|workers)"
+MONEY_UNITS = "million|billion|thousand|bn|mn|m|b|k"
+MONEY_RE = r"(?i)(?:\$|€|£|USD|EUR|GBP) ?[0-9]+(?:[.,][0-9]+)* ?(?:(?:" + MONEY_UNITS + r")(?:[^A-Za-z0-9]|$))?"
+HEAD_RE = r"(?i)[0-9]+(?:,[0-9]{3})* (?:employees|staff|workers)"
 
 
 def amount_sql(fig: str, with_unit: bool) -> str:
     num = f"TRY_CAST(replace(regexp_extract({fig}, '([0-9]+(?:[.,][0-9]+)*)', 1), ',', '') AS DOUBLE)"
     if not with_unit:
         return f"TRY_CAST({num} AS DECIMAL(20,2))"
-    unit = f"lower(regexp_extract({fig}, '({MONEY_UNITS})([^A-Za-z0-9]|$)', 1))"
-    mult = (f"CASE {unit} WHEN 'billion' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'mn' THEN 1e6 "
+    unit = f"lower(regexp_extract({fig}, '(?i)({MONEY_UNITS})([^A-Za-z0-9]|$)', 1))"
+    mult = (f"CASE {unit} WHEN 'billion' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'mn' THEN 1e6 "
             f"WHEN 'm' THEN 1e6 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1.0 END")
     return f"TRY_CAST({num} * CAST({mult} AS DOUBLE) AS DECIMAL(20,2))"
 
@@ -640,7 +651,7 @@ FROM (SELECT item_id, unnest(m) AS fig, unnest(range(1, len(m) + 1)) AS ord
 
 QUOTES = """
 SELECT vendor, outlet, item_id, unnest(q) AS quote, unnest(range(1, len(q) + 1)) AS pos
-FROM (SELECT vendor, outlet, item_id, regexp_extract_all(text, '"([^"]*)"', 1) AS q FROM v_news) x"""
+FROM (SELECT vendor, outlet, item_id, regexp_extract_all(text, '["“”„]([^"“”„]*)["“”„]', 1) AS q FROM v_news) x"""
 
 
 def violations_sql() -> str:
@@ -679,11 +690,12 @@ def news_statements() -> dict[str, str]:
         "recent_items": with_views(
             f"SELECT item_id, vendor, outlet, tier, published_on, event_on FROM features WHERE {recency_sql()}", f),
         "scoped_items": with_views(
-            f"SELECT item_id, vendor, {has_in} AND NOT (len({transit_list}) > 0) AS in_scope, "
+            f"SELECT item_id, vendor, {has_in} AS in_scope, "
             f"{has_in} OR len({out_list}) > 0 AS has_event, "
             f"array_to_string({in_list}, ', ') AS categories, array_to_string({out_list}, ', ') AS excluded_kinds FROM features", f),
         "source_tier": (
-            f"SELECT page_id, url, {HOST_SQL} AS host, CASE WHEN regexp_matches({HOST_SQL}, {_q(rules.PRIMARY_HOST_PATTERN)}) THEN 1 "
+            f"SELECT page_id, url, {HOST_SQL} AS host, CASE WHEN regexp_matches({HOST_SQL}, {_q(rules.PRIMARY_HOST_PATTERN)}) "
+            f"OR regexp_matches(url, {_q(rules.PRIMARY_PATH_PATTERN)}) THEN 1 "
             f"WHEN regexp_matches({HOST_SQL}, {_q(rules.TRADE_HOST_PATTERN)}) AND NOT regexp_matches({HOST_SQL}, {_q(rules.BLOG_HOST_PATTERN)}) THEN 2 "
             f"ELSE {rules.UNKNOWN_TIER} END AS tier FROM pages"),
         "syndication_exact": with_views(
@@ -723,9 +735,9 @@ def monitor_ctes() -> dict[str, str]:
     out_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"out", "transit"})
     transit_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"transit"})
     rubric_any = rubric_any_sql("norm")
-    ev_cols = "vendor, outlet, tier, in_scope, new_models_only, is_resolution, published_on"
+    ev_cols = "vendor, outlet, tier, new_models_only, is_resolution, event_on"
     matched = "\nUNION ALL\n".join(
-        f"SELECT item_id * 100 + {i} AS evidence_id, {_q(c)} AS condition, {lvl} AS level, {ev_cols} "
+        f"SELECT item_id * 1000 + {i} AS evidence_id, {_q(c)} AS condition, {lvl} AS level, true AS in_scope, {ev_cols} "
         f"FROM scoped WHERE in_scope AND regexp_matches(norm, {_q(p)})"
         for i, (c, lvl, p) in enumerate(rules.RUBRIC))
     return {
@@ -742,23 +754,24 @@ SELECT f.* FROM features f JOIN confirmed c ON c.item_id = f.item_id WHERE c.con
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vendor, text_key
   ORDER BY tier, published_on ASC NULLS LAST, item_id) AS rn FROM selected) x WHERE rn = 1""",
         "scoped": f"""
-SELECT *, (len({in_list}) > 0 OR {rubric_any}) AND NOT (len({transit_list}) > 0) AS in_scope,
-  {in_list} AS in_list, {out_list} AS out_list, {rubric_any} AS rubric_any,
+SELECT *, (len({in_list}) > 0 OR {rubric_any}) AS in_scope,
+  {in_list} AS in_list, {out_list} AS out_list, {transit_list} AS transit_list, {rubric_any} AS rubric_any,
   regexp_matches(norm, {_q(rules.NEW_MODELS_ONLY_PATTERN)}) AS new_models_only,
   regexp_matches(norm, {_q(rules.RESOLUTION_PATTERN)}) AS is_resolution
 FROM reps""",
         "ev_raw": f"""
 {matched}
 UNION ALL
-SELECT item_id * 100 + 50, in_list[1], 1, {ev_cols} FROM scoped WHERE in_scope AND NOT rubric_any
+SELECT item_id * 1000 + 500, in_list[1], 1, true, {ev_cols} FROM scoped WHERE in_scope AND NOT rubric_any
 UNION ALL
-SELECT item_id * 100 + 59 + ord, cat, 0, {ev_cols}
-FROM (SELECT *, unnest(out_list) AS cat, unnest(range(1, len(out_list) + 1)) AS ord FROM scoped WHERE NOT in_scope) u""",
+SELECT item_id * 1000 + 599 + ord, cat, 0, false, {ev_cols}
+FROM (SELECT *, unnest(kinds) AS cat, unnest(range(1, len(kinds) + 1)) AS ord
+  FROM (SELECT *, CASE WHEN in_scope THEN transit_list ELSE out_list END AS kinds FROM scoped) k) u""",
         "news_evidence": f"""
 SELECT evidence_id, vendor, condition, level, outlet, tier, in_scope, new_models_only,
   condition IN ({sql_list(rules.BREACH_CONDITIONS)}) AS is_breach,
   condition IN ({sql_list(rules.GOING_CONCERN_CONDITIONS)}) AS is_going_concern,
-  is_resolution, CAST(published_on AS TIMESTAMP) AS published_at
+  is_resolution, CAST(event_on AS TIMESTAMP) AS published_at
 FROM ev_raw""",
         "adjusted": ADJUSTED.replace("v_evidence", "news_evidence"),
         "corroborated": CORROBORATED, "rollup": ROLLUP, "excluded": EXCLUDED,
@@ -831,7 +844,7 @@ SELECT f.item_id, f.vendor, f.tier, f.published_on, f.text FROM (
 NEAR_SETS = """
 SELECT item_id, vendor, tier, published_on, len(sh) AS n, sh FROM (
   SELECT *, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS sh
-  FROM (SELECT *, string_split(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM reps) x) y"""
+  FROM (SELECT *, string_split(trim(""" + words_sql("text") + """), ' ') AS w FROM reps) x) y"""
 
 NEAR_HITS = """
 SELECT a.item_id AS i, b.item_id AS j, b.tier AS jt, b.published_on AS jp,

@@ -112,8 +112,9 @@ SCOPE_LEXICON = (
 
 # Rubric: (condition, level, pattern). A condition fixes its level.
 RUBRIC = (
-    ("insolvency_proceeding", 5, r" (chapter (7|11)|insolvency proceeding[s]?|insolvenzverfahren|redressement|liquidation judiciaire|civil rehabilitation|bankruptcy protection) "),
+    ("insolvency_proceeding", 5, r" (chapter (7|11)|insolvency proceeding[s]?|insolvenzverfahren|redressement|liquidation judiciaire|civil rehabilitation|bankrupt|bankruptcy|insolvent) "),
     ("receivership", 5, r" (receivership|receiver appointed) "),
+    ("administration", 5, r" ((entered|enters|into|in) administration|administrator[s]? (were |was )?appointed|company voluntary arrangement|cva) "),
     ("payment_default", 5, r" (payment default|defaulted on) "),
     ("liquidation", 5, r" (liquidation|liquidated) "),
     ("ceased_trading", 5, r" (ceased trading|ceased operations) "),
@@ -128,13 +129,13 @@ RUBRIC = (
     ("missed_interest_payment", 4, r" (missed (an )?interest payment[s]?) "),
     ("negative_equity", 4, r" (negative (shareholders )?equity) "),
     ("delisting_notice", 4, r" (delisting notice) "),
-    ("emergency_equity_raise", 4, r" (emergency (equity|share) (raise|offering)) "),
+    ("emergency_equity_raise", 4, r" (emergency (discounted )?(equity|share) (raise|offering)|discounted (equity|share) (raise|offering)) "),
     ("restricted_party_listing", 4, r" (entity list|covered list|ofac|sdn list) "),
     ("uflpa_detention", 4, r" (uflpa|detained at customs) "),
     ("plant_closure_or_fire", 4, r" (plant closure|closed (its|a|the) plant|plant fire|factory fire) "),
     ("lost_certification", 4, r" (lost (its )?certification|certification (revoked|withdrawn)) "),
     ("shipment_delays", 4, r" (shipment delay[s]?|delayed shipment[s]?) "),
-    ("major_recall", 4, r" (recall|recalled|recalls) "),
+    ("major_recall", 4, r" ((product|safety|major|nationwide|mandatory|voluntary) recall[s]?|recall[s]? of|(recalled|recalls) (its|all|[0-9]+)) "),
     ("sustained_losses", 3, r" (sustained losses|consecutive losses) "),
     ("negative_cash_flow", 3, r" (negative (operating )?cash flow) "),
     ("covenant_pressure", 3, r" (covenant limit[s]?|near (its )?covenant[s]?) "),
@@ -145,7 +146,7 @@ RUBRIC = (
     ("regulatory_proceeding", 3, r" (regulatory proceeding[s]?|import restriction[s]?) "),
     ("certification_review", 3, r" (certification under review|certification review) "),
     ("single_source_shortage", 3, r" (single source shortage|component shortage[s]?) "),
-    ("ownership_change", 3, r" (acquired|acquisition|merger|takeover|change of control) "),
+    ("ownership_change", 3, r" ((was|is|been|being|be) (acquired|taken over|bought)|acquired by|acquisition by|takeover (bid|offer|of the)|merger (with|agreement)|merged (with|into)|change of control|new (majority )?owner[s]?) "),
     ("sector_downturn", 2, r" (sector downturn|industry downturn) "),
     ("revenue_decline", 2, r" (revenue decline|declining revenue|revenue fell) "),
     ("leadership_change", 2, r" ((ceo|cfo) (resigned|departed|stepped down)|appointed (a )?new (ceo|cfo)) "),
@@ -163,7 +164,17 @@ BREACH_CONDITIONS = ("covenant_breach",)
 GOING_CONCERN_CONDITIONS = ("going_concern",)
 
 # Source tier rules by page host: 1 primary, 2 trade press, 3 general press.
-PRIMARY_HOST_PATTERN = r"^(ir|investor|investors|newsroom|press)\.|\.gov$"
-TRADE_HOST_PATTERN = r"\.org$"
+PRIMARY_HOST_PATTERN = (
+    r"^(ir|investor|investors|newsroom|press)\.|\.gov$|\.gov\.[a-z][a-z]$|\.gouv\.fr$|\.gc\.ca$|\.mil$"
+    r"|(^|\.)europa\.eu$|(^|\.)(court|courts|judiciary|justice)\."
+)
+PRIMARY_PATH_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/([a-z-]+/)?(newsroom|press-release|press-releases|investors|investor-relations)(/|$)"
+TRADE_HOST_PATTERN = r"(trade|industry|journal|magazine|weekly|wire)[a-z-]*\.[a-z]+$"
 BLOG_HOST_PATTERN = r"^blog\."
 UNKNOWN_TIER = 3
+
+# Abbreviations whose full stop ends no sentence (N1), besides single capitals as in "U.S.".
+ABBREVIATIONS = ("Inc", "Ltd", "Corp", "Co", "Cos", "LLC", "plc", "Mr", "Mrs", "Ms", "Dr", "No", "St", "vs", "approx")
+# White space that a cell loses at both ends, and the characters that separate words.
+STRIP_PATTERN = r"^[\p{Z}\t-\r\x1c-\x1f\x{85}]+|[\p{Z}\t-\r\x1c-\x1f\x{85}]+$"
+NON_WORD_PATTERN = r"[^\p{L}\p{N}]+"

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions import cells
 from riskloom.sources.tables import read_table, spread
 
 # Fixed values of the test binding: statement templates keyed 0..15.
@@ -90,7 +91,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("decision_id"),
         supplier_name(F.col("user_id")).alias("vendor"),
-        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("decided_at"),
+        cells.floor_second("ts").alias("decided_at"),
         lvl.alias("risk_level"),
         (lvl >= 3).alias("is_risk"),
         F.col("event_type").alias("risk_reason"),
@@ -98,14 +99,15 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_evidence: scored indicators, one per 29th event."""
+    """v_evidence: scored indicators, one per event; high levels are rare and conditions fine."""
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
-    lvl = _level_from_value()
     eid = F.col("event_id")
-    return e.where(eid % 29 == 0).select(
+    most = F.when(eid % 211 == 0, 5).when(eid % 97 == 0, 4).when(eid % 41 == 0, 3).when(eid % 7 == 0, 2).otherwise(1)
+    lvl = F.least(_level_from_value(), most)
+    return e.select(
         eid.alias("evidence_id"),
         supplier_name(F.col("user_id")).alias("vendor"),
-        F.concat(F.col("event_type"), F.lit("_"), lvl.cast("string")).alias("condition"),
+        F.concat(F.col("event_type"), F.lit("_"), lvl.cast("string"), F.lit("_"), (eid % 7).cast("string")).alias("condition"),
         lvl.alias("level"),
         F.concat(F.lit("src"), (eid % 20).cast("string")).alias("outlet"),
         F.when(eid % 20 < 5, 1).when(eid % 20 < 12, 2).otherwise(3).alias("tier"),
@@ -185,6 +187,6 @@ def decision_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         eid.alias("decision_id"),
         supplier_name(F.col("user_id")).alias("vendor"),
-        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("decided_at"),
+        cells.floor_second("ts").alias("decided_at"),
         payload.alias("payload"),
     )

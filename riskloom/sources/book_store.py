@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.book import KEY_COLUMN, ingest_book
-from riskloom.session import list_children
+from riskloom.session import list_children, path_exists
 
 
 def read_tabular(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -28,15 +28,23 @@ def with_row_key(raw: DataFrame) -> DataFrame:
     return raw.select(F.monotonically_increasing_id().alias(KEY_COLUMN), *raw.columns)
 
 
-def versions(spark: SparkSession, store: str) -> list[int]:
+def _folders(spark: SparkSession, store: str) -> list[int]:
     return sorted(int(n.split("=", 1)[1]) for n in list_children(spark, store) if n.startswith("version="))
 
 
+def versions(spark: SparkSession, store: str) -> list[int]:
+    """The committed versions: a write that failed leaves a folder without ``_SUCCESS``, which does not count."""
+    return [v for v in _folders(spark, store) if path_exists(spark, f"{store}/version={v}/_SUCCESS")]
+
+
 def seed_book(spark: SparkSession, raw: DataFrame, store: str) -> int:
-    """First run only: write version 0 from the raw table; later runs change nothing."""
-    if versions(spark, store):
-        return versions(spark, store)[-1]
-    ingest_book(with_row_key(raw)).write.mode("ignore").parquet(f"{store}/version=0")
+    """First run only: write version 0 from the raw table; later runs change nothing.
+
+    What an earlier seed left uncommitted is written anew."""
+    done = versions(spark, store)
+    if done:
+        return done[-1]
+    ingest_book(with_row_key(raw)).write.mode("overwrite").parquet(f"{store}/version=0")
     return 0
 
 
@@ -51,7 +59,7 @@ def read_book(spark: SparkSession, store: str, version: int | None = None) -> Da
 
 def publish_book(spark: SparkSession, snapshot: DataFrame, store: str) -> int:
     """Write ``snapshot`` as the next version and return its number."""
-    vs = versions(spark, store)
+    vs = _folders(spark, store)  # an uncommitted folder keeps its number
     nxt = (vs[-1] + 1) if vs else 0
     snapshot.write.mode("errorifexists").parquet(f"{store}/version={nxt}")
     return nxt

@@ -46,6 +46,7 @@ def append_changes(spark: SparkSession, delta: DataFrame, path: str, run_id: str
     existing = read_change_log(spark, path, with_run=True).where(F.col("run_id") != run_id)
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     rows = assign_ids(delta, int(start))
-    (rows.repartition("vendor").sortWithinPartitions("vendor", "changed_at")
+    # by range, so that a hot vendor spans several files
+    (rows.repartitionByRange("vendor", "changed_at", "id").sortWithinPartitions("vendor", "changed_at")
      .write.mode("overwrite").parquet(f"{path}/run_id={run_id}"))
     return spark.read.schema(CHANGE_LOG_SCHEMA).parquet(f"{path}/run_id={run_id}")

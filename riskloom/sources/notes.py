@@ -10,12 +10,19 @@ from riskloom.functions import cells
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """A4: append notes (vendor_key, file_name, noted_at, note_date, text) by note date."""
-    notes.repartition("note_date").write.mode("append").partitionBy("note_date").parquet(path)
+    """A4: append notes (vendor_key, file_name, write_seq, noted_at, note_date, text) by note date.
+
+    A date's notes spread over files by vendor, as one run writes one date."""
+    notes.repartition("note_date", "vendor_key").write.mode("append").partitionBy("note_date").parquet(path)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The stored notes, one per (vendor_key, file_name): the last write wins, and a retried run's rows count once."""
+    df = spark.read.parquet(path)
+    rest = [c for c in df.columns if c not in ("vendor_key", "file_name")]
+    order = F.col("write_seq") if "write_seq" in rest else F.col("noted_at")
+    g = df.groupBy("vendor_key", "file_name").agg(F.max_by(F.struct(*rest), order).alias("_w"))
+    return g.select(*[F.col(f"_w.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def read_note_files(spark: SparkSession, base_dir: str) -> DataFrame:
