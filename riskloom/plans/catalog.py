@@ -344,6 +344,22 @@ def q_monitor_run(spark, sf_dir):
     return P.monitor_run(spark, sf_dir, rules.QUEUE_K, rules.AS_OF)
 
 
+def q_monitor_results(spark, sf_dir):
+    return P.complete_run(spark, sf_dir).results
+
+
+def q_monitor_book_after(spark, sf_dir):
+    return P.complete_run(spark, sf_dir).book_after
+
+
+def q_monitor_change_log(spark, sf_dir):
+    return P.complete_run(spark, sf_dir).changes
+
+
+def q_monitor_alert(spark, sf_dir):
+    return P.complete_run(spark, sf_dir).alert
+
+
 def q_alert_since(spark, sf_dir):
     return P.alert_since(spark, sf_dir, rules.RUN_START)
 

@@ -1,11 +1,12 @@
 """Composite plans: the monitor run (P1), the alert since a run start (P2) and the manual
-override scenario (P4). Each is one lazy DataFrame plan over all vendors; the reference's
-per-vendor loop becomes joins and aggregates keyed by vendor.
+override scenario (P4). The per-vendor loop of the application becomes joins and aggregates keyed by
+vendor; positions, queues and feature rows are written to the shared folder on the way.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,11 @@ from riskloom.operators import changes as C
 from riskloom.operators import news as R
 from riskloom.operators import notes as N
 from riskloom.operators import score as S
-from riskloom.session import materialize
-from riskloom.sources import bindings
+from riskloom.session import materialize, path_exists
+from riskloom.sources import bindings, book_store
+from riskloom.sources.change_log import assign_ids, read_change_log, write_changes
+from riskloom.sources.notes import write_notes
+from riskloom.sources.outbox import append_outbox
 
 EVIDENCE_IDS = 1_000  # evidence ids of one item
 EVIDENCE_ORD_DEFAULT = 500
@@ -72,14 +76,15 @@ def select_items(features: DataFrame, confirmed: DataFrame, as_of: dt.date) -> D
     return g.select("vendor", "text_key", *[F.col(f"_r.{c}").alias(c) for c in keep])
 
 
-def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of: dt.date = rules.AS_OF) -> DataFrame:
+def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of: dt.date = rules.AS_OF,
+                book: DataFrame | None = None) -> DataFrame:
     """Queue (G1) -> news selection (R2-R7) -> evidence (R12, R4) -> R15 -> R13 -> R14
     -> R16 -> decision rows -> flag change against the book (C3b, C4 on is_risk, H8).
 
     The queue holds at most k vendors, so its vendor list is broadcast into the news scan
     (a bounded broadcast); everything after it is keyed by vendor.
     """
-    book = B.ingest_book(bindings.book_raw(spark, sf_dir))
+    book = B.ingest_book(bindings.book_raw(spark, sf_dir)) if book is None else book
     # the queue (at most k rows, with the old flag) is computed once: one top-k over the book
     queue = materialize(B.vendor_queue(book, B.clamp_batch(k), carry=("is_risk",)))
     names = F.broadcast(queue.select("vendor").distinct())
@@ -107,6 +112,71 @@ def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of:
     )
 
 
+@dataclass(frozen=True)
+class Run:
+    """What a monitor run leaves behind, as DataFrames over one written decision table."""
+
+    decisions: DataFrame  # decision_id (queue position), vendor, decided_at, risk_level, is_risk, risk_reason
+    results: DataFrame    # U1 rows
+    book_before: DataFrame
+    book_after: DataFrame  # C3a then C3b
+    changes: DataFrame     # C4 rows with ids (E2)
+    alert: DataFrame       # A6 rows
+
+
+def complete_run(spark: SparkSession, sf_dir: str, book: DataFrame | None = None, k: int = rules.QUEUE_K,
+                 as_of: dt.date = rules.AS_OF, run_start: dt.datetime = rules.RUN_START, last_id: int = 0) -> Run:
+    """P1 to its end: decide (``monitor_run``), record results, touch and update the book, audit the
+    changed cells, number them, and render the alert of the run's flag changes."""
+    book = B.ingest_book(bindings.book_raw(spark, sf_dir)) if book is None else book
+    decided = materialize(monitor_run(spark, sf_dir, k, as_of, book))
+    decisions = decided.select(
+        F.col("queue_pos").alias("decision_id"), "vendor", cells.ts_lit(run_start).alias("decided_at"),
+        "risk_level", "is_risk", "risk_reason")
+    results = S.run_results(S.validate_decisions(decisions.drop("is_risk")))
+    checked = decisions.select("vendor", F.col("decided_at").alias("checked_at"))
+    after = B.book_upsert(B.book_touch(book, checked), B.latest_per_vendor(decisions))
+    changes = materialize(assign_ids(C.change_log_diff(book, after, run_start), last_id))
+    latest = C.latest_change_per_vendor(C.risk_changes_since(changes, run_start))
+    lines = A.alert_lines(A.enrich_changes(latest, B.typed_book(after)))
+    return Run(decisions, results, book, after, changes, A.alert_outbox(lines, run_start.strftime("%Y-%m-%d %H:%M:%S")))
+
+
+def run_notes(run: Run, run_start: dt.datetime = rules.RUN_START) -> DataFrame:
+    """A4 rows of a run: one note per processed vendor, its text the reason behind the decision."""
+    at = cells.ts_lit(run_start)
+    return run.decisions.groupBy(cells.vendor_key("vendor").alias("vendor_key")).agg(
+        F.max_by(F.struct("decision_id", "risk_reason"), F.col("decision_id")).alias("_d")).select(
+        "vendor_key", cells.note_file_name(at).alias("file_name"), F.col("_d.decision_id").alias("write_seq"),
+        at.alias("noted_at"), at.cast("date").alias("note_date"), F.col("_d.risk_reason").alias("text"))
+
+
+def run_and_store(spark: SparkSession, sf_dir: str, root: str, k: int = rules.QUEUE_K, as_of: dt.date = rules.AS_OF,
+                  run_start: dt.datetime = rules.RUN_START) -> Run:
+    """A run through the stores under ``root``: book, change log, notes, results and outbox.
+
+    The run's base version of the book is recorded first, so a replay of the same run starts from the
+    same book and writes the same version, log rows and pages again instead of adding any.
+    """
+    run_id = run_start.strftime("%Y-%m-%dT%H-%M-%S")
+    store, log = f"{root}/book", f"{root}/changes"
+    book_store.seed_book(spark, bindings.book_raw(spark, sf_dir), store)
+    mark = f"{root}/runs/run_id={run_id}"
+    if not path_exists(spark, f"{mark}/_SUCCESS"):
+        base = book_store.versions(spark, store)[-1]
+        spark.createDataFrame([(base,)], "base_version int").write.mode("overwrite").parquet(mark)
+    base = spark.read.parquet(mark).first()["base_version"]
+    book = book_store.read_book(spark, store, base)
+    last_id = read_change_log(spark, log, with_run=True).where(F.col("run_id") != run_id).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    run = complete_run(spark, sf_dir, book, k, as_of, run_start, int(last_id))
+    write_notes(run_notes(run, run_start), f"{root}/notes")
+    run.results.write.mode("overwrite").parquet(f"{root}/results/run_id={run_id}")
+    write_changes(run.changes, log, run_id)
+    append_outbox(run.alert, f"{root}/outbox", run_id)
+    book_store.publish_book(spark, run.book_after, store, base + 1)
+    return run
+
+
 def alert_since(spark: SparkSession, sf_dir: str, since: dt.datetime = rules.RUN_START,
                 page_lines: int = rules.ALERT_PAGE_LINES) -> DataFrame:
     """B3 -> D1 -> C1 -> C2 -> H8-H11 -> D3, D5 -> A6 rows. One row per alert page:

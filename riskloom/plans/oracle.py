@@ -793,6 +793,31 @@ LEFT JOIN reason r ON r.book_row_id = q.book_row_id
 LEFT JOIN book_text b ON b.book_row_id = q.book_row_id
 LEFT JOIN counts c ON c.vendor = q.vendor"""
 
+def run_ctes() -> dict[str, str]:
+    """The rest of a run on top of ``monitor_ctes``: decisions, results, book, audit, alert."""
+    return {
+        **monitor_ctes(),
+        "decided": MONITOR,
+        "decisions_r": f"""
+SELECT queue_pos AS decision_id, vendor, TIMESTAMP '{RUN_START_SQL}' AS decided_at, risk_level, is_risk, risk_reason FROM decided""",
+        "intake": "SELECT decision_id, vendor, decided_at, risk_level, risk_reason FROM decisions_r",
+        "validated": VALIDATED, "results": RESULTS,
+        "touched": f"""
+SELECT b.book_row_id, b.vendor, b.category, b.hq_country,
+  CASE WHEN q.vendor IS NOT NULL THEN '{RUN_START_SQL}' ELSE b.last_checked END AS last_checked,
+  b.is_risk, b.risk_level, b.risk_reason, b.last_risk_eval
+FROM book_text b LEFT JOIN (SELECT DISTINCT vendor FROM queue) q ON b.vendor = q.vendor""",
+        "latest_decision": LATEST_DECISION.replace("FROM v_decisions", "FROM decisions_r"),
+        "book_upsert": BOOK_UPSERT.replace("FROM book_text b", "FROM touched b"),
+        "diff": diff_sql("book_text", "book_upsert", RUN_START_SQL),
+        "change_log": """
+SELECT row_number() OVER (ORDER BY changed_at, vendor, field_ordinal, book_row_id) AS id, changed_at, vendor, field, old_value, new_value
+FROM diff""",
+        "changes_since": risk_changes_since_sql(RUN_START_SQL), "latest_change": LATEST_CHANGE,
+        "typed_after": typed_sql("book_upsert"), "enriched": ENRICHED, "lines": LINES, "header": HEADER, "pages": PAGES,
+    }
+
+
 MANUAL_NAMES = "SELECT * FROM (VALUES ('Supplier#000000002', 4), ('Supplier#000000005', 4), ('Supplier#000000009', 5)) AS t(vendor, manual_level)"
 
 
@@ -821,6 +846,12 @@ WHERE vendor IN (SELECT vendor FROM names)""",
     }
     return {
         "monitor_run": with_views(MONITOR, monitor_ctes()),
+        "monitor_results": with_views("SELECT * FROM results", run_ctes()),
+        "monitor_book_after": with_views("SELECT * FROM book_upsert", run_ctes()),
+        "monitor_change_log": with_views("SELECT * FROM change_log", run_ctes()),
+        "monitor_alert": with_views(
+            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.n_lines, h.header AS subject, p.body, {FULL_TEXT} AS full_text "
+            f"FROM pages p, header h", run_ctes()),
         "alert_since": with_views(
             f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.n_lines, h.header AS subject, p.body, "
             f"{FULL_TEXT} AS full_text, p.payload FROM ("

@@ -57,9 +57,11 @@ def read_book(spark: SparkSession, store: str, version: int | None = None) -> Da
     return spark.read.parquet(f"{store}/version={v}")
 
 
-def publish_book(spark: SparkSession, snapshot: DataFrame, store: str) -> int:
-    """Write ``snapshot`` as the next version and return its number."""
+def publish_book(spark: SparkSession, snapshot: DataFrame, store: str, version: int | None = None) -> int:
+    """Write ``snapshot`` as the next (or the given) version and return its number.
+
+    A given version is written over: that is how a replayed run repeats its own."""
     vs = _folders(spark, store)  # an uncommitted folder keeps its number
-    nxt = (vs[-1] + 1) if vs else 0
-    snapshot.write.mode("errorifexists").parquet(f"{store}/version={nxt}")
+    nxt = version if version is not None else (vs[-1] + 1) if vs else 0
+    snapshot.write.mode("errorifexists" if version is None else "overwrite").parquet(f"{store}/version={nxt}")
     return nxt

@@ -45,8 +45,12 @@ def append_changes(spark: SparkSession, delta: DataFrame, path: str, run_id: str
     """Append one run's cell changes (output of ``change_log_diff``) and return them with ids."""
     existing = read_change_log(spark, path, with_run=True).where(F.col("run_id") != run_id)
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = assign_ids(delta, int(start))
+    write_changes(assign_ids(delta, int(start)), path, run_id)
+    return spark.read.schema(CHANGE_LOG_SCHEMA).parquet(f"{path}/run_id={run_id}")
+
+
+def write_changes(rows: DataFrame, path: str, run_id: str) -> None:
+    """Write one run's numbered changes; a rerun replaces them."""
     # by range, so that a hot vendor spans several files
     (rows.repartitionByRange("vendor", "changed_at", "id").sortWithinPartitions("vendor", "changed_at")
      .write.mode("overwrite").parquet(f"{path}/run_id={run_id}"))
-    return spark.read.schema(CHANGE_LOG_SCHEMA).parquet(f"{path}/run_id={run_id}")
