@@ -22,9 +22,11 @@ KEY_COLUMN = "book_row_id"
 def ingest_book(raw: DataFrame) -> DataFrame:
     """A1: every cell to its stored text; ``is_risk`` normalised to '1' / '0' / NULL.
 
-    Typed cells (timestamps, numbers, booleans) become canonical text (H2); the row
-    key ``book_row_id`` stays a number so duplicate vendor names stay apart (X9).
+    Spreadsheet headers get our names first; columns of other names are kept as they are. Typed
+    cells (timestamps, numbers, booleans) become canonical text (H2); the row key ``book_row_id``
+    stays a number so duplicate vendor names stay apart (X9).
     """
+    raw = raw.withColumnsRenamed({h: c for h, c in rules.BOOK_HEADERS.items() if h in raw.columns and h != c})
     out = []
     for f in raw.schema.fields:
         if f.name == KEY_COLUMN:

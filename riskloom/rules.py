@@ -59,6 +59,11 @@ DISPLAY_COLUMNS = (
     "vendor", "category", "hq_country", "last_checked",
     "risk_level", "is_risk", "risk_reason", "last_risk_eval",
 )
+# Spreadsheet headers of the book and our names for them.
+BOOK_HEADERS = {
+    "Company / Brand": "vendor", "Category": "category", "HQ Country": "hq_country", "Last Checked Date": "last_checked",
+    "Risk_level": "risk_level", "is_risk": "is_risk", "Risk_Reason": "risk_reason", "Last Risk Eval": "last_risk_eval",
+}
 # Search query forms per vendor: name, aliases, name + "announcement",
 # name + "filing", name + the year of the given date.
 QUERY_SUFFIX_ANNOUNCEMENT = "announcement"

@@ -149,3 +149,17 @@ def test_score_keeps_the_level_of_one_strong_primary_event(spark):
     book = spark.createDataFrame([(1, "V")], "book_row_id long, vendor string")
     r = S.risk_reason(S.risk_score(book, S.adjusted_evidence(news_evidence(f)))).first()
     assert r.risk_level == 5 and "insolvency_proceeding" in r.risk_reason and "goods_in_transit" in r.risk_reason
+
+
+def test_a_book_with_spreadsheet_headers_is_queued(spark, tmp_out):
+    from riskloom.operators import book as B
+
+    path = f"{tmp_out}/book.csv"
+    with open(path, "w") as f:
+        f.write("Company / Brand,Category,HQ Country,Last Checked Date,Risk_level,is_risk,Risk_Reason,Last Risk Eval,Notes\n")
+        f.write("Acme,Audio,DE,2024-01-02 00:00:00,4,TRUE,late filing,,x\nBeta,,,,,no,,,\n")
+    book = B.ingest_book(book_store.with_row_key(book_store.read_tabular(spark, path)))
+    assert "Notes" in book.columns
+    assert [(r.vendor, r.queue_pos) for r in B.vendor_queue(book, 5).orderBy("queue_pos").collect()] == [("Beta", 1), ("Acme", 2)]
+    view = {r.vendor: (r.is_risk, r.risk_level) for r in B.typed_book(book).collect()}
+    assert view == {"Acme": (True, 4.0), "Beta": (False, None)}
