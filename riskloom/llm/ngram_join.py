@@ -32,7 +32,7 @@ FLUSH_SHINGLES = 1_000_000     # shingles a map task gathers before it hands out
 CHUNK_WORDS = 200_000          # words hashed in one numpy call
 VERTICAL = 4                   # fragments of the final overlap counts
 CENTRES = (1, 16, None)        # centres of a posting list, round by round; None: all
-PAIRS_PER_POSTING = 16         # below so many pairs a posting left, the rest is met at once
+PAIRS_PER_POSTING = 1          # with so many pairs a posting left or fewer, the rest is met at once
 BODY = np.uint64((1 << 48) - 1)
 
 
@@ -243,21 +243,25 @@ def links_between(s: DataFrame, threshold: int, centres=CENTRES) -> DataFrame:
     """
     need = F.ceil(F.col("n") * threshold / F.lit(100.0)).cast("long")
     prefix = F.greatest(F.lit(0), F.col("c") - need + 1).cast("int")
-    postings = stored(s.select("key", "n", "c", F.posexplode(F.slice("shared", 1, prefix)).alias("i", "h"))
-                      .select("h", "key", "n", (F.col("n") - F.col("c") + F.col("i")).alias("pos")), "postings")
+
     def in_fragment(f: int):
         return F.filter("shared", lambda x: F.pmod(F.shiftright(x, 17), F.lit(VERTICAL)) == f)
 
     piece = F.explode(F.array(*[
         F.struct(F.lit(f).alias("frag"), in_fragment(f).alias("hashes")) for f in range(VERTICAL)]))
     segments = stored(s.select("key", piece.alias("s")).select("key", "s.frag", "s.hashes").where(F.size("hashes") > 0), "segments")
+    heads_of = s.select("key", "n", "c", F.slice("shared", 1, prefix).alias("prefix"))
     labels, found = None, None
-    total = postings.count()
     for many in centres:
-        live = postings.withColumn("label", F.col("key")) if labels is None else (
-            postings.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
-        mixed = live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-        work = mixed.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0
+        # labels join the classes, not their many postings
+        x = heads_of.withColumn("label", F.col("key")) if labels is None else (
+            heads_of.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+        live = x.select("key", "n", "c", "label", F.posexplode("prefix").alias("i", "h")).select(
+            "h", "key", "n", "label", (F.col("n") - F.col("c") + F.col("i")).alias("pos"))
+        pairs_in = F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2
+        mixed = stored(live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), pairs_in.alias("m"), F.count(F.lit(1)).alias("p"))
+                       .where("x <> y").select("h", "m", "p"), "mixed")
+        work, total = mixed.agg(F.sum("m"), F.sum("p")).first()
         if not work:
             break
         if work <= PAIRS_PER_POSTING * total:  # few pairs are left: meet them all now
