@@ -208,7 +208,7 @@ def _survivors_in_bucket(threshold: int):
         at = np.r_[0, np.flatnonzero(np.diff(entry)) + 1] if len(entry) else np.empty(0, int)
         ids = entry[at]
         return pd.DataFrame({"key": u[ids], "n": n[ids], "c": c[ids],
-                             "shared": [h[a:b] for a, b in zip(at, np.r_[at[1:], len(entry)])]})
+                             "shared": pd.Series([h[a:b] for a, b in zip(at, np.r_[at[1:], len(entry)])], dtype=object)})
 
     return work
 

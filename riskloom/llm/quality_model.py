@@ -76,7 +76,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(doc_id, x): the statistics of every row's whole text."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": [np.array(statistics(t), np.float32) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": pd.Series([np.array(statistics(t), np.float32) for t in pdf["text"]], dtype=object)})
 
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return x.mapInPandas(work, "doc_id long, x array<float>")
