@@ -9,8 +9,8 @@ shared shingles give candidate pairs (prefix and position filters, both exact),
 overlaps of each candidate pair are counted per fragment and summed per pair.
 
 Pairs are not expanded inside a group that is already connected: a candidate pair is looked at only
-while its two classes carry different labels. Posting lists first meet one centre, then 16, then
-everything that is still apart (at once when little is left), so the components are exact and no cap is involved.
+while its two classes carry different labels. Posting lists first meet one centre, then 16 (only
+those outside a list's commonest label meet them), then everything that is still apart (at once when little is left), so the components are exact and no cap is involved.
 """
 
 from __future__ import annotations
@@ -259,14 +259,14 @@ def links_between(s: DataFrame, threshold: int, centres=CENTRES) -> DataFrame:
         live = x.select("key", "n", "c", "label", F.posexplode("prefix").alias("i", "h")).select(
             "h", "key", "n", "label", (F.col("n") - F.col("c") + F.col("i")).alias("pos"))
         pairs_in = F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2
-        mixed = stored(live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), pairs_in.alias("m"), F.count(F.lit(1)).alias("p"))
-                       .where("x <> y").select("h", "m", "p"), "mixed")
+        mixed = stored(live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), pairs_in.alias("m"), F.count(F.lit(1)).alias("p"), F.mode("label", deterministic=True).alias("major"))
+                       .where("x <> y").select("h", "m", "p", "major"), "mixed")
         work, total = mixed.agg(F.sum("m"), F.sum("p")).first()
         if not work:
             break
         if work <= PAIRS_PER_POSTING * total:  # few pairs are left: meet them all now
             many = None
-        live = live.join(mixed.select("h"), "h")
+        live = live.join(mixed.select("h", "major"), "h")
         if many is None:
             heads = live.select("h", F.struct("key", "n", "pos", "label").alias("m"))
         else:
@@ -276,6 +276,8 @@ def links_between(s: DataFrame, threshold: int, centres=CENTRES) -> DataFrame:
         room = F.least(F.col("n") - F.col("pos"), F.col("m.n") - F.col("m.pos"))
         # with all as heads each pair meets twice, so once is enough
         apart = (F.col("label") != F.col("m.label")) & (F.col("key") > F.col("m.key") if many is None else F.col("key") != F.col("m.key"))
+        if labels is not None and many is not None:  # who carries a list's commonest label waits for the others to come
+            apart = apart & (F.col("label") != F.col("major"))
         length = (F.col("n") * 100 >= F.col("m.n") * threshold) & (F.col("m.n") * 100 >= F.col("n") * threshold)
         met = live.join(heads, "h").where(apart & length & (room >= o))
         a_first = F.col("key") < F.col("m.key")
