@@ -323,3 +323,53 @@ def test_lm_gradients_are_right():
             loss.append(-net.log_probs(x, y).sum() / (y >= 0).sum())
         v[at] = old
         assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(g[k][at], rel=2e-2, abs=1e-5)
+
+
+def test_lm_pieces_hold_every_training_position(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 2 * lm_score.FRESH)
+    texts = [None, " ".join(f"a{i % 7} b" for i in range(150)), "one two", "one two"]
+    cls = np.arange(bpe.Bpe(bpe.default_path()).size) % (lm_score.N_CLASSES - 1)
+    cls[-1] = lm_score.N_CLASSES - 1
+    pieces = lm_score.class_pieces(spark.createDataFrame([(t,) for t in texts], "text string"), bpe.default_path(), cls)
+    rows = pieces.collect()
+    speller, x, y, pairs, start = bpe.Bpe(bpe.default_path()), [], [], Counter(), Counter()
+    for t in texts:
+        seq = [int(cls[i]) for w in lm_score.word_ids(speller, lower_words(t)) for i in w] + [lm_score.N_CLASSES - 1]
+        a, b = lm_score.windows(np.array(seq))
+        x, y = [*x, *a.tolist()], [*y, *b.tolist()]
+        pairs.update(zip(seq, seq[1:]))
+        start[seq[0]] += 1
+    got = [(a, b) for r in rows for p in zip(*lm_score.piece_windows(r["head"], bytes(r["body"]))) for a, b in [(p[0].tolist(), p[1].tolist())] * r["n"]]
+    assert sorted(got) == sorted(zip(x, y))
+    inside, first = lm_score.class_pairs(pieces)
+    assert {(int(a), int(b)): int(inside[a, b]) for a, b in zip(*np.nonzero(inside))} == pairs
+    assert {int(a): int(first[a]) for a in np.flatnonzero(first)} == start
+
+
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0.0)
+    own = lm_score.Attention.train
+
+    def counted(self, x, y, times, *more):
+        read.add(float(((y >= 0).sum(1) * times).sum()))
+        own(self, x, y, times, *more)
+
+    monkeypatch.setattr(lm_score.Attention, "train", counted)
+    monkeypatch.setattr(lm_score, "PART_WINDOWS", 60)
+    body = [r.tobytes() for r in np.random.default_rng(2).integers(0, 5, (40, 17 + 640), np.uint8)]
+    pieces = spark.createDataFrame([(False, b, 1 + i % 3) for i, b in enumerate(body)], "head boolean, body binary, n long")
+    c = lm_score.N_CLASSES
+    nets = [lm_score.Attention(np.zeros((c + 2, c), np.float32)) for _ in range(2)]
+    assert lm_score.train_on(nets[0], pieces) == 40 * 20
+    assert read.value == pytest.approx(sum(640 * (1 + i % 3) for i in range(40)))
+    lm_score.train_on(nets[1], pieces.orderBy("n"))
+    assert all(np.abs(nets[0].p[k] - nets[1].p[k]).max() < 1e-5 for k in nets[0].p)
+
+
+def test_lm_context_across_words_counts(spark):
+    r = random.Random(4)
+    ordered = ["red green blue " * 30] * 60
+    mixed = [" ".join(r.sample("red green blue ".split() * 30, 90)) for _ in range(60)]
+    x = spark.createDataFrame([(i, t) for i, t in enumerate([*ordered, *mixed])], "doc_id long, text string")
+    got = {v.doc_id: v.score for v in lm_score.lm_scores(x, bpe.default_path()).collect()}
+    assert got[0] > 0.7 * got[60]  # less negative
