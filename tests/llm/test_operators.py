@@ -373,3 +373,12 @@ def test_lm_context_across_words_counts(spark):
     x = spark.createDataFrame([(i, t) for i, t in enumerate([*ordered, *mixed])], "doc_id long, text string")
     got = {v.doc_id: v.score for v in lm_score.lm_scores(x, bpe.default_path()).collect()}
     assert got[0] > 0.7 * got[60]  # less negative
+
+
+def test_lm_score_does_not_depend_on_the_words_sent_to_tasks(spark, docs, monkeypatch):
+    want = {r.doc_id: r for r in lm_score.lm_scores(docs, bpe.default_path()).collect()}
+    few = lm_score.frequent_words
+    monkeypatch.setattr(lm_score, "frequent_words", lambda vocab: few(vocab, 20))
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, bpe.default_path()).collect()}
+    for i, r in want.items():
+        assert (got[i].score, got[i].base_score, got[i].n_known) == (pytest.approx(r.score, rel=1e-5), pytest.approx(r.base_score), r.n_known)
