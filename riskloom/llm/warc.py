@@ -30,6 +30,7 @@ from riskloom.sources.tables import read_table
 SEGMENT = 32 * 1024        # block bytes of one record
 CHUNK = 8 * 1024           # bytes of one transfer chunk
 FILE_RECORDS = 2_000       # records of one file
+INFLATE = 64 * 1024        # compressed bytes inflated in one call
 LEAST_REVISIT = 0          # payloads of fewer bytes are never revisits
 END = "\r\n\r\n"           # ends every record; the text writer's line separator
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -129,6 +130,20 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         "compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def inflated(content: bytes) -> bytes:
+    """All gzip members of a file, one after the other; a cut member or a rest that is no member raises."""
+    view, at, parts = memoryview(content), 0, []
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = view[at: at + INFLATE]
+            if not piece:
+                raise ValueError("gzip member is cut short")
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+    return b"".join(parts)
+
+
 def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of every record of an inflated file; field names in lower case."""
     at = 0
@@ -175,7 +190,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                data = zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else content
+                data = inflated(content) if content[:2] == b"\x1f\x8b" else content
                 out = []
                 for f, block in walk(data):
                     rid = f.get("warc-segment-origin-id", f["warc-record-id"])[1:-1]

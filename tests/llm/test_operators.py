@@ -382,3 +382,14 @@ def test_lm_score_does_not_depend_on_the_words_sent_to_tasks(spark, docs, monkey
     got = {r.doc_id: r for r in lm_score.lm_scores(docs, bpe.default_path()).collect()}
     for i, r in want.items():
         assert (got[i].score, got[i].base_score, got[i].n_known) == (pytest.approx(r.score, rel=1e-5), pytest.approx(r.base_score), r.n_known)
+
+
+def test_warc_reads_every_gzip_member():
+    import gzip
+
+    records = [warc._record("response", f"urn:page:{i}:{i}", b"x" * (i * 40_000)) + b"\r\n\r\n" for i in range(4)]
+    whole = b"".join(gzip.compress(r) for r in records)
+    assert [len(b) for _, b in warc.walk(warc.inflated(whole))] == [0, 40_000, 80_000, 120_000]
+    for broken in (whole[:-3], whole + b"rest"):
+        with pytest.raises((ValueError, warc.zlib.error)):
+            warc.inflated(broken)
