@@ -34,6 +34,16 @@ STATISTICS = (
 BLOCK_WORDS = 100  # the worst_* statistics look at blocks of so many words
 
 
+def repeated_triples(seq: np.ndarray, kinds: int) -> float:
+    """Share of three-word windows seen before in ``seq``, word numbers below ``kinds``."""
+    if len(seq) < 3:
+        return 0.0
+    pair = seq[:-1] * kinds + seq[1:]
+    if kinds >= 2_000_000:  # three numbers would not fit into 64 bits
+        pair = np.unique(pair, return_inverse=True)[1]
+    return 1.0 - len(np.unique(pair[:-1] * kinds + seq[2:])) / (len(seq) - 2)
+
+
 def statistics(text: str | None) -> list[float]:
     """The statistics of one whole text; all are defined (mostly 0) for an empty one."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -48,16 +58,16 @@ def statistics(text: str | None) -> list[float]:
     ids = {w: i for i, w in enumerate(counts)}
     seq = np.fromiter((ids[w] for w in words), np.int64, n)
     same = float((seq[1:] == seq[:-1]).mean()) if n > 1 else 0.0
-    triple = (seq[:-2] * len(ids) + seq[1:-1]) * len(ids) + seq[2:] if n > 2 and len(ids) < 2_000_000 else seq[:0]
-    repeat3 = 1.0 - len(np.unique(triple)) / len(triple) if len(triple) else 0.0
+    repeat3 = repeated_triples(seq, len(ids))
     p = h[h > 0] / size
     last = Counter(w[-1] for w in words)
     worst_upper = worst_symbol = 0.0
     worst_distinct = 1.0
-    for a in range(0, n, BLOCK_WORDS):
-        block = words[a: a + BLOCK_WORDS]
-        if a and len(block) < BLOCK_WORDS // 2:
-            break
+    starts = list(range(0, n, BLOCK_WORDS))
+    if len(starts) > 1 and n - starts[-1] < BLOCK_WORDS // 2:  # a short rest joins the block before it
+        starts.pop()
+    for a, end in zip(starts, [*starts[1:], n]):
+        block = words[a:end]
         b = b"".join(block)
         worst_upper = max(worst_upper, sum(map(bytes.isupper, block)) / len(block))
         worst_symbol = max(worst_symbol, (len(b) - len(b.translate(None, _SYMBOL + b"!"))) / len(b))

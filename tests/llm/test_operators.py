@@ -393,3 +393,10 @@ def test_warc_reads_every_gzip_member():
     for broken in (whole[:-3], whole + b"rest"):
         with pytest.raises((ValueError, warc.zlib.error)):
             warc.inflated(broken)
+
+
+def test_quality_statistics_see_long_texts_and_short_tails():
+    seq = np.array([0, 1, 2, 0, 1, 2, 0, 1, 2])
+    assert quality_model.repeated_triples(seq, 3) == quality_model.repeated_triples(seq, 2_500_000) == pytest.approx(1 - 3 / 7)
+    got = dict(zip(quality_model.STATISTICS, quality_model.statistics("calm " * 100 + "SHOUT " * 49)))
+    assert got["worst_upper"] == pytest.approx(49 / 149)
