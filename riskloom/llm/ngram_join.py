@@ -295,12 +295,13 @@ def links_between(s: DataFrame, threshold: int, centres=CENTRES) -> DataFrame:
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      size: int = 4, threshold: int = 85) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, class_id, component_id) for every row of ``docs``.
+    """(doc_id, text_hash, n_shingles, class_id, component_id, component_key) for every row of ``docs``.
 
     Words are split at ASCII space and control white space, A-Z lower-cased. Two documents link when
     100 * overlap >= threshold * union of their distinct ``size``-word shingles; component_id is the
     smallest id reachable by links, class_id the smallest id with the same shingle set.
-    A null, empty or blank text has n_shingles 0 and its own id as class and component. Repeated rows
+    component_key is the component's own key, also where two components have the same smallest id.
+    A null, empty or blank text has n_shingles 0, its own id as class and component and no key. Repeated rows
     come out once each, and rows with a null id take part like others (they give no id to a
     component). Columns other than the two named are ignored; an empty table gives no rows.
     """
@@ -311,13 +312,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     comp = stored(connected_components(links_between(s, threshold)), "components")
     near = comp.join(classes, comp.node == classes.key).select("key", "class_id", "component")
     least = near.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    near = near.join(least, "component").select("key", "component_id")
+    near = near.join(least, "component").select("key", "component_id", F.col("component").alias("component_key"))
     # written, so that the adaptive skew join can split a key that many copies share
-    known = stored(classes.join(near, "key", "left").withColumn("component_id", F.coalesce("component_id", "class_id")), "known")
+    known = stored(classes.join(near, "key", "left").withColumns({
+        "component_id": F.coalesce("component_id", "class_id"), "component_key": F.coalesce("component_key", "key")}), "known")
     return sets.join(known, "key", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component_key")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
@@ -329,9 +331,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     name = F.coalesce(F.col(id_col).cast("long"), -F.shiftrightunsigned(F.xxhash64(F.lit(9), text_col), 1) - 1)
     x = docs.select(F.struct("*").alias("_doc"), name.alias("_id"), F.xxhash64(text_col).alias("_hash"))
     comp = ngram_components(docs.select(name.alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", size, threshold)
-    stay = stored(comp.where("doc_id = component_id").groupBy("doc_id", "text_hash", "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("rows")), "stay")
-    # two texts under one id can be in one group
-    one = stay.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"), F.sum("rows").alias("rows"))
+    stay = stored(comp.where("doc_id = component_id").groupBy("doc_id", "text_hash", "component_id", "component_key", "n_shingles").agg(F.count(F.lit(1)).alias("rows")), "stay")
+    # two texts under one id can be in one group, or in two
+    one = stay.where("n_shingles > 0").groupBy("component_id", "component_key").agg(F.min("text_hash").alias("text_hash"), F.sum("rows").alias("rows")).drop("component_key")
     bare = stay.where("n_shingles = 0").select("component_id", "text_hash", "rows")
     one = stored(one.union(bare), "one")
     repeated = not one.where("rows > 1").isEmpty()
@@ -342,4 +344,4 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def q_op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir), size=4, threshold=85).drop("text_hash")
+    return ngram_components(documents(spark, sf_dir), size=4, threshold=85).drop("text_hash", "component_key")

@@ -400,3 +400,10 @@ def test_quality_statistics_see_long_texts_and_short_tails():
     assert quality_model.repeated_triples(seq, 3) == quality_model.repeated_triples(seq, 2_500_000) == pytest.approx(1 - 3 / 7)
     got = dict(zip(quality_model.STATISTICS, quality_model.statistics("calm " * 100 + "SHOUT " * 49)))
     assert got["worst_upper"] == pytest.approx(49 / 149)
+
+
+def test_one_of_each_group_keeps_unlinked_texts_of_one_id(spark):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[0] + " tail"), (3, words[1] + " tail")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.one_of_each_group(x).collect())) == sorted(rows[:2])
