@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "quality_rules", "secret_scan", "mixing", "warc", "bpe", "quality_model", "lm_score", "embedding_join", "packing")
+MODULES = ("ngram_join", "quality_rules", "secret_scan", "mixing", "warc", "bpe", "quality_model", "lm_score", "embedding_join", "packing", "spelling", "alignment", "topk_search")
 
 
 def queries() -> dict:

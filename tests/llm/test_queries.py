@@ -13,10 +13,12 @@ COLUMNS = {
     "op5": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, "op6": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op7": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "op8": {"doc_id", "size", "source_size", "target", "taken"},
     "op9": {"ids", "cu_seqlens", "positions"}, "op10": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op11": {"word", "form", "root", "n", "n_near", "form_n"}, "op12": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13": {"query_id", "rank", "vec_id", "score"},
 }
 
 
-def test_ten_queries():
+def test_every_operator_has_its_query():
     assert sorted(q.split("_")[0] for q in registry.queries()) == sorted(COLUMNS)
 
 
