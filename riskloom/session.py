@@ -79,3 +79,9 @@ def list_children(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [st.getPath().getName() for st in fs.listStatus(p)]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own working tables, if it is there."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)

@@ -5,10 +5,15 @@ Decisions arrive as files; each micro-batch is processed with ``foreachBatch``:
 * flips inside the batch come from the same skew-safe per-vendor sequence as the batch
   flag history (E1), so a batch stream equals E1 when decisions arrive in time order;
 * the first decision of a vendor in a batch is compared with the vendor's last flag from
-  earlier batches (the state table), as the reference compares a late write with the
+  earlier batches (the state), as the reference compares a late write with the
   current value (X10);
-* outputs and state are written per batch id (``batch_id=<n>``) with partition overwrite,
-  so a batch replayed after a failure rewrites the same files: exactly-once output.
+* the state is keyed by vendor and hashed into buckets. A batch reads and rewrites only the
+  buckets of its own vendors (``bucket=<b>/batch_id=<n>``); of each bucket the version of the
+  batch and the one before stay, older ones are deleted, so the folder does not grow with the
+  number of batches;
+* flips and state are written per batch id with partition overwrite, and a batch only reads
+  versions of earlier batches, so a batch replayed after a failure rewrites the same
+  files: exactly-once output.
 
 Checkpoint, state and sink live under the shared folder named by ``spark.checkpoint.dir``.
 """
@@ -23,23 +28,42 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import cells
 from riskloom.operators.ordering import keyed_sequence
-from riskloom.session import work_path
+from riskloom.session import delete_path, list_children, path_exists, work_path
 
+STATE_BUCKETS = 32  # fixed for the life of a stream; more buckets mean smaller rewrites
 STATE_SCHEMA = "vendor string, last_flag boolean, last_at timestamp_ntz, last_id long"
 FLIP_SCHEMA = ("id long, changed_at timestamp_ntz, vendor string, field string, "
                "old_value string, new_value string")
 
 
-def _state_before(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame:
-    """State as of the end of batch ``batch_id - 1``; batch ids are consecutive and a batch
-    is only planned after the previous one committed, so that version always exists."""
-    if batch_id == 0:
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("vendor"), F.lit(buckets)).cast("int")
+
+
+def state_versions(spark: SparkSession, state_dir: str) -> dict[int, list[int]]:
+    """The batch ids of the versions of each state bucket, ascending; at most two of a bucket that is at rest."""
+    found = {}
+    for name in list_children(spark, state_dir):
+        if name.startswith("bucket="):
+            versions = list_children(spark, f"{state_dir}/{name}")
+            found[int(name[7:])] = sorted(int(v[9:]) for v in versions if v.startswith("batch_id="))
+    return found
+
+
+def _read_buckets(spark: SparkSession, state_dir: str, versions: dict[int, int]) -> DataFrame:
+    if not versions:
         return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{state_dir}/batch_id={batch_id - 1}")
+    return spark.read.schema(STATE_SCHEMA).parquet(*[f"{state_dir}/bucket={b}/batch_id={v}" for b, v in sorted(versions.items())])
+
+
+def read_state(spark: SparkSession, run_dir: str) -> DataFrame:
+    """The last flag of every vendor seen so far: the newest version of each bucket."""
+    state_dir = f"{run_dir}/state"
+    return _read_buckets(spark, state_dir, {b: v[-1] for b, v in state_versions(spark, state_dir).items() if v})
 
 
 def flips_in_batch(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(flip rows, new state) for one micro-batch of decisions."""
+    """(flip rows, new state) for one micro-batch of decisions; ``state`` holds its vendors' buckets."""
     seq = keyed_sequence(
         batch.select("vendor", "decided_at", "decision_id", "is_risk"),
         key="vendor", order=("decided_at", "decision_id"), value="is_risk",
@@ -60,6 +84,27 @@ def flips_in_batch(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataF
     return flips, kept.unionByName(last)
 
 
+def _write_batch(batch: DataFrame, batch_id: int, sink_dir: str, state_dir: str, buckets: int) -> None:
+    """Flips and touched state buckets of one micro-batch; versions that no replay can need are deleted."""
+    spark = batch.sparkSession
+    rows = batch.select("vendor", "decided_at", "decision_id", "is_risk").persist()  # read for buckets, flips and state
+    try:
+        touched = {r[0] for r in rows.select(_bucket(buckets)).distinct().collect()}  # at most one row per bucket
+        # versions of this batch or later come from a failed attempt
+        earlier = {b: [v for v in vs if v < batch_id] for b, vs in state_versions(spark, state_dir).items() if b in touched}
+        state = _read_buckets(spark, state_dir, {b: vs[-1] for b, vs in earlier.items() if vs})
+        flips, new_state = flips_in_batch(rows, state)
+        flips.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        parts = new_state.withColumns({"bucket": _bucket(buckets), "batch_id": F.lit(batch_id)})
+        (parts.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket", "batch_id").parquet(state_dir))
+        for b, vs in earlier.items():
+            for old in vs[:-1]:
+                delete_path(spark, f"{state_dir}/bucket={b}/batch_id={old}")
+    finally:
+        rows.unpersist()
+
+
 def run_flip_stream(
     spark: SparkSession,
     source: str,
@@ -67,25 +112,24 @@ def run_flip_stream(
     source_schema,
     run_dir: str | None = None,
     max_files_per_trigger: int | None = None,
+    buckets: int = STATE_BUCKETS,
 ) -> str:
     """Run the stream over everything available (``availableNow``) and return the sink path.
 
-    Restarting with the same ``run_dir`` resumes from its checkpoint.
+    Restarting with the same ``run_dir`` resumes from its checkpoint; ``buckets`` must stay the same.
     """
     run_dir = run_dir or work_path(spark, "flip_stream", uuid.uuid4().hex)
     sink_dir, state_dir, ckpt = (f"{run_dir}/{p}" for p in ("flips", "state", "checkpoint"))
+    known = [n for n in list_children(spark, run_dir) if n.startswith("buckets=")]
+    if known and known != [f"buckets={buckets}"]:
+        raise ValueError(f"{run_dir} was started with {known[0]}, not {buckets}")
+    if not known:
+        spark.range(1).write.mode("overwrite").parquet(f"{run_dir}/buckets={buckets}")
     reader = spark.readStream.schema(source_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     decisions = to_decisions(reader.parquet(source))
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        state = _state_before(batch.sparkSession, state_dir, batch_id)
-        flips, new_state = flips_in_batch(batch, state)
-        flips.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
-        new_state.write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
-
-    q = (decisions.writeStream.foreachBatch(process)
+    q = (decisions.writeStream.foreachBatch(lambda batch, n: _write_batch(batch, n, sink_dir, state_dir, buckets))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return sink_dir
@@ -93,11 +137,7 @@ def run_flip_stream(
 
 def read_flips(spark: SparkSession, sink_dir: str) -> DataFrame:
     """All flips written so far (empty when no batch has run)."""
-    return spark.read.schema(FLIP_SCHEMA + ", batch_id int").option("recursiveFileLookup", "false").parquet(
-        sink_dir) if _exists(spark, sink_dir) else spark.createDataFrame([], FLIP_SCHEMA + ", batch_id int")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    schema = FLIP_SCHEMA + ", batch_id int"
+    if not path_exists(spark, sink_dir):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(sink_dir)
