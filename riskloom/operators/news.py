@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import rules
-
-_BOUND = "[^A-Za-z0-9]"
+from riskloom.session import materialize
 
 
 def norm_text(c) -> Column:
@@ -69,25 +68,67 @@ def search_worklist(book: DataFrame, aliases: DataFrame, as_of: dt.date) -> Data
 
 # --- R2 ------------------------------------------------------------------------------
 
+PHRASE_BITS = 1 << 22  # size of the filter of alias phrases; a full one only lets more phrases through
+_WORD_BITS = 64
+
+
+def phrase(c) -> Column:
+    """A name or text as its lower-case words, with single spaces between them."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.trim(F.lower(F.regexp_replace(col, rules.NON_WORD_PATTERN, " ")))
+
+
+def alias_index(aliases: DataFrame) -> DataFrame:
+    """The phrase index: distinct (vendor, phrase) of all aliases that have words."""
+    return aliases.select("vendor", phrase("alias").alias("phrase")).where("phrase <> ''").distinct()
+
+
+def _bit(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(PHRASE_BITS))
 
-def _mention(text: Column, name: Column) -> Column:
-    """Whole-word, case-insensitive mention of a literal name."""
-    pattern = F.concat(F.lit("(?i)(^|" + _BOUND + ")\\Q"), name, F.lit("\\E(" + _BOUND + "|$)"))
-    return F.regexp_like(text, pattern)
+
+def phrase_filter(index: DataFrame) -> Column:
+    """A bit per hash of an indexed phrase, as an array of PHRASE_BITS / 64 longs (a scalar of fixed size)."""
+    bit = _bit(F.xxhash64(F.split("phrase", " ")))
+    ones = index.select(bit.alias("b")).distinct().groupBy((F.floor(F.col("b") / _WORD_BITS)).cast("long").alias("id")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(b % {_WORD_BITS} as int))")).alias("bits"))
+    words = index.sparkSession.range(PHRASE_BITS // _WORD_BITS).join(ones, "id", "left")
+    dense = F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"])
+    return words.agg(dense.alias("filter")).scalar()
+
+
+def _item_phrases(words: Column, lengths: list[int], bits: Column) -> Column:
+    """The distinct runs of words of a text that may be an alias of someone: only these leave the scan."""
+    none = F.array().cast("array<string>")
+
+    def runs_of(n: int) -> Column:
+        def listed(i):
+            b = _bit(F.xxhash64(F.slice(words, i, n)))
+            return F.getbit(F.get(bits, F.floor(b / _WORD_BITS).cast("int")), (b % _WORD_BITS).cast("int")) == 1
+
+        at = F.filter(F.sequence(F.lit(1), F.size(words) - (n - 1)), listed)
+        return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+
+    return F.array_distinct(F.concat(none, *[runs_of(n) for n in lengths]))
 
 
 def confirm_entities(items: DataFrame, aliases: DataFrame) -> DataFrame:
-    """R2: an item is confirmed when its text names its vendor or one of its aliases.
+    """R2: an item is confirmed when its text names its vendor or one of its aliases, word for word.
 
-    Items join the alias table on vendor (one shuffle), and the per-item roll-up groups
-    by (vendor, item_id), which the join's partitioning already satisfies.
+    The vendor's own name is looked for where the text is read. For the aliases, the text's word runs
+    that pass the filter of all alias phrases meet the phrase index by (vendor, phrase). Ids and phrases are
+    shuffled, never texts. A name without words is never mentioned; a null text mentions nothing.
     """
-    j = items.select("item_id", "vendor", "text").join(aliases.select("vendor", "alias"), "vendor", "left")
-    name_hit = _mention(F.col("text"), F.col("vendor"))
-    alias_hit = F.coalesce(_mention(F.col("text"), F.col("alias")), F.lit(False))
-    g = j.groupBy("vendor", "item_id").agg(
-        F.bool_or(name_hit).alias("_name"), F.bool_or(alias_hit).alias("_alias")
-    )
+    index = materialize(alias_index(aliases))
+    lengths = sorted(r[0] for r in index.select(F.size(F.split("phrase", " "))).distinct().collect())  # the word counts of aliases
+    x = items.select("item_id", "vendor", phrase("text").alias("_text"), phrase("vendor").alias("_name"))
+    padded = F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
+    named = (F.col("_name") != "") & F.contains(padded, F.concat(F.lit(" "), F.col("_name"), F.lit(" ")))
+    x = x.select("item_id", "vendor", F.coalesce(named, F.lit(False)).alias("_named"), F.split("_text", " ").alias("_words"), phrase_filter(index).alias("_bits"))
+    runs = _item_phrases(F.col("_words"), lengths, F.col("_bits"))
+    x = x.select("item_id", "vendor", "_named", F.explode_outer(runs).alias("phrase"))
+    x = x.join(index.select("vendor", "phrase", F.lit(True).alias("_known")), ["vendor", "phrase"], "left")
+    g = x.groupBy("vendor", "item_id").agg(F.bool_or("_named").alias("_name"), F.coalesce(F.bool_or("_known"), F.lit(False)).alias("_alias"))
     by = F.when(F.col("_name"), F.lit("name")).when(F.col("_alias"), F.lit("alias"))
     return g.select("item_id", "vendor", (F.col("_name") | F.col("_alias")).alias("confirmed"), by.alias("matched_by"))
 

@@ -591,14 +591,14 @@ def recency_sql() -> str:
 
 
 def mention_sql(text: str, name: str) -> str:
-    return f"regexp_matches({text}, '(?i)(^|[^A-Za-z0-9])\\Q' || {name} || '\\E([^A-Za-z0-9]|$)')"
+    return (f"(trim({words_sql(name)}) <> '' AND contains(concat(' ', trim({words_sql(text)}), ' '), concat(' ', trim({words_sql(name)}), ' ')))")
 
 
 CONFIRMED = f"""
 SELECT item_id, vendor, name_hit OR alias_hit AS confirmed,
   CASE WHEN name_hit THEN 'name' WHEN alias_hit THEN 'alias' END AS matched_by
 FROM (
-  SELECT n.item_id, n.vendor, bool_or({mention_sql('n.text', 'n.vendor')}) AS name_hit,
+  SELECT n.item_id, n.vendor, bool_or(COALESCE({mention_sql('n.text', 'n.vendor')}, false)) AS name_hit,
     bool_or(COALESCE({mention_sql('n.text', 'a.alias')}, false)) AS alias_hit
   FROM v_news n LEFT JOIN v_aliases a ON a.vendor = n.vendor
   GROUP BY n.item_id, n.vendor) g"""
