@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.functions import cells
+from riskloom.operators.events import ABBREVIATION_PATTERN
 from riskloom.operators.ordering import global_position
 
 
-ABBREVIATION_PATTERN = r"(^|[^A-Za-z])(" + "|".join(rules.ABBREVIATIONS) + r"|[A-Z](?:\.[A-Z])*)\."
-
-
 def enrich_changes(latest: DataFrame, typed_book: DataFrame) -> DataFrame:
     """Latest change per vendor x current level and reason; duplicate names fan out."""
     cur = typed_book.select("vendor", "book_row_id", "risk_level", "risk_reason")

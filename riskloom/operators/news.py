@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import rules
+from riskloom.operators.events import events
 from riskloom.session import materialize
 
 
@@ -29,14 +30,6 @@ def text_key(c) -> Column:
     return F.md5(F.trim(F.lower(F.regexp_replace(col, rules.NON_WORD_PATTERN, " "))))
 
 
-def _matches(norm: Column, table, kinds=None) -> Column:
-    """Names of the rule rows whose pattern matches, in table order (an array column)."""
-    return F.filter(
-        F.array(*[F.when(norm.rlike(p), F.lit(name)) for name, kind, p in table if kinds is None or kind in kinds]),
-        lambda x: x.isNotNull(),
-    )
-
-
 # --- R1 ------------------------------------------------------------------------------
 
 
@@ -180,9 +173,9 @@ def recency(items: DataFrame, as_of: dt.date, days: int = rules.RECENCY_DAYS) ->
 # --- R4, R12 -----------------------------------------------------------------------------
 
 
-def item_features(items: DataFrame) -> DataFrame:
-    """One narrow pass over whole texts: normalised text key, event date, scope categories,
-    rubric matches and carve-out markers. The text itself is dropped afterwards."""
+def item_base(items: DataFrame) -> DataFrame:
+    """One narrow pass over whole texts: normalised text key, item date, and whether a matter is called
+    concluded or continuing. The text itself is dropped."""
     norm = norm_text("text")
     event_on, dated_by = event_date(F.col("text"), F.col("published_on"))
     x = items.select(
@@ -190,25 +183,35 @@ def item_features(items: DataFrame) -> DataFrame:
         norm.alias("norm"), text_key("text").alias("text_key"),
         event_on.alias("event_on"), dated_by.alias("dated_by"),
     )
-    in_cats = _matches(F.col("norm"), rules.SCOPE_LEXICON, {"in"})
-    out_cats = _matches(F.col("norm"), rules.SCOPE_LEXICON, {"out", "transit"})
-    transit = _matches(F.col("norm"), rules.SCOPE_LEXICON, {"transit"})
-    rubric = F.filter(
-        F.array(*[F.when(F.col("norm").rlike(p), F.struct(F.lit(i).alias("ord"), F.lit(c).alias("condition"), F.lit(l).alias("level")))
-                  for i, (c, l, p) in enumerate(rules.RUBRIC)]),
-        lambda r: r.isNotNull(),
-    )
     return x.select(
         *[c for c in x.columns if c != "norm"],
-        in_cats.alias("in_categories"), out_cats.alias("out_categories"),
-        transit.alias("transit_categories"), rubric.alias("rubric"),
-        F.col("norm").rlike(rules.NEW_MODELS_ONLY_PATTERN).alias("new_models_only"),
-        F.col("norm").rlike(rules.RESOLUTION_PATTERN).alias("is_resolution"),
         F.col("norm").rlike(_words_pattern(rules.CONCLUDING_WORDS)).alias("concluded"),
         F.col("norm").rlike(_words_pattern(rules.CONTINUING_PHRASES)).alias("continuing"),
     )
 
 
+def item_features(items: DataFrame) -> DataFrame:
+    """``item_base`` with the item's events: ``events`` in table order, and what rules ask of them."""
+    found = events(items).groupBy("item_id").agg(F.array_sort(F.collect_list(
+        F.struct("ord", "sent", "kind", "name", "level", "event_on", "dated_by"))).alias("events"))
+    none = F.array().cast(found.schema["events"].dataType)
+    x = item_base(items).join(found, "item_id", "left").withColumn("events", F.coalesce("events", none))
+
+    def names(*kinds):
+        return F.array_distinct(F.transform(F.filter("events", lambda e: e["kind"].isin(*kinds)), lambda e: e["name"]))
+
+    def marked(name):
+        return F.exists("events", lambda e: (e["kind"] == "mark") & (e["name"] == name))
+
+    rubric = F.filter("events", lambda e: e["kind"] == "rubric")
+    return x.select(
+        "*", names("in").alias("in_categories"), names("out", "transit").alias("out_categories"),
+        names("transit").alias("transit_categories"),
+        F.array_distinct(F.transform(rubric, lambda e: F.struct(e["name"].alias("condition"), e["level"].alias("level")))).alias("rubric"),
+        marked("new_models_only").alias("new_models_only"), marked("resolution").alias("is_resolution"),
+    )
+
+
 def scope(features: DataFrame) -> DataFrame:
     """In scope when an in-scope category (or a rubric indicator) fits. Goods in transit and the
     other out-of-scope kinds exclude their own events only; they are kept for the reason (R16)."""
@@ -234,8 +237,7 @@ def explode_rows(df: DataFrame, array_col, name: str, *keep) -> DataFrame:
 
 
 def indicator_matches(features: DataFrame) -> DataFrame:
-    """One row per (item, rubric condition) matched; the rubric is a fixed table compiled
-    into the projection, so there is no join."""
+    """One row per (item, rubric condition) that some sentence of the item states."""
     return explode_rows(features, "rubric", "r", "item_id", "vendor", "outlet", "tier", "published_on").select(
         "item_id", "vendor", F.col("r.condition").alias("condition"), F.col("r.level").alias("level"),
         "outlet", "tier", "published_on")

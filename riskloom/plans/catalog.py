@@ -14,6 +14,7 @@ from riskloom import rules
 from riskloom.functions import cells
 from riskloom.operators import alert as A
 from riskloom.operators import book as B
+from riskloom.operators import events as E
 from riskloom.operators import news as R
 from riskloom.operators import changes as C
 from riskloom.operators import notes as N
@@ -279,10 +280,19 @@ def q_run_summary(spark, sf_dir):
 # --- news selection -----------------------------------------------------------------
 
 
+def base(spark, sf_dir):
+    return R.item_base(bindings.news(spark, sf_dir))
+
+
 def features(spark, sf_dir):
     return R.item_features(bindings.news(spark, sf_dir))
 
 
+def q_news_events(spark, sf_dir):
+    """The events of every sentence, each with its own date."""
+    return E.events(bindings.news(spark, sf_dir))
+
+
 def confirmed(spark, sf_dir):
     return R.confirm_entities(bindings.news(spark, sf_dir), bindings.aliases(spark, sf_dir))
 
@@ -296,13 +306,13 @@ def q_entity_match(spark, sf_dir):
 
 
 def q_event_dated_items(spark, sf_dir):
-    return R.dated_items(features(spark, sf_dir))
+    return R.dated_items(base(spark, sf_dir))
 
 
 def q_recent_items(spark, sf_dir):
     # lineage cut after the regex pass, so the recency filter is not pushed into (and does not
     # repeat) the text projection
-    f = materialize(features(spark, sf_dir))
+    f = materialize(base(spark, sf_dir))
     return f.where(R.recency(f, rules.AS_OF)).select("item_id", "vendor", "outlet", "tier", "published_on", "event_on")
 
 
@@ -317,7 +327,7 @@ def q_source_tier(spark, sf_dir):
 
 
 def q_syndication_exact(spark, sf_dir):
-    return R.syndication_exact(features(spark, sf_dir))
+    return R.syndication_exact(base(spark, sf_dir))
 
 
 def q_scale_figures(spark, sf_dir):
@@ -329,7 +339,7 @@ def q_note_violations(spark, sf_dir):
 
 
 def q_items_per_vendor(spark, sf_dir):
-    counts = R.item_counts(materialize(features(spark, sf_dir)), confirmed(spark, sf_dir), rules.AS_OF)
+    counts = R.item_counts(materialize(base(spark, sf_dir)), confirmed(spark, sf_dir), rules.AS_OF)
     return R.items_per_vendor(book_text(spark, sf_dir), counts)
 
 

@@ -25,43 +25,44 @@ from riskloom.sources.change_log import assign_ids, read_change_log, write_chang
 from riskloom.sources.notes import write_notes
 from riskloom.sources.outbox import append_outbox
 
-EVIDENCE_IDS = 1_000  # evidence ids of one item
-EVIDENCE_ORD_DEFAULT = 500
-EVIDENCE_ORD_EXCLUDED = 600
+EVIDENCE_IDS = 1_000_000  # evidence ids of one item
+EVIDENCE_RULES = 1_000    # of one rule and item, by sentence
 
 
 def news_evidence(reps: DataFrame) -> DataFrame:
     """Evidence rows from selected news items (one per item after syndication dedupe).
 
-    In-scope items give one row per rubric condition, or a level-1 row for their first
-    category when no indicator matched (X4), and an excluded level-0 row for each kind of goods in
-    transit; out-of-scope items give one level-0 row per excluded kind, kept for the roll-up's "all
-    out of scope" rule and the reason. Evidence is dated by its event (R5). All cases are one array per item and one explode, with no filter before it.
+    Each event of a rubric condition gives a row, dated by its own date (R5); the same condition with the same
+    date counts once. An in-scope item without any gives a level-1 row for its first category
+    (X4). Kinds of goods in transit, and out-of-scope kinds of sentences that state nothing in scope, give
+    level-0 rows, kept for the roll-up's "all out of scope" rule and the reason. All cases are one array
+    per item and one explode, with no filter before it.
     """
-    in_scope = (F.size("in_categories") > 0) | (F.size("rubric") > 0)
-    base = ["item_id", "vendor", "outlet", "tier", "event_on", "new_models_only", "is_resolution"]
-
-    def row(ord_, cond, level, inside):
-        return F.struct(ord_.alias("ord"), cond.alias("condition"), level.alias("level"), F.lit(inside).alias("in_scope"))
-
-    def excluded(kinds):
-        return F.transform(kinds, lambda c, i: row(i + EVIDENCE_ORD_EXCLUDED, c, F.lit(0), False))
-
-    matched = F.transform("rubric", lambda r: row(r["ord"], r["condition"], r["level"], True))
-    routine = F.array(row(F.lit(EVIDENCE_ORD_DEFAULT), F.get("in_categories", F.lit(0)), F.lit(1), True))
-    rows = (F.when(F.size("rubric") > 0, F.concat(matched, excluded("transit_categories")))
-            .when(in_scope, F.concat(routine, excluded("transit_categories")))
-            .otherwise(excluded("out_categories")))
-    x = reps.select(*base, rows.alias("_rows"))
-    ev = R.explode_rows(x, "_rows", "e", *base)
-    return ev.select(
-        (F.col("item_id") * EVIDENCE_IDS + F.col("e.ord")).alias("evidence_id"),
-        "vendor", F.col("e.condition").alias("condition"), F.col("e.level").alias("level"),
-        "outlet", "tier", F.col("e.in_scope").alias("in_scope"), "new_models_only",
-        F.col("e.condition").isin(*rules.BREACH_CONDITIONS).alias("is_breach"),
-        F.col("e.condition").isin(*rules.GOING_CONCERN_CONDITIONS).alias("is_going_concern"),
+    base = ["item_id", "vendor", "outlet", "tier", "new_models_only", "is_resolution"]
+
+    def kind(*kinds):
+        return F.filter("events", lambda e: e["kind"].isin(*kinds))
+
+    # the first event of each name (and date): the events are in table order
+    def once(array, dated):
+        same = lambda a, b: (a["name"] == b["name"]) & (a["event_on"].eqNullSafe(b["event_on"]) if dated else F.lit(True))
+        start = F.slice(array, 1, 0)
+        return F.aggregate(array, start, lambda kept, e: F.when(F.exists(kept, lambda k: same(k, e)), kept).otherwise(F.concat(kept, F.array(e))))
+
+    stated = F.transform(kind("in", "rubric"), lambda e: e["sent"])
+    out = F.filter(kind("out", "transit"), lambda e: (e["kind"] == "transit") | ~F.array_contains(stated, e["sent"]))
+    x = reps.select(*base, once(kind("rubric"), True).alias("_rubric"), F.slice(kind("in"), 1, 1).alias("_first"), once(out, False).alias("_out"))
+    routine = F.when(F.size("_rubric") == 0, F.transform("_first", lambda e: e.withField("level", F.lit(1)))).otherwise(F.slice("_first", 1, 0))
+    x = R.explode_rows(x, F.concat("_rubric", routine, "_out"), "e", *base)
+    in_scope = F.col("e.kind").isin("in", "rubric")
+    return x.select(
+        (F.col("item_id") * EVIDENCE_IDS + F.col("e.ord") * EVIDENCE_RULES + F.least(F.col("e.sent"), F.lit(EVIDENCE_RULES - 1))).alias("evidence_id"),
+        "vendor", F.col("e.name").alias("condition"), F.col("e.level").alias("level"),
+        "outlet", "tier", in_scope.alias("in_scope"), "new_models_only",
+        F.col("e.name").isin(*rules.BREACH_CONDITIONS).alias("is_breach"),
+        F.col("e.name").isin(*rules.GOING_CONCERN_CONDITIONS).alias("is_going_concern"),
         "is_resolution",
-        F.col("event_on").cast("timestamp_ntz").alias("published_at"),
+        F.col("e.event_on").cast("timestamp_ntz").alias("published_at"),
     )
 
 

@@ -7,6 +7,7 @@ inlined as CTEs, then the query itself is plain SQL.
 from __future__ import annotations
 
 from riskloom import rules
+from riskloom.operators import events as EV
 from riskloom.sources.bindings import TEMPLATES
 
 
@@ -557,14 +558,65 @@ AS_OF_SQL = f"DATE '{rules.AS_OF.isoformat()}'"
 WINDOW_START_SQL = f"(DATE '{rules.AS_OF.isoformat()}' - {rules.RECENCY_DAYS})"
 
 
-def matches_list_sql(norm: str, table, kinds) -> str:
-    whens = ", ".join(f"CASE WHEN regexp_matches({norm}, {_q(p)}) THEN {_q(n)} END"
-                      for n, k, p in table if k in kinds)
-    return f"list_filter([{whens}], lambda x: x IS NOT NULL)"
-
-
-def rubric_any_sql(norm: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches({norm}, {_q(p)})" for _, _, p in rules.RUBRIC) + ")"
+def event_ctes(src: str = "v_news") -> dict[str, str]:
+    """Events by sentence (R4, R12) with their dates (R5), from the rule tables as VALUES."""
+    lex = ", ".join("(" + ", ".join([_q(r[0]), *map(str, r[1:])]) + ")" for r in EV.lexicon_rows())
+    frames = (*rules.FRAMES, "sentence")
+    rule_cols = ["word", "ord", "kind", "name", "level", *[f"need_{f}" for f in frames], *[f"block_{f}" for f in frames]]
+    rule = ", ".join("(" + ", ".join(_q(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in EV.rule_rows())
+    marked = f"regexp_replace(text, {_q(EV.ABBREVIATION_PATTERN)}, '\\1\\2' || chr(1), 'g')"
+    marked = f"regexp_replace({marked}, {_q(EV.ISO_PATTERN)}, ' {EV.ISO_WORD}\\1\\2\\3 ', 'g')"
+    marked = f"regexp_replace({marked}, {_q(EV.PERIOD_PATTERN)}, ' {EV.PERIOD_WORD}\\1x\\2 ', 'g')"
+    month = "CASE substr(w.word, 8, 2) " + " ".join(f"WHEN '{k}' THEN {m}" for k, m in EV.PERIOD_MONTHS.items()) + " END"
+    date = (f"CASE WHEN starts_with(w.word, '{EV.ISO_WORD}') THEN TRY_CAST(substr(w.word, 8, 4) || '-' || substr(w.word, 12, 2) || '-' || substr(w.word, 14, 2) AS DATE) "
+            f"WHEN starts_with(w.word, '{EV.PERIOD_WORD}') THEN last_day(make_date(TRY_CAST(substr(w.word, 11, 4) AS INTEGER), {month}, 1)) END")
+
+    def around(col, frame):
+        side = lambda n: f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+        return f"COALESCE(bit_or({col}) OVER (PARTITION BY item_id, sent ORDER BY pos RANGE BETWEEN {side(frame[0])} AND {side(frame[1])}), 0)"
+
+    fires = " AND ".join(f"(x.in_{f} & r.need_{f}) = r.need_{f} AND (x.in_{f} & r.block_{f}) = 0" for f in frames)
+    before = "OVER (PARTITION BY item_id ORDER BY sent, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    behind = "OVER (PARTITION BY item_id ORDER BY sent, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    dates = ", ".join(
+        f"last_value(CASE WHEN d IS NOT NULL THEN {c} END IGNORE NULLS) {before} AS before_{n}, first_value(CASE WHEN d IS NOT NULL THEN {c} END IGNORE NULLS) {behind} AS behind_{n}"
+        for n, c in (("sent", "sent"), ("pos", "pos"), ("d", "d"), ("by", f"CASE WHEN starts_with(word, '{EV.ISO_WORD}') THEN 'iso' ELSE 'period' END")))
+    near = lambda side: f"CASE WHEN {side}_sent = sent THEN abs({side}_pos - pos) ELSE 1000000000 + abs({side}_sent - sent) END"
+    return {
+        "lexicon": f"SELECT * FROM (VALUES {lex}) t(word, {', '.join(EV.BITS)})",
+        "event_rules": f"SELECT * FROM (VALUES {rule}) t({', '.join(rule_cols)})",
+        "ev_sents": f"""
+SELECT item_id, published_on, unnest(p) AS s, unnest(range(len(p))) AS sent
+FROM (SELECT item_id, published_on, string_split_regex({marked}, {_q(EV.SENTENCE_END)}) AS p FROM {src}) x""",
+        "ev_words": f"""
+SELECT item_id, published_on, sent, unnest(w) AS word, unnest(range(len(w))) AS pos
+FROM (SELECT item_id, published_on, sent, string_split(trim({words_sql('s')}), ' ') AS w FROM ev_sents) x""",
+        "ev_hits": f"""
+SELECT * FROM (
+  SELECT w.*, {date} AS d, l.word IS NOT NULL AS listed, {', '.join(f'COALESCE(l.{b}, 0) AS {b}' for b in EV.BITS)}
+  FROM ev_words w LEFT JOIN lexicon l ON l.word = w.word) x
+WHERE listed OR d IS NOT NULL""",
+        "ev_negated": f"SELECT *, {around('negator', rules.NEGATION_BEFORE)} <> 0 AS negated FROM ev_hits",
+        "ev_clear": "SELECT * REPLACE (CASE WHEN negated THEN 0 ELSE lifter END AS lifter, CASE WHEN negated THEN 0 ELSE sentence END AS sentence) FROM ev_negated",
+        "ev_seen": f"""
+SELECT *, {', '.join(f'{around(f, frame)} AS in_{f}' for f, frame in rules.FRAMES.items())},
+  bit_or(sentence) OVER (PARTITION BY item_id, sent) AS in_sentence,
+  negated OR {around('lifter', rules.NEGATION_AFTER)} <> 0 AS denied, {dates}
+FROM ev_clear""",
+        "ev_fired": f"""
+SELECT x.item_id, x.sent, x.pos, x.published_on, r.ord, r.kind, r.name, r.level,
+  CASE WHEN before_d IS NULL THEN behind_d WHEN behind_d IS NULL OR {near('before')} <= {near('behind')} THEN before_d ELSE behind_d END AS d,
+  CASE WHEN before_d IS NULL THEN behind_by WHEN behind_d IS NULL OR {near('before')} <= {near('behind')} THEN before_by ELSE behind_by END AS by_
+FROM ev_seen x JOIN event_rules r ON r.word = x.word
+WHERE {fires} AND (r.kind <> 'rubric' OR NOT x.denied)""",
+        "events_x": """
+SELECT item_id, sent, ord, kind, name, level, event_on, dated_by FROM (
+  SELECT item_id, sent, kind, name, level, COALESCE(d, published_on) AS event_on,
+    CASE WHEN d IS NOT NULL THEN by_ WHEN published_on IS NOT NULL THEN 'published' END AS dated_by,
+    min(ord) OVER (PARTITION BY item_id, sent, kind, name, level) AS ord,
+    row_number() OVER (PARTITION BY item_id, sent, kind, name, level ORDER BY pos, ord) AS rn
+  FROM ev_fired) x WHERE rn = 1""",
+    }
 
 
 ISO_SQL = "TRY_CAST(NULLIF(regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS DATE)"
@@ -670,29 +722,29 @@ SELECT vendor, outlet, CAST(NULL AS BIGINT), 'quotes_per_source', CAST(count(*)
 FROM quotes GROUP BY vendor, outlet HAVING count(*) > {rules.QUOTES_PER_SOURCE}"""
 
 
-def rubric_rows_sql(src: str = "features") -> str:
-    return "\nUNION ALL\n".join(
-        f"SELECT item_id, vendor, {_q(c)} AS condition, {lvl} AS level, outlet, tier, published_on FROM {src} "
-        f"WHERE regexp_matches(norm, {_q(p)})"
-        for c, lvl, p in rules.RUBRIC)
-
-
 def news_statements() -> dict[str, str]:
     f = {"features": FEATURES}
-    in_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"in"})
-    out_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"out", "transit"})
-    transit_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"transit"})
-    has_in = f"(len({in_list}) > 0 OR {rubric_any_sql('norm')})"
+    ev = event_ctes()
+    listed = {
+        **ev,
+        "named": "SELECT item_id, kind, name, min(ord) AS o FROM events_x GROUP BY item_id, kind, name",
+        "per_item": """
+SELECT item_id, bool_or(kind IN ('in', 'rubric')) AS in_scope, bool_or(kind <> 'mark') AS has_event,
+  string_agg(name, ', ' ORDER BY o) FILTER (kind = 'in') AS categories,
+  string_agg(name, ', ' ORDER BY o) FILTER (kind IN ('out', 'transit')) AS excluded_kinds
+FROM named GROUP BY item_id""",
+    }
     return {
         "search_worklist": with_views("SELECT * FROM worklist", {"book_text": BOOK_TEXT, "vv": VV, "worklist": WORKLIST}),
         "entity_match": with_views("SELECT * FROM confirmed", {"confirmed": CONFIRMED}),
         "event_dated_items": with_views("SELECT item_id, published_on, event_on, dated_by FROM features", f),
         "recent_items": with_views(
             f"SELECT item_id, vendor, outlet, tier, published_on, event_on FROM features WHERE {recency_sql()}", f),
+        "news_events": with_views("SELECT * FROM events_x", ev),
         "scoped_items": with_views(
-            f"SELECT item_id, vendor, {has_in} AS in_scope, "
-            f"{has_in} OR len({out_list}) > 0 AS has_event, "
-            f"array_to_string({in_list}, ', ') AS categories, array_to_string({out_list}, ', ') AS excluded_kinds FROM features", f),
+            "SELECT n.item_id, n.vendor, COALESCE(p.in_scope, false) AS in_scope, COALESCE(p.has_event, false) AS has_event, "
+            "COALESCE(p.categories, '') AS categories, COALESCE(p.excluded_kinds, '') AS excluded_kinds "
+            "FROM v_news n LEFT JOIN per_item p ON p.item_id = n.item_id", listed),
         "source_tier": (
             f"SELECT page_id, url, {HOST_SQL} AS host, CASE WHEN regexp_matches({HOST_SQL}, {_q(rules.PRIMARY_HOST_PATTERN)}) "
             f"OR regexp_matches(url, {_q(rules.PRIMARY_PATH_PATTERN)}) THEN 1 "
@@ -711,7 +763,9 @@ def news_statements() -> dict[str, str]:
 SELECT f.vendor, count(*) AS n_items, CAST(count_if(c.confirmed) AS BIGINT) AS n_confirmed,
   CAST(count_if(c.confirmed AND {recency_sql()}) AS BIGINT) AS n_selected
 FROM features f LEFT JOIN confirmed c ON c.item_id = f.item_id GROUP BY f.vendor"""}),
-        "indicator_match": with_views(rubric_rows_sql(), f),
+        "indicator_match": with_views(
+            "SELECT DISTINCT n.item_id, n.vendor, e.name AS condition, e.level, n.outlet, n.tier, n.published_on "
+            "FROM v_news n JOIN events_x e ON e.item_id = n.item_id WHERE e.kind = 'rubric'", ev),
     }
 
 
@@ -731,15 +785,6 @@ FROM (
 
 
 def monitor_ctes() -> dict[str, str]:
-    in_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"in"})
-    out_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"out", "transit"})
-    transit_list = matches_list_sql("norm", rules.SCOPE_LEXICON, {"transit"})
-    rubric_any = rubric_any_sql("norm")
-    ev_cols = "vendor, outlet, tier, new_models_only, is_resolution, event_on"
-    matched = "\nUNION ALL\n".join(
-        f"SELECT item_id * 1000 + {i} AS evidence_id, {_q(c)} AS condition, {lvl} AS level, true AS in_scope, {ev_cols} "
-        f"FROM scoped WHERE in_scope AND regexp_matches(norm, {_q(p)})"
-        for i, (c, lvl, p) in enumerate(rules.RUBRIC))
     return {
         "book_text": BOOK_TEXT,
         "queue": QUEUE,
@@ -753,20 +798,28 @@ SELECT f.* FROM features f JOIN confirmed c ON c.item_id = f.item_id WHERE c.con
         "reps": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vendor, text_key
   ORDER BY tier, published_on ASC NULLS LAST, item_id) AS rn FROM selected) x WHERE rn = 1""",
-        "scoped": f"""
-SELECT *, (len({in_list}) > 0 OR {rubric_any}) AS in_scope,
-  {in_list} AS in_list, {out_list} AS out_list, {transit_list} AS transit_list, {rubric_any} AS rubric_any,
-  regexp_matches(norm, {_q(rules.NEW_MODELS_ONLY_PATTERN)}) AS new_models_only,
-  regexp_matches(norm, {_q(rules.RESOLUTION_PATTERN)}) AS is_resolution
-FROM reps""",
-        "ev_raw": f"""
-{matched}
+        **event_ctes("reps"),
+        "marks": """
+SELECT item_id, bool_or(kind = 'mark' AND name = 'new_models_only') AS new_models_only, bool_or(kind = 'mark' AND name = 'resolution') AS is_resolution,
+  bool_or(kind = 'rubric') AS has_rubric
+FROM events_x GROUP BY item_id""",
+        "stated": "SELECT DISTINCT item_id, sent FROM events_x WHERE kind IN ('in', 'rubric')",
+        "ev_kept": """
+SELECT item_id, name, level, kind, ord, sent, event_on FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, name, event_on ORDER BY ord, sent) AS rn FROM events_x WHERE kind = 'rubric') a WHERE rn = 1
 UNION ALL
-SELECT item_id * 1000 + 500, in_list[1], 1, true, {ev_cols} FROM scoped WHERE in_scope AND NOT rubric_any
+SELECT item_id, name, 1, kind, ord, sent, event_on FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ord, sent) AS rn FROM events_x WHERE kind = 'in'
+    AND item_id NOT IN (SELECT item_id FROM marks WHERE has_rubric)) b WHERE rn = 1
 UNION ALL
-SELECT item_id * 1000 + 599 + ord, cat, 0, false, {ev_cols}
-FROM (SELECT *, unnest(kinds) AS cat, unnest(range(1, len(kinds) + 1)) AS ord
-  FROM (SELECT *, CASE WHEN in_scope THEN transit_list ELSE out_list END AS kinds FROM scoped) k) u""",
+SELECT item_id, name, level, kind, ord, sent, event_on FROM (
+  SELECT e.*, row_number() OVER (PARTITION BY e.item_id, e.name ORDER BY e.ord, e.sent) AS rn
+  FROM events_x e LEFT JOIN stated s ON s.item_id = e.item_id AND s.sent = e.sent
+  WHERE e.kind = 'transit' OR (e.kind = 'out' AND s.item_id IS NULL)) c WHERE rn = 1""",
+        "ev_raw": """
+SELECT e.item_id * 1000000 + e.ord * 1000 + least(e.sent, 999) AS evidence_id, e.name AS condition, e.level, e.kind IN ('in', 'rubric') AS in_scope,
+  r.vendor, r.outlet, r.tier, m.new_models_only, m.is_resolution, e.event_on
+FROM ev_kept e JOIN reps r ON r.item_id = e.item_id JOIN marks m ON m.item_id = e.item_id""",
         "news_evidence": f"""
 SELECT evidence_id, vendor, condition, level, outlet, tier, in_scope, new_models_only,
   condition IN ({sql_list(rules.BREACH_CONDITIONS)}) AS is_breach,

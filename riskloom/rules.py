@@ -5,11 +5,8 @@ Two kinds of values live here:
 * FIXED VALUES that must equal the reference application's behaviour (spellings,
   threshold, texts, formats). They are listed plainly, in the order the
   reference states them.
-* Our own rule tables for the re-aimed news and scoring rules (lexicons, rubric
-  patterns, tier rules). Patterns run over ``norm_text``: the text with every run
-  of characters outside ``[A-Za-z0-9]`` replaced by one space, lower-cased and
-  padded with one space on each side, so `` word `` matches a whole word in both
-  Spark (Java regex) and DuckDB (RE2) alike.
+* Our own rule tables for the re-aimed news and scoring rules (event rules by words and their
+  distances, tier rules). Words are runs of letters and digits of any script, in lower case.
 """
 
 from __future__ import annotations
@@ -91,80 +88,142 @@ RUN_START = _dt.datetime(2024, 1, 29, 12, 0, 0)
 QUEUE_K = 25
 ALERT_PAGE_LINES = 1000
 
-# Scope lexicon: (category, kind, pattern); kind is "in", "out" or "transit".
-SCOPE_LEXICON = (
-    ("ownership_change", "in", r" (acquired|acquires|acquisition|merger|merged|takeover|buyout|change of control) "),
-    ("insolvency_restructuring", "in", r" (chapter (7|11)|insolven[a-z]*|bankrupt[a-z]*|restructuring|receivership|going concern) "),
-    ("facility", "in", r" (plant|plants|facility|facilities|factory|factories) "),
-    ("production_shipment", "in", r" (production|capacity|shipment|shipments|shipping|output) "),
-    ("sanctions_export", "in", r" (entity list|sanction[a-z]*|export control[a-z]*|ofac|bis|covered list|uflpa) "),
-    ("certification_regulatory", "in", r" (recall[a-z]*|certification[a-z]*|regulator[a-z]*|enforcement) "),
-    ("litigation", "in", r" (litigation|lawsuit|court|sued|settled|settlement) "),
-    ("executive_change", "in", r" (ceo|cfo|appointed|resigned|departure) "),
-    ("financial_results", "in", r" (revenue|losses|results|earnings|profit) "),
-    ("product_lifecycle", "in", r" (launched|launches|discontinued|discontinues) "),
-    ("supply_agreement", "in", r" (supply agreement[s]?|contract[s]?|customer (win|loss)) "),
-    ("share_price", "out", r" (share price|stock price|shares (fell|rose)) "),
-    ("analyst_rating", "out", r" (analyst[s]?|price target) "),
-    ("market_commentary", "out", r" (market commentary|market outlook) "),
-    ("product_review", "out", r" (product review[s]?|hands on) "),
-    ("benchmark", "out", r" (benchmark[s]?) "),
-    ("award", "out", r" (award[s]?|awarded) "),
-    ("marketing", "out", r" (marketing|advertis[a-z]*|campaign[s]?) "),
-    ("opinion_speculation", "out", r" (opinion[s]?|speculat[a-z]*|rumou?r[s]?) "),
-    ("goods_in_transit", "transit", r" (port congestion|port strike|vessel[s]?|carrier delay[s]?|freight rate[s]?|weather|typhoon|hurricane) "),
+# Event rules: (name, kind, level, anchor words, needs, blocks). Texts are read sentence by sentence, as
+# lower-case words. A rule fires at an anchor word when each need ("frame: words") has one of its words in
+# that frame around the anchor, and no block has. Frames in words from the anchor: FRAMES; "sentence" is
+# the whole sentence. Kinds: "in", "out" and "transit" are scope categories (R4), "rubric" are conditions
+# of a fixed level (R12), "mark" are carve-out markers (R15). A negated anchor fires no rubric rule.
+FRAMES = {"near": (-8, 8), "close": (-4, 4), "next": (1, 1), "prev": (-1, -1)}
+NEGATION_BEFORE = (-5, -1)  # a negator in this frame denies the anchor
+NEGATION_AFTER = (1, 6)     # so does a lifting word in this one
+NEGATORS = "no not never without denied denies deny denying unlikely neither nor none avoid avoids avoided avoiding averted averts"
+LIFTERS = "lifted removed cleared dismissed averted avoided denied rescinded overturned reversed cancelled canceled"
+_FILED = ("near:file files filed filing protection petition petitions bankruptcy court creditors enter enters entered under seek seeks sought "
+          "reorganization proceeding proceedings")
+_CARVE = "sentence:carve carveout exempt exempts exempted exemption exemptions"
+_IMPORTS = "near:import imports importing export exports exporting"
+EVENT_RULES = (
+    # scope: in
+    ("ownership_change", "in", 0, "acquired acquires acquisition merger merged takeover buyout", (), ()),
+    ("ownership_change", "in", 0, "control ownership", ("close:change changes changed",), ()),
+    ("insolvency_restructuring", "in", 0, "chapter", ("next:7 11", _FILED), ()),
+    ("insolvency_restructuring", "in", 0, "insolvent insolvency insolvencies bankrupt bankruptcy bankruptcies restructuring receivership", (), ()),
+    ("insolvency_restructuring", "in", 0, "concern", ("prev:going",), ()),
+    ("facility", "in", 0, "plant plants facility facilities factory factories", (), ()),
+    ("production_shipment", "in", 0, "production capacity shipment shipments shipping output", (), ()),
+    ("sanctions_export", "in", 0, "list", ("prev:entity covered",), ()),
+    ("sanctions_export", "in", 0, "sanction sanctions sanctioned sanctioning ofac bis uflpa", (), ()),
+    ("sanctions_export", "in", 0, "control controls", ("prev:export",), ()),
+    ("certification_regulatory", "in", 0, "recall recalls recalled recalling certification certifications regulator regulators regulatory enforcement", (), ()),
+    ("litigation", "in", 0, "litigation lawsuit court sued settled settlement", (), ()),
+    ("executive_change", "in", 0, "ceo cfo appointed resigned departure", (), ()),
+    ("financial_results", "in", 0, "revenue losses results earnings profit", (), ()),
+    ("product_lifecycle", "in", 0, "launched launches discontinued discontinues", (), ()),
+    ("supply_agreement", "in", 0, "agreement agreements", ("prev:supply",), ()),
+    ("supply_agreement", "in", 0, "contract contracts", (), ()),
+    ("supply_agreement", "in", 0, "customer", ("next:win loss",), ()),
+    # scope: out
+    ("share_price", "out", 0, "price", ("prev:share stock",), ()),
+    ("share_price", "out", 0, "shares", ("next:fell rose",), ()),
+    ("analyst_rating", "out", 0, "analyst analysts", (), ()),
+    ("analyst_rating", "out", 0, "price", ("next:target targets",), ()),
+    ("market_commentary", "out", 0, "market", ("next:commentary outlook",), ()),
+    ("product_review", "out", 0, "review reviews", ("prev:product",), ()),
+    ("product_review", "out", 0, "hands", ("next:on",), ()),
+    ("benchmark", "out", 0, "benchmark benchmarks", (), ()),
+    ("award", "out", 0, "award awards awarded", (), ()),
+    ("marketing", "out", 0, "marketing advertise advertised advertises advertiser advertisers advertising advertisement advertisements campaign campaigns", (), ()),
+    ("opinion_speculation", "out", 0, "opinion opinions speculate speculates speculated speculating speculation speculations rumor rumors rumour rumours", (), ()),
+    # goods in transit
+    ("goods_in_transit", "transit", 0, "port", ("next:congestion strike strikes",), ()),
+    ("goods_in_transit", "transit", 0, "carrier", ("next:delay delays",), ()),
+    ("goods_in_transit", "transit", 0, "freight", ("next:rate rates",), ()),
+    ("goods_in_transit", "transit", 0, "vessel vessels weather typhoon hurricane", (), ()),
+    # level 5
+    ("insolvency_proceeding", "rubric", 5, "chapter", ("next:7 11", _FILED), ()),
+    ("insolvency_proceeding", "rubric", 5, "insolvency", ("near:proceeding proceedings file files filed filing declare declares declared open opens opened petition court",), ()),
+    ("insolvency_proceeding", "rubric", 5, "insolvent bankrupt bankruptcy insolvenzverfahren redressement", (), ()),
+    ("insolvency_proceeding", "rubric", 5, "liquidation", ("next:judiciaire",), ()),
+    ("insolvency_proceeding", "rubric", 5, "rehabilitation", ("prev:civil",), ()),
+    ("receivership", "rubric", 5, "receivership", (), ()),
+    ("receivership", "rubric", 5, "receiver receivers", ("close:appoint appoints appointed named",), ()),
+    ("administration", "rubric", 5, "administration", ("prev:enter enters entered entering into in",), ()),
+    ("administration", "rubric", 5, "administration", ("next:was entered",), ()),
+    ("administration", "rubric", 5, "administrator administrators", ("close:appoint appoints appointed called",), ()),
+    ("administration", "rubric", 5, "cva", (), ()),
+    ("administration", "rubric", 5, "arrangement", ("prev:voluntary",), ()),
+    ("payment_default", "rubric", 5, "default defaults defaulted", ("near:payment payments interest principal bond bonds loan loans debt debts note notes",), ()),
+    ("liquidation", "rubric", 5, "liquidation liquidated liquidating", (), ("next:judiciaire",)),
+    ("liquidation", "rubric", 5, "wound winding", ("next:up",), ()),
+    ("ceased_trading", "rubric", 5, "ceased ceases cease ceasing", ("close:trading operations operating",), ()),
+    ("trade_ban", "rubric", 5, "ban bans banned", (_IMPORTS,), (_CARVE,)),
+    ("ceased_manufacturing", "rubric", 5, "ceased ceases cease ceasing", ("close:manufacturing production producing manufacture",), ()),
+    ("revoked_authorization", "rubric", 5, "authorization authorizations authorisation authorisations", ("close:revoked revokes revoke revocation",), ()),
+    # level 4
+    ("trade_restriction", "rubric", 4, "ban bans banned", (_IMPORTS, _CARVE), ()),
+    ("going_concern", "rubric", 4, "concern", ("prev:going",), ()),
+    ("covenant_breach", "rubric", 4, "covenant covenants", ("close:breach breaches breached breaching waiver waivers waived violation violated",), ()),
+    ("late_filing", "rubric", 4, "late delayed overdue", ("close:filing filings accounts",), ()),
+    ("auditor_resignation", "rubric", 4, "auditor auditors", ("close:resign resigns resigned resigning resignation quit quits",), ()),
+    ("restructuring_advisors", "rubric", 4, "advisors advisers advisor adviser", ("close:restructuring",), ()),
+    ("missed_interest_payment", "rubric", 4, "missed misses missing skipped", ("close:interest coupon", "close:payment payments coupon"), ()),
+    ("negative_equity", "rubric", 4, "equity", ("close:negative",), ()),
+    ("delisting_notice", "rubric", 4, "delisting delisted delist", ("near:notice notices notified exchange criteria",), ()),
+    ("emergency_equity_raise", "rubric", 4, "raise raises raised raising offering", ("close:equity share shares", "close:emergency discounted"), ()),
+    ("restricted_party_listing", "rubric", 4, "list", ("prev:entity covered sdn",), ()),
+    ("restricted_party_listing", "rubric", 4, "ofac", (), ()),
+    ("uflpa_detention", "rubric", 4, "uflpa", (), ()),
+    ("uflpa_detention", "rubric", 4, "detained detains detention", ("close:customs border",), ()),
+    ("plant_closure_or_fire", "rubric", 4, "fire fires", ("near:plant plants factory factories facility facilities",), ()),
+    ("plant_closure_or_fire", "rubric", 4, "closure closures closed closes closing shut shuts", ("close:plant plants factory factories facility facilities",), ()),
+    ("lost_certification", "rubric", 4, "certification certifications", ("close:lost loses lose losing loss revoked withdrawn withdrawal",), ()),
+    ("shipment_delays", "rubric", 4, "shipment shipments", ("close:delay delays delayed late",), ()),
+    ("major_recall", "rubric", 4, "recall recalls", ("prev:product safety major nationwide mandatory voluntary",), ()),
+    ("major_recall", "rubric", 4, "recall recalls", ("next:of",), ()),
+    ("major_recall", "rubric", 4, "recalled recalls recalling", ("close:unit units product products model models display displays",), ()),
+    # level 3
+    ("sustained_losses", "rubric", 3, "losses", ("close:sustained consecutive sustains sustaining",), ()),
+    ("negative_cash_flow", "rubric", 3, "cash", ("next:flow flows", "close:negative"), ()),
+    ("covenant_pressure", "rubric", 3, "covenant covenants", ("close:limit limits near nears nearing",), ()),
+    ("speculative_downgrade", "rubric", 3, "junk speculative", ("close:downgrade downgrades downgraded rating ratings rated cut cuts grade lowered",), ()),
+    ("drawn_revolver", "rubric", 3, "revolver revolving", ("close:drew drawn draws draw drawing",), ()),
+    ("layoffs", "rubric", 3, "layoff layoffs", (), ()),
+    ("layoffs", "rubric", 3, "laid lay lays laying", ("next:off",), ()),
+    ("layoffs", "rubric", 3, "job jobs", ("close:cut cuts cutting",), ()),
+    ("asset_sales", "rubric", 3, "asset assets", ("close:sale sales sold sells sell selling",), ()),
+    ("regulatory_proceeding", "rubric", 3, "proceeding proceedings", ("close:regulatory regulator regulators",), ()),
+    ("regulatory_proceeding", "rubric", 3, "restriction restrictions restrict restricts restricted", ("close:import imports",), ()),
+    ("certification_review", "rubric", 3, "certification certifications", ("close:review reviewed reviews",), ()),
+    ("single_source_shortage", "rubric", 3, "shortage shortages", ("close:single sole component components",), ()),
+    ("ownership_change", "rubric", 3, "acquired bought", ("prev:was were is are been being be",), ()),
+    ("ownership_change", "rubric", 3, "acquired bought", ("next:by",), ()),
+    ("ownership_change", "rubric", 3, "taken", ("next:over",), ()),
+    ("ownership_change", "rubric", 3, "takeover", ("close:bid offer",), ()),
+    ("ownership_change", "rubric", 3, "takeover acquisition", ("next:of",), ()),
+    ("ownership_change", "rubric", 3, "merger", ("close:with agreement",), ()),
+    ("ownership_change", "rubric", 3, "merged", ("next:with into",), ()),
+    ("ownership_change", "rubric", 3, "control ownership", ("close:change changes changed",), ()),
+    ("ownership_change", "rubric", 3, "owner owners", ("close:new majority",), ()),
+    # level 2
+    ("sector_downturn", "rubric", 2, "downturn downturns", ("close:sector industry",), ()),
+    ("revenue_decline", "rubric", 2, "revenue revenues", ("close:decline declines declined declining fell falls fall drop drops dropped",), ()),
+    ("leadership_change", "rubric", 2, "ceo cfo", ("close:resign resigns resigned resignation depart departs departed departure stepped steps appointed appoints appointment new",), ()),
+    ("longer_lead_times", "rubric", 2, "lead", ("next:time times", "close:longer extended extends increased increases"), ()),
+    ("relocation", "rubric", 2, "relocation relocated relocates relocating relocate", (), ()),
+    # level 1
+    ("routine_operations", "rubric", 1, "announced", ("close:new",), ()),
+    ("routine_operations", "rubric", 1, "opened", ("next:a",), ()),
+    ("routine_operations", "rubric", 1, "launched settled results", (), ()),
+    ("profitable_results", "rubric", 1, "profitable", (), ()),
+    ("profitable_results", "rubric", 1, "profit profits", ("close:record",), ()),
+    ("profitable_results", "rubric", 1, "income", ("prev:net",), ()),
+    ("normal_refinancing", "rubric", 1, "refinancing refinance refinances refinanced", (), ()),
+    # carve-out markers
+    ("new_models_only", "mark", 0, "models model", ("close:new", "close:only"), ()),
+    ("resolution", "mark", 0, "refinancing refinance refinances refinanced", ("sentence:resolve resolves resolved resolving cure cures cured waiver",), ()),
 )
 
-# Rubric: (condition, level, pattern). A condition fixes its level.
-RUBRIC = (
-    ("insolvency_proceeding", 5, r" (chapter (7|11)|insolvency proceeding[s]?|insolvenzverfahren|redressement|liquidation judiciaire|civil rehabilitation|bankrupt|bankruptcy|insolvent) "),
-    ("receivership", 5, r" (receivership|receiver appointed) "),
-    ("administration", 5, r" ((entered|enters|into|in) administration|administrator[s]? (were |was )?appointed|company voluntary arrangement|cva) "),
-    ("payment_default", 5, r" (payment default|defaulted on) "),
-    ("liquidation", 5, r" (liquidation|liquidated) "),
-    ("ceased_trading", 5, r" (ceased trading|ceased operations) "),
-    ("trade_ban", 5, r" (import ban|export ban) "),
-    ("ceased_manufacturing", 5, r" (ceased manufacturing|ceased production) "),
-    ("revoked_authorization", 5, r" (authori[sz]ation revoked|revoked authori[sz]ation[s]?) "),
-    ("going_concern", 4, r" (going concern) "),
-    ("covenant_breach", 4, r" (covenant breach|breach of covenant[s]?|covenant waiver) "),
-    ("late_filing", 4, r" (late (statutory )?filing|delayed filing) "),
-    ("auditor_resignation", 4, r" (auditor resign[a-z]*) "),
-    ("restructuring_advisors", 4, r" (restructuring advis[a-z]*) "),
-    ("missed_interest_payment", 4, r" (missed (an )?interest payment[s]?) "),
-    ("negative_equity", 4, r" (negative (shareholders )?equity) "),
-    ("delisting_notice", 4, r" (delisting notice) "),
-    ("emergency_equity_raise", 4, r" (emergency (discounted )?(equity|share) (raise|offering)|discounted (equity|share) (raise|offering)) "),
-    ("restricted_party_listing", 4, r" (entity list|covered list|ofac|sdn list) "),
-    ("uflpa_detention", 4, r" (uflpa|detained at customs) "),
-    ("plant_closure_or_fire", 4, r" (plant closure|closed (its|a|the) plant|plant fire|factory fire) "),
-    ("lost_certification", 4, r" (lost (its )?certification|certification (revoked|withdrawn)) "),
-    ("shipment_delays", 4, r" (shipment delay[s]?|delayed shipment[s]?) "),
-    ("major_recall", 4, r" ((product|safety|major|nationwide|mandatory|voluntary) recall[s]?|recall[s]? of|(recalled|recalls) (its|all|[0-9]+)) "),
-    ("sustained_losses", 3, r" (sustained losses|consecutive losses) "),
-    ("negative_cash_flow", 3, r" (negative (operating )?cash flow) "),
-    ("covenant_pressure", 3, r" (covenant limit[s]?|near (its )?covenant[s]?) "),
-    ("speculative_downgrade", 3, r" (downgraded to (junk|speculative)|speculative grade) "),
-    ("drawn_revolver", 3, r" (drew|drawn) (on )?(its |the )?revolv[a-z]* "),
-    ("layoffs", 3, r" (layoff[s]?|laid off|job cuts) "),
-    ("asset_sales", 3, r" (asset sale[s]?|sold assets) "),
-    ("regulatory_proceeding", 3, r" (regulatory proceeding[s]?|import restriction[s]?) "),
-    ("certification_review", 3, r" (certification under review|certification review) "),
-    ("single_source_shortage", 3, r" (single source shortage|component shortage[s]?) "),
-    ("ownership_change", 3, r" ((was|is|been|being|be) (acquired|taken over|bought)|acquired by|acquisition by|takeover (bid|offer|of the)|merger (with|agreement)|merged (with|into)|change of control|new (majority )?owner[s]?) "),
-    ("sector_downturn", 2, r" (sector downturn|industry downturn) "),
-    ("revenue_decline", 2, r" (revenue decline|declining revenue|revenue fell) "),
-    ("leadership_change", 2, r" ((ceo|cfo) (resigned|departed|stepped down)|appointed (a )?new (ceo|cfo)) "),
-    ("longer_lead_times", 2, r" (longer lead time[s]?|lead times (extended|increased)) "),
-    ("relocation", 2, r" (relocation|relocated|relocates|relocating) "),
-    ("routine_operations", 1, r" (announced a new|opened a|launched|settled|results) "),
-    ("profitable_results", 1, r" (profitable|record profit|net income) "),
-    ("normal_refinancing", 1, r" (refinanc[a-z]*) "),
-)
-
-# Evidence markers used by the carve-outs (R15) when evidence comes from news text.
-NEW_MODELS_ONLY_PATTERN = r" (new models only|only new models|applies only to new models) "
-RESOLUTION_PATTERN = r" refinanc[a-z]* .*(resolv[a-z]*|cure[sd]?|waiver) "
+# Conditions that the carve-outs (R15) look at.
 BREACH_CONDITIONS = ("covenant_breach",)
 GOING_CONCERN_CONDITIONS = ("going_concern",)
 

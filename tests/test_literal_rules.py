@@ -163,3 +163,80 @@ def test_a_book_with_spreadsheet_headers_is_queued(spark, tmp_out):
     assert [(r.vendor, r.queue_pos) for r in B.vendor_queue(book, 5).orderBy("queue_pos").collect()] == [("Beta", 1), ("Acme", 2)]
     view = {r.vendor: (r.is_risk, r.risk_level) for r in B.typed_book(book).collect()}
     assert view == {"Acme": (True, 4.0), "Beta": (False, None)}
+
+
+# --- events by sentence -------------------------------------------------------------------
+
+# Every condition of the scale, in two word orders.
+TWO_ORDERS = {
+    "sector_downturn": ("a sector downturn", "the downturn of the sector"), "revenue_decline": ("a revenue decline without liquidity strain", "declining revenue"),
+    "leadership_change": ("CEO departure", "departure of the CEO"), "longer_lead_times": ("longer lead times", "lead times grew longer"),
+    "relocation": ("announced relocation of the office", "the office is relocated"),
+    "sustained_losses": ("sustained losses", "losses sustained over four quarters"), "negative_cash_flow": ("negative operating cash flow", "operating cash flow turned negative"),
+    "covenant_pressure": ("leverage near covenant limits", "covenants near their limits"), "speculative_downgrade": ("rating cut to junk", "junk rating after a downgrade"),
+    "drawn_revolver": ("drew its revolver", "the revolver was fully drawn"), "layoffs": ("cost-cutting layoffs", "laid off 40 people"),
+    "asset_sales": ("sold off assets", "asset sales for cash"), "regulatory_proceeding": ("regulatory proceeding opened", "proceedings by the regulator"),
+    "certification_review": ("certification under review", "review of its certification"), "single_source_shortage": ("single-source shortage", "shortage at a single source"),
+    "ownership_change": ("change of control", "control has changed"), "going_concern": ("going-concern qualification", "doubt as a going concern"),
+    "covenant_breach": ("covenant breach", "breach of a covenant"), "late_filing": ("late in filing accounts", "statutory filing is late"),
+    "auditor_resignation": ("auditor resignation", "resignation of the auditor"), "restructuring_advisors": ("restructuring advisors engaged", "advisers on restructuring"),
+    "missed_interest_payment": ("missed interest payment", "interest payment missed"), "negative_equity": ("negative shareholders' equity", "equity turned negative"),
+    "delisting_notice": ("delisting notice", "notice of delisting"), "emergency_equity_raise": ("emergency discounted equity raise", "raised equity in an emergency"),
+    "restricted_party_listing": ("added to the FCC Covered List", "on the Entity List since May"), "uflpa_detention": ("goods detained by customs", "UFLPA detention"),
+    "plant_closure_or_fire": ("fire at a plant", "plant fire"), "lost_certification": ("lost UL certification", "certification was lost"),
+    "shipment_delays": ("shipments were delayed", "delayed shipments"), "major_recall": ("major recall", "recall of all displays"),
+    "insolvency_proceeding": ("filed for Chapter 11", "Chapter 7 petition"), "administration": ("entered administration", "administrators were appointed"),
+    "receivership": ("receiver appointed", "appointed a receiver"), "payment_default": ("payment default", "defaulted on its bonds"),
+    "liquidation": ("went into liquidation", "the company was wound up"), "ceased_trading": ("ceased trading", "trading has ceased"),
+    "trade_ban": ("import ban with no carve-out", "banned from import"), "ceased_manufacturing": ("ceased manufacturing", "manufacturing has ceased"),
+    "revoked_authorization": ("revoked authorization on shipping models", "authorization was revoked"),
+}
+
+
+def _conditions(spark, texts):
+    got = {i: set() for i in range(len(texts))}
+    for r in R.indicator_matches(R.item_features(_items(spark, texts))).collect():
+        got[r.item_id].add((r.condition, r.level))
+    return [got[i] for i in range(len(texts))]
+
+
+def test_every_condition_in_two_word_orders(spark):
+    level = {name: lvl for name, kind, lvl, *_ in rules.EVENT_RULES if kind == "rubric"}
+    cases = [(c, t) for c, pair in TWO_ORDERS.items() for t in pair]
+    got = _conditions(spark, [t for _, t in cases])
+    assert [(c, t) for (c, t), found in zip(cases, got) if (c, level[c]) not in found] == []
+
+
+def test_negated_lifted_and_unrelated_phrases_state_nothing(spark):
+    texts = ["No layoffs are planned.", "The going concern doubt was lifted.", "see chapter 11 of the annual report", "acquisition by issuing bonds",
+             "It denied bankruptcy.", "The plant closure was averted.", "customers recall the launch fondly"]
+    assert [{c for c, lvl in found if lvl > 1} for found in _conditions(spark, texts)] == [set()] * len(texts)
+    texts = ["No layoffs are planned. The plant fire goes on.", "The going concern doubt was not lifted.", "import ban with a carve-out for old stock", "import ban with no carve-out",
+             "It never recovered. It filed for bankruptcy."]
+    assert _conditions(spark, texts) == [{("plant_closure_or_fire", 4)}, {("going_concern", 4)}, {("trade_restriction", 4)}, {("trade_ban", 5)}, {("insolvency_proceeding", 5)}]
+
+
+def test_words_of_other_sentences_do_not_combine(spark):
+    assert _conditions(spark, ["The plant grew. A fire broke out elsewhere.", "The plant of Acme Inc. had a fire."]) == [set(), {("plant_closure_or_fire", 4)}]
+
+
+def test_each_event_gets_its_nearest_date(spark):
+    texts = ["Covenant breach on 2023-11-02. Plant fire on 2023-12-24 and, a few weeks later, a delisting notice of 2024-01-05.", "In Q3 2023 sustained losses, then layoffs in Q4 2023.",
+             "On 2023-10-01 it spoke. Later came a receivership.", "A receivership.", "Covenant breach on 2023-99-99."]
+    rows = R.item_features(_items(spark, texts)).select("item_id", F.explode("events").alias("e")).where("e.kind = 'rubric'").collect()
+    got = {(r.item_id, r.e.name): (str(r.e.event_on), r.e.dated_by) for r in rows}
+    assert got == {(0, "covenant_breach"): ("2023-11-02", "iso"), (0, "plant_closure_or_fire"): ("2023-12-24", "iso"), (0, "delisting_notice"): ("2024-01-05", "iso"),
+                   (1, "sustained_losses"): ("2023-09-30", "period"), (1, "layoffs"): ("2023-12-31", "period"), (2, "receivership"): ("2023-10-01", "iso"),
+                   (3, "receivership"): (str(AS_OF), "published"), (4, "covenant_breach"): (str(AS_OF), "published")}
+
+
+def test_out_of_scope_sentences_are_excluded_by_name(spark):
+    f = R.item_features(_items(spark, ["The plant closed in a fire. Its share price fell.", "The share price fell as the plant closed."]))
+    got = sorted((r.evidence_id // 1_000_000, r.condition, r.level, r.in_scope) for r in news_evidence(f).collect())
+    assert got == [(0, "plant_closure_or_fire", 4, True), (0, "share_price", 0, False), (1, "plant_closure_or_fire", 4, True)]
+
+
+def test_items_without_text_or_events(spark):
+    f = R.item_features(_items(spark, [None, "", "...", "word"]))
+    assert R.scope(f).where("in_scope or has_event or categories <> '' or excluded_kinds <> ''").count() == 0 and f.count() == 4
+    assert R.indicator_matches(f).count() == 0 and news_evidence(f).count() == 0
