@@ -7,21 +7,25 @@ own, itself included. Items that cite themselves are kept; the others are syndic
 Search, as Spark jobs:
 
 1. Shingles are xxhash64 of word 3-grams of the normalised text (items under 3 words have
-   none and cite themselves). Shingle frequency is a partial aggregate.
-2. Prefix filter: ordering shingles by (frequency, hash), any pair with J >= t shares one of
-   the first ``n - ceil(t*n) + 1`` shingles of each side.
-3. Each prefix shingle's posting list is ranked by authority (skew-safe ``keyed_sequence``).
-4. Rounds walk the ranks in blocks: an item meets, per prefix shingle, the items at the next
-   ``block`` ranks that are better than it and than its best verified citation so far.
-   Pairs pass a length filter and are verified exactly. An (item, shingle) stops as soon as
-   the next rank is no better, so a dense cluster resolves in one round (every member
-   meets the cluster's leader first) and no round emits more than ``block`` pairs per prefix
-   row. Rounds continue until nothing is left to check; each round is checkpointed.
+   none and cite themselves). How common a shingle is, is estimated by counting hashes into a table of
+   fixed size, so that every item orders its own shingles in place, rare ones first, without a shuffle.
+2. Prefix filter: in any order that all items share, a pair with J >= t shares one of the first
+   ``n - ceil(t*n) + 1`` shingles of each side. Only prefixes are shuffled, and only shingles that
+   stand in two prefixes or more go on.
+3. Positional filter by length band: behind its place in both orders, the first shared shingle must leave
+   room for the overlap that the two lengths need. An entry is listed for, and looks into, only those bands of
+   partner lengths for which its place leaves that room. Posting lists are keyed by (shingle, band, partner band).
+4. Each posting list is ranked by authority (skew-safe ``keyed_sequence``). Rounds walk the ranks in
+   blocks that double: an item meets the items of the next block that are better than it and than its
+   best verified citation so far. Pairs pass the length and position filters and are verified exactly. An
+   entry stops as soon as the next rank is no better, so a dense cluster resolves in one round (every
+   member meets the cluster's leader first), and the number of rounds is logarithmic in the longest
+   list. Each round is checkpointed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import rules
@@ -30,7 +34,9 @@ from riskloom.session import materialize
 
 THRESHOLD = 0.8
 SHINGLE_WORDS = 3
-RANK_BLOCK = 4
+RANK_BLOCK = 4          # ranks met in the first round
+COUNT_CELLS = 1 << 16   # cells that shingles are counted into, for their order
+BAND_RATIO = 1.1        # lengths of a band differ by this factor at most
 
 
 def words_of(text: Column) -> Column:
@@ -62,54 +68,112 @@ def quality(prefix: str = "") -> Column:
                     F.col(f"{p}published_on").alias("published_on"), F.col(f"{p}item_id").alias("item_id"))
 
 
+def _cell(shingle: Column) -> Column:
+    return F.pmod(shingle, F.lit(COUNT_CELLS)).cast("int")
+
+
+def _cell_counts(base: DataFrame) -> Column:
+    """How many shingles fall into each cell, as an array of COUNT_CELLS longs (a scalar of fixed size)."""
+    hits = base.select(F.explode_outer("shingles").alias("s")).where(F.col("s").isNotNull()).groupBy(_cell(F.col("s")).alias("id")).agg(F.count(F.lit(1)).alias("f"))
+    cells = base.sparkSession.range(COUNT_CELLS).join(hits, "id", "left")
+    dense = F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("f", F.lit(0)).alias("f")))), lambda x: x["f"])
+    return cells.agg(dense.alias("f")).scalar()
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(BAND_RATIO))).cast("int")
+
+
+def _needed(n: Column, m: Column, threshold: float) -> Column:
+    """The overlap that sets of n and m shingles need (a hair less, for rounding)."""
+    return (n + m) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
+
+
+def _entries(prefix: DataFrame, threshold: float) -> DataFrame:
+    """Prefix rows with each band of partner lengths for which their place leaves room."""
+    n, room = F.col("n"), F.col("n") - F.col("pos")
+    least, most = F.ceil(n * threshold - 1e-9), F.floor(n / threshold + 1e-9)
+    # the shortest partner of a band needs the least overlap
+    shortest = F.greatest(least, F.ceil(F.pow(F.lit(BAND_RATIO), F.col("partner")) - 1e-9))
+    x = prefix.withColumns({"band": _band(n), "partner": F.explode(F.sequence(_band(F.greatest(least, F.lit(1))) - 1, _band(most) + 1))})
+    return x.where(room >= _needed(n, F.greatest(shortest, F.lit(1)), threshold))
+
+
 def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: int = RANK_BLOCK) -> DataFrame:
     """items: (item_id, tier, published_on, shingles, ...) -> (item_id, cite_id, similarity, ...)."""
     carried = [c for c in items.columns if c not in ("item_id", "tier", "published_on", "shingles")]
     base = materialize(items.select("item_id", "tier", "published_on", "shingles",
                                     F.size("shingles").alias("n"), *carried).withColumn("q", quality()))
-    rows = base.select("item_id", "n", F.explode_outer("shingles").alias("s")).where(F.col("s").isNotNull())
-    freq = rows.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
-    p_len = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
-    # a document's own shingles: one bounded window group per document
-    by_rarity = Window.partitionBy("item_id").orderBy("f", "s")
-    ranked = rows.join(freq, "s").withColumn("_pos", F.row_number().over(by_rarity))
-    prefix = ranked.where(F.col("_pos") <= p_len).select("item_id", "s")
-    posting = prefix.join(base.select("item_id", "tier", "published_on", "q"), "item_id")
+    p_len = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    x = base.select("item_id", "tier", "published_on", "n", "shingles", p_len.alias("_p"), _cell_counts(base).alias("_f"))
+    by_rarity = F.array_sort(F.transform("shingles", lambda s: F.struct(F.get("_f", _cell(s)).alias("f"), s.alias("s"))))
+    first = F.transform(F.slice(by_rarity, 1, F.col("_p")), lambda e: e["s"])
+    x = x.select("item_id", "tier", "published_on", "n", F.posexplode_outer(first).alias("pos", "s")).where(F.col("s").isNotNull())
+    prefix = materialize(x)
+    shared = prefix.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("s")
+    entries = materialize(_entries(prefix.join(shared, "s", "left_semi"), threshold))
     posting = materialize(keyed_sequence(
-        posting.withColumn("_undated", F.col("published_on").isNull()),
-        key="s", order=("tier", "_undated", "published_on", "item_id"),
+        entries.withColumns({"_undated": F.col("published_on").isNull(), "key": F.struct("s", "band", "partner")}),
+        key="key", order=("tier", "_undated", "published_on", "item_id"),
         bucket=F.struct("tier", "_undated", "published_on"), seq_col="rank",
-    ).select("s", "rank", F.col("item_id").alias("j"), F.col("q").alias("qj")))
-    me = base.select(F.col("item_id").alias("i"), F.col("q").alias("qi"))
-    # active (i, s, next rank to look at); start behind each item's own rank
-    active = prefix.select(F.col("item_id").alias("i"), "s").withColumn("next", F.lit(1))
-    best = me.select("i", F.lit(None).cast(me.schema["qi"].dataType).alias("qb"), F.lit(None).cast("double").alias("sim"))
-    sets = base.select("item_id", "shingles", "n")
+    ).select("s", F.col("band").alias("of"), F.col("partner").alias("to"), "rank", F.col("item_id").alias("j"), quality().alias("qj"),
+             F.col("n").alias("nj"), F.col("pos").alias("pj")))
+    # an entry looks into the lists of its partner bands, at entries listed for its own band
+    active = entries.select(F.col("item_id").alias("i"), "s", F.col("partner").alias("of"), F.col("band").alias("to"), "n", "pos",
+                            quality().alias("qi"), F.lit(1).cast("long").alias("next"))
+    best = base.select(F.col("item_id").alias("i"), F.lit(None).cast(base.schema["q"].dataType).alias("qb"), F.lit(None).cast("double").alias("sim"))
+    sets = base.select("item_id", "shingles")
+    lists, better = ["s", "of", "to"], (F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb")))
+    active = materialize(active.join(posting.where("rank = 1").select(*lists, F.col("qj")), lists).where("qj < qi").drop("qj"))
     while not active.isEmpty():  # every round moves each row on by a block, so the walk ends
         ranks = F.explode(F.sequence(F.col("next"), F.col("next") + (block - 1))).alias("rank")
-        window = active.select("i", "s", ranks).join(posting, ["s", "rank"])
-        cand = window.join(me, "i").join(best.select("i", "qb"), "i", "left").where(
-            (F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb"))))
-        pairs = cand.select("i", "j", "qj").distinct()
-        pairs = (pairs.join(sets.select(F.col("item_id").alias("i"), F.col("shingles").alias("si"), F.col("n").alias("ni")), "i")
-                 .join(sets.select(F.col("item_id").alias("j"), F.col("shingles").alias("sj"), F.col("n").alias("nj")), "j")
-                 .where((F.col("nj") >= F.col("ni") * threshold) & (F.col("ni") >= F.col("nj") * threshold)))
+        cand = active.select("i", "n", "pos", "qi", *lists, ranks).join(posting, [*lists, "rank"]).join(best.select("i", "qb"), "i").where(better)
+        o = _needed(F.col("n"), F.col("nj"), threshold)
+        cand = cand.where((F.col("n") - F.col("pos") >= o) & (F.col("nj") - F.col("pj") >= o)
+                          & (F.col("nj") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("nj") * threshold - 1e-9))
+        pairs = cand.select("i", "j", "qj", "n", "nj").distinct()
+        pairs = (pairs.join(sets.select(F.col("item_id").alias("i"), F.col("shingles").alias("si")), "i")
+                 .join(sets.select(F.col("item_id").alias("j"), F.col("shingles").alias("sj")), "j"))
         inter = F.size(F.array_intersect("si", "sj"))
-        jac = inter / (F.col("ni") + F.col("nj") - inter)
+        jac = inter / (F.col("n") + F.col("nj") - inter)
         hits = pairs.select("i", "qj", jac.alias("sim")).where(F.col("sim") >= threshold)
         found = hits.groupBy("i").agg(F.min(F.struct("qj", "sim")).alias("_h")).select(
             "i", F.col("_h.qj").alias("qn"), F.col("_h.sim").alias("simn"))
+        newer = F.col("qn").isNotNull() & (F.col("qb").isNull() | (F.col("qn") < F.col("qb")))
         best = materialize(best.join(found, "i", "left").select(
-            "i",
-            F.when(F.col("qn").isNotNull() & (F.col("qb").isNull() | (F.col("qn") < F.col("qb"))), F.col("qn")).otherwise(F.col("qb")).alias("qb"),
-            F.when(F.col("qn").isNotNull() & (F.col("qb").isNull() | (F.col("qn") < F.col("qb"))), F.col("simn")).otherwise(F.col("sim")).alias("sim"),
-        ))
-        # keep (i, s) only while the next rank still holds an item better than i and than its best
+            "i", F.when(newer, F.col("qn")).otherwise(F.col("qb")).alias("qb"), F.when(newer, F.col("simn")).otherwise(F.col("sim")).alias("sim")))
+        # an entry stays while the next rank still holds an item better than it and than its best
         nxt = active.withColumn("next", F.col("next") + block)
-        probe = nxt.join(posting.select("s", F.col("rank").alias("next"), "qj"), ["s", "next"]).join(me, "i").join(
-            best.select("i", "qb"), "i").where((F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb"))))
-        active = materialize(probe.select("i", "s", "next"))
+        probe = nxt.join(posting.select(*lists, F.col("rank").alias("next"), "qj"), [*lists, "next"]).join(best.select("i", "qb"), "i").where(better)
+        active = materialize(probe.select(*active.columns))
+        block *= 2
     cited = best.select(F.col("i").alias("item_id"), F.coalesce(F.col("qb.item_id"), F.col("i")).alias("cite_id"),
                         F.coalesce(F.col("sim"), F.lit(1.0)).alias("similarity"))
     return cited.join(base.select("item_id", *carried), "item_id") if carried else cited
 
+
+def representatives(citations: DataFrame) -> DataFrame:
+    """(item_id, rep_id): the item at the end of each chain of citations, by pointer jumping.
+
+    A cited item is always more authoritative, so chains end; each round doubles the steps gone.
+    """
+    at = citations.select("item_id", F.col("cite_id").alias("rep_id"))
+    while True:
+        ahead = at.select(F.col("item_id").alias("rep_id"), F.col("rep_id").alias("next"))
+        at = materialize(at.join(ahead, "rep_id", "left").select(
+            "item_id", F.coalesce("next", "rep_id").alias("rep_id"), (F.coalesce("next", "rep_id") != F.col("rep_id")).alias("moved")))
+        if at.where("moved").isEmpty():
+            return at.select("item_id", "rep_id")
+        at = at.select("item_id", "rep_id")
+
+
+def without_copies(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """``items`` less near copies: of each cluster of one vendor's items the representative stays.
+
+    ``texts`` has the item's item_id, vendor, tier, published_on and text; only texts of ``items`` are shingled.
+    """
+    own = with_shingles(texts.join(items.select("item_id"), "item_id", "left_semi"))
+    # shingles of different vendors never meet
+    own = own.select("item_id", "tier", "published_on", F.transform("shingles", lambda s: F.xxhash64("vendor", s)).alias("shingles"))
+    kept = representatives(near_copy_citations(own)).where("item_id = rep_id").select("item_id")
+    return items.join(kept, "item_id", "left_semi")

@@ -398,13 +398,24 @@ def q_flip_stream(spark, sf_dir):
     return S1.read_flips(spark, sink).drop("batch_id")
 
 
-def q_syndication_near(spark, sf_dir):
-    """R8 over the items left after exact dedupe (R7): which item each one cites."""
+def near_citations(spark, sf_dir):
     news = bindings.news(spark, sf_dir).select(
-        "item_id", "vendor", "tier", "published_on", "text", R.text_key("text").alias("text_key"))
+        "item_id", "vendor", "outlet", "tier", "published_on", "text", R.text_key("text").alias("text_key"))
     # the winners of the exact dedupe first, without texts; only their texts are shingled
     pick = F.struct("tier", F.col("published_on").isNull().alias("_u"), "published_on", "item_id")
     winners = materialize(news.groupBy("text_key").agg(F.min(pick).alias("_r")).select("_r.item_id"))
     reps = SIM.with_shingles(news.drop("text_key").join(winners, "item_id", "left_semi")).drop("text")
-    return SIM.near_copy_citations(reps).select(
+    return SIM.near_copy_citations(reps)
+
+
+def q_syndication_near(spark, sf_dir):
+    """R8 over the items left after exact dedupe (R7): which item each one cites."""
+    return near_citations(spark, sf_dir).select(
         "item_id", "vendor", "cite_id", (F.col("cite_id") != F.col("item_id")).alias("is_copy"), "similarity")
+
+
+def q_syndication_clusters(spark, sf_dir):
+    """The clusters that the citations lead to, one row per representative."""
+    cited = materialize(near_citations(spark, sf_dir))
+    x = SIM.representatives(cited).join(cited.select("item_id", "vendor", "outlet"), "item_id")
+    return x.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("vendor").alias("n_vendors"), F.countDistinct("outlet").alias("n_outlets"))

@@ -19,6 +19,7 @@ from riskloom.operators import changes as C
 from riskloom.operators import news as R
 from riskloom.operators import notes as N
 from riskloom.operators import score as S
+from riskloom.operators import similarity as SIM
 from riskloom.session import materialize, path_exists
 from riskloom.sources import bindings, book_store
 from riskloom.sources.change_log import assign_ids, read_change_log, write_changes
@@ -93,7 +94,9 @@ def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of:
     aliases = bindings.aliases(spark, sf_dir).join(names, "vendor", "left_semi")
     # one regex pass over the queued vendors' recent texts, written once and reused
     features = materialize(R.item_features(items))
-    reps = select_items(features, R.confirm_entities(items, aliases), as_of)
+    # syndicated coverage counts once before it corroborates anything: same texts, then edited copies
+    reps = materialize(select_items(features, R.confirm_entities(items, aliases), as_of))
+    reps = SIM.without_copies(reps, items)
     counts = reps.groupBy("vendor").agg(F.count(F.lit(1)).alias("n_items"))
     adjusted = S.adjusted_evidence(news_evidence(reps))
     scored = S.risk_reason(S.risk_score(queue.select("book_row_id", "vendor"), adjusted))

@@ -297,6 +297,8 @@ def oracle_statements() -> dict[str, str]:
     out.update(score_statements())
     out.update(news_statements())
     out.update(plan_statements())
+    near = {"features": FEATURES, "reps": NEAR_REPS, "g": NEAR_SETS, "hits": NEAR_HITS, "cited": NEAR}
+    out["syndication_clusters"] = with_views(CLUSTERS, {**near, "chain": CHAIN}).replace("WITH ", "WITH RECURSIVE ", 1)
     out["syndication_near"] = with_views(NEAR, {"features": FEATURES, "reps": NEAR_REPS, "g": NEAR_SETS, "hits": NEAR_HITS})
     return out
 
@@ -795,9 +797,12 @@ def monitor_ctes() -> dict[str, str]:
             "FROM news_q n LEFT JOIN (SELECT * FROM v_aliases WHERE vendor IN (SELECT vendor FROM queue)) a"),
         "selected": f"""
 SELECT f.* FROM features f JOIN confirmed c ON c.item_id = f.item_id WHERE c.confirmed AND {recency_sql()}""",
-        "reps": """
+        "texts": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vendor, text_key
   ORDER BY tier, published_on ASC NULLS LAST, item_id) AS rn FROM selected) x WHERE rn = 1""",
+        "g": NEAR_SETS.replace("FROM reps", "FROM texts"),
+        "hits": NEAR_HITS + " AND a.vendor = b.vendor",
+        "reps": "SELECT * FROM texts WHERE item_id NOT IN (SELECT i FROM hits)",
         **event_ctes("reps"),
         "marks": """
 SELECT item_id, bool_or(kind = 'mark' AND name = 'new_models_only') AS new_models_only, bool_or(kind = 'mark' AND name = 'resolution') AS is_resolution,
@@ -947,3 +952,13 @@ SELECT g.item_id, g.vendor, COALESCE(h.j, g.item_id) AS cite_id, h.j IS NOT NULL
 FROM g LEFT JOIN (
   SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i
     ORDER BY jt, jp IS NULL, coalesce(jp, DATE '9999-12-31'), j) AS rn FROM hits) x WHERE rn = 1) h ON h.i = g.item_id"""
+
+CHAIN = """
+SELECT item_id, cite_id FROM cited
+UNION
+SELECT c.item_id, n.cite_id FROM chain c JOIN cited n ON n.item_id = c.cite_id"""
+
+CLUSTERS = """
+SELECT c.cite_id AS rep_id, count(*) AS n_items, count(DISTINCT n.vendor) AS n_vendors, count(DISTINCT n.outlet) AS n_outlets
+FROM chain c JOIN cited e ON e.item_id = c.cite_id AND e.cite_id = e.item_id JOIN v_news n ON n.item_id = c.item_id
+GROUP BY c.cite_id"""

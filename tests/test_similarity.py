@@ -52,3 +52,75 @@ def test_near_copy_citations_match_brute_force(spark):
     leader = min((r for r in rows if r[0] <= 30), key=lambda r: (r[1], r[2], r[0]))[0]
     assert {got[k] for k in range(1, 31)} == {leader}
     assert all(got[k] == k for k in itertools.chain(range(100, 105), [200]))
+
+
+def _counted(monkeypatch):
+    """Counts the rounds: each one writes the best citations once."""
+    rounds, write = [], SIM.materialize
+
+    def counted(df):
+        if df.columns == ["i", "qb", "sim"]:
+            rounds.append(1)
+        return write(df)
+
+    monkeypatch.setattr(SIM, "materialize", counted)
+    return rounds
+
+
+def test_dissimilar_items_of_one_template_cost_few_rounds(spark, monkeypatch):
+    rounds = _counted(monkeypatch)
+    shared = " ".join(f"t{i}" for i in range(24))
+    rows = [(k, 1, dt.date(2024, 1, 1), f"{shared} " + " ".join(f"x{k}_{i}" for i in range(5))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "item_id long, tier int, published_on date, text string")
+    got = SIM.near_copy_citations(SIM.with_shingles(df).drop("text"))
+    assert got.where("cite_id <> item_id").count() == 0 and len(rounds) <= 12
+
+
+def test_rounds_grow_with_the_logarithm_of_a_list(spark, monkeypatch):
+    """Items just below the threshold share prefix shingles, so whole lists are walked."""
+    rounds = _counted(monkeypatch)
+    monkeypatch.setattr(SIM, "COUNT_CELLS", 1)  # no rarity: the shared shingles stand in the prefixes
+    shared = " ".join(f"t{i}" for i in range(40))
+    rows = [(k, 1, dt.date(2024, 1, 1), f"{shared} " + " ".join(f"x{k}_{i}" for i in range(8))) for k in range(300)]
+    df = spark.createDataFrame(rows, "item_id long, tier int, published_on date, text string")
+    got = SIM.near_copy_citations(SIM.with_shingles(df).drop("text"))
+    assert got.where("cite_id <> item_id").count() == 0 and 1 <= len(rounds) <= 8
+
+
+def test_citations_match_brute_force_on_random_lengths(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(160):
+        base = [f"b{k % 12}x{i}" for i in range(rnd.choice((3, 6, 20, 60)) + k % 12)]
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(base))
+            base[at: at + rnd.randrange(3)] = [f"e{rnd.randrange(40)}"] * rnd.randrange(3)
+        rows.append((k, rnd.randrange(1, 4), rnd.choice((None, dt.date(2024, 1, 1 + k % 9))), " ".join(base)))
+    df = spark.createDataFrame(rows, "item_id long, tier int, published_on date, text string")
+    got = {r.item_id: r.cite_id for r in SIM.near_copy_citations(SIM.with_shingles(df).drop("text")).collect()}
+    want = _brute(rows)
+    assert got == want and sum(a != b for a, b in want.items()) > 20
+
+
+def test_chains_lead_to_one_representative(spark):
+    pairs = [(k, k - 1) for k in range(1, 40)] + [(0, 0), (50, 50), (51, 50), (60, 39)]
+    df = spark.createDataFrame(pairs, "item_id long, cite_id long")
+    got = {r.item_id: r.rep_id for r in SIM.representatives(df).collect()}
+    assert got == {**{k: 0 for k in range(40)}, 50: 50, 51: 50, 60: 0}
+
+
+def test_edited_copies_do_not_corroborate(spark):
+    """Two outlets print one story with an edit: one outlet's claim, capped at 3; a vendor's other story stands."""
+    from riskloom.operators import news as R
+    from riskloom.operators import score as S
+    from riskloom.plans.monitor import news_evidence
+
+    words = " ".join(f"w{i}" for i in range(60))
+    day = dt.date(2024, 1, 20)
+    rows = [(1, "A", "one", 3, day, f"Plant fire. {words}"), (2, "A", "two", 3, day, f"Plant fire. {words} end"),
+            (3, "B", "one", 3, day, f"Plant fire. {words}"), (4, "B", "two", 3, day, "Fire at a plant, says another story about quite other things")]
+    items = spark.createDataFrame(rows, "item_id long, vendor string, outlet string, tier int, published_on date, text string")
+    kept = SIM.without_copies(R.item_features(items), items)
+    assert sorted(r.item_id for r in kept.collect()) == [1, 3, 4]
+    got = {r.vendor: (r.eff_level, r.capped) for r in S.corroborated_conditions(S.adjusted_evidence(news_evidence(kept))).where("condition = 'plant_closure_or_fire'").collect()}
+    assert got == {"A": (3, True), "B": (4, False)}
