@@ -10,15 +10,18 @@ No token of either vocabulary runs across a space that follows a non-space chara
 a vocabulary is loaded), so such places are shared cuts from the start. A text is split there, and a piece that comes
 again is aligned once per task.
 
-Links are the token pairs whose bytes overlap. Their counts over the corpus are summed by Spark. The second
-pass reads the counts of the most frequent pairs (a bounded number) in the tasks and meets the others by a join.
+Links are the token pairs whose bytes overlap. The texts are read and tokenised once: what a run of documents needs
+later (its pieces, their link pairs) is written as one packed row. Spark sums the pair counts from these
+rows; a second pass over them reads the counts of the most frequent pairs (a bounded number) in the tasks
+and meets the others by a join.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,12 +32,17 @@ from pyspark.sql import types as T
 from riskloom.llm.bpe import batches_of, byte_letters
 from riskloom.llm.common import documents, stored
 
-CACHE = 400_000       # pieces that a task remembers before it starts anew
-CACHE_LINKS = 8_000_000  # links of those pieces
+CACHE = 200_000       # pieces that a task remembers before it starts anew
+CACHE_LINKS = 4_000_000  # links of those pieces
+JOINED_CHARS = 8_192  # characters of new pieces that go to a tokenizer as one text
+PACKED_PIECES = 500_000  # pieces of the documents of a packed row, about
 LONG_PIECE = 400      # characters from which a piece is aligned each time anew
 HEAD_PAIRS = 500_000  # id pairs whose counts go to the tasks, at most
 FLUSH_PAIRS = 500_000  # id pairs that a task counts before it hands them on
 MARK = "▁"
+AFTER_SPACE = re.compile(r"\s |\s\Z")
+# Fixed value: the split pattern of byte-level vocabularies of this kind.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> np.ndarray:
@@ -81,6 +89,24 @@ def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, a_at: np.ndarray, b_at: np
     return np.sort(np.concatenate(found))
 
 
+def quick_encoder(path: str):
+    """A single-threaded encoder of a byte-level BPE file for ordinary words, or None if its ids are not in merge order.
+
+    Its time grows with the square of a word's length, so long words go to the library of the file.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, letters = spec["model"]["vocab"], byte_letters()
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:])):
+        return None
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
+    return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Aligner:
     """Two vocabularies, and the pieces aligned so far."""
 
@@ -92,6 +118,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.quick = quick_encoder(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
@@ -104,6 +131,7 @@ class Aligner:
         # one vocabulary cuts before every space behind a non-space, the other splits words by its pattern
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces) and MARK in pieces
         self.space_b = self.b.piece_to_id(MARK)
+        self.code_type = np.int32 if len(self.bytes_a) * self.size_b < 1 << 31 else np.int64
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         wide = max(len(str(len(self.bytes_a))), len(str(self.size_b))) + 1
@@ -117,7 +145,7 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.groups: list[bytes] = []
         self.stats = np.empty((0, 4), np.int64)  # tokens of a, of b, groups, whether the bytes are those of the piece
-        self.codes = np.empty(0, np.int64)
+        self.codes = np.empty(0, self.code_type)
         self.code_at = np.zeros(1, np.int64)
 
     def pieces(self, text: str) -> list[str]:
@@ -126,7 +154,7 @@ class Aligner:
         if not self.splits:
             return [text]
         parts = text.split(" ")[1:]
-        if parts == text.split():  # single spaces alone
+        if not AFTER_SPACE.search(text):  # the common case: a cut before every space
             return [" " + p for p in parts]
         out, held = [], ""
         for p in parts:
@@ -136,30 +164,62 @@ class Aligner:
                 held = ""
         return [*out, held] if held else out
 
-    def _encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _alone(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both sides for pieces encoded one by one, empty where they do not give the bytes back."""
         a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
         # the second tokenizer puts the leading space itself, but not before an empty text
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return a, [[self.space_b] if p == " " and self.splits else ids for p, ids in zip(pieces, b)]
-
-    @staticmethod
-    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
-        return np.fromiter(chain.from_iterable(ids), np.int64, at[-1]), at
-
-    @staticmethod
-    def _same(table: list[bytes], ids: list[list[int]], raw: list[bytes]) -> np.ndarray:
-        """Whether the tokens of each piece give its bytes."""
-        return np.fromiter((b"".join([table[i] for i in x]) == r for x, r in zip(ids, raw)), bool, len(raw))
-
-    def align(self, pieces: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, list, list, np.ndarray, np.ndarray]:
-        """For each piece (beginning with its space): stats, groups as text, link codes and where they start; ids and cuts."""
-        ids_a, ids_b = self._encode(pieces)
+        b = [[self.space_b] if p == " " and self.splits else self.b.encode(p[1:]) for p in pieces]
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        same = self._same(self.bytes_a, ids_a, raw) & self._same(self.bytes_b, ids_b, raw)
-        for i in np.flatnonzero(~same):
-            ids_a[i], ids_b[i] = [], []
-        (a, a_at), (b, b_at) = self._flat(ids_a), self._flat(ids_b)
+        same = [b"".join([self.bytes_a[i] for i in x]) == r and b"".join([self.bytes_b[i] for i in y]) == r for x, y, r in zip(a, b, raw)]
+        return [x if ok else [] for x, ok in zip(a, same)], [y if ok else [] for y, ok in zip(b, same)], same
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of a, their starts by piece, ids of b, their starts, whether the bytes are those of the piece).
+
+        Pieces are joined and encoded as one text, as no token runs from one into the next; the token ends
+        tell them apart. Long ones, such with white space at the end, and joined texts that do not give their
+        bytes back are encoded piece by piece.
+        """
+        parts: list[tuple] = []
+
+        def alone(ps: list[str]) -> None:
+            a, b, same = self._alone(ps)
+            parts.append(([i for x in a for i in x], list(map(len, a)), [i for x in b for i in x], list(map(len, b)), same))
+
+        def together(ps: list[str]) -> None:
+            text = "".join(ps)
+            raw = text.encode("utf-8", "surrogatepass")
+            a = self.quick(text) if self.quick else self.a.encode(text, add_special_tokens=False).ids
+            b = self.b.encode(text[1:])
+            if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
+                return alone(ps)
+            sizes = list(map(len, ps)) if len(raw) == len(text) else [len(p.encode("utf-8", "surrogatepass")) for p in ps]
+            ends = np.cumsum(sizes)
+            n_a = np.searchsorted(np.cumsum(self.len_a[a]), ends, "right")
+            n_b = np.searchsorted(np.cumsum(self.len_b[b]), ends, "right")
+            parts.append((a, np.diff(n_a, prepend=0), b, np.diff(n_b, prepend=0), [True] * len(ps)))
+
+        held, chars = [], 0
+        for p in pieces:
+            if len(p) >= LONG_PIECE or not self.splits or p[-1].isspace():
+                if held:
+                    together(held)
+                    held, chars = [], 0
+                alone([p])
+                continue
+            held.append(p)
+            chars += len(p)
+            if chars >= JOINED_CHARS:
+                together(held)
+                held, chars = [], 0
+        if held:
+            together(held)
+        ids_a, n_a, ids_b, n_b, same = (np.concatenate([np.asarray(x[i], np.int64) for x in parts]) for i in range(5))
+        return ids_a, np.r_[0, np.cumsum(n_a)], ids_b, np.r_[0, np.cumsum(n_b)], same.astype(bool)
+
+    def align(self, pieces: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """For each piece (beginning with its space): stats, groups as text; all link codes and where each piece's start."""
+        a, a_at, b, b_at, same = self._encode(pieces)
         a_end, b_end = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         cut_a = shared_cuts(a_end, b_end, a_at, b_at)
         cut_b = np.searchsorted(b_end, a_end[cut_a])
@@ -181,12 +241,12 @@ class Aligner:
         flat = shown.tobytes().replace(b"\0", b"")
         stop = np.r_[0, np.cumsum(self.digits[np.r_[a, b][order]])][a_at + b_at].tolist()
         text = [flat[x: y - 1] if y > x else b"" for x, y in zip(stop, stop[1:])]
-        return stats, text, codes, code_at, ids_a, ids_b, cut_a, cut_b
+        return stats, text, codes.astype(self.code_type), code_at
 
     def learn(self, pieces: list[str]) -> None:
         if not pieces:
             return
-        stats, text, codes, code_at, *_ = self.align(pieces)
+        stats, text, codes, code_at = self.align(pieces)
         n = len(self.groups)
         self.known.update(zip(pieces, range(n, n + len(pieces))))
         self.groups += text
@@ -218,43 +278,92 @@ def flat_links(al: Aligner, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return al.codes[where], size
 
 
-def link_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
-    """(a_id, b_id, n): how many links of the whole corpus hold each id pair."""
+PACKED = "ids binary, nulls binary, stats binary, shas string, piece binary, piece_at binary, code binary, code_at binary"
+
+
+def packed(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
+    """The documents, many to a row: ids, token and group counts, digests, pieces, and the link codes of the pieces."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         al = Aligner(path_a, path_b)
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # link codes and their counts
-        times = np.zeros(0, np.int64)                   # how often each known piece came
+        held: list[tuple] = []  # (id, whether it is null, counts, digest, piece numbers)
+        ready: list[pd.DataFrame] = []
 
-        def gather() -> None:
-            nonlocal times
-            used = np.flatnonzero(times)
-            codes, size = flat_links(al, used)
-            codes, back = np.unique(codes, return_inverse=True)
-            # sums of integers below 2**53 are exact as doubles
-            held.append((codes, np.bincount(back, np.repeat(times[used], size), len(codes)).astype(np.int64)))
-            times = np.zeros(0, np.int64)
+        def pack() -> None:
+            if not held:
+                return
+            ids, nulls, stats, shas, numbers = zip(*held)
+            held.clear()
+            used, piece = np.unique(np.concatenate(numbers), return_inverse=True)
+            code, size = flat_links(al, used)
+            ready.append(pd.DataFrame({
+                "ids": [np.array(ids, np.int64).tobytes()], "nulls": [np.array(nulls, bool).tobytes()], "stats": [np.array(stats, np.int64).tobytes()], "shas": [",".join(shas)],
+                "piece": [piece.astype(np.int32).tobytes()], "piece_at": [np.r_[0, np.cumsum([len(r) for r in numbers])].astype(np.int64).tobytes()],
+                "code": [code.tobytes()], "code_at": [np.r_[0, np.cumsum(size)].astype(np.int64).tobytes()]}))
+
+        al.leaving = pack
+        none = np.empty(0, np.int64)
+        count = 0
+        for pdf in batches:
+            names, texts = pdf["doc_id"], list(pdf["text"])
+            nulls = names.isna().to_numpy()
+            names = names.fillna(0).to_numpy(np.int64)
+            for start, end, rows in al.numbers(texts):
+                for at, r in zip(range(start, end), rows):
+                    if len(r) and al.stats[r, 3].all():
+                        sha = hashlib.sha256(b";".join([al.groups[j] for j in r.tolist()])).hexdigest()
+                        held.append((names[at], nulls[at], al.stats[r, :3].sum(0), sha, r))
+                        count += len(r)
+                    else:
+                        held.append((names[at], nulls[at], (0, 0, 0), "", none))
+                if count > PACKED_PIECES:
+                    pack()
+                    count = 0
+                while ready:
+                    yield ready.pop()
+        pack()
+        while ready:
+            yield ready.pop()
+
+    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return x.mapInPandas(work, PACKED)
+
+
+def _arrays(row, code_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (np.frombuffer(row.piece, np.int32), np.frombuffer(row.piece_at, np.int64), np.frombuffer(row.code, code_type), np.frombuffer(row.code_at, np.int64))
+
+
+def _pair_counts(rows: DataFrame, size_b: int, code_type) -> DataFrame:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pd.DataFrame:
             codes, counts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             held.clear()
-            return pd.DataFrame({"a_id": codes // al.size_b, "b_id": codes % al.size_b, "n": counts})
+            codes, back = np.unique(codes, return_inverse=True)
+            counts = np.bincount(back, counts, len(codes)).astype(np.int64)  # integers below 2**53 stay exact
+            return pd.DataFrame({"a_id": codes // size_b, "b_id": codes % size_b, "n": counts})
 
-        al.leaving = gather
         for pdf in batches:
-            for _, _, rows in al.numbers(list(pdf["text"])):
-                good = [r for r in rows if len(r) and al.stats[r, 3].all()]
-                new = np.bincount(np.concatenate(good), minlength=len(al.groups)) if good else np.zeros(len(al.groups), np.int64)
-                new[: len(times)] += times
-                times = new
-                if sum(len(codes) for codes, _ in held) > FLUSH_PAIRS:
+            for row in pdf.itertuples():
+                piece, _, code, code_at = _arrays(row, code_type)
+                times = np.bincount(piece, minlength=len(code_at) - 1)
+                held.append((code.astype(np.int64), np.repeat(times, np.diff(code_at))))
+                if sum(len(c) for c, _ in held) > FLUSH_PAIRS:
                     yield out()
-        gather()
-        yield out()
+        if held:
+            yield out()
 
-    part = docs.select(F.col(text_col).alias("text")).mapInPandas(work, "a_id long, b_id long, n long")
+    part = rows.select("piece", "piece_at", "code", "code_at").mapInPandas(work, "a_id long, b_id long, n long")
     return part.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
+def link_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
+    """(a_id, b_id, n): how many links of the whole corpus hold each id pair."""
+    al = Aligner(path_a, path_b)
+    rows = packed(docs.withColumn("_id", F.lit(None).cast("long")), path_a, path_b, "_id", text_col)
+    return _pair_counts(rows, al.size_b, al.code_type)
+
+
 def aligned(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``groups``, an array of (a: ids, b: ids) between shared cuts of space + text.
 
@@ -305,60 +414,54 @@ def digests(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     Repeated rows come out once each and count each time; a null id stays null.
     """
     spark = docs.sparkSession
-    counts = stored(link_counts(docs, path_a, path_b, text_col), "pair-counts")
+    al = Aligner(path_a, path_b)
+    size_b, code_type = al.size_b, al.code_type
+    rows = stored(packed(docs, path_a, path_b, id_col, text_col), "aligned")
+    counts = stored(_pair_counts(rows, size_b, code_type), "pair-counts")
     most = counts.groupBy("b_id").agg(F.max("n").alias("most"))  # a row for each id of a vocabulary
     counts = stored(counts.join(F.broadcast(most), "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
     least, rest = _head(counts)
     head = counts.where(F.col("n") >= least).select("a_id", "b_id", "n", "best").toPandas()
-    sent = spark.sparkContext.broadcast((head["a_id"].to_numpy(np.int32), head["b_id"].to_numpy(np.int32), head["n"].to_numpy(np.int64), head["best"].to_numpy(bool)))
+    key = head["a_id"].to_numpy(np.int64) * size_b + head["b_id"].to_numpy(np.int64)
+    order = np.argsort(key)
+    # the last key is no pair's
+    sent = spark.sparkContext.broadcast((np.r_[key[order], -1], np.r_[head["n"].to_numpy(np.int64)[order], 0], np.r_[head["best"].to_numpy(bool)[order], False]))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        al = Aligner(path_a, path_b)
-        a, b, n, best = sent.value
-        key = a.astype(np.int64) * al.size_b + b
-        order = np.argsort(key)
-        key, n, best = np.r_[key[order], -1], np.r_[n[order], 0], np.r_[best[order], False]
+        key, n, best = sent.value
         for pdf in batches:
-            texts = list(pdf["text"])
-            for start, end, rows in al.numbers(texts):
-                # what each piece of this run adds, by the pairs that the task knows
-                used = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
-                codes, size = flat_links(al, used)
-                at = np.minimum(np.searchsorted(key[:-1], codes), len(key) - 2) if len(key) > 1 else np.zeros(len(codes), np.int64)
-                known = key[at] == codes
-                owner = np.repeat(np.arange(len(used)), size)
-                piece = np.zeros((len(al.groups), 3), np.int64)
-                piece[used, 0] = np.bincount(owner, known & best[at], len(used))
-                # sums of counts stay exact in integers
-                total = np.r_[0, np.cumsum(np.where(known, n[at], 0))]
-                edge = np.r_[0, np.cumsum(size)]
-                piece[used, 1] = total[edge[1:]] - total[edge[:-1]]
-                piece[used, 2] = np.bincount(owner, ~known, len(used))
-                out = []
-                for i, r in enumerate(rows):
-                    fine = len(r) > 0 and bool(al.stats[r, 3].all())
-                    if not fine:
-                        out.append((0, 0, 0, 0, 0, "", [], []))
-                        continue
-                    na, nb, ng = al.stats[r, :3].sum(0).tolist()
-                    more, times = [], []
-                    if piece[r, 2].any():
-                        odd, _ = flat_links(al, r[piece[r, 2] > 0])
-                        at2 = np.minimum(np.searchsorted(key[:-1], odd), len(key) - 2) if len(key) > 1 else np.zeros(len(odd), np.int64)
-                        more, times = (v.tolist() for v in np.unique(odd[key[at2] != odd], return_counts=True))
-                    digest = hashlib.sha256(b";".join([al.groups[j] for j in r.tolist()])).hexdigest()
-                    out.append((na, nb, ng, int(piece[r, 0].sum()), int(piece[r, 1].sum()), digest, more, times))
-                cols = list(zip(*out))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start:end].astype("Int64").to_numpy(), "n_a": cols[0], "n_b": cols[1], "n_groups": cols[2],
-                                    "n_best": cols[3], "count_sum": cols[4], "groups_sha256": cols[5], "codes": cols[6], "times": cols[7]})
-
-    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = x.mapInPandas(work, "doc_id long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string, codes array<long>, times array<long>")
+            for row in pdf.itertuples():
+                piece, piece_at, code, code_at = _arrays(row, code_type)
+                at = np.searchsorted(key[:-1], code)
+                known = key[at] == code
+                owner = np.repeat(np.arange(len(code_at) - 1), np.diff(code_at))
+
+                def per_piece(x):  # sums over the links of each piece, exact in integers
+                    total = np.r_[0, np.cumsum(x)]
+                    return total[code_at[1:]] - total[code_at[:-1]]
+
+                def per_doc(x):
+                    total = np.r_[0, np.cumsum(x[piece])]
+                    return total[piece_at[1:]] - total[piece_at[:-1]]
+
+                stats = np.frombuffer(row.stats, np.int64).reshape(-1, 3)
+                odd = np.flatnonzero(per_doc(per_piece((~known).astype(np.int64))))
+                codes, times = [()] * len(stats), [()] * len(stats)
+                for i in odd:
+                    mine = piece[piece_at[i]: piece_at[i + 1]]
+                    of = np.concatenate([code[code_at[j]: code_at[j + 1]][~known[code_at[j]: code_at[j + 1]]] for j in mine])
+                    codes[i], times[i] = (v.tolist() for v in np.unique(of, return_counts=True))
+                ids = pd.array(np.frombuffer(row.ids, np.int64), "Int64")
+                ids[np.frombuffer(row.nulls, bool)] = pd.NA
+                yield pd.DataFrame({"doc_id": ids, "n_a": stats[:, 0], "n_b": stats[:, 1], "n_groups": stats[:, 2],
+                                    "n_best": per_doc(per_piece((known & best[at]).astype(np.int64))), "count_sum": per_doc(per_piece(np.where(known, n[at], 0))),
+                                    "groups_sha256": row.shas.split(","), "codes": codes, "times": times})
+
+    out = rows.mapInPandas(work, "doc_id long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string, codes array<long>, times array<long>")
     columns = ["doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups_sha256"]
     if rest == 0:
         return out.select(*columns)
-    out = stored(out.withColumn("row", F.monotonically_increasing_id()), "aligned")
-    size_b = Aligner(path_a, path_b).size_b
+    out = stored(out.withColumn("row", F.monotonically_increasing_id()), "aligned-rows")
     odd = out.where(F.size("codes") > 0).select("row", F.explode(F.arrays_zip("codes", "times")).alias("p")).select("row", F.col("p.codes").alias("code"), F.col("p.times").alias("times"))
     tail = counts.where(F.col("n") < least).select((F.col("a_id") * size_b + F.col("b_id")).alias("code"), "n", "best")
     added = odd.join(tail, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
