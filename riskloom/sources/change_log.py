@@ -1,18 +1,24 @@
 """Change-log table (A3) with ids in insertion order.
 
-Rows of one run are written under ``run_id=<id>`` with overwrite, so a rerun of the
-same run replaces its rows instead of duplicating them; inside a run the files are
-sorted by (vendor, changed_at), the layout the per-vendor history reads best.
+Rows lie under ``changed_date=<date>/run_id=<run>``, and inside a folder by (vendor, changed_at), so a query
+since a time reads only its dates (partition pruning) and a vendor's history only the files whose
+min/max hold the vendor. Writing a run again replaces its rows. The small folders of finished dates
+are merged by ``compact_log``: the merged rows are written first, then a commit names the runs that
+they replace, then those runs' folders go. A reader takes a merged folder only with its commit, and then
+not the runs that it replaces, so it sees each row once at any moment.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.ordering import global_position
-from riskloom.session import list_children
+from riskloom.session import delete_path, list_children, path_exists
 
 CHANGE_LOG_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -24,13 +30,41 @@ CHANGE_LOG_SCHEMA = T.StructType([
 ])
 
 
-def read_change_log(spark: SparkSession, path: str, with_run: bool = False) -> DataFrame:
-    schema = T.StructType(CHANGE_LOG_SCHEMA.fields + [T.StructField("run_id", T.StringType(), True)])
-    if not any(n.startswith("run_id=") for n in list_children(spark, path)):
-        df = spark.createDataFrame([], schema)
-    else:
-        df = spark.read.schema(schema).parquet(path)
-    return df if with_run else df.drop("run_id")
+PARTITIONS = [T.StructField("changed_date", T.DateType(), True), T.StructField("run_id", T.StringType(), True)]
+MERGED = "merged-"
+
+
+def _folders(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The folders of each date, as they are."""
+    dates = [n for n in list_children(spark, path) if n.startswith("changed_date=")]
+    return {d[13:]: sorted(n[7:] for n in list_children(spark, f"{path}/{d}") if n.startswith("run_id=")) for d in sorted(dates)}
+
+
+def _replaced(spark: SparkSession, path: str, merged: str) -> set[str] | None:
+    """The runs that a merged folder stands for, or None before its commit."""
+    commit = f"{path}/_commits/{merged}"
+    return {r.run_id for r in spark.read.parquet(commit).collect()} if path_exists(spark, f"{commit}/_SUCCESS") else None
+
+
+def live_folders(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The folders of each date that a reader takes."""
+    out = {}
+    for date, runs in _folders(spark, path).items():
+        stands_for = {r: _replaced(spark, path, r) for r in runs if r.startswith(MERGED)}
+        gone = {x for v in stands_for.values() if v is not None for x in v} | {r for r, v in stands_for.items() if v is None}
+        if live := [r for r in runs if r not in gone]:
+            out[date] = live
+    return out
+
+
+def read_change_log(spark: SparkSession, path: str, with_run: bool = False, since: dt.datetime | None = None) -> DataFrame:
+    """The stored changes; ``since`` reads only the dates from that time's day on (whole days)."""
+    schema = T.StructType(CHANGE_LOG_SCHEMA.fields + PARTITIONS)
+    paths = [f"{path}/changed_date={d}/run_id={r}" for d, runs in live_folders(spark, path).items() for r in runs]
+    df = spark.read.schema(schema).option("basePath", path).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if since is not None:
+        df = df.where(F.col("changed_date") >= F.lit(since.date()))
+    return df.drop("changed_date") if with_run else df.drop("changed_date", "run_id")
 
 
 def assign_ids(delta: DataFrame, start_after: int) -> DataFrame:
@@ -46,11 +80,48 @@ def append_changes(spark: SparkSession, delta: DataFrame, path: str, run_id: str
     existing = read_change_log(spark, path, with_run=True).where(F.col("run_id") != run_id)
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     write_changes(assign_ids(delta, int(start)), path, run_id)
-    return spark.read.schema(CHANGE_LOG_SCHEMA).parquet(f"{path}/run_id={run_id}")
+    return read_change_log(spark, path, with_run=True).where(F.col("run_id") == run_id).drop("run_id")
 
 
-def write_changes(rows: DataFrame, path: str, run_id: str) -> None:
-    """Write one run's numbered changes; a rerun replaces them."""
+def _write(rows: DataFrame, path: str, run_id: str) -> None:
     # by range, so that a hot vendor spans several files
-    (rows.repartitionByRange("vendor", "changed_at", "id").sortWithinPartitions("vendor", "changed_at")
-     .write.mode("overwrite").parquet(f"{path}/run_id={run_id}"))
+    x = rows.withColumns({"changed_date": F.to_date("changed_at"), "run_id": F.lit(run_id)})
+    (x.repartitionByRange("changed_date", "vendor", "changed_at", "id").sortWithinPartitions("changed_date", "vendor", "changed_at", "id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("changed_date", "run_id").parquet(path))
+
+
+def write_changes(rows: DataFrame, path: str, run_id: str) -> None:
+    """Write one run's numbered changes; a rerun replaces them, on every date. A merged run is closed."""
+    spark = rows.sparkSession
+    before = _folders(spark, path)
+    merged = {r for runs in before.values() for r in runs if r.startswith(MERGED)}
+    if any(run_id in (_replaced(spark, path, m) or ()) for m in merged):
+        raise ValueError(f"the changes of run {run_id} are merged and closed")
+    rows = rows.select(*CHANGE_LOG_SCHEMA.names)
+    _write(rows, path, run_id)
+    kept = {str(r[0]) for r in rows.select(F.to_date("changed_at")).distinct().collect()}  # a row per date
+    for date, runs in before.items():
+        if run_id in runs and date not in kept:
+            delete_path(spark, f"{path}/changed_date={date}/run_id={run_id}")
+
+
+def compact_log(spark: SparkSession, path: str, before: dt.date, least: int = 2) -> None:
+    """Merge the folders of every date before ``before`` that has ``least`` or more.
+
+    Stopped at any point, it can be called again: folders without a commit are not read and go with the next call.
+    """
+    for date, runs in _folders(spark, path).items():
+        if dt.date.fromisoformat(date) >= before:
+            continue
+        live = live_folders(spark, path)[date]
+        for r in set(runs) - set(live):  # left over by a call that was stopped
+            delete_path(spark, f"{path}/changed_date={date}/run_id={r}")
+        if len(live) < least:
+            continue
+        name = f"{MERGED}{uuid.uuid4().hex}"
+        rows = spark.read.schema(CHANGE_LOG_SCHEMA).parquet(*[f"{path}/changed_date={date}/run_id={r}" for r in live])
+        _write(rows, path, name)
+        earlier = {x for r in live if r.startswith(MERGED) for x in _replaced(spark, path, r)}
+        spark.createDataFrame([(r,) for r in sorted({*live, *earlier})], "run_id string").coalesce(1).write.parquet(f"{path}/_commits/{name}")
+        for r in live:
+            delete_path(spark, f"{path}/changed_date={date}/run_id={r}")

@@ -9,20 +9,21 @@ from riskloom import rules
 from riskloom.functions import cells
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """A4: append notes (vendor_key, file_name, write_seq, noted_at, note_date, text) by note date.
+def write_notes(notes: DataFrame, path: str, run_id: str) -> None:
+    """A4: the notes of one run (vendor_key, file_name, write_seq, noted_at, note_date, text), by note date.
 
-    A date's notes spread over files by vendor, as one run writes one date."""
-    notes.repartition("note_date", "vendor_key").write.mode("append").partitionBy("note_date").parquet(path)
+    A run that is written again replaces its own notes. A date's notes spread over files by vendor, as one
+    run writes one date."""
+    notes.repartition("note_date", "vendor_key").write.mode("overwrite").partitionBy("note_date").parquet(f"{path}/run_id={run_id}")
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """The stored notes, one per (vendor_key, file_name): the last write wins, and a retried run's rows count once."""
+    """The stored notes, one per (vendor_key, file_name): the last write wins, of runs as late the greater run id."""
     df = spark.read.parquet(path)
-    rest = [c for c in df.columns if c not in ("vendor_key", "file_name")]
-    order = F.col("write_seq") if "write_seq" in rest else F.col("noted_at")
-    g = df.groupBy("vendor_key", "file_name").agg(F.max_by(F.struct(*rest), order).alias("_w"))
-    return g.select(*[F.col(f"_w.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
+    df = df.withColumn("run_id", F.col("run_id").cast("string"))
+    order = F.col("write_seq") if "write_seq" in df.columns else F.col("noted_at")
+    last = df.groupBy("vendor_key", "file_name").agg(F.max(F.struct(order.alias("_o"), "run_id")).alias("_l")).select("vendor_key", "file_name", "_l.*")
+    return df.withColumn("_o", order).join(last, ["vendor_key", "file_name", "_o", "run_id"], "left_semi").drop("_o", "run_id")
 
 
 def read_note_files(spark: SparkSession, base_dir: str) -> DataFrame:

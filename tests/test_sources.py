@@ -74,7 +74,7 @@ def test_note_sink_and_file_source(spark, tmp_out):
     assert newest == {"Acme": ("research_2024-01-03_00-00-00.md", "second"),
                       "B-C": ("research_2024-01-01_00-00-00.md", "# title\n\nbody")}
     store = os.path.join(tmp_out, "notes")
-    note_io.write_notes(files.withColumn("note_date", F.to_date("noted_at")), store)
+    note_io.write_notes(files.withColumn("note_date", F.to_date("noted_at")), store, "r1")
     assert note_io.read_notes(spark, store).count() == 3
     looked = N.attach_newest_note(spark.createDataFrame([("B/C",), ("Nobody",)], "vendor string"), N.newest_notes(files))
     got = {r.vendor: r.file_label for r in looked.collect()}
@@ -88,3 +88,68 @@ def test_decision_files(spark, tmp_out):
     got = sorted((r.risk_level if r.risk_level is not None else -9, r.risk_reason or "")
                  for r in read_decision_files(spark, p).collect())
     assert got == [(-9, ""), (4, "Plant fire"), (9, "")]
+
+
+CHANGE = "id long, changed_at timestamp_ntz, vendor string, field string, old_value string, new_value string"
+
+
+def _changes(spark, rows):
+    return spark.createDataFrame([(i, RUN + dt.timedelta(days=d), v, "is_risk", "0", "1") for i, d, v in rows], CHANGE)
+
+
+def _stored(spark, path):
+    return sorted((r.id, r.vendor, r.changed_at) for r in change_log.read_change_log(spark, path).collect())
+
+
+def test_compaction_keeps_every_row_once_at_any_point(spark, tmp_out, monkeypatch):
+    import pytest
+
+    path = os.path.join(tmp_out, "log")
+    for n in range(3):
+        change_log.write_changes(_changes(spark, [(10 * n + k, k, f"V{k}") for k in range(4)]), path, f"r{n}")
+    whole = _stored(spark, path)
+    assert len(whole) == 12
+    write = change_log._write
+
+    def stops_behind_the_write(*args):
+        write(*args)
+        raise RuntimeError("stopped")
+
+    def stops_at_the_delete(*args):
+        raise RuntimeError("stopped")
+
+    for name, broken in (("_write", stops_behind_the_write), ("delete_path", stops_at_the_delete), ("delete_path", stops_at_the_delete)):
+        with monkeypatch.context() as m:
+            m.setattr(change_log, name, broken)
+            with pytest.raises(RuntimeError):
+                change_log.compact_log(spark, path, (RUN + dt.timedelta(days=2)).date())
+        assert _stored(spark, path) == whole
+    change_log.compact_log(spark, path, (RUN + dt.timedelta(days=2)).date())
+    assert _stored(spark, path) == whole
+    folders = change_log.live_folders(spark, path)
+    assert [len(v) for v in folders.values()] == [1, 1, 3, 3]
+    with pytest.raises(ValueError):  # a merged run is closed
+        change_log.write_changes(_changes(spark, [(1, 0, "X")]), path, "r1")
+    change_log.write_changes(_changes(spark, [(90, 0, "late")]), path, "r9")
+    change_log.compact_log(spark, path, (RUN + dt.timedelta(days=2)).date())
+    assert len(_stored(spark, path)) == 13 and [len(v) for v in change_log.live_folders(spark, path).values()] == [1, 1, 3, 3]
+
+
+def test_a_rerun_moves_its_rows_between_dates(spark, tmp_out):
+    path = os.path.join(tmp_out, "log")
+    change_log.write_changes(_changes(spark, [(1, 0, "A"), (2, 1, "B")]), path, "r1")
+    change_log.write_changes(_changes(spark, [(3, 0, "C")]), path, "r2")
+    change_log.write_changes(_changes(spark, [(1, 1, "A")]), path, "r1")
+    assert [(i, v) for i, v, _ in _stored(spark, path)] == [(1, "A"), (3, "C")]
+    since = change_log.read_change_log(spark, path, since=RUN + dt.timedelta(days=1))
+    assert [r.id for r in since.collect()] == [1]
+    assert change_log.read_change_log(spark, os.path.join(tmp_out, "none")).count() == 0
+
+
+def test_newest_note_is_the_last_write_of_the_newest_file(spark):
+    rows = [("A", "research_1.md", 1, "a1"), ("A", "research_2.md", 2, "old"), ("A", "research_2.md", 5, "new"), ("B", "research_1.md", 3, "b"), ("C", "research_9.md", 4, None)]
+    df = spark.createDataFrame(rows, "vendor_key string, file_name string, write_seq long, text string")
+    got = {r.vendor_key: (r.file_label, r.summary_text) for r in N.newest_notes(df).collect()}
+    assert got == {"A": ("research_2.md", "new"), "B": ("research_1.md", "b"), "C": ("research_9.md", None)}
+    keys = spark.createDataFrame([("A",), ("A",), ("Z",)], "vendor_key string")
+    assert [r.vendor_key for r in N.newest_notes(df, keys).collect()] == ["A"]
