@@ -3,13 +3,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.functions import cells
 from riskloom.operators.events import ABBREVIATION_PATTERN
-from riskloom.operators.ordering import global_position
+from riskloom.operators.ordering import global_position, running_total
 
 
 def enrich_changes(latest: DataFrame, typed_book: DataFrame) -> DataFrame:
@@ -68,8 +68,8 @@ def payload_sections(enriched: DataFrame) -> DataFrame:
 
 
 def line_order() -> list[Column]:
-    """NEW RISK first, newest first inside, then the book row."""
-    return [F.col("status_rank").asc(), F.col("id").desc(), F.col("book_row_id").asc_nulls_first()]
+    """NEW RISK first, newest first inside (in the log's order, as D1), then the book row."""
+    return [F.col("status_rank").asc(), F.col("changed_at").desc(), F.col("id").desc(), F.col("book_row_id").asc_nulls_first()]
 
 
 def alert_lines(enriched: DataFrame, carry=()) -> DataFrame:
@@ -81,9 +81,9 @@ def alert_lines(enriched: DataFrame, carry=()) -> DataFrame:
     )
     lines = enriched.select(
         "id", "vendor", "book_row_id", st.alias("status"),
-        F.when(st == rules.STATUS_NEW, 0).otherwise(1).alias("status_rank"), line.alias("line"), *carry,
+        F.when(st == rules.STATUS_NEW, 0).otherwise(1).alias("status_rank"), "changed_at", line.alias("line"), *carry,
     )
-    return global_position(lines, line_order(), "alert_pos").drop("status_rank")
+    return global_position(lines, line_order(), "alert_pos").drop("status_rank", "changed_at")
 
 
 def alert_header(lines: DataFrame) -> DataFrame:
@@ -98,17 +98,29 @@ def alert_header(lines: DataFrame) -> DataFrame:
     )
 
 
-def alert_pages(lines: DataFrame, page_lines: int = rules.ALERT_PAGE_LINES) -> DataFrame:
-    """The ordered body, cut into pages of at most ``page_lines`` lines.
+def alert_pages(lines: DataFrame, page_bytes: int = rules.ALERT_PAGE_BYTES, more: dict[str, str] | None = None) -> DataFrame:
+    """The ordered body, cut into pages by bytes: (page_no from 0, page_count, n_lines, body).
 
-    Each page is one bounded group, so no task assembles an unbounded text.
+    A page holds the lines that begin within the same ``page_bytes`` of the whole text, so a page is at most
+    one line longer and no task assembles an unbounded text; one page or many have the same shape. ``more`` names
+    further text columns of ``lines`` to join per page, with their separators, and counts their bytes too.
     """
-    page = F.floor((F.col("alert_pos") - 1) / F.lit(page_lines)).cast("long")
-    ordered = F.sort_array(F.collect_list(F.struct("alert_pos", "line")))
-    return lines.groupBy(page.alias("page_no")).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"),
-    )
+    texts = {"line": "\n"} | (more or {})
+    size = sum((F.octet_length(c) + 1 for c in texts), F.lit(0))
+    x = running_total(lines.withColumn("_size", size.cast("long")), "alert_pos", "_size", "_end")
+    cut = F.floor((F.col("_end") - F.col("_size")) / F.lit(page_bytes)).cast("long")
+    ordered = F.sort_array(F.collect_list(F.struct("alert_pos", *texts)))
+    pages = x.groupBy(cut.alias("_cut")).agg(F.count(F.lit(1)).alias("n_lines"), *[
+        F.array_join(F.transform(ordered, _field(c)), sep).alias("body" if c == "line" else c) for c, sep in texts.items()])
+    # a row per page, without texts
+    numbers = x.groupBy(cut.alias("_cut")).agg(F.lit(0).alias("_0")).select(
+        "_cut", (F.row_number().over(Window.orderBy("_cut")) - 1).cast("long").alias("page_no"))
+    count = numbers.agg(F.count(F.lit(1))).select("count(1)").scalar()
+    return pages.join(numbers, "_cut").select("page_no", count.alias("page_count"), "n_lines", "body", *(more or {}))
+
+
+def _field(name: str):
+    return lambda row: row[name]
 
 
 def full_text(header: Column, body: Column) -> Column:
@@ -116,11 +128,11 @@ def full_text(header: Column, body: Column) -> Column:
     return F.when(cells.strip(body) != "", F.concat(header, F.lit("\n\n"), body)).otherwise(header)
 
 
-def alert_outbox(lines: DataFrame, run_id: str, page_lines: int = rules.ALERT_PAGE_LINES) -> DataFrame:
+def alert_outbox(lines: DataFrame, run_id: str, page_bytes: int = rules.ALERT_PAGE_BYTES) -> DataFrame:
     """A6 rows: one per body page with subject = header; an empty run yields no rows."""
     header = alert_header(lines).select("header").scalar()
-    pages = alert_pages(lines, page_lines)
+    pages = alert_pages(lines, page_bytes)
     return pages.select(
-        F.lit(run_id).alias("run_id"), "page_no", "n_lines",
+        F.lit(run_id).alias("run_id"), "page_no", "page_count", "n_lines",
         header.alias("subject"), "body", full_text(header, F.col("body")).alias("full_text"),
     )

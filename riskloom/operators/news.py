@@ -284,33 +284,56 @@ def syndication_exact(items: DataFrame) -> DataFrame:
 
 # --- R9 ------------------------------------------------------------------------------
 
-_UNITS = "million|billion|thousand|bn|mn|m|b|k"
-MONEY_PATTERN = r"(?i)(?:\$|€|£|USD|EUR|GBP) ?[0-9]+(?:[.,][0-9]+)* ?(?:(?:" + _UNITS + r")(?:[^A-Za-z0-9]|$))?"
-HEADCOUNT_PATTERN = r"(?i)[0-9]+(?:,[0-9]{3})* (?:employees|staff|workers)"
-_MULTIPLIER = (("billion", 1e9), ("bn", 1e9), ("b", 1e9), ("million", 1e6), ("mn", 1e6), ("m", 1e6), ("thousand", 1e3), ("k", 1e3))
+# Numbers with grouped thousands (by a space, comma, point or apostrophe) or without, and decimals behind comma or point.
+NUMBER = r"[0-9]{1,3}(?:[ \x{a0}][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+(?:[.,'][0-9]+)*"
+SCALES = {"trillion": 1e12, "billion": 1e9, "bn": 1e9, "mrd": 1e9, "b": 1e9, "million": 1e6, "mio": 1e6, "mn": 1e6, "m": 1e6,
+          "thousand": 1e3, "tsd": 1e3, "k": 1e3}
+SIGNS = r"US\$|\$|€|£|¥|USD|EUR|GBP|CHF|JPY"
+NAMES = r"(?:dollars?|euros?|pounds?|francs?|yen|USD|EUR|GBP|CHF|JPY)(?:[^A-Za-z0-9]|\z)|€|£|¥|\$"
+_SCALE = "(?:" + "|".join(SCALES) + r")\.?"
+# A currency stands on either side; a scale word ends where letters end. The character before is no part.
+MONEY_PATTERN = (rf"(?i)(?:^|[^0-9A-Za-z.,'])((?:{SIGNS}) ?(?:{NUMBER})(?: ?{_SCALE}(?:[^A-Za-z0-9]|\z))?"
+                 rf"|(?:{NUMBER})(?: ?{_SCALE})? ?(?:{NAMES}))")
+HEADCOUNT_PATTERN = rf"(?i)(?:^|[^0-9A-Za-z.,'])((?:{NUMBER}) (?:employees|staff|workers))"
+SCALE_PATTERN = r"(?i)[0-9] ?(" + "|".join(SCALES) + r")(?:[^A-Za-z0-9]|\z)"
+# How a number's separators are read, in this order; the first shape that fits decides.
+COMMA_GROUPS = r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
+POINT_GROUPS = r"^[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?$"
+ONE_POINT_GROUP = r"^[0-9]{1,3}\.[0-9]{3}$"
+PLAIN = r"^[0-9]+([.,][0-9]+)?$"
+
+
+def number_value(number: Column, scaled: Column) -> Column:
+    """The value of a number's text, null for a shape that no locale writes.
+
+    Spaces and apostrophes group. Three digits behind a single point are thousands, unless a scale word
+    follows (1.250 million is 1,250,000); behind a comma they always are.
+    """
+    t = F.regexp_replace(number, "[ \u00a0']", "")
+    points = t.rlike(POINT_GROUPS) & ~(scaled & t.rlike(ONE_POINT_GROUP))
+    text = (F.when(t.rlike(COMMA_GROUPS), F.regexp_replace(t, ",", ""))
+            .when(points, F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", "."))
+            .when(t.rlike(PLAIN), F.regexp_replace(t, ",", ".")))
+    return text.try_cast("double")
 
 
-def _amount(fig: Column, unit: Column | None) -> Column:
-    num = F.regexp_replace(F.regexp_extract(fig, r"([0-9]+(?:[.,][0-9]+)*)", 1), ",", "").try_cast("double")
-    mult = F.lit(1.0)
-    if unit is not None:
-        m = None
-        for name, factor in _MULTIPLIER:
-            m = (m if m is not None else F).when(unit == name, F.lit(factor))
-        mult = m.otherwise(F.lit(1.0))
-    return (num * mult).try_cast("decimal(20,2)")
+def _amount(figure: Column) -> Column:
+    number = F.regexp_extract(figure, f"({NUMBER})", 1)
+    word = F.lower(F.regexp_extract(figure, SCALE_PATTERN, 1))
+    factor = F.lit(1.0)
+    for name, value in SCALES.items():
+        factor = F.when(word == name, F.lit(value)).otherwise(factor)
+    return (number_value(number, word != "") * factor).try_cast("decimal(20,2)")
 
 
 def scale_figures(items: DataFrame) -> DataFrame:
     """Money amounts and headcounts stated in the text, one row per figure, in text order."""
-    money = items.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(MONEY_PATTERN), 0)).alias("pos", "figure"))
-    unit = F.lower(F.regexp_extract(F.col("figure"), "(?i)(" + _UNITS + r")([^A-Za-z0-9]|$)", 1))
-    money = money.select("item_id", F.lit("money").alias("kind"), (F.col("pos") + 1).cast("long").alias("ordinal"),
-                         F.trim("figure").alias("figure_text"), _amount(F.col("figure"), unit).alias("amount"))
-    heads = items.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(HEADCOUNT_PATTERN), 0)).alias("pos", "figure"))
-    heads = heads.select("item_id", F.lit("headcount").alias("kind"), (F.col("pos") + 1).cast("long").alias("ordinal"),
-                         F.trim("figure").alias("figure_text"), _amount(F.col("figure"), None).alias("amount"))
-    return money.unionByName(heads)
+    def figures(kind: str, pattern: str) -> DataFrame:
+        x = items.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("pos", "figure"))
+        return x.select("item_id", F.lit(kind).alias("kind"), (F.col("pos") + 1).cast("long").alias("ordinal"),
+                        F.trim("figure").alias("figure_text"), _amount(F.col("figure")).alias("amount"))
+
+    return figures("money", MONEY_PATTERN).unionByName(figures("headcount", HEADCOUNT_PATTERN))
 
 
 # --- R10 -----------------------------------------------------------------------------

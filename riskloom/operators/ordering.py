@@ -6,6 +6,7 @@
   the count and the last value across bucket edges.
 * ``global_position`` numbers rows 1..n in a total order with a range-partitioned
   sort and per-partition offsets, never a single-partition window over the data.
+* ``running_total`` sums a column along such positions, block by block.
 """
 
 from __future__ import annotations
@@ -87,3 +88,19 @@ def global_position(df: DataFrame, order: Sequence[Column], name: str = "pos") -
     ).select("_pid", "_off")
     pos = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)) + 1
     return tagged.join(F.broadcast(offsets), "_pid").withColumn(name, pos).drop("_pid", "_mid", "_off")
+
+
+POSITION_BLOCK = 4096
+
+
+def running_total(df: DataFrame, pos: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` up to and with each row, along the positions 1..n of ``pos``.
+
+    Windows run inside blocks of positions; the totals of the blocks, a row each, carry the sums on.
+    """
+    x = df.withColumn("_block", F.floor((F.col(pos) - 1) / POSITION_BLOCK).cast("long"))
+    totals = x.groupBy("_block").agg(F.sum(value).alias("_total"))
+    before = F.coalesce(F.sum("_total").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("_block", before.alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("_inside", inside).join(offsets, "_block").withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside")

@@ -20,9 +20,8 @@ def risk_flag(level: Column) -> Column:
     return level >= F.lit(rules.FLAG_THRESHOLD)
 
 
-def adjusted_evidence(evidence: DataFrame) -> DataFrame:
-    """New-models-only restrictions cap at 4; breach evidence older than the vendor's
-    latest resolving item is dropped unless a going-concern warning stands.
+def _with_carve_outs(evidence: DataFrame) -> DataFrame:
+    """Evidence with the carve-out rules (R15) that fire on each row, as columns.
 
     "Older than some resolution" equals "older than the latest resolution", so the range
     condition becomes an equi-join with one summary row per vendor (no pairs).
@@ -32,19 +31,39 @@ def adjusted_evidence(evidence: DataFrame) -> DataFrame:
         F.bool_or(F.col("is_going_concern")).alias("_going_concern"),
     )
     e = evidence.join(per_vendor, "vendor", "left")
-    dropped = (
-        F.col("is_breach")
-        & F.col("_resolved_at").isNotNull()
-        & (F.col("published_at") < F.col("_resolved_at"))
-        & ~F.coalesce(F.col("_going_concern"), F.lit(False))
-    )
-    adj = F.when(F.col("new_models_only"), F.least(F.col("level"), F.lit(rules.NEW_MODELS_ONLY_CAP))).otherwise(F.col("level"))
-    return e.where(~F.coalesce(dropped, F.lit(False))).select(
+    resolved = F.coalesce(F.col("is_breach") & (F.col("published_at") < F.col("_resolved_at")), F.lit(False))
+    warned = F.coalesce(F.col("_going_concern"), F.lit(False))
+    return e.withColumns({
+        "_dropped": resolved & ~warned, "_stands": resolved & warned,
+        "_capped": F.coalesce(F.col("new_models_only"), F.lit(False)) & (F.col("level") > rules.NEW_MODELS_ONLY_CAP)})
+
+
+def adjusted_evidence(evidence: DataFrame) -> DataFrame:
+    """New-models-only restrictions cap at 4; breach evidence older than the vendor's
+    latest resolving item is dropped unless a going-concern warning stands."""
+    adj = F.when(F.col("_capped"), F.lit(rules.NEW_MODELS_ONLY_CAP)).otherwise(F.col("level"))
+    return _with_carve_outs(evidence).where(~F.col("_dropped")).select(
         "evidence_id", "vendor", "condition", "level", adj.alias("adj_level"),
         "outlet", "tier", "in_scope", "published_at",
     )
 
 
+# What the trace says of a condition, in its order.
+TRACE_RULES = (("_capped", "covers new models only, capped at 4"), ("_dropped", "resolved by a later refinancing"),
+               ("_stands", "not cleared by refinancing, a going-concern warning stands"))
+
+
+def rule_trace(evidence: DataFrame) -> DataFrame:
+    """Which carve-out capped, dropped or kept which condition, one text per vendor.
+
+    The set behind it is bounded by the rules times the conditions of a vendor, and it is combined map-side."""
+    x = _with_carve_outs(evidence).where("in_scope")
+    fired = F.filter(F.array(*[F.when(F.col(c), F.struct(F.lit(i).alias("rule"), F.col("condition"), F.lit(text).alias("text")))
+                               for i, (c, text) in enumerate(TRACE_RULES)]), lambda r: r.isNotNull())
+    g = x.select("vendor", F.explode(fired).alias("r")).groupBy("vendor").agg(F.sort_array(F.collect_set("r")).alias("_t"))
+    return g.select("vendor", F.array_join(F.transform("_t", lambda r: F.concat(r["condition"], F.lit(" "), r["text"])), ", ").alias("trace"))
+
+
 def corroborated_conditions(adjusted: DataFrame) -> DataFrame:
     """Per (vendor, condition) of in-scope evidence, level 4-5 seen only in one
     non-primary outlet counts as 3 (capped); a primary source counts at face value."""
@@ -96,11 +115,14 @@ def excluded_events(adjusted: DataFrame) -> DataFrame:
     )
 
 
-def risk_score(book: DataFrame, adjusted: DataFrame) -> DataFrame:
-    """R13 -> R14 over the whole book: one level per book row (0 when nothing was found)."""
+def risk_score(book: DataFrame, adjusted: DataFrame, trace: DataFrame | None = None) -> DataFrame:
+    """R13 -> R14 over the whole book: one level per book row (0 when nothing was found).
+
+    ``trace`` (of ``rule_trace``) adds what the carve-outs did, for the reason."""
     rolled = vendor_rollup(corroborated_conditions(adjusted))
     excl = excluded_events(adjusted)
     j = book.select("book_row_id", "vendor").join(rolled, "vendor", "left").join(excl, "vendor", "left")
+    j = j.withColumn("trace", F.lit(None).cast("string")) if trace is None else j.join(trace, "vendor", "left")
     level = (
         F.when(F.col("in_scope_level").isNotNull(), F.col("in_scope_level"))
         .when(F.col("n_excluded") > 0, F.lit(1))
@@ -110,13 +132,13 @@ def risk_score(book: DataFrame, adjusted: DataFrame) -> DataFrame:
         "book_row_id", "vendor", level.alias("risk_level"), risk_flag(level).alias("is_risk"),
         F.coalesce(F.col("n_conditions"), F.lit(0)).alias("n_conditions"),
         F.coalesce(F.col("n_excluded"), F.lit(0)).alias("n_excluded"),
-        "driver_condition", "driver_level", "driver_capped", "n_level3", "n_level4", "max_level", "excluded",
+        "driver_condition", "driver_level", "driver_capped", "n_level3", "n_level4", "max_level", "excluded", "trace",
     )
 
 
 def risk_reason(scored: DataFrame) -> DataFrame:
-    """The reason names the driving condition and level, any escalation or cap,
-    and the events excluded as out of scope."""
+    """The reason names the driving condition and level, any escalation or cap, the carve-outs
+    and what they did, and the events excluded as out of scope."""
     lvl = F.col("risk_level").cast("string")
     main = (
         F.when(F.col("risk_level") == 0, F.lit("No in-scope or out-of-scope events found"))
@@ -130,7 +152,8 @@ def risk_reason(scored: DataFrame) -> DataFrame:
     )
     capped = F.when(F.col("driver_capped"), F.lit("single press source, capped at 3 pending confirmation"))
     excluded = F.when(F.col("excluded").isNotNull(), F.concat(F.lit("excluded as out of scope: "), F.col("excluded")))
-    reason = F.concat(F.concat_ws("; ", main, escalation, capped, excluded), F.lit("."))
+    carved = F.when(F.col("trace").isNotNull(), F.concat(F.lit("carve-outs: "), F.col("trace")))
+    reason = F.concat(F.concat_ws("; ", main, escalation, capped, carved, excluded), F.lit("."))
     return scored.select("book_row_id", "vendor", "risk_level", "is_risk", "driver_condition", reason.alias("risk_reason"))
 
 
@@ -156,7 +179,7 @@ def validate_decisions(decisions: DataFrame) -> DataFrame:
     problem = (
         F.when(lvl.isNull(), F.lit("missing level"))
         .when((lvl < rules.LEVEL_MIN) | (lvl > rules.LEVEL_MAX), F.lit("level out of range"))
-        .when(why.isNull() | (F.trim(why) == ""), F.lit("missing reason"))
+        .when(why.isNull() | (cells.strip(why) == ""), F.lit("missing reason"))
     )
     return decisions.withColumn("quarantine_reason", problem).withColumn(
         "is_valid", F.col("quarantine_reason").isNull()

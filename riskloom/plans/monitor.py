@@ -78,48 +78,84 @@ def select_items(features: DataFrame, confirmed: DataFrame, as_of: dt.date) -> D
     return g.select("vendor", "text_key", *[F.col(f"_r.{c}").alias(c) for c in keep])
 
 
-def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of: dt.date = rules.AS_OF,
-                book: DataFrame | None = None) -> DataFrame:
-    """Queue (G1) -> news selection (R2-R7) -> evidence (R12, R4) -> R15 -> R13 -> R14
-    -> R16 -> decision rows -> flag change against the book (C3b, C4 on is_risk, H8).
+def select_news(spark: SparkSession, sf_dir: str, vendors: DataFrame, as_of: dt.date) -> DataFrame:
+    """R2-R8 for the given vendors (at most a queue of them): the features of the news items that count.
 
-    The queue holds at most k vendors, so its vendor list is broadcast into the news scan
-    (a bounded broadcast); everything after it is keyed by vendor.
+    The vendor list is broadcast into the news scan (a bounded broadcast); everything after it is keyed by vendor.
     """
-    book = B.ingest_book(bindings.book_raw(spark, sf_dir)) if book is None else book
-    # the queue (at most k rows, with the old flag) is computed once: one top-k over the book
-    queue = materialize(B.vendor_queue(book, B.clamp_batch(k), carry=("is_risk",)))
-    names = F.broadcast(queue.select("vendor").distinct())
+    names = F.broadcast(vendors.select("vendor").distinct())
     items = bindings.news(spark, sf_dir).join(names, "vendor", "left_semi").where(R.in_window(as_of))
     aliases = bindings.aliases(spark, sf_dir).join(names, "vendor", "left_semi")
-    # one regex pass over the queued vendors' recent texts, written once and reused
+    # one pass over the queued vendors' recent texts, written once and reused
     features = materialize(R.item_features(items))
     # syndicated coverage counts once before it corroborates anything: same texts, then edited copies
     reps = materialize(select_items(features, R.confirm_entities(items, aliases), as_of))
-    reps = SIM.without_copies(reps, items)
+    return SIM.without_copies(reps, items)
+
+
+def decide(queue: DataFrame, reps: DataFrame) -> DataFrame:
+    """R12, R4 -> R15 -> R13 -> R14 -> R16 -> flag change against the book (C3b, C4 on is_risk, H8), one row
+    per queue row. A row whose vendor has no name fails: it gets neither level nor reason (J1 tells why)."""
+    evidence = materialize(news_evidence(reps))
+    scored = S.risk_reason(S.risk_score(queue.select("book_row_id", "vendor"), S.adjusted_evidence(evidence), S.rule_trace(evidence)))
+    scored = scored.where(F.coalesce(cells.strip("vendor"), F.lit("")) != "").drop("vendor")
     counts = reps.groupBy("vendor").agg(F.count(F.lit(1)).alias("n_items"))
-    adjusted = S.adjusted_evidence(news_evidence(reps))
-    scored = S.risk_reason(S.risk_score(queue.select("book_row_id", "vendor"), adjusted))
-    new_flag = cells.flag_text("is_risk")
     changed = ~F.col("old_flag").eqNullSafe(F.col("new_flag")) & (
         (F.coalesce(F.col("old_flag"), F.lit("")) == "1") | (F.col("new_flag") == "1"))
     out = (
         queue.select("queue_pos", "book_row_id", "vendor", F.col("is_risk").alias("old_flag"))
-        .join(scored.drop("vendor"), "book_row_id", "left")
+        .join(scored, "book_row_id", "left")
         .join(counts, "vendor", "left")
-        .withColumn("new_flag", new_flag)
+        .withColumn("new_flag", cells.flag_text("is_risk"))
     )
     return out.select(
         "queue_pos", "book_row_id", "vendor", F.coalesce(F.col("n_items"), F.lit(0)).alias("n_items"),
         "risk_level", "is_risk", "risk_reason", "old_flag", "new_flag",
-        F.when(changed, A.status("new_flag")).alias("status"),
+        F.when(changed & F.col("new_flag").isNotNull(), A.status("new_flag")).alias("status"),
     )
 
 
+def _queue(book: DataFrame, k: int) -> DataFrame:
+    # the queue (at most k rows, with the old flag) is computed once: one top-k over the book
+    return materialize(B.vendor_queue(book, B.clamp_batch(k), carry=("is_risk",)))
+
+
+def monitor_run(spark: SparkSession, sf_dir: str, k: int = rules.QUEUE_K, as_of: dt.date = rules.AS_OF,
+                book: DataFrame | None = None) -> DataFrame:
+    """Queue (G1) -> news selection (R2-R8) -> evidence (R12, R4) -> R15 -> R13 -> R14
+    -> R16 -> decision rows -> flag change against the book (C3b, C4 on is_risk, H8)."""
+    book = B.ingest_book(bindings.book_raw(spark, sf_dir)) if book is None else book
+    queue = _queue(book, k)
+    return decide(queue, select_news(spark, sf_dir, queue, as_of))
+
+
+TIER_NAMES = {1: "primary source", 2: "trade press", 3: "general press"}
+NOTHING_FOUND = "No news in scope found."
+
+
+def research_notes(vendors: DataFrame, reps: DataFrame) -> DataFrame:
+    """(vendor, text): what the selected news states, one line per event name and date, newest first.
+
+    A line names the event, its date, how many items state it and the most authoritative of their sources, so a
+    note is bounded by the rules and the days, not by the number of items. Vendors without news say so.
+    """
+    e = R.explode_rows(reps.withColumn("e", F.filter("events", lambda x: x["kind"].isin("in", "rubric"))), "e", "x", "vendor", "outlet", "tier", "item_id")
+    lines = e.groupBy("vendor", F.col("x.event_on").alias("day"), F.col("x.name").alias("name")).agg(
+        F.countDistinct("item_id").alias("n"), F.min(F.struct("tier", "outlet")).alias("s"))
+    tier = F.coalesce(*[F.when(F.col("s.tier") == t, F.lit(name)) for t, name in TIER_NAMES.items()], F.lit(TIER_NAMES[rules.UNKNOWN_TIER]))
+    text = F.concat(F.lit("- "), F.coalesce(F.col("day").cast("string"), F.lit("undated")), F.lit(": "), F.translate("name", "_", " "), F.lit(", "), F.col("n").cast("string"),
+                    F.when(F.col("n") == 1, F.lit(" item, ")).otherwise(F.lit(" items, ")), F.coalesce("s.outlet", F.lit("unnamed")), F.lit(" ("), tier, F.lit(")"))
+    order = F.struct((-F.coalesce(F.unix_date("day"), F.lit(-1 << 30))).alias("d"), "name", text.alias("line"))
+    notes = lines.groupBy("vendor").agg(F.sort_array(F.collect_list(order)).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda r: r["line"]), "\n")
+    return vendors.select("vendor").distinct().join(notes, "vendor", "left").select("vendor", F.coalesce(body, F.lit(NOTHING_FOUND)).alias("text"))
+
+
 @dataclass(frozen=True)
 class Run:
     """What a monitor run leaves behind, as DataFrames over one written decision table."""
 
+    research: DataFrame   # vendor, text: the notes of the run
     decisions: DataFrame  # decision_id (queue position), vendor, decided_at, risk_level, is_risk, risk_reason
     results: DataFrame    # U1 rows
     book_before: DataFrame
@@ -130,29 +166,33 @@ class Run:
 
 def complete_run(spark: SparkSession, sf_dir: str, book: DataFrame | None = None, k: int = rules.QUEUE_K,
                  as_of: dt.date = rules.AS_OF, run_start: dt.datetime = rules.RUN_START, last_id: int = 0) -> Run:
-    """P1 to its end: decide (``monitor_run``), record results, touch and update the book, audit the
+    """P1 to its end: research, decide (``monitor_run``), record results, touch and update the book, audit the
     changed cells, number them, and render the alert of the run's flag changes."""
     book = B.ingest_book(bindings.book_raw(spark, sf_dir)) if book is None else book
-    decided = materialize(monitor_run(spark, sf_dir, k, as_of, book))
+    queue = _queue(book, k)
+    reps = materialize(select_news(spark, sf_dir, queue, as_of))
+    decided = materialize(decide(queue, reps))
     decisions = decided.select(
         F.col("queue_pos").alias("decision_id"), "vendor", cells.ts_lit(run_start).alias("decided_at"),
         "risk_level", "is_risk", "risk_reason")
     results = S.run_results(S.validate_decisions(decisions.drop("is_risk")))
-    checked = decisions.select("vendor", F.col("decided_at").alias("checked_at"))
-    after = B.book_upsert(B.book_touch(book, checked), B.latest_per_vendor(decisions))
+    # a vendor that failed keeps its fields; its error row is in the results
+    scored = decisions.where("risk_level is not null")
+    checked = scored.select("vendor", F.col("decided_at").alias("checked_at"))
+    after = B.book_upsert(B.book_touch(book, checked), B.latest_per_vendor(scored))
     changes = materialize(assign_ids(C.change_log_diff(book, after, run_start), last_id))
     latest = C.latest_change_per_vendor(C.risk_changes_since(changes, run_start))
     lines = A.alert_lines(A.enrich_changes(latest, B.typed_book(after)))
-    return Run(decisions, results, book, after, changes, A.alert_outbox(lines, run_start.strftime("%Y-%m-%d %H:%M:%S")))
+    return Run(research_notes(scored, reps), decisions, results, book, after, changes, A.alert_outbox(lines, run_start.strftime("%Y-%m-%d %H:%M:%S")))
 
 
 def run_notes(run: Run, run_start: dt.datetime = rules.RUN_START) -> DataFrame:
-    """A4 rows of a run: one note per processed vendor, its text the reason behind the decision."""
+    """A4 rows of a run: one note per processed vendor, its text the research behind the decision. Of vendors
+    that share a note folder the last of the queue writes last."""
     at = cells.ts_lit(run_start)
-    return run.decisions.groupBy(cells.vendor_key("vendor").alias("vendor_key")).agg(
-        F.max_by(F.struct("decision_id", "risk_reason"), F.col("decision_id")).alias("_d")).select(
-        "vendor_key", cells.note_file_name(at).alias("file_name"), F.col("_d.decision_id").alias("write_seq"),
-        at.alias("noted_at"), at.cast("date").alias("note_date"), F.col("_d.risk_reason").alias("text"))
+    writes = run.decisions.join(run.research, "vendor").select(
+        cells.vendor_key("vendor").alias("vendor_key"), cells.note_file_name(at).alias("file_name"), F.col("decision_id").alias("write_seq"), "text")
+    return N.dedupe_note_writes(writes).withColumns({"noted_at": at, "note_date": at.cast("date")})
 
 
 def run_and_store(spark: SparkSession, sf_dir: str, root: str, k: int = rules.QUEUE_K, as_of: dt.date = rules.AS_OF,
@@ -173,7 +213,7 @@ def run_and_store(spark: SparkSession, sf_dir: str, root: str, k: int = rules.QU
     book = book_store.read_book(spark, store, base)
     last_id = read_change_log(spark, log, with_run=True).where(F.col("run_id") != run_id).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     run = complete_run(spark, sf_dir, book, k, as_of, run_start, int(last_id))
-    write_notes(run_notes(run, run_start), f"{root}/notes")
+    write_notes(run_notes(run, run_start), f"{root}/notes", run_id)
     run.results.write.mode("overwrite").parquet(f"{root}/results/run_id={run_id}")
     write_changes(run.changes, log, run_id)
     append_outbox(run.alert, f"{root}/outbox", run_id)
@@ -182,7 +222,7 @@ def run_and_store(spark: SparkSession, sf_dir: str, root: str, k: int = rules.QU
 
 
 def alert_since(spark: SparkSession, sf_dir: str, since: dt.datetime = rules.RUN_START,
-                page_lines: int = rules.ALERT_PAGE_LINES) -> DataFrame:
+                page_bytes: int = rules.ALERT_PAGE_BYTES) -> DataFrame:
     """B3 -> D1 -> C1 -> C2 -> H8-H11 -> D3, D5 -> A6 rows. One row per alert page:
     subject (header), body (alert lines), full text and the payload sections it summarises."""
     log = C.flag_history(bindings.decisions(spark, sf_dir))
@@ -190,24 +230,15 @@ def alert_since(spark: SparkSession, sf_dir: str, since: dt.datetime = rules.RUN
     book_now = B.book_upsert(B.ingest_book(bindings.book_raw(spark, sf_dir)),
                              B.latest_per_vendor(bindings.decisions(spark, sf_dir)))
     enriched = A.enrich_changes(latest, B.typed_book(book_now))
-    newest = N.newest_notes(N.dedupe_note_writes(bindings.notes(spark, sf_dir)))
+    # the notes of the changed vendors only, their texts last
+    newest = N.newest_notes(bindings.notes(spark, sf_dir), latest.select(cells.vendor_key("vendor").alias("vendor_key")))
     with_notes = N.attach_newest_note(enriched, newest).withColumn("section", A.section_text())
     lines = A.alert_lines(with_notes, carry=("section",))
-    return _pages_with_payload(lines, since, page_lines)
-
-
-def _pages_with_payload(lines: DataFrame, since: dt.datetime, page_lines: int) -> DataFrame:
     header = A.alert_header(lines.select("status")).select("header").scalar()
-    page = F.floor((F.col("alert_pos") - 1) / F.lit(page_lines)).cast("long")
-    ordered = F.sort_array(F.collect_list(F.struct("alert_pos", "line", "section")))
-    pages = lines.groupBy(page.alias("page_no")).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"),
-        F.array_join(F.transform(ordered, lambda x: x["section"]), rules.SECTION_SEPARATOR).alias("payload"),
-    )
+    pages = A.alert_pages(lines, page_bytes, {"section": rules.SECTION_SEPARATOR})
     return pages.select(
-        F.lit(since.strftime("%Y-%m-%d %H:%M:%S")).alias("run_id"), "page_no", "n_lines",
-        header.alias("subject"), "body", A.full_text(header, F.col("body")).alias("full_text"), "payload",
+        F.lit(since.strftime("%Y-%m-%d %H:%M:%S")).alias("run_id"), "page_no", "page_count", "n_lines",
+        header.alias("subject"), "body", A.full_text(header, F.col("body")).alias("full_text"), F.col("section").alias("payload"),
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from riskloom import rules
 from riskloom.operators import events as EV
+from riskloom.operators import news as R9
 from riskloom.sources.bindings import TEMPLATES
 
 
@@ -291,6 +292,10 @@ def oracle_statements() -> dict[str, str]:
         "vendor_change_history": with_views(
             "SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY changed_at DESC, id DESC) AS history_pos FROM change_log",
             {"change_log": FLAG_HISTORY}),
+        "stored_log_since": with_views("SELECT * FROM changes_since", ch),
+        "stored_log_history": with_views(
+            "SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY changed_at DESC, id DESC) AS history_pos FROM change_log",
+            {"change_log": FLAG_HISTORY}),
         "change_log_diff": with_views(diff_sql("book_text", "book_upsert", RUN_START_SQL), upsert),
     }
     out.update(alert_statements())
@@ -361,9 +366,9 @@ SECTION = (
 
 LINES = f"""
 SELECT id, vendor, book_row_id, status, line,
-  row_number() OVER (ORDER BY status_rank, id DESC, book_row_id ASC NULLS FIRST) AS alert_pos
+  row_number() OVER (ORDER BY status_rank, changed_at DESC, id DESC, book_row_id ASC NULLS FIRST) AS alert_pos
 FROM (
-  SELECT id, vendor, book_row_id, {status_sql()} AS status,
+  SELECT id, changed_at, vendor, book_row_id, {status_sql()} AS status,
     CASE WHEN {status_sql()} = 'NEW RISK' THEN 0 ELSE 1 END AS status_rank,
     concat({status_sql()}, ' - ', vendor, ': Level ', {LEVEL_TEXT}, '. ', {first_sentence_sql(REASON_TEXT)}) AS line
   FROM enriched) x"""
@@ -375,10 +380,16 @@ SELECT count(*) AS n_changes, CAST(coalesce(count_if(status = 'NEW RISK'), 0) AS
     ELSE printf('%d new risks, %d cleared', count_if(status = 'NEW RISK'), count_if(status = 'CLEARED')) END AS header
 FROM lines"""
 
-PAGES = f"""
-SELECT CAST(floor((alert_pos - 1) / {rules.ALERT_PAGE_LINES}) AS BIGINT) AS page_no, count(*) AS n_lines,
-  string_agg(line, chr(10) ORDER BY alert_pos) AS body
-FROM lines GROUP BY 1"""
+def pages_sql(src: str, size: str, more: str = "") -> str:
+    """A page holds the lines that begin within the same PAGE_BYTES of the whole; pages are numbered from 0."""
+    return f"""
+SELECT row_number() OVER (ORDER BY cut) - 1 AS page_no, count(*) OVER () AS page_count, * EXCLUDE (cut) FROM (
+  SELECT cut, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY alert_pos) AS body{more}
+  FROM (SELECT *, CAST(floor((sum({size}) OVER (ORDER BY alert_pos) - ({size})) / {rules.ALERT_PAGE_BYTES}) AS BIGINT) AS cut FROM {src}) x
+  GROUP BY cut) y"""
+
+
+PAGES = pages_sql("lines", "strlen(line) + 1")
 
 FULL_TEXT = "CASE WHEN " + strip_sql("body") + " <> '' THEN concat(h.header, chr(10), chr(10), body) ELSE h.header END"
 
@@ -417,13 +428,13 @@ def alert_statements() -> dict[str, str]:
         "alert_header": with_views("SELECT * FROM header", {**a, "header": HEADER}),
         "alert_body": with_views("SELECT * FROM pages", {**a, "pages": PAGES}),
         "alert_full_text": with_views(
-            f"SELECT p.page_no, p.n_lines, h.header, {FULL_TEXT} AS full_text FROM pages p, header h",
+            f"SELECT p.page_no, p.page_count, p.n_lines, h.header, {FULL_TEXT} AS full_text FROM pages p, header h",
             {**a, "header": HEADER, "pages": PAGES}),
         "alert_empty": with_views(
             f"SELECT n_changes, n_new, n_cleared, header, header AS full_text FROM header",
             {**alert_ctes("SELECT max(changed_at) + INTERVAL 1 SECOND FROM change_log"), "header": HEADER}),
         "alert_outbox": with_views(
-            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.n_lines, h.header AS subject, p.body, {FULL_TEXT} AS full_text "
+            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.page_count, p.n_lines, h.header AS subject, p.body, {FULL_TEXT} AS full_text "
             f"FROM pages p, header h",
             {**a, "header": HEADER, "pages": PAGES}),
     }
@@ -463,6 +474,20 @@ JOIN (
     ORDER BY eff_level DESC, level DESC, n_outlets DESC, condition DESC) AS rn
   FROM corroborated) d ON d.vendor = g.vendor AND d.rn = 1"""
 
+TRACE = """
+SELECT vendor, string_agg(condition || ' ' || text, ', ' ORDER BY rule, condition) AS trace FROM (
+  SELECT DISTINCT e.vendor, e.condition, r.rule, r.text
+  FROM v_evidence e JOIN (
+    SELECT vendor, max(CASE WHEN is_resolution THEN published_at END) AS resolved_at, bool_or(is_going_concern) AS gc
+    FROM v_evidence GROUP BY vendor) v ON v.vendor = e.vendor
+  JOIN (VALUES (0, 'covers new models only, capped at 4'), (1, 'resolved by a later refinancing'),
+    (2, 'not cleared by refinancing, a going-concern warning stands')) r(rule, text)
+    ON (r.rule = 0 AND e.new_models_only AND e.level > 4)
+    OR (r.rule = 1 AND e.is_breach AND e.published_at < v.resolved_at AND NOT COALESCE(v.gc, false))
+    OR (r.rule = 2 AND e.is_breach AND e.published_at < v.resolved_at AND COALESCE(v.gc, false))
+  WHERE e.in_scope) x
+GROUP BY vendor"""
+
 EXCLUDED = """
 SELECT vendor, count(*) AS n_excluded, string_agg(DISTINCT condition, ', ' ORDER BY condition) AS excluded
 FROM adjusted WHERE NOT in_scope GROUP BY vendor"""
@@ -472,8 +497,8 @@ SELECT b.book_row_id, b.vendor,
   CASE WHEN r.in_scope_level IS NOT NULL THEN r.in_scope_level WHEN x.n_excluded > 0 THEN 1 ELSE 0 END AS risk_level,
   (CASE WHEN r.in_scope_level IS NOT NULL THEN r.in_scope_level WHEN x.n_excluded > 0 THEN 1 ELSE 0 END) >= 3 AS is_risk,
   COALESCE(r.n_conditions, 0) AS n_conditions, COALESCE(x.n_excluded, 0) AS n_excluded,
-  r.driver_condition, r.driver_level, r.driver_capped, r.n_level3, r.n_level4, r.max_level, x.excluded
-FROM book_text b LEFT JOIN rollup r ON r.vendor = b.vendor LEFT JOIN excluded x ON x.vendor = b.vendor"""
+  r.driver_condition, r.driver_level, r.driver_capped, r.n_level3, r.n_level4, r.max_level, x.excluded, t.trace
+FROM book_text b LEFT JOIN rollup r ON r.vendor = b.vendor LEFT JOIN excluded x ON x.vendor = b.vendor LEFT JOIN trace t ON t.vendor = b.vendor"""
 
 REASON = """
 SELECT book_row_id, vendor, risk_level, is_risk, driver_condition,
@@ -484,6 +509,7 @@ SELECT book_row_id, vendor, risk_level, is_risk, driver_condition,
     CASE WHEN n_level4 >= 2 THEN 'two or more level-4 conditions'
          WHEN n_level3 >= 2 AND risk_level = 4 AND max_level < 4 THEN 'two or more level-3 conditions' END,
     CASE WHEN driver_capped THEN 'single press source, capped at 3 pending confirmation' END,
+    CASE WHEN trace IS NOT NULL THEN concat('carve-outs: ', trace) END,
     CASE WHEN excluded IS NOT NULL THEN concat('excluded as out of scope: ', excluded) END) || '.' AS risk_reason
 FROM scored"""
 
@@ -502,13 +528,13 @@ SELECT decision_id, vendor, decided_at,
   json_extract_string(payload, '$.Risk_Reason') AS risk_reason
 FROM payloads"""
 
-VALIDATED = """
+VALIDATED = f"""
 SELECT *, quarantine_reason IS NULL AS is_valid,
   CASE WHEN quarantine_reason IS NULL THEN risk_level >= 3 END AS is_risk
 FROM (
   SELECT *, CASE WHEN risk_level IS NULL THEN 'missing level'
     WHEN risk_level < 0 OR risk_level > 5 THEN 'level out of range'
-    WHEN risk_reason IS NULL OR trim(risk_reason) = '' THEN 'missing reason' END AS quarantine_reason
+    WHEN risk_reason IS NULL OR {strip_sql('risk_reason')} = '' THEN 'missing reason' END AS quarantine_reason
   FROM intake) x"""
 
 RESULTS = f"""
@@ -531,7 +557,7 @@ FROM results"""
 
 def score_ctes() -> dict[str, str]:
     return {"book_text": BOOK_TEXT, "adjusted": ADJUSTED, "corroborated": CORROBORATED,
-            "rollup": ROLLUP, "excluded": EXCLUDED, "scored": SCORED}
+            "rollup": ROLLUP, "excluded": EXCLUDED, "trace": TRACE, "scored": SCORED}
 
 
 def decision_ctes() -> dict[str, str]:
@@ -678,29 +704,22 @@ LEFT JOIN v_aliases a ON a.vendor = b.vendor"""
 
 HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]+)', 1))"
 
-MONEY_UNITS = "million|billion|thousand|bn|mn|m|b|k"
-MONEY_RE = r"(?i)(?:\$|€|£|USD|EUR|GBP) ?[0-9]+(?:[.,][0-9]+)* ?(?:(?:" + MONEY_UNITS + r")(?:[^A-Za-z0-9]|$))?"
-HEAD_RE = r"(?i)[0-9]+(?:,[0-9]{3})* (?:employees|staff|workers)"
-
-
-def amount_sql(fig: str, with_unit: bool) -> str:
-    num = f"TRY_CAST(replace(regexp_extract({fig}, '([0-9]+(?:[.,][0-9]+)*)', 1), ',', '') AS DOUBLE)"
-    if not with_unit:
-        return f"TRY_CAST({num} AS DECIMAL(20,2))"
-    unit = f"lower(regexp_extract({fig}, '(?i)({MONEY_UNITS})([^A-Za-z0-9]|$)', 1))"
-    mult = (f"CASE {unit} WHEN 'billion' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'mn' THEN 1e6 "
-            f"WHEN 'm' THEN 1e6 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1.0 END")
-    return f"TRY_CAST({num} * CAST({mult} AS DOUBLE) AS DECIMAL(20,2))"
+def amount_sql(fig: str) -> str:
+    t = f"regexp_replace(regexp_extract({fig}, {_q('(' + R9.NUMBER + ')')}, 1), '[ \u00a0'']', '', 'g')"
+    word = f"lower(regexp_extract({fig}, {_q(R9.SCALE_PATTERN)}, 1))"
+    fits = lambda pattern: f"regexp_matches({t}, {_q(pattern)})"
+    value = (f"CASE WHEN {fits(R9.COMMA_GROUPS)} THEN replace({t}, ',', '') "
+             f"WHEN {fits(R9.POINT_GROUPS)} AND NOT ({word} <> '' AND {fits(R9.ONE_POINT_GROUP)}) THEN replace(replace({t}, '.', ''), ',', '.') "
+             f"WHEN {fits(R9.PLAIN)} THEN replace({t}, ',', '.') END")
+    factor = f"CASE {word} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in R9.SCALES.items()) + " ELSE 1.0 END"
+    return f"TRY_CAST(TRY_CAST({value} AS DOUBLE) * CAST({factor} AS DOUBLE) AS DECIMAL(20,2))"
 
 
-FIGURES = f"""
-SELECT item_id, 'money' AS kind, CAST(ord AS BIGINT) AS ordinal, trim(fig) AS figure_text, {amount_sql('fig', True)} AS amount
-FROM (SELECT item_id, unnest(m) AS fig, unnest(range(1, len(m) + 1)) AS ord
-      FROM (SELECT item_id, regexp_extract_all(text, {_q(MONEY_RE)}) AS m FROM v_news) x) y
-UNION ALL
-SELECT item_id, 'headcount', CAST(ord AS BIGINT), trim(fig), {amount_sql('fig', False)}
+FIGURES = "\nUNION ALL\n".join(f"""
+SELECT item_id, '{kind}' AS kind, CAST(ord AS BIGINT) AS ordinal, trim(fig) AS figure_text, {amount_sql('fig')} AS amount
 FROM (SELECT item_id, unnest(m) AS fig, unnest(range(1, len(m) + 1)) AS ord
-      FROM (SELECT item_id, regexp_extract_all(text, {_q(HEAD_RE)}) AS m FROM v_news) x) y"""
+      FROM (SELECT item_id, regexp_extract_all(text, {_q(pattern)}, 1) AS m FROM v_news) x) y"""
+                              for kind, pattern in (("money", R9.MONEY_PATTERN), ("headcount", R9.HEADCOUNT_PATTERN)))
 
 
 QUOTES = """
@@ -778,9 +797,9 @@ def _lines_from(src: str, carry: str = "") -> str:
     extra = f", {carry}" if carry else ""
     return f"""
 SELECT id, vendor, book_row_id, status, line{extra},
-  row_number() OVER (ORDER BY status_rank, id DESC, book_row_id ASC NULLS FIRST) AS alert_pos
+  row_number() OVER (ORDER BY status_rank, changed_at DESC, id DESC, book_row_id ASC NULLS FIRST) AS alert_pos
 FROM (
-  SELECT id, vendor, book_row_id, {status_sql()} AS status,
+  SELECT id, changed_at, vendor, book_row_id, {status_sql()} AS status,
     CASE WHEN {status_sql()} = 'NEW RISK' THEN 0 ELSE 1 END AS status_rank,
     concat({status_sql()}, ' - ', vendor, ': Level ', {LEVEL_TEXT}, '. ', {first_sentence_sql(REASON_TEXT)}) AS line{extra}
   FROM {src}) x"""
@@ -832,7 +851,7 @@ SELECT evidence_id, vendor, condition, level, outlet, tier, in_scope, new_models
   is_resolution, CAST(event_on AS TIMESTAMP) AS published_at
 FROM ev_raw""",
         "adjusted": ADJUSTED.replace("v_evidence", "news_evidence"),
-        "corroborated": CORROBORATED, "rollup": ROLLUP, "excluded": EXCLUDED,
+        "corroborated": CORROBORATED, "rollup": ROLLUP, "excluded": EXCLUDED, "trace": TRACE.replace("v_evidence", "news_evidence"),
         "scored": SCORED.replace("FROM book_text b", "FROM (SELECT book_row_id, vendor FROM queue) b"),
         "reason": REASON,
         "counts": "SELECT vendor, count(*) AS n_items FROM reps GROUP BY vendor",
@@ -904,19 +923,32 @@ WHERE vendor IN (SELECT vendor FROM names)""",
     }
     return {
         "monitor_run": with_views(MONITOR, monitor_ctes()),
+        "monitor_notes": with_views(f"""
+SELECT k.vendor_key, 'research_' || strftime(TIMESTAMP '{RUN_START_SQL}', '%Y-%m-%d_%H-%M-%S') || '.md' AS file_name, k.queue_pos AS write_seq,
+  TIMESTAMP '{RUN_START_SQL}' AS noted_at, CAST(TIMESTAMP '{RUN_START_SQL}' AS DATE) AS note_date, COALESCE(t.text, 'No news in scope found.') AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY vendor_key ORDER BY queue_pos DESC) AS rn FROM (
+  SELECT vendor, queue_pos, {vendor_key_sql('vendor')} AS vendor_key FROM queue) q) k
+LEFT JOIN (
+  SELECT vendor, string_agg('- ' || COALESCE(CAST(event_on AS VARCHAR), 'undated') || ': ' || replace(name, '_', ' ') || ', ' || CAST(n AS VARCHAR)
+    || CASE WHEN n = 1 THEN ' item, ' ELSE ' items, ' END || COALESCE(outlet, 'unnamed') || ' (' || CASE tier WHEN 1 THEN 'primary source' WHEN 2 THEN 'trade press' ELSE 'general press' END || ')',
+    chr(10) ORDER BY event_on DESC NULLS LAST, name) AS text
+  FROM (
+    SELECT r.vendor, e.event_on, e.name, count(DISTINCT e.item_id) AS n, min(r.tier) AS tier,
+      arg_min(r.outlet, CAST(r.tier AS VARCHAR) || r.outlet) AS outlet
+    FROM events_x e JOIN reps r ON r.item_id = e.item_id WHERE e.kind IN ('in', 'rubric') GROUP BY r.vendor, e.event_on, e.name) x
+  GROUP BY vendor) t ON t.vendor = k.vendor
+WHERE k.rn = 1""", monitor_ctes()),
         "monitor_results": with_views("SELECT * FROM results", run_ctes()),
         "monitor_book_after": with_views("SELECT * FROM book_upsert", run_ctes()),
         "monitor_change_log": with_views("SELECT * FROM change_log", run_ctes()),
         "monitor_alert": with_views(
-            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.n_lines, h.header AS subject, p.body, {FULL_TEXT} AS full_text "
+            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.page_count, p.n_lines, h.header AS subject, p.body, {FULL_TEXT} AS full_text "
             f"FROM pages p, header h", run_ctes()),
         "alert_since": with_views(
-            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.n_lines, h.header AS subject, p.body, "
-            f"{FULL_TEXT} AS full_text, p.payload FROM ("
-            f"SELECT CAST(floor((alert_pos - 1) / {rules.ALERT_PAGE_LINES}) AS BIGINT) AS page_no, count(*) AS n_lines, "
-            f"string_agg(line, chr(10) ORDER BY alert_pos) AS body, "
-            f"string_agg(section, {_q(rules.SECTION_SEPARATOR).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} ORDER BY alert_pos) AS payload "
-            f"FROM lines_s GROUP BY 1) p, header h", an),
+            f"SELECT '{RUN_START_SQL}' AS run_id, p.page_no, p.page_count, p.n_lines, h.header AS subject, p.body, "
+            f"{FULL_TEXT} AS full_text, p.payload FROM pages_s p, header h", {**an, "pages_s": pages_sql(
+                "lines_s", "strlen(line) + strlen(section) + 2",
+                f", string_agg(section, {_q(rules.SECTION_SEPARATOR).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} ORDER BY alert_pos) AS payload")}),
         "manual_override": with_views(
             "SELECT l.alert_pos, l.id, l.vendor, l.book_row_id, l.status, l.line, h.header FROM lines l, header h", manual),
         "flip_stream": with_views("SELECT * FROM change_log", {"change_log": FLAG_HISTORY}),

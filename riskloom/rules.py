@@ -86,7 +86,7 @@ NEW_MODELS_ONLY_CAP = 4
 AS_OF = _dt.date(2024, 1, 30)
 RUN_START = _dt.datetime(2024, 1, 29, 12, 0, 0)
 QUEUE_K = 25
-ALERT_PAGE_LINES = 1000
+ALERT_PAGE_BYTES = 1 << 18  # an alert page holds about so many bytes of text
 
 # Event rules: (name, kind, level, anchor words, needs, blocks). Texts are read sentence by sentence, as
 # lower-case words. A rule fires at an anchor word when each need ("frame: words") has one of its words in

@@ -73,11 +73,37 @@ def test_pages_and_full_text(spark, tmp_out):
     bk = book(spark, rows)
     t = RUN + dt.timedelta(minutes=1)
     lines, head = run_alert(spark, bk, [(100 + i, f"V{i:03d}", t, 4, True, "Reason.") for i in range(1, 8)])
-    pages = {r.page_no: r for r in A.alert_pages(lines, page_lines=3).collect()}
-    assert sorted(pages) == [0, 1, 2] and [pages[p].n_lines for p in (0, 1, 2)] == [3, 3, 1]
-    outbox = A.alert_outbox(lines, "run-2", page_lines=3)
+    pages = {r.page_no: r for r in A.alert_pages(lines, page_bytes=100).collect()}
+    # lines of 38 bytes: those that begin below byte 100, 200 and 300
+    assert sorted(pages) == [0, 1, 2] and [pages[p].n_lines for p in (0, 1, 2)] == [3, 3, 1] and {p.page_count for p in pages.values()} == {3}
+    assert "\n".join(pages[p].body for p in (0, 1, 2)) == "\n".join(r.line for r in lines.orderBy("alert_pos").collect())
+    outbox = A.alert_outbox(lines, "run-2", page_bytes=100)
     assert append_outbox(outbox, tmp_out + "/outbox", "run-2") is True
     stored = read_outbox(spark, tmp_out + "/outbox")
     first = stored.where("page_no = 0").first()
     assert first.subject == "7 new risks, 0 cleared"
     assert first.full_text == first.subject + "\n\n" + first.body
+
+
+def test_pages_by_bytes_have_no_gaps(spark):
+    """A line longer than a page leaves no page number out; texts of several bytes a letter count in full."""
+    texts = ["a" * 10, "é" * 400, "b", "", "c" * 90, "d" * 500, "e"]
+    df = spark.createDataFrame([(i + 1, t, "s" * i) for i, t in enumerate(texts)], "alert_pos long, line string, section string")
+    pages = A.alert_pages(df, 100).orderBy("page_no").collect()
+    assert [p.page_no for p in pages] == list(range(len(pages))) and {p.page_count for p in pages} == {len(pages)}
+    assert "\n".join(p.body for p in pages) == "\n".join(texts) and len(pages) == 4
+    both = A.alert_pages(df, 100, {"section": "--"}).orderBy("page_no").collect()
+    assert "--".join(p.section for p in both) == "--".join("s" * i for i in range(7))
+    assert A.alert_pages(df.limit(0), 100).count() == 0
+
+
+def test_running_total_over_blocks(spark, monkeypatch):
+    from riskloom.operators import ordering
+
+    monkeypatch.setattr(ordering, "POSITION_BLOCK", 7)
+    df = spark.range(1, 101).select(F.col("id").alias("pos"), (F.col("id") * 3 % 11).alias("v")).repartition(5)
+    total, want = 0, {}
+    for i in range(1, 101):
+        total += i * 3 % 11
+        want[i] = total
+    assert {r.pos: r.t for r in ordering.running_total(df, "pos", "v", "t").collect()} == want

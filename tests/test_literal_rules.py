@@ -133,7 +133,7 @@ def test_a_note_written_twice_is_read_once(spark, tmp_out):
     rows = [("k", "research_2024-01-01_00-00-00.md", n, dt.datetime(2024, 1, 1), dt.date(2024, 1, 1), f"text {n}") for n in (1, 2)]
     df = spark.createDataFrame(rows, "vendor_key string, file_name string, write_seq long, noted_at timestamp_ntz, note_date date, text string")
     for _ in range(2):
-        notes.write_notes(df, f"{tmp_out}/notes")
+        notes.write_notes(df, f"{tmp_out}/notes", "r")
     assert [r.text for r in notes.read_notes(spark, f"{tmp_out}/notes").collect()] == ["text 2"]
 
 
@@ -240,3 +240,29 @@ def test_items_without_text_or_events(spark):
     f = R.item_features(_items(spark, [None, "", "...", "word"]))
     assert R.scope(f).where("in_scope or has_event or categories <> '' or excluded_kinds <> ''").count() == 0 and f.count() == 4
     assert R.indicator_matches(f).count() == 0 and news_evidence(f).count() == 0
+
+
+def test_alert_lines_follow_the_order_of_the_log(spark):
+    t = dt.datetime(2024, 1, 1, 13)
+    rows = [(10, t, "A", "0", "1", 1, 4.0, "r"), (5, t + dt.timedelta(hours=1), "B", "0", "1", 2, 4.0, "r"), (11, t, "C", "0", "1", 3, 4.0, "r")]
+    df = spark.createDataFrame(rows, "id long, changed_at timestamp_ntz, vendor string, old_value string, new_value string, book_row_id long, risk_level double, risk_reason string")
+    assert [r.vendor for r in A.alert_lines(df).orderBy("alert_pos").collect()] == ["B", "C", "A"]
+
+
+def test_a_reason_of_white_space_is_missing(spark):
+    df = spark.createDataFrame([(1, "A", 3, "\n\t"), (2, "A", 3, "\u3000"), (3, "A", 3, " r ")], "decision_id long, vendor string, risk_level int, risk_reason string")
+    assert {r.decision_id: r.quarantine_reason for r in S.validate_decisions(df).collect()} == {1: "missing reason", 2: "missing reason", 3: None}
+
+
+AMOUNTS = {
+    "12 000 employees": "12000.00", "1,5 Mio EUR": "1500000.00", "5 million dollars": "5000000.00", "€1.250.000": "1250000.00", "1.250.000,50 EUR": "1250000.50",
+    "$1,250.50": "1250.50", "CHF 1'250'000": "1250000.00", "$1.250 million": "1250000.00", "$1,250 million": "1250000000.00", "EUR 1.250": "1250.00", "3 Mrd. Euro": "3000000000.00",
+    "2.5 trillion yen": "2500000000000.00", "US$ 7": "7.00", "40 Tsd. EUR": "40000.00", "10 €": "10.00", "in 2023 500 employees": "500.00", "£1.2.3": None, "USD 12,34,56": None,
+}
+
+
+def test_number_grammar(spark):
+    got = {r.item_id: r.amount for r in R.scale_figures(_items(spark, list(AMOUNTS))).collect()}
+    assert {t: None if got[i] is None else str(got[i]) for i, t in enumerate(AMOUNTS)} == AMOUNTS
+    none = R.scale_figures(_items(spark, ["page 12", "5 millionaires", "v1.2.3 dollarstore", "12 000 people", "A4 paper"]))
+    assert [r.figure_text for r in none.collect()] == []

@@ -31,3 +31,32 @@ def test_two_runs_and_a_replay(spark, tmp_out):
     assert {r[0] for r in first[3]} != {r[0] for r in after[3]}  # the second run takes the next vendors
     P.run_and_store(spark, SF_SMALL, tmp_out, k=3, run_start=second)
     assert _state(spark, tmp_out) == after
+
+
+def test_the_note_of_a_run_is_its_research(spark, tmp_out):
+    run = P.run_and_store(spark, SF_SMALL, tmp_out, k=8)
+    notes = {r.vendor_key: r.text for r in read_notes(spark, f"{tmp_out}/notes").collect()}
+    reasons = {r.vendor: r.risk_reason for r in run.decisions.collect()}
+    assert set(notes) == set(reasons) and not set(notes.values()) & set(reasons.values())
+    levels = {r.vendor: r.risk_level for r in run.decisions.collect()}
+    for vendor, text in notes.items():
+        assert (text == P.NOTHING_FOUND) or all(line.startswith("- ") for line in text.split("\n"))
+        if levels[vendor] > 1:
+            assert text != P.NOTHING_FOUND
+
+
+def test_a_vendor_that_fails_gives_an_error_row_and_the_run_goes_on(spark):
+    from riskloom.operators import book as B
+    from riskloom.sources import bindings
+
+    book = B.ingest_book(bindings.book_raw(spark, SF_SMALL))
+    odd = book.limit(1).selectExpr("-1L as book_row_id", "'\u3000 ' as vendor", *[f"cast(null as string) as {c}" for c in book.columns[2:]])
+    run = P.complete_run(spark, SF_SMALL, book.unionByName(odd), k=5)
+    results = {r.vendor: r for r in run.results.collect()}
+    assert len(results) == 5
+    bad = results["\u3000 "]
+    assert bad.reason == "Error: missing level" and bad.flagged is None and bad.research_file == ""
+    assert sum(r.flagged is not None for r in results.values()) == 4
+    after = {r.book_row_id: r for r in run.book_after.collect()}
+    assert after[-1].last_checked is None and after[-1].risk_level is None
+    assert run.changes.where("vendor = '\u3000 '").count() == 0

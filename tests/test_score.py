@@ -57,6 +57,24 @@ def test_reason_names_driver_and_exclusions(spark):
     assert "driven by c4" in reason and "excluded as out of scope: port" in reason
 
 
+def traced(spark, rows):
+    book = spark.createDataFrame([(1, "V")], "book_row_id long, vendor string")
+    evidence = spark.createDataFrame(rows, EV_SCHEMA)
+    return S.risk_reason(S.risk_score(book, S.adjusted_evidence(evidence), S.rule_trace(evidence))).first().risk_reason
+
+
+def test_reason_names_the_carve_outs(spark):
+    assert traced(spark, [ev(1, "trade_ban", 5, tier=1, nmo=True)]) == (
+        "Level 4 driven by trade_ban; carve-outs: trade_ban covers new models only, capped at 4.")
+    refinanced = [ev(1, "covenant_breach", 4, tier=1, breach=True, day=0), ev(2, "refinancing", 1, tier=1, resolution=True, day=5)]
+    assert traced(spark, refinanced) == "Level 1 driven by refinancing; carve-outs: covenant_breach resolved by a later refinancing."
+    warned = traced(spark, [*refinanced, ev(3, "going_concern", 4, tier=1, breach=True, gc=True, day=6)])
+    assert "carve-outs: covenant_breach not cleared by refinancing, a going-concern warning stands" in warned
+    both = traced(spark, [ev(1, "b", 5, tier=1, nmo=True), ev(2, "a", 5, tier=1, nmo=True), ev(3, "a", 5, tier=2, nmo=True), ev(4, "port", 0, in_scope=False)])
+    assert "carve-outs: a covers new models only, capped at 4, b covers new models only, capped at 4; excluded as out of scope: port." in both
+    assert "carve-outs" not in traced(spark, [ev(1, "c4", 4, tier=1, nmo=True)])  # at its cap already
+
+
 def test_decision_validation(spark):
     df = spark.createDataFrame([(1, "V", -1, "r"), (2, "V", 0, "r"), (3, "V", 5, "r"), (4, "V", 6, "r"),
                                 (5, "V", None, "r"), (6, "V", 3, " ")],
