@@ -40,18 +40,30 @@ def _folders(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return {d[13:]: sorted(n[7:] for n in list_children(spark, f"{path}/{d}") if n.startswith("run_id=")) for d in sorted(dates)}
 
 
-def _replaced(spark: SparkSession, path: str, merged: str) -> set[str] | None:
-    """The runs that a merged folder stands for, or None before its commit."""
+def _replaced(spark: SparkSession, path: str, merged: str) -> dict[str, set[str]] | None:
+    """By date, the runs that a merge stands for; None before its commit."""
     commit = f"{path}/_commits/{merged}"
-    return {r.run_id for r in spark.read.parquet(commit).collect()} if path_exists(spark, f"{commit}/_SUCCESS") else None
+    if not path_exists(spark, f"{commit}/_SUCCESS"):
+        return None
+    out: dict[str, set[str]] = {}
+    for r in spark.read.parquet(commit).collect():  # a row per date and run
+        out.setdefault(r.day, set()).add(r.run_id)
+    return out
+
+
+def _merges(spark: SparkSession, path: str, folders: dict[str, list[str]]) -> dict[str, dict[str, set[str]] | None]:
+    names = {r for runs in folders.values() for r in runs if r.startswith(MERGED)}
+    return {m: _replaced(spark, path, m) for m in sorted(names)}
 
 
 def live_folders(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """The folders of each date that a reader takes."""
+    folders = _folders(spark, path)
+    merges = _merges(spark, path, folders)
     out = {}
-    for date, runs in _folders(spark, path).items():
-        stands_for = {r: _replaced(spark, path, r) for r in runs if r.startswith(MERGED)}
-        gone = {x for v in stands_for.values() if v is not None for x in v} | {r for r, v in stands_for.items() if v is None}
+    for date, runs in folders.items():
+        gone = {r for r in runs if r in merges and merges[r] is None}
+        gone |= {x for r in runs if merges.get(r) for x in merges[r].get(date, ())}
         if live := [r for r in runs if r not in gone]:
             out[date] = live
     return out
@@ -94,8 +106,7 @@ def write_changes(rows: DataFrame, path: str, run_id: str) -> None:
     """Write one run's numbered changes; a rerun replaces them, on every date. A merged run is closed."""
     spark = rows.sparkSession
     before = _folders(spark, path)
-    merged = {r for runs in before.values() for r in runs if r.startswith(MERGED)}
-    if any(run_id in (_replaced(spark, path, m) or ()) for m in merged):
+    if any(run_id in runs for m in _merges(spark, path, before).values() if m for runs in m.values()):
         raise ValueError(f"the changes of run {run_id} are merged and closed")
     rows = rows.select(*CHANGE_LOG_SCHEMA.names)
     _write(rows, path, run_id)
@@ -106,22 +117,23 @@ def write_changes(rows: DataFrame, path: str, run_id: str) -> None:
 
 
 def compact_log(spark: SparkSession, path: str, before: dt.date, least: int = 2) -> None:
-    """Merge the folders of every date before ``before`` that has ``least`` or more.
+    """Merge, in one write, the folders of every date before ``before`` that has ``least`` or more.
 
     Stopped at any point, it can be called again: folders without a commit are not read and go with the next call.
     """
-    for date, runs in _folders(spark, path).items():
-        if dt.date.fromisoformat(date) >= before:
-            continue
-        live = live_folders(spark, path)[date]
-        for r in set(runs) - set(live):  # left over by a call that was stopped
-            delete_path(spark, f"{path}/changed_date={date}/run_id={r}")
-        if len(live) < least:
-            continue
-        name = f"{MERGED}{uuid.uuid4().hex}"
-        rows = spark.read.schema(CHANGE_LOG_SCHEMA).parquet(*[f"{path}/changed_date={date}/run_id={r}" for r in live])
-        _write(rows, path, name)
-        earlier = {x for r in live if r.startswith(MERGED) for x in _replaced(spark, path, r)}
-        spark.createDataFrame([(r,) for r in sorted({*live, *earlier})], "run_id string").coalesce(1).write.parquet(f"{path}/_commits/{name}")
-        for r in live:
+    folders, live = _folders(spark, path), live_folders(spark, path)
+    done = [d for d in folders if dt.date.fromisoformat(d) < before]
+    for date in done:
+        for r in set(folders[date]) - set(live.get(date, ())):  # left over by a call that was stopped
             delete_path(spark, f"{path}/changed_date={date}/run_id={r}")
+    small = {d: live[d] for d in done if len(live.get(d, ())) >= least}
+    if not small:
+        return
+    name = f"{MERGED}{uuid.uuid4().hex}"
+    paths = [f"{path}/changed_date={d}/run_id={r}" for d, runs in small.items() for r in runs]
+    _write(spark.read.schema(CHANGE_LOG_SCHEMA).parquet(*paths), path, name)
+    merges = _merges(spark, path, small)
+    replaced = {(d, x) for d, runs in small.items() for r in runs for x in {r, *((merges.get(r) or {}).get(d, ()))}}
+    spark.createDataFrame(sorted(replaced), "day string, run_id string").coalesce(1).write.parquet(f"{path}/_commits/{name}")
+    for p in paths:
+        delete_path(spark, p)
