@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,8 @@ from riskloom.llm.common import documents
 SPACE = r"\t-\r \x85\xa0  -     　"
 # Fixed value: the split pattern of this kind of vocabulary.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-CACHE = 150_000        # chunks that a worker remembers before it starts anew
+CACHE = 300_000        # chunks that a worker remembers at most
+KEPT = 75_000          # of them those that stay then: the first to come, among them the frequent ones
 BATCH_CHARS = 1 << 20  # characters encoded together
 LONG_WORD = 200        # bytes from which a word is merged alone, with a heap
 NO_LIMIT = 1 << 30
@@ -75,7 +77,7 @@ class Bpe:
         self.buildable = self._buildable()
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
-        self.cache: dict[str, tuple[list[int], str]] = {}
+        self.cache: dict[str, tuple[list[int], str, bytes]] = {}  # ids, decimal ids, decoded bytes
         self.words: dict[str, list[int]] = {}
 
     def _trie(self, vocab, letters) -> None:
@@ -252,7 +254,7 @@ class Bpe:
             known.update(zip(new, self.words_to_ids([w.encode("utf-8", "surrogatepass") for w in new])))
         for c, p in zip(chunks, parts):
             got = known[p[0]] if len(p) == 1 else [i for w in p for i in known[w]]
-            self.cache[c] = (got, ",".join(map(str, got)))
+            self.cache[c] = (got, ",".join(map(str, got)), b"".join([self.bytes_of[i] for i in got]))
 
     def chunks(self, text: str) -> list[str]:
         """Cut a text before single spaces that follow other text; no token crosses such a cut."""
@@ -269,8 +271,8 @@ class Bpe:
             out.append(held)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
-        """For each text its chunks' (ids, decimal ids); special strings in a text are their own ids."""
+    def encode_batch(self, texts: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
+        """For each text its chunks' (ids, decimal ids, decoded bytes); special strings in a text are their own ids."""
         plan: list[list[str | int]] = []
         for t in texts:
             if not t:
@@ -287,12 +289,12 @@ class Bpe:
                     at = m.end()
                 plan.append(row + (self.chunks(t[at:]) if at < len(t) else []))
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache = dict(islice(self.cache.items(), KEPT))
         cache = self.cache
         new = list(dict.fromkeys(c for row in plan for c in row if c not in cache and not isinstance(c, int)))
         if new:
             self._learn(new)
-        return [[cache[c] if isinstance(c, str) else ([c], str(c)) for c in row] for row in plan]
+        return [[cache[c] if isinstance(c, str) else ([c], str(c), self.bytes_of[c]) for c in row] for row in plan]
 
     def decode(self, ids) -> str:
         """The text of token ids; bytes that are no UTF-8 become U+FFFD."""
@@ -333,7 +335,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for b in batches:
             texts = b.column(text_col).to_pylist()
             for a, z in batches_of(texts):
-                rows = [[i for ids, _ in r for i in ids] for r in bpe.encode_batch(texts[a:z])]
+                rows = [[i for ids, _, _ in r for i in ids] for r in bpe.encode_batch(texts[a:z])]
                 yield pa.RecordBatch.from_arrays([b.column(c).slice(a, z - a) for c in keep] + [pa.array(rows, pa.list_(pa.int32()))], [*keep, "ids"])
 
     return docs.select(*keep).mapInArrow(work, schema)
@@ -347,10 +349,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             texts, n, one, two = list(pdf["text"]), [], [], []
             for a, z in batches_of(texts):
                 for r in bpe.encode_batch(texts[a:z]):
-                    ids = [i for chunk, _ in r for i in chunk]
-                    n.append(len(ids))
-                    one.append(hashlib.sha256(",".join([s for _, s in r]).encode()).hexdigest())
-                    two.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                    n.append(sum([len(ids) for ids, _, _ in r]))
+                    one.append(hashlib.sha256(",".join([s for _, s, _ in r]).encode()).hexdigest())
+                    # bytes that are no UTF-8 become U+FFFD, as in ``decode``
+                    two.append(hashlib.sha256(b"".join([raw for _, _, raw in r]).decode("utf-8", "replace").encode()).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": one, "decoded_sha256": two})
 
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
