@@ -5,12 +5,14 @@ and the same shingle set) is cut into one segment per fragment, and every fragme
 alone: a shingle that only one class holds can take part in no overlap, so a fragment counts, for each class, the
 shingles it shares with any other class. The partial counts are summed per class; a class whose
 sum is below the threshold's share of its set cannot link. For the few that remain, the rarest
-shared shingles give candidate pairs (prefix and position filters, both exact), and the partial
-overlaps of each candidate pair are counted per fragment and summed per pair.
+shared shingles give candidate pairs (prefix and position filters, both exact). The sizes of fine
+fragments bound a pair's overlap first; of what is left, the partial overlaps are counted per fragment and summed per pair.
 
 Pairs are not expanded inside a group that is already connected: a candidate pair is looked at only
-while its two classes carry different labels. Posting lists first meet one centre, then 16 (only
-those outside a list's commonest label meet them), then everything that is still apart (at once when little is left), so the components are exact and no cap is involved.
+while its two classes carry different labels. Posting lists are walked in blocks that grow: in the order of
+their keys, the next block of a list's members meets all later members with other labels, then the links
+found are contracted into labels. Lists whose members all carry one label, and lists that are walked through,
+drop out. Each pair of a list has its turn exactly once, so the components are exact and no cap is involved.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ FRAGMENT_SHINGLES = 1_000_000  # shingles that one fragment aims to hold
 FLUSH_SHINGLES = 1_000_000     # shingles a map task gathers before it hands out segments
 CHUNK_WORDS = 200_000          # words hashed in one numpy call
 VERTICAL = 4                   # fragments of the final overlap counts
-CENTRES = (1, 16, None)        # centres of a posting list, round by round; None: all
+SENT_PAIRS = 200_000           # with so many pairs or fewer their classes are sent to the segments, and not all segments to them
+CELLS = 32                     # finer fragments whose sizes alone bound a pair's overlap
+GROWTH = 8                     # a walk ends its rounds at 1, 8, 64, ... members of a posting list
 PAIRS_PER_POSTING = 1          # with so many pairs a posting left or fewer, the rest is met at once
 BODY = np.uint64((1 << 48) - 1)
 
@@ -207,23 +211,31 @@ def _survivors_in_bucket(threshold: int):
         h, entry = h[order], entry[order]
         at = np.r_[0, np.flatnonzero(np.diff(entry)) + 1] if len(entry) else np.empty(0, int)
         ids = entry[at]
-        return pd.DataFrame({"key": u[ids], "n": n[ids], "c": c[ids],
+        cells = np.bincount(entry * CELLS + (h & (CELLS - 1)), minlength=len(u) * CELLS).reshape(-1, CELLS)
+        return pd.DataFrame({"key": u[ids], "n": n[ids], "c": c[ids], "cells": pd.Series(list(cells[ids].astype(np.int32)), dtype=object),
                              "shared": pd.Series([h[a:b] for a, b in zip(at, np.r_[at[1:], len(entry)])], dtype=object)})
 
     return work
 
 
 def survivors(docs: DataFrame, text_col: str, size: int, threshold: int, n_shingles: int) -> DataFrame:
-    """Classes that may link: (key, n, c, shared), shared ordered from the rarest shingle on."""
+    """Classes that may link: (key, n, c, cells, shared), shared ordered from the rarest shingle on, cells its counts per cell."""
     parts = shuffle_partitions(docs.sparkSession)
     bits = power_of_two(max(n_shingles / FRAGMENT_SHINGLES, parts))
-    bucket_bits = power_of_two(parts)
+    bucket_bits = bits  # a bucket of classes holds about what a fragment holds
     seg = _segments(docs, text_col, size, bits)
     shared = seg.groupBy("fragment").applyInPandas(
         _shared_in_fragment(bucket_bits),
         "bucket long, fragment int, keys binary, ns binary, counts binary, bodies binary, dfs binary")
     return shared.groupBy("bucket").applyInPandas(
-        _survivors_in_bucket(threshold), "key long, n long, c long, shared array<long>")
+        _survivors_in_bucket(threshold), "key long, n long, c long, cells array<int>, shared array<long>")
+
+
+def _possible(pairs: DataFrame, s: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose overlap can reach the threshold: in each cell it is at most the smaller count of the two."""
+    x = pairs.join(s.select(F.col("key").alias("a"), F.col("cells").alias("ca")), "a").join(s.select(F.col("key").alias("b"), F.col("cells").alias("cb")), "b")
+    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda total, v: total + v)
+    return x.where(most >= F.ceil((F.col("na") + F.col("nb")) * threshold / F.lit(100.0 + threshold))).select("a", "b", "na", "nb")
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
@@ -236,10 +248,25 @@ def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFram
     return total.where(F.lit(100) * F.col("overlap") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
-def links_between(s: DataFrame, threshold: int, centres=CENTRES) -> DataFrame:
+def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (key, label) after links (src, dst): linked labels move to the smallest label next to them, up to four steps far.
+
+    Some labels of one component may stay apart; that costs pairs later, never a link.
+    """
+    ends = links.join(labels.select(F.col("key").alias("src"), F.col("label").alias("x")), "src").join(
+        labels.select(F.col("key").alias("dst"), F.col("label").alias("y")), "dst").where("x <> y")
+    hook = stored(ends.groupBy(F.greatest("x", "y").alias("label")).agg(F.min(F.least("x", "y")).alias("to")), "hooks")
+    for _ in range(2):
+        ahead = hook.select(F.col("label").alias("to"), F.col("to").alias("next"))
+        hook = hook.join(ahead, "to", "left").select("label", F.coalesce("next", "to").alias("to"))
+    far = hook
+    return stored(labels.join(far, "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame:
     """Link table (src, dst) between classes that connects exactly what all links connect.
 
-    ``centres=(None,)`` gives every link instead.
+    ``growth=None`` walks all lists in one round and so gives every link.
     """
     need = F.ceil(F.col("n") * threshold / F.lit(100.0)).cast("long")
     prefix = F.greatest(F.lit(0), F.col("c") - need + 1).cast("int")
@@ -251,45 +278,45 @@ def links_between(s: DataFrame, threshold: int, centres=CENTRES) -> DataFrame:
         F.struct(F.lit(f).alias("frag"), in_fragment(f).alias("hashes")) for f in range(VERTICAL)]))
     segments = stored(s.select("key", piece.alias("s")).select("key", "s.frag", "s.hashes").where(F.size("hashes") > 0), "segments")
     heads_of = s.select("key", "n", "c", F.slice("shared", 1, prefix).alias("prefix"))
-    labels, found = None, None
-    for many in centres:
-        # labels join the classes, not their many postings
-        x = heads_of.withColumn("label", F.col("key")) if labels is None else (
-            heads_of.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
-        live = x.select("key", "n", "c", "label", F.posexplode("prefix").alias("i", "h")).select(
-            "h", "key", "n", "label", (F.col("n") - F.col("c") + F.col("i")).alias("pos"))
+    # keys are hashes: the share of all keys below a key tells about how many members of a list stand before it
+    place = F.shiftrightunsigned(F.col("key"), 11) / F.lit(float(1 << 53))
+    labels, entries, found, low = s.select("key", F.col("key").alias("label")), None, None, 0
+    while True:
+        if entries is None:
+            live = heads_of.select("key", "n", "c", F.col("key").alias("label"), place.alias("place"), F.posexplode("prefix").alias("i", "h")).select(
+                "h", "key", "n", "label", "place", (F.col("n") - F.col("c") + F.col("i")).alias("pos"))
+        else:  # lists of one label never get a second one, so only what was mixed before goes on
+            live = entries.join(labels, "key")
         pairs_in = F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2
-        mixed = stored(live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), pairs_in.alias("m"), F.count(F.lit(1)).alias("p"), F.mode("label", deterministic=True).alias("major"))
-                       .where("x <> y").select("h", "m", "p", "major"), "mixed")
+        mixed = stored(live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), pairs_in.alias("m"), F.count(F.lit(1)).alias("p"))
+                       .where((F.col("x") != F.col("y")) & (F.col("p") > low)).select("h", "m", "p"), "mixed")
         work, total = mixed.agg(F.sum("m"), F.sum("p")).first()
         if not work:
             break
-        if work <= PAIRS_PER_POSTING * total:  # few pairs are left: meet them all now
-            many = None
-        live = live.join(mixed.select("h", "major"), "h")
-        if many is None:
-            heads = live.select("h", F.struct("key", "n", "pos", "label").alias("m"))
-        else:
-            slot = F.pmod(F.xxhash64("key"), F.lit(many))
-            heads = live.groupBy("h", slot.alias("slot")).agg(F.min(F.struct("key", "n", "pos", "label")).alias("m")).drop("slot")
+        high = None if growth is None or work <= PAIRS_PER_POSTING * total else growth * low or 1  # few pairs are left: meet them all now
+        live = live.join(mixed.select("h", "p"), "h")
+        turn = F.floor(F.col("place") * F.col("p"))
+        heads = live.where(turn >= low if high is None else (turn >= low) & (turn < high)).select("h", F.struct("key", "n", "pos", "label", "place").alias("m"))
         o = F.ceil((F.col("n") + F.col("m.n")) * threshold / F.lit(100.0 + threshold))
         room = F.least(F.col("n") - F.col("pos"), F.col("m.n") - F.col("m.pos"))
-        # with all as heads each pair meets twice, so once is enough
-        apart = (F.col("label") != F.col("m.label")) & (F.col("key") > F.col("m.key") if many is None else F.col("key") != F.col("m.key"))
-        if labels is not None and many is not None:  # who carries a list's commonest label waits for the others to come
-            apart = apart & (F.col("label") != F.col("major"))
+        later = (F.col("place") > F.col("m.place")) | ((F.col("place") == F.col("m.place")) & (F.col("key") > F.col("m.key")))
         length = (F.col("n") * 100 >= F.col("m.n") * threshold) & (F.col("m.n") * 100 >= F.col("n") * threshold)
-        met = live.join(heads, "h").where(apart & length & (room >= o))
+        met = live.join(heads, "h").where((F.col("label") != F.col("m.label")) & later & length & (room >= o))
         a_first = F.col("key") < F.col("m.key")
         pairs = met.select(
             F.least("key", "m.key").alias("a"), F.greatest("key", "m.key").alias("b"),
             F.when(a_first, F.col("n")).otherwise(F.col("m.n")).alias("na"),
             F.when(a_first, F.col("m.n")).otherwise(F.col("n")).alias("nb")).distinct()
-        new = stored(_verified(pairs, segments, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+        pairs = stored(_possible(pairs, s, threshold), "pairs")
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        own = segments.join(F.broadcast(keys) if pairs.count() <= SENT_PAIRS else keys, "key", "left_semi")
+        new = stored(_verified(pairs, own, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
         found = new if found is None else found.union(new)
-        if many is None:
+        if high is None:
             break
-        labels = stored(connected_components(found).select(F.col("node").alias("key"), F.col("component").alias("label")), "labels")
+        low = high
+        entries = stored(live.where(F.col("p") > low).select("h", "key", "n", "place", "pos"), "entries")
+        labels = _contracted(labels, new)
     return found if found is not None else s.select(F.col("key").alias("src"), F.col("key").alias("dst")).limit(0)
 
 
@@ -309,7 +336,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = sets.agg(F.sum("n")).first()[0] or 0
     classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     s = stored(survivors(docs, text_col, size, threshold, total), "survivors")
-    comp = stored(connected_components(links_between(s, threshold)), "components")
+    comp = stored(connected_components(links_between(s, threshold, GROWTH)), "components")
     near = comp.join(classes, comp.node == classes.key).select("key", "class_id", "component")
     least = near.groupBy("component").agg(F.min("class_id").alias("component_id"))
     near = near.join(least, "component").select("key", "component_id", F.col("component").alias("component_key"))

@@ -79,8 +79,10 @@ def test_ngram_components_match_brute_force(docs, texts, size, threshold):
     assert [got[i].n_shingles for i in range(len(s))] == [len(x) for x in s]
 
 
-def test_ngram_rounds_with_centres_give_the_same_components(docs, texts, monkeypatch):
+@pytest.mark.parametrize("growth", [2, 8])
+def test_ngram_rounds_give_the_same_components(docs, texts, monkeypatch, growth):
     monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", 0)
+    monkeypatch.setattr(ngram_join, "GROWTH", growth)
     s = [shingles(t, 2) for t in texts]
 
     def linked(a, b):
@@ -91,6 +93,43 @@ def test_ngram_rounds_with_centres_give_the_same_components(docs, texts, monkeyp
     assert [got[i] for i in range(len(s))] == components(len(s), linked)
 
 
+def _pairs_met(spark, copies, monkeypatch):
+    """Candidate pairs that a group of edited copies of one text, and texts half like them, cost."""
+    r = random.Random(copies)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(copies):
+        w = list(base)
+        for _ in range(r.choice((1, 1, 2, 2, 3, 4))):  # texts with one edit link, most others link with nothing
+            w[r.randrange(len(w))] = f"e{k}x{r.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    met = []
+    verified = ngram_join._verified
+
+    def counted(pairs, segments, threshold):
+        met.append(pairs.count())
+        return verified(pairs, segments, threshold)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), size=4, threshold=85).collect()
+    monkeypatch.setattr(ngram_join, "_verified", verified)
+    s = [shingles(t, 4) for _, t in rows]
+
+    def linked(a, b):
+        o = len(s[a] & s[b])
+        return 100 * o >= 85 * (len(s[a]) + len(s[b]) - o)
+
+    want = components(len(s), linked)
+    assert [x.component_id for x in sorted(got, key=lambda x: x.doc_id)] == want
+    return sum(met)
+
+
+def test_ngram_pairs_of_a_group_grow_in_proportion(spark, monkeypatch):
+    """All pairs of 800 copies would be 400 a copy. Texts that link with nothing still meet what the bounds cannot exclude."""
+    met = {n: _pairs_met(spark, n, monkeypatch) for n in (200, 800)}
+    assert all(m <= 32 * n for n, m in met.items()), met
+
+
 def test_one_of_each_group_keeps_one_row_of_a_group(spark, docs, texts):
     odd = spark.createDataFrame([(None, "one two three four five six", "en", "a", 1, "k", 1)] * 2 + [(5000, SHORT + " more", "en", "a", 1, "k", 1)] * 2, SCHEMA)
     kept = ngram_join.one_of_each_group(docs.union(odd)).collect()
