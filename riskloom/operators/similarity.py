@@ -14,13 +14,19 @@ Search, as Spark jobs:
    stand in two prefixes or more go on.
 3. Positional filter by length band: behind its place in both orders, the first shared shingle must leave
    room for the overlap that the two lengths need. An entry is listed for, and looks into, only those bands of
-   partner lengths for which its place leaves that room. Posting lists are keyed by (shingle, band, partner band).
-4. Each posting list is ranked by authority (skew-safe ``keyed_sequence``). Rounds walk the ranks in
+   partner lengths for which its place leaves that room and in which its shingle stands. Posting lists are keyed by
+   (shingle, band, partner band).
+4. In the first round every item meets the best item of each of its lists, found by an aggregation. Lists in
+   which that item was better than a member and than all that the member may cite are ranked by
+   authority (skew-safe ``keyed_sequence``). Further rounds walk the ranks in
    blocks that double: an item meets the items of the next block that are better than it and than its
    best verified citation so far. Pairs pass the length and position filters and are verified exactly. An
    entry stops as soon as the next rank is no better, so a dense cluster resolves in one round (every
    member meets the cluster's leader first), and the number of rounds is logarithmic in the longest
-   list. Each round is checkpointed.
+   list.
+
+The sets are written once; a round moves only those of its pairs (all, from ``SENT_ITEMS`` items on). Citations are
+checkpointed in each round; the other tables are Parquet files that are deleted when they are spent.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.operators.ordering import keyed_sequence
-from riskloom.session import materialize
+from riskloom.session import delete_path, materialize, written
 
 THRESHOLD = 0.8
 SHINGLE_WORDS = 3
-RANK_BLOCK = 4          # ranks met in the first round
+RANK_BLOCK = 4          # ranks met in the first round (only the best of a list), doubled in each further one
 COUNT_CELLS = 1 << 16   # cells that shingles are counted into, for their order
 BAND_RATIO = 1.1        # lengths of a band differ by this factor at most
+SENT_ITEMS = 200_000    # so many ids or fewer are sent to the texts or sets that they pick
+PART = 6                # a pair's overlap is first counted on one of so many parts of its shingles
 
 
 def words_of(text: Column) -> Column:
@@ -90,66 +98,116 @@ def _needed(n: Column, m: Column, threshold: float) -> Column:
 
 
 def _entries(prefix: DataFrame, threshold: float) -> DataFrame:
-    """Prefix rows with each band of partner lengths for which their place leaves room."""
+    """Prefix rows with each band of partner lengths for which their place leaves room.
+
+    ``lo`` and ``hi`` are the lowest and the highest band in which the row's shingle stands in a prefix.
+    """
     n, room = F.col("n"), F.col("n") - F.col("pos")
     least, most = F.ceil(n * threshold - 1e-9), F.floor(n / threshold + 1e-9)
     # the shortest partner of a band needs the least overlap
     shortest = F.greatest(least, F.ceil(F.pow(F.lit(BAND_RATIO), F.col("partner")) - 1e-9))
-    x = prefix.withColumns({"band": _band(n), "partner": F.explode(F.sequence(_band(F.greatest(least, F.lit(1))) - 1, _band(most) + 1))})
+    bands = F.filter(F.sequence(_band(F.greatest(least, F.lit(1))) - 1, _band(most) + 1), lambda b: b.between(F.col("lo"), F.col("hi")))
+    x = prefix.withColumns({"band": _band(n), "partner": F.explode(bands)}).drop("lo", "hi")
     return x.where(room >= _needed(n, F.greatest(shortest, F.lit(1)), threshold))
 
 
+def _with_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (i, j, ...) with ``inter``, how many shingles of the sets (item_id, shingles) they share, and the sets' sizes.
+
+    The sets of few items are chosen before they are moved; of many, all are moved.
+    """
+    ids = pairs.select(F.col("i").alias("item_id")).union(pairs.select("j")).distinct()
+    if ids.count() <= SENT_ITEMS:
+        sets = sets.join(F.broadcast(ids), "item_id", "left_semi")
+    x = (pairs.join(sets.select(F.col("item_id").alias("i"), F.col("shingles").alias("si")), "i")
+         .join(sets.select(F.col("item_id").alias("j"), F.col("shingles").alias("sj")), "j"))
+    return x.withColumns({"inter": F.size(F.array_intersect("si", "sj")), "mi": F.size("si"), "mj": F.size("sj")}).drop("si", "sj")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, made: list[str]) -> DataFrame:
+    """(i, qj, sim) of those pairs (i, j, qj, n, nj) that reach the threshold.
+
+    A part of the shingles bounds the overlap: of the others, no more than the smaller set has can be shared.
+    """
+    part = sets.withColumn("shingles", F.filter("shingles", lambda s: F.pmod(s, F.lit(PART)) == 0))
+    most = F.col("inter") + F.least(F.col("n") - F.col("mi"), F.col("nj") - F.col("mj"))
+    left = written(_with_overlaps(pairs, part).where(most >= _needed(F.col("n"), F.col("nj"), threshold)).select("i", "j", "qj", "n", "nj").distinct(), "near-left", made)
+    inter = F.col("inter")
+    jac = inter / (F.col("n") + F.col("nj") - inter)
+    return _with_overlaps(left, sets).select("i", "qj", jac.alias("sim")).where(F.col("sim") >= threshold)
+
+
+def _met(best: DataFrame | None, cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``best`` (i, qb, sim), the best citation so far of those that have one, after the pairs of ``cand`` have met."""
+    o = _needed(F.col("n"), F.col("nj"), threshold)
+    cand = cand.where((F.col("n") - F.col("pos") >= o) & (F.col("nj") - F.col("pj") >= o)
+                      & (F.col("nj") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("nj") * threshold - 1e-9))
+    made: list[str] = []
+    pairs = written(cand.select("i", "j", "qj", "n", "nj").distinct(), "near-pairs", made)
+    found = _verified(pairs, sets, threshold, made).groupBy("i").agg(F.min(F.struct("qj", "sim")).alias("_h")).select(
+        "i", F.col("_h.qj").alias("qn"), F.col("_h.sim").alias("simn"))
+    if best is None:
+        best = materialize(found.select("i", F.col("qn").alias("qb"), F.col("simn").alias("sim")))
+    else:
+        newer = F.col("qn").isNotNull() & (F.col("qb").isNull() | (F.col("qn") < F.col("qb")))
+        best = materialize(best.join(found, "i", "full").select(
+            "i", F.when(newer, F.col("qn")).otherwise(F.col("qb")).alias("qb"), F.when(newer, F.col("simn")).otherwise(F.col("sim")).alias("sim")))
+    for path in made:
+        delete_path(pairs.sparkSession, path)
+    return best
+
+
+def _open(x: DataFrame, best: DataFrame) -> DataFrame:
+    """Rows whose ``qj`` is better than the item itself and than its best citation so far."""
+    return x.join(best.select("i", "qb"), "i", "left").where((F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb")))).drop("qb")
+
+
 def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: int = RANK_BLOCK) -> DataFrame:
     """items: (item_id, tier, published_on, shingles, ...) -> (item_id, cite_id, similarity, ...)."""
     carried = [c for c in items.columns if c not in ("item_id", "tier", "published_on", "shingles")]
-    base = materialize(items.select("item_id", "tier", "published_on", "shingles",
-                                    F.size("shingles").alias("n"), *carried).withColumn("q", quality()))
+    made: list[str] = []  # tables that are deleted at the end
+    base = written(items.select("item_id", "tier", "published_on", "shingles", F.size("shingles").alias("n"), *carried), "near-items", made)
     p_len = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    x = base.select("item_id", "tier", "published_on", "n", "shingles", p_len.alias("_p"), _cell_counts(base).alias("_f"))
+    x = base.select("item_id", "tier", "published_on", "n", "shingles", p_len.alias("_p"), _cell_counts(base).alias("_f")).where("item_id is not null")
     by_rarity = F.array_sort(F.transform("shingles", lambda s: F.struct(F.get("_f", _cell(s)).alias("f"), s.alias("s"))))
     first = F.transform(F.slice(by_rarity, 1, F.col("_p")), lambda e: e["s"])
     x = x.select("item_id", "tier", "published_on", "n", F.posexplode_outer(first).alias("pos", "s")).where(F.col("s").isNotNull())
-    prefix = materialize(x)
-    shared = prefix.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("s")
-    entries = materialize(_entries(prefix.join(shared, "s", "left_semi"), threshold))
-    posting = materialize(keyed_sequence(
-        entries.withColumns({"_undated": F.col("published_on").isNull(), "key": F.struct("s", "band", "partner")}),
-        key="key", order=("tier", "_undated", "published_on", "item_id"),
-        bucket=F.struct("tier", "_undated", "published_on"), seq_col="rank",
-    ).select("s", F.col("band").alias("of"), F.col("partner").alias("to"), "rank", F.col("item_id").alias("j"), quality().alias("qj"),
-             F.col("n").alias("nj"), F.col("pos").alias("pj")))
-    # an entry looks into the lists of its partner bands, at entries listed for its own band
-    active = entries.select(F.col("item_id").alias("i"), "s", F.col("partner").alias("of"), F.col("band").alias("to"), "n", "pos",
-                            quality().alias("qi"), F.lit(1).cast("long").alias("next"))
-    best = base.select(F.col("item_id").alias("i"), F.lit(None).cast(base.schema["q"].dataType).alias("qb"), F.lit(None).cast("double").alias("sim"))
-    sets = base.select("item_id", "shingles")
-    lists, better = ["s", "of", "to"], (F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb")))
-    active = materialize(active.join(posting.where("rank = 1").select(*lists, F.col("qj")), lists).where("qj < qi").drop("qj"))
+    prefix = written(x, "near-prefix", made)
+    band = _band(F.col("n"))
+    shared = prefix.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min(band).alias("lo"), F.max(band).alias("hi")).where("f > 1").drop("f")
+    entries = written(_entries(prefix.join(shared, "s"), threshold), "near-entries", made)
+    sets, lists = base.select("item_id", "shingles"), ["s", "of", "to"]
+    listed = entries.select("s", F.col("band").alias("of"), F.col("partner").alias("to"), quality().alias("qj"),
+                            F.col("n").alias("nj"), F.col("pos").alias("pj"), F.col("item_id").alias("j"))
+    # the first round needs no ranks: an entry looks into the lists of its partner bands, at the best entry listed for its own band
+    leaders = listed.groupBy(*lists).agg(F.min(F.struct("qj", "nj", "pj")).alias("m")).select(*lists, "m.*", F.col("m.qj.item_id").alias("j"))
+    looking = entries.select(F.col("item_id").alias("i"), "s", F.col("partner").alias("of"), F.col("band").alias("to"), "n", "pos", quality().alias("qi"))
+    active = written(looking.join(leaders, lists).where("qj < qi"), "near-active", made)
+    best = _met(None, active, sets, threshold)
+    # what is open now goes on from the second rank
+    active = written(_open(active, best).select("i", *lists, "n", "pos", "qi", F.lit(2).cast("long").alias("next")), "near-active", made)
+    if not active.isEmpty():
+        walked = listed.join(active.select(*lists).distinct(), lists, "left_semi").select(F.struct(*lists).alias("key"), "qj", "qj.*", "nj", "pj", "j")
+        posting = written(keyed_sequence(
+            walked, key="key", order=("tier", "undated", "published_on", "item_id", "nj", "pj"),
+            bucket=F.struct("tier", "undated", "published_on"), seq_col="rank").select("key.*", "rank", "j", "qj", "nj", "pj"), "near-posting", made)
+        at_next = posting.select(*lists, F.col("rank").alias("next"), "qj")
+        active = written(_open(active.join(at_next, [*lists, "next"]), best).drop("qj"), "near-active", made)
     while not active.isEmpty():  # every round moves each row on by a block, so the walk ends
+        block *= 2
         ranks = F.explode(F.sequence(F.col("next"), F.col("next") + (block - 1))).alias("rank")
-        cand = active.select("i", "n", "pos", "qi", *lists, ranks).join(posting, [*lists, "rank"]).join(best.select("i", "qb"), "i").where(better)
-        o = _needed(F.col("n"), F.col("nj"), threshold)
-        cand = cand.where((F.col("n") - F.col("pos") >= o) & (F.col("nj") - F.col("pj") >= o)
-                          & (F.col("nj") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("nj") * threshold - 1e-9))
-        pairs = cand.select("i", "j", "qj", "n", "nj").distinct()
-        pairs = (pairs.join(sets.select(F.col("item_id").alias("i"), F.col("shingles").alias("si")), "i")
-                 .join(sets.select(F.col("item_id").alias("j"), F.col("shingles").alias("sj")), "j"))
-        inter = F.size(F.array_intersect("si", "sj"))
-        jac = inter / (F.col("n") + F.col("nj") - inter)
-        hits = pairs.select("i", "qj", jac.alias("sim")).where(F.col("sim") >= threshold)
-        found = hits.groupBy("i").agg(F.min(F.struct("qj", "sim")).alias("_h")).select(
-            "i", F.col("_h.qj").alias("qn"), F.col("_h.sim").alias("simn"))
-        newer = F.col("qn").isNotNull() & (F.col("qb").isNull() | (F.col("qn") < F.col("qb")))
-        best = materialize(best.join(found, "i", "left").select(
-            "i", F.when(newer, F.col("qn")).otherwise(F.col("qb")).alias("qb"), F.when(newer, F.col("simn")).otherwise(F.col("sim")).alias("sim")))
+        met = active.select("i", "n", "pos", "qi", *lists, ranks).join(posting, [*lists, "rank"])
+        best = _met(best, _open(met, best), sets, threshold)
         # an entry stays while the next rank still holds an item better than it and than its best
-        nxt = active.withColumn("next", F.col("next") + block)
-        probe = nxt.join(posting.select(*lists, F.col("rank").alias("next"), "qj"), [*lists, "next"]).join(best.select("i", "qb"), "i").where(better)
-        active = materialize(probe.select(*active.columns))
-        block *= 2
-    cited = best.select(F.col("i").alias("item_id"), F.coalesce(F.col("qb.item_id"), F.col("i")).alias("cite_id"),
-                        F.coalesce(F.col("sim"), F.lit(1.0)).alias("similarity"))
-    return cited.join(base.select("item_id", *carried), "item_id") if carried else cited
+        ahead = active.withColumn("next", F.col("next") + block)
+        active = written(_open(ahead.join(at_next, [*lists, "next"]), best).drop("qj"), "near-active", made)
+    kept: list[str] = []  # what the result reads
+    own = written(base.select("item_id", *carried), "near-carried", kept)
+    for path in made:
+        delete_path(items.sparkSession, path)
+    cited = own.select("item_id").join(best.withColumnRenamed("i", "item_id"), "item_id", "left").select(
+        "item_id", F.coalesce(F.col("qb.item_id"), F.col("item_id")).alias("cite_id"), F.coalesce(F.col("sim"), F.lit(1.0)).alias("similarity"))
+    return cited.join(own, "item_id") if carried else cited
 
 
 def representatives(citations: DataFrame) -> DataFrame:

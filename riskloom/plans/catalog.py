@@ -433,8 +433,14 @@ def near_citations(spark, sf_dir):
     # the winners of the exact dedupe first, without texts; only their texts are shingled
     pick = F.struct("tier", F.col("published_on").isNull().alias("_u"), "published_on", "item_id")
     winners = materialize(news.groupBy("text_key").agg(F.min(pick).alias("_r")).select("_r.item_id"))
-    reps = SIM.with_shingles(news.drop("text_key").join(winners, "item_id", "left_semi")).drop("text")
-    return SIM.near_copy_citations(reps)
+    # few losers go to the texts, so that these stay where they are read
+    losers = materialize(news.select("item_id").join(winners, "item_id", "left_anti").distinct())
+    texts = news.drop("text_key")
+    if losers.count() <= SIM.SENT_ITEMS:
+        reps = texts.where("item_id is not null").join(F.broadcast(losers), "item_id", "left_anti")
+    else:
+        reps = texts.join(winners, "item_id", "left_semi")
+    return SIM.near_copy_citations(SIM.with_shingles(reps).drop("text"))
 
 
 def q_syndication_near(spark, sf_dir):

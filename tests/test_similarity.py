@@ -124,3 +124,44 @@ def test_edited_copies_do_not_corroborate(spark):
     assert sorted(r.item_id for r in kept.collect()) == [1, 3, 4]
     got = {r.vendor: (r.eff_level, r.capped) for r in S.corroborated_conditions(S.adjusted_evidence(news_evidence(kept))).where("condition = 'plant_closure_or_fire'").collect()}
     assert got == {"A": (3, True), "B": (4, False)}
+
+
+def _bytes_under(spark):
+    import os
+
+    from riskloom.session import checkpoint_dir
+
+    top = checkpoint_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+
+
+def test_spent_tables_leave_the_disk(spark):
+    """The sets, prefixes, lists and rounds were kept, many times the texts in all; now the citations stay."""
+    rnd = random.Random(3)
+    texts = [[f"v{rnd.randrange(4000)}" for _ in range(300)] for _ in range(300)]
+    for k in range(1, 300, 3):  # near copies of the text before
+        texts[k] = [*texts[k - 1][:-2], f"edit{k}"]
+    rows = [(k, 1 + k % 3, dt.date(2024, 1, 1 + k % 9), " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "item_id long, tier int, published_on date, text string")
+    before = _bytes_under(spark)
+    got = {r.item_id: r.cite_id for r in SIM.near_copy_citations(SIM.with_shingles(df).drop("text")).collect()}
+    assert got == _brute(rows)
+    assert _bytes_under(spark) - before < sum(len(r[3]) for r in rows)
+
+
+def test_most_sets_of_false_pairs_are_not_moved_whole(spark, monkeypatch):
+    moved, met = [], SIM._with_overlaps
+
+    def counted(pairs, sets):
+        moved.append(pairs.count())
+        return met(pairs, sets)
+
+    monkeypatch.setattr(SIM, "_with_overlaps", counted)
+    monkeypatch.setattr(SIM, "COUNT_CELLS", 1)  # no rarity: shared shingles stand in the prefixes
+    shared = " ".join(f"t{i}" for i in range(24))
+    rows = [(k, 1, dt.date(2024, 1, 1), f"{shared} " + " ".join(f"x{k}_{i}" for i in range(60))) for k in range(40)]
+    rows += [(100 + k, 2, dt.date(2024, 1, 1), f"{text} end") for k, (_, _, _, text) in enumerate(rows[:5])]
+    df = spark.createDataFrame(rows, "item_id long, tier int, published_on date, text string")
+    got = {r.item_id: r.cite_id for r in SIM.near_copy_citations(SIM.with_shingles(df).drop("text")).collect()}
+    assert got == _brute(rows) and sum(got[k] != k for k in got) == 5
+    assert 5 <= sum(moved[1::2]) < sum(moved[::2]) / 4
