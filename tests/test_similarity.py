@@ -165,3 +165,12 @@ def test_most_sets_of_false_pairs_are_not_moved_whole(spark, monkeypatch):
     got = {r.item_id: r.cite_id for r in SIM.near_copy_citations(SIM.with_shingles(df).drop("text")).collect()}
     assert got == _brute(rows) and sum(got[k] != k for k in got) == 5
     assert 5 <= sum(moved[1::2]) < sum(moved[::2]) / 4
+
+
+def test_few_or_many_losers_of_the_exact_dedupe(spark, monkeypatch):
+    from riskloom.plans import catalog
+    from tests.conftest import SF_SMALL
+
+    few = sorted(map(tuple, catalog.q_syndication_clusters(spark, SF_SMALL).collect()))
+    monkeypatch.setattr(SIM, "SENT_ITEMS", 0)
+    assert few and few == sorted(map(tuple, catalog.q_syndication_clusters(spark, SF_SMALL).collect()))
