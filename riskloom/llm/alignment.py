@@ -35,7 +35,8 @@ from riskloom.llm.common import documents, stored
 CACHE = 200_000       # pieces that a task remembers before it starts anew
 CACHE_LINKS = 4_000_000  # links of those pieces
 JOINED_CHARS = 8_192  # characters of new pieces that go to a tokenizer as one text
-PACKED_PIECES = 500_000  # pieces of the documents of a packed row, about
+PACKED_PIECES = 100_000  # pieces of the documents of a packed row, about: well under a MB
+PACKED_ROWS = 8       # packed rows of a file, so that a task of the second pass holds few at once
 LONG_PIECE = 400      # characters from which a piece is aligned each time anew
 HEAD_PAIRS = 500_000  # id pairs whose counts go to the tasks, at most
 FLUSH_PAIRS = 500_000  # id pairs that a task counts before it hands them on
@@ -298,7 +299,7 @@ def packed(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
             ready.append(pd.DataFrame({
                 "ids": [np.array(ids, np.int64).tobytes()], "nulls": [np.array(nulls, bool).tobytes()], "stats": [np.array(stats, np.int64).tobytes()], "shas": [",".join(shas)],
                 "piece": [piece.astype(np.int32).tobytes()], "piece_at": [np.r_[0, np.cumsum([len(r) for r in numbers])].astype(np.int64).tobytes()],
-                "code": [code.tobytes()], "code_at": [np.r_[0, np.cumsum(size)].astype(np.int64).tobytes()]}))
+                "code": [code.tobytes()], "code_at": [np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()]}))
 
         al.leaving = pack
         none = np.empty(0, np.int64)
@@ -329,7 +330,7 @@ def packed(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
 
 
 def _arrays(row, code_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(row.piece, np.int32), np.frombuffer(row.piece_at, np.int64), np.frombuffer(row.code, code_type), np.frombuffer(row.code_at, np.int64))
+    return (np.frombuffer(row.piece, np.int32), np.frombuffer(row.piece_at, np.int64), np.frombuffer(row.code, code_type), np.frombuffer(row.code_at, np.int32))
 
 
 def _pair_counts(rows: DataFrame, size_b: int, code_type) -> DataFrame:
@@ -416,7 +417,7 @@ def digests(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     al = Aligner(path_a, path_b)
     size_b, code_type = al.size_b, al.code_type
-    rows = stored(packed(docs, path_a, path_b, id_col, text_col), "aligned")
+    rows = stored(packed(docs, path_a, path_b, id_col, text_col), "aligned", PACKED_ROWS)
     counts = stored(_pair_counts(rows, size_b, code_type), "pair-counts")
     most = counts.groupBy("b_id").agg(F.max("n").alias("most"))  # a row for each id of a vocabulary
     counts = stored(counts.join(F.broadcast(most), "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")

@@ -167,3 +167,23 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert digests(empty, *default_paths()).count() == 0
     assert aligned(empty, *default_paths()).count() == 0
+
+
+def test_packed_rows_and_their_files_stay_small(spark, monkeypatch):
+    """A task of the second pass held the rows of a whole file at once, several MB each."""
+    from riskloom.llm import common
+
+    written = []
+
+    def kept(df, name, *args):
+        out = common.stored(df, name, *args)
+        if name == "aligned":
+            written.append((out, df))
+        return out
+
+    monkeypatch.setattr(alignment, "stored", kept)
+    rows = [(k, " ".join(f"w{(k * 7919 + i * i) % 5000}" for i in range(1500))) for k in range(1300)]
+    assert digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), *default_paths()).count() == 1300
+    sizes = [r[0] for r in written[0][0].selectExpr("length(piece) + length(code) + length(code_at) + length(shas)").collect()]
+    assert max(sizes) < 1 << 20 and len(sizes) > 8
+    assert len(written[0][0].inputFiles()) >= len(sizes) / 8
