@@ -446,3 +446,10 @@ def test_one_of_each_group_keeps_unlinked_texts_of_one_id(spark):
     rows = [(1, words[0]), (1, words[1]), (2, words[0] + " tail"), (3, words[1] + " tail")]
     x = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, ngram_join.one_of_each_group(x).collect())) == sorted(rows[:2])
+
+
+def test_bpe_remembers_only_ids_when_only_ids_are_asked_for(texts):
+    whole, lean = bpe.Bpe(bpe.default_path()), bpe.Bpe(bpe.default_path(), ids_only=True)
+    cases = [t or "" for t in texts] + ["a<|endoftext|>b"]
+    assert [[x[0] for x in r] for r in lean.encode_batch(cases)] == [[x[0] for x in r] for r in whole.encode_batch(cases)]
+    assert whole.cache and not any(s or raw for _, s, raw in lean.cache.values())
