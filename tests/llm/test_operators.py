@@ -453,3 +453,19 @@ def test_bpe_remembers_only_ids_when_only_ids_are_asked_for(texts):
     cases = [t or "" for t in texts] + ["a<|endoftext|>b"]
     assert [[x[0] for x in r] for r in lean.encode_batch(cases)] == [[x[0] for x in r] for r in whole.encode_batch(cases)]
     assert whole.cache and not any(s or raw for _, s, raw in lean.cache.values())
+
+
+def test_lm_spells_the_words_of_many_texts_together(spark, docs, monkeypatch):
+    """Spelling was called for each text, which cost more than the words."""
+    want = sorted(lm_score.class_pieces(docs.select("text"), bpe.default_path(), np.arange(60_000) % 200).collect(), key=str)
+    calls = []
+    monkeypatch.setattr(lm_score, "SPELT_AT_ONCE", 1)  # each text alone
+    one = sorted(lm_score.class_pieces(docs.select("text"), bpe.default_path(), np.arange(60_000) % 200).collect(), key=str)
+    assert one == want
+    net = lm_score.Attention(np.zeros((lm_score.N_CLASSES + 2, lm_score.N_CLASSES), np.float32))
+    s = lm_score.Scorer(bpe.default_path(), np.zeros(60_000, np.int64), np.zeros(60_000), net, {}, 0.0, 1, 1)
+    s.open()
+    learn = s.learn
+    s.learn = lambda words: (calls.append(len(words)), learn(words))
+    got = s.entries([[b"one", b"two"], [b"two", b"three"], []])
+    assert calls == [3] and [len(g) for g in got] == [2, 2, 0] and got[0][1] is got[1][0]
