@@ -1,5 +1,10 @@
 """Operator 1: n-gram Jaccard join by vertical partitioning.
 
+Two linked documents share many of the first shingles of both in the order of the hashes, whatever else they
+hold. So only these heads of all documents are shuffled at first, four bytes a shingle, cut into fragments that
+count for each document the head shingles it shares with any other. Documents with fewer than a link needs are
+done; the classes of the others are read again, one text each, and go on with whole sets.
+
 The global order of shingle hashes is cut into fragments. Each document class (documents with one
 and the same shingle set) is cut into one segment per fragment, and every fragment is worked on
 alone: a shingle that only one class holds can take part in no overlap, so a fragment counts, for each class, the
@@ -18,9 +23,11 @@ drop out. Each pair of a list has its turn exactly once, so the components are e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,8 @@ from riskloom.llm.components import connected_components
 
 FRAGMENT_SHINGLES = 1_000_000  # shingles that one fragment aims to hold
 FLUSH_SHINGLES = 1_000_000     # shingles a map task gathers before it hands out segments
+HEAD_SHARE = 25                # percent of a set by which its head is longer than what a linked set may lack
+SENT_TEXTS = 4_000_000         # so many hashes of texts or fewer are sent to the texts that they pick
 CHUNK_WORDS = 200_000          # words hashed in one numpy call
 VERTICAL = 4                   # fragments of the final overlap counts
 SENT_PAIRS = 200_000           # with so many pairs or fewer their classes are sent to the segments, and not all segments to them
@@ -114,6 +123,105 @@ def _unpack(b: bytes) -> np.ndarray:
     return full.view("<u8").ravel()
 
 
+def head_lengths(ns: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets of ``ns`` shingles: how many of the smallest hashes are their heads, and how many of those any linked set's head holds.
+
+    A linked set has at least ``least`` of n shingles in common, so among the first k + n - least of either
+    set are the k first common ones. The other set's head reaches less far if it is smaller, down to ``least``.
+    """
+    def extra(n: np.ndarray) -> np.ndarray:
+        return -(-HEAD_SHARE * n // 100)
+
+    least = -(-threshold * ns // 100)
+    return np.minimum(ns, ns - least + extra(ns)), np.minimum(least, extra(least))
+
+
+def _heads(docs: DataFrame, text_col: str, size: int, threshold: int, bits: int) -> DataFrame:
+    """Rows (fragment, batch, at, counts, bodies): the heads of many documents, packed per map batch.
+
+    ``at`` numbers a batch's documents. The keys and sizes of a batch are a row of a fragment below 0.
+    """
+    def flush(batch: int, sets: list[np.ndarray]) -> pd.DataFrame:
+        ns = np.array([len(u) for u in sets], np.int64)
+        many = head_lengths(ns, threshold)[0]
+        h = np.concatenate([u[:k] for u, k in zip(sets, many)])
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), many)
+        frag = (h & np.uint64((1 << bits) - 1)).astype(np.int32)
+        order = np.argsort(frag.astype(np.uint16) if bits <= 16 else frag, kind="stable")
+        h, doc, frag = (h[order] >> np.uint64(bits)).astype(np.uint32), doc[order], frag[order]
+        cuts = np.flatnonzero(np.diff(frag)) + 1
+        keys = np.array([class_key(u) for u in sets], np.int64)
+        rows = [(-1 - int(keys[0] & ((1 << bits) - 1)), batch, keys.tobytes(), ns.tobytes(), b"")]
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(frag)]):
+            d = doc[a:b]
+            at = np.r_[0, np.flatnonzero(np.diff(d)) + 1]
+            rows.append((int(frag[a]), batch, d[at].tobytes(), np.diff(np.r_[at, b - a]).astype(np.int32).tobytes(), h[a:b].tobytes()))
+        return pd.DataFrame(rows, columns=["fragment", "batch", "at", "counts", "bodies"])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count, batch, seen = [], 0, TaskContext.get().partitionId() << 32, set()
+        for pdf in batches:
+            texts = list(pdf["text"])
+            for at in range(0, len(texts), 256):
+                for u in shingle_sets(texts[at: at + 256], size):
+                    if len(u) and (key := class_key(u)) not in seen:
+                        seen.add(key)
+                        held.append(u)
+                        count += len(u)
+                if count >= FLUSH_SHINGLES:
+                    yield flush(batch, held)
+                    held, count, batch = [], 0, batch + 1
+        if held:
+            yield flush(batch, held)
+
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(
+        work, "fragment int, batch long, at binary, counts binary, bodies binary")
+
+
+def _shared_heads(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per fragment: how many of its shingles each document shares with another one."""
+    if pdf["fragment"].iloc[0] < 0:
+        return pdf[["batch", "fragment", "at", "counts"]]
+    at = [np.frombuffer(x, np.int32) for x in pdf["at"]]
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]])
+    bodies = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["bodies"]])
+    order = np.argsort(bodies)
+    bodies, run = bodies[order], np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+    same = np.r_[False, bodies[1:] == bodies[:-1], False]
+    shared = np.bincount(run[same[1:] | same[:-1]], minlength=len(counts)).astype(np.int32)
+    rows, first = [], 0
+    for batch, fragment, a in zip(pdf["batch"], pdf["fragment"], at):
+        c = shared[first: first + len(a)]
+        first += len(a)
+        if c.any():
+            rows.append((batch, fragment, a[c > 0].tobytes(), c[c > 0].tobytes()))
+    return pd.DataFrame(rows, columns=["batch", "fragment", "at", "counts"])
+
+
+def _enough_in_batch(threshold: int):
+    """The keys of a batch's documents whose heads share enough."""
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pdf["fragment"] < 0
+        keys = np.frombuffer(pdf.loc[names, "at"].iloc[0], np.int64)
+        need = head_lengths(np.frombuffer(pdf.loc[names, "counts"].iloc[0], np.int64), threshold)[1]
+        at = np.frombuffer(b"".join(pdf.loc[~names, "at"]), np.int32)
+        shared = np.bincount(at, np.frombuffer(b"".join(pdf.loc[~names, "counts"]), np.int32), len(keys))
+        return pd.DataFrame({"key": keys[shared >= need]})
+
+    return work
+
+
+def candidates(docs: DataFrame, text_col: str, size: int, threshold: int, n_shingles: int) -> DataFrame:
+    """Keys, some more than once, of all classes that link and of others whose heads share as much.
+
+    Copies of a class in different map tasks count as others, so a class with copies may stay for no link.
+    """
+    bits = min(31, power_of_two(max(n_shingles / FRAGMENT_SHINGLES, shuffle_partitions(docs.sparkSession))))
+    shared = _heads(docs, text_col, size, threshold, bits).groupBy("fragment").applyInPandas(
+        _shared_heads, "batch long, fragment int, at binary, counts binary")
+    return shared.groupBy("batch").applyInPandas(_enough_in_batch(threshold), "key long")
+
+
 def _segments(docs: DataFrame, text_col: str, size: int, bits: int) -> DataFrame:
     """Rows (fragment, keys, ns, counts, bodies): the segments of many classes, packed per map batch."""
     def flush(sets: list[np.ndarray]) -> pd.DataFrame:
@@ -248,6 +356,13 @@ def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFram
     return total.where(F.lit(100) * F.col("overlap") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
+def _links(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
+    """(src, dst) of those pairs that link; of few pairs only their classes' segments are moved."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    own = segments.join(F.broadcast(keys) if pairs.count() <= SENT_PAIRS else keys, "key", "left_semi")
+    return _verified(pairs, own, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (key, label) after links (src, dst): linked labels move to the smallest label next to them, up to four steps far.
 
@@ -280,13 +395,14 @@ def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame
     heads_of = s.select("key", "n", "c", F.slice("shared", 1, prefix).alias("prefix"))
     # keys are hashes: the share of all keys below a key tells about how many members of a list stand before it
     place = F.shiftrightunsigned(F.col("key"), 11) / F.lit(float(1 << 53))
-    labels, entries, found, low = s.select("key", F.col("key").alias("label")), None, None, 0
+    few = s.count() <= SENT_PAIRS
+    labels, entries, found, low = s.select("key", F.col("key").alias("label")), None, [], 0
     while True:
         if entries is None:
-            live = heads_of.select("key", "n", "c", F.col("key").alias("label"), place.alias("place"), F.posexplode("prefix").alias("i", "h")).select(
-                "h", "key", "n", "label", "place", (F.col("n") - F.col("c") + F.col("i")).alias("pos"))
+            live = heads_of.select("key", "n", "c", F.col("key").alias("label"), F.posexplode("prefix").alias("i", "h")).select(
+                "h", "key", "n", "label", (F.col("n") - F.col("c") + F.col("i")).alias("pos"))
         else:  # lists of one label never get a second one, so only what was mixed before goes on
-            live = entries.join(labels, "key")
+            live = entries.join(F.broadcast(labels) if few else labels, "key")
         pairs_in = F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2
         mixed = stored(live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), pairs_in.alias("m"), F.count(F.lit(1)).alias("p"))
                        .where((F.col("x") != F.col("y")) & (F.col("p") > low)).select("h", "m", "p"), "mixed")
@@ -294,7 +410,7 @@ def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame
         if not work:
             break
         high = None if growth is None or work <= PAIRS_PER_POSTING * total else growth * low or 1  # few pairs are left: meet them all now
-        live = live.join(mixed.select("h", "p"), "h")
+        live = live.join(mixed.select("h", "p"), "h").withColumn("place", place)
         turn = F.floor(F.col("place") * F.col("p"))
         heads = live.where(turn >= low if high is None else (turn >= low) & (turn < high)).select("h", F.struct("key", "n", "pos", "label", "place").alias("m"))
         o = F.ceil((F.col("n") + F.col("m.n")) * threshold / F.lit(100.0 + threshold))
@@ -308,16 +424,15 @@ def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame
             F.when(a_first, F.col("n")).otherwise(F.col("m.n")).alias("na"),
             F.when(a_first, F.col("m.n")).otherwise(F.col("n")).alias("nb")).distinct()
         pairs = stored(_possible(pairs, s, threshold), "pairs")
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        own = segments.join(F.broadcast(keys) if pairs.count() <= SENT_PAIRS else keys, "key", "left_semi")
-        new = stored(_verified(pairs, own, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
-        found = new if found is None else found.union(new)
+        if high is not None:
+            entries = stored(live.where(F.col("p") > high).select("h", "key", "n", "pos"), "entries")
+        new = stored(_links(pairs, segments, threshold), "links")
+        found.append(new)
         if high is None:
             break
         low = high
-        entries = stored(live.where(F.col("p") > low).select("h", "key", "n", "place", "pos"), "entries")
         labels = _contracted(labels, new)
-    return found if found is not None else s.select(F.col("key").alias("src"), F.col("key").alias("dst")).limit(0)
+    return reduce(DataFrame.union, found) if found else s.select(F.col("key").alias("src"), F.col("key").alias("dst")).limit(0)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -335,7 +450,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = stored(_sets(docs, id_col, text_col, size), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    s = stored(survivors(docs, text_col, size, threshold, total), "survivors")
+    texts = sets.where("n > 0").groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
+    near = stored(texts.join(candidates(docs, text_col, size, threshold, total).distinct(), "key", "left_semi").select("text_hash", "n"), "near")
+    rows, total = near.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    picked = near.select(F.col("text_hash").alias("_picked")).distinct()
+    near_docs = docs.select(text_col).join(F.broadcast(picked) if rows <= SENT_TEXTS else picked, F.xxhash64(text_col) == F.col("_picked"), "left_semi")
+    s = stored(survivors(near_docs, text_col, size, threshold, total), "survivors")
     comp = stored(connected_components(links_between(s, threshold, GROWTH)), "components")
     near = comp.join(classes, comp.node == classes.key).select("key", "class_id", "component")
     least = near.groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -130,6 +130,40 @@ def test_ngram_pairs_of_a_group_grow_in_proportion(spark, monkeypatch):
     assert all(m <= 32 * n for n, m in met.items()), met
 
 
+def test_ngram_sets_of_texts_without_near_copies_stay(spark, monkeypatch):
+    """The whole sets of all texts were shuffled; copies and texts that share some shingles only are no near copies."""
+    r = random.Random(8)
+    shared = [f"s{i}" for i in range(30)]
+    texts = [" ".join([*shared, *(f"w{r.randrange(5000)}" for _ in range(120))]) for _ in range(200)]
+    texts += [t + " more" for t in texts[:6]] + ["one two", "one two three"]
+    moved, survivors = [], ngram_join.survivors
+
+    def counted(docs, *rest):
+        moved.append(docs.count())
+        return survivors(docs, *rest)
+
+    monkeypatch.setattr(ngram_join, "survivors", counted)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()}
+    assert got == {k: k - 200 if 200 <= k < 206 else k for k in range(len(texts))}
+    assert moved == [12]
+
+
+@pytest.mark.parametrize("threshold", [50, 80, 85])
+def test_linked_sets_share_their_heads(threshold):
+    r = random.Random(threshold)
+    for _ in range(3000):
+        n, m, o = (r.randrange(1, 60) for _ in range(3))
+        o = min(n, m, o)
+        if 100 * o < threshold * (n + m - o):
+            continue
+        h = r.sample(range(10**6), n + m - o)
+        a, b = set(h[:n]), set(h[n - o:])
+        (ka, kb), (wa, wb) = ngram_join.head_lengths(np.array([n, m]), threshold)
+        common = len({*sorted(a)[:ka]} & {*sorted(b)[:kb]})
+        assert common >= max(wa, wb) >= 1
+
+
 def test_one_of_each_group_keeps_one_row_of_a_group(spark, docs, texts):
     odd = spark.createDataFrame([(None, "one two three four five six", "en", "a", 1, "k", 1)] * 2 + [(5000, SHORT + " more", "en", "a", 1, "k", 1)] * 2, SCHEMA)
     kept = ngram_join.one_of_each_group(docs.union(odd)).collect()
