@@ -45,6 +45,7 @@ VERTICAL = 4                   # fragments of the final overlap counts
 SENT_PAIRS = 200_000           # with so many pairs or fewer their classes are sent to the segments, and not all segments to them
 CELLS = 32                     # finer fragments whose sizes alone bound a pair's overlap
 GROWTH = 8                     # a walk ends its rounds at 1, 8, 64, ... members of a posting list
+PAIRS_PER_CLASS = 2            # with so many possible pairs a class or fewer, all are verified at once
 PAIRS_PER_POSTING = 1          # with so many pairs a posting left or fewer, the rest is met at once
 BODY = np.uint64((1 << 48) - 1)
 
@@ -343,7 +344,8 @@ def _possible(pairs: DataFrame, s: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose overlap can reach the threshold: in each cell it is at most the smaller count of the two."""
     x = pairs.join(s.select(F.col("key").alias("a"), F.col("cells").alias("ca")), "a").join(s.select(F.col("key").alias("b"), F.col("cells").alias("cb")), "b")
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda total, v: total + v)
-    return x.where(most >= F.ceil((F.col("na") + F.col("nb")) * threshold / F.lit(100.0 + threshold))).select("a", "b", "na", "nb")
+    return x.withColumn("most", most).where(F.col("most") >= F.ceil((F.col("na") + F.col("nb")) * threshold / F.lit(100.0 + threshold))).select(
+        "a", "b", "na", "nb", F.round(0.5 - F.col("most") / (F.col("na") + F.col("nb")), 2).alias("doubt"))
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
@@ -378,6 +380,31 @@ def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(far, "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
 
 
+def _thinned(pairs: DataFrame, labels: DataFrame, segments: DataFrame, threshold: int, few: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(pairs, labels, links) after the likeliest pair of each class (of the same doubt, that with the smallest key, so that labels meet) was
+    verified and contracted, while there are many pairs a class and that settles a quarter of them. The pairs left are still to be verified."""
+    found: list[DataFrame] = []
+    many = pairs.count()
+    while True:
+        both = pairs.select(F.col("a").alias("x"), F.struct("doubt", "a", "b", "na", "nb").alias("m")).union(
+            pairs.select("b", F.struct("doubt", "a", "b", "na", "nb")))
+        best = both.groupBy("x").agg(F.min("m").alias("m"))
+        best = stored(best.select("m.*"), "best")
+        if many <= PAIRS_PER_CLASS * best.count():
+            return pairs, labels, found
+        best = best.select(*pairs.columns).distinct()
+        found.append(stored(_links(best, segments, threshold), "links"))
+        labels = _contracted(labels, found[-1])
+        left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            of = labels.select(F.col("key").alias(end), F.col("label").alias(f"l{end}"))
+            left = left.join(F.broadcast(of) if few else of, end)
+        pairs = stored(left.where("la <> lb").select(*pairs.columns), "pairs")
+        before, many = many, pairs.count()
+        if 4 * many > 3 * before:  # the best pairs connect little, so the others have their turn at once
+            return pairs, labels, found
+
+
 def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame:
     """Link table (src, dst) between classes that connects exactly what all links connect.
 
@@ -426,6 +453,9 @@ def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame
         pairs = stored(_possible(pairs, s, threshold), "pairs")
         if high is not None:
             entries = stored(live.where(F.col("p") > high).select("h", "key", "n", "pos"), "entries")
+        if growth is not None:
+            pairs, labels, first = _thinned(pairs, labels, segments, threshold, few)
+            found += first
         new = stored(_links(pairs, segments, threshold), "links")
         found.append(new)
         if high is None:

@@ -130,6 +130,22 @@ def test_ngram_pairs_of_a_group_grow_in_proportion(spark, monkeypatch):
     assert all(m <= 32 * n for n, m in met.items()), met
 
 
+def test_ngram_pairs_of_one_component_are_not_all_verified(spark, monkeypatch):
+    """All copies link, and their 1,770 pairs are met in one round; they were all verified."""
+    base = [f"b{i}" for i in range(200)]
+    rows = [(k, " ".join([*base[:3 * k], f"e{k}", *base[3 * k + 1:]])) for k in range(60)]
+    met, verified = [], ngram_join._verified
+
+    def counted(pairs, segments, threshold):
+        met.append(pairs.count())
+        return verified(pairs, segments, threshold)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", 10**9)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), size=4, threshold=85).collect()
+    assert {r.component_id for r in got} == {0} and 59 <= sum(met) <= 4 * len(rows), met
+
+
 def test_ngram_sets_of_texts_without_near_copies_stay(spark, monkeypatch):
     """The whole sets of all texts were shuffled; copies and texts that share some shingles only are no near copies."""
     r = random.Random(8)
