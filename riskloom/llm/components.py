@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import stored
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+SENT_EDGES = 200_000  # with so many edges or fewer the nodes' smallest neighbours are sent to the edges
+
+
+def _large_star(e: DataFrame, few: bool) -> DataFrame:
     """Every node hands its larger neighbours to its smallest neighbour (itself included)."""
     both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
     return (
-        both.where("dst > src").join(least, "src")
-        .select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        both.where("dst > src").join(F.broadcast(least) if few else least, "src")
+        .select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
     )
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, few: bool) -> DataFrame:
     """Every node hands its smaller neighbours and itself to the smallest of them."""
     down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     least = down.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = down.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-    kept = least.select("src", F.col("m").alias("dst"))
-    return moved.union(kept).where("src <> dst").distinct()
+    # the smallest neighbour's own row hands over the node
+    moved = F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst"))
+    return down.join(F.broadcast(least) if few else least, "src").select(moved.alias("src"), F.col("m").alias("dst")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,9 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = stored(edges.where("src is not null and dst is not null and src <> dst")
                .select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct(), "edges")
-    last = None
+    last, few = None, e.count() <= SENT_EDGES  # a pass makes no more edges than there were
     while True:
-        e = stored(_small_star(_large_star(e)), "edges")
+        e = stored(_small_star(_large_star(e, few), few), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if last is not None and tuple(now) == last:
             break

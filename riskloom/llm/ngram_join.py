@@ -42,10 +42,11 @@ HEAD_SHARE = 25                # percent of a set by which its head is longer th
 SENT_TEXTS = 4_000_000         # so many hashes of texts or fewer are sent to the texts that they pick
 CHUNK_WORDS = 200_000          # words hashed in one numpy call
 VERTICAL = 4                   # fragments of the final overlap counts
-SENT_PAIRS = 200_000           # with so many pairs or fewer their classes are sent to the segments, and not all segments to them
+SENT_PAIRS = 200_000           # with so many pairs or fewer their classes are sent to the segments, and not all segments to them; of classes, labels are sent
 CELLS = 32                     # finer fragments whose sizes alone bound a pair's overlap
 GROWTH = 8                     # a walk ends its rounds at 1, 8, 64, ... members of a posting list
 PAIRS_PER_CLASS = 2            # with so many possible pairs a class or fewer, all are verified at once
+PAIRS_AT_ONCE = 1_000          # so many pairs or fewer are verified at once, too few to be worth a round of their own
 PAIRS_PER_POSTING = 1          # with so many pairs a posting left or fewer, the rest is met at once
 BODY = np.uint64((1 << 48) - 1)
 
@@ -352,7 +353,7 @@ def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFram
     """Pairs (a, b, na, nb) whose overlaps, counted per fragment and summed, reach the threshold."""
     left = segments.select(F.col("key").alias("a"), "frag", F.col("hashes").alias("ha"))
     right = segments.select(F.col("key").alias("b"), "frag", F.col("hashes").alias("hb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select(
+    partial = left.join(pairs, "a").join(right, ["b", "frag"]).select(
         "a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
     return total.where(F.lit(100) * F.col("overlap") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("overlap")))
@@ -360,24 +361,34 @@ def _verified(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFram
 
 def _links(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
     """(src, dst) of those pairs that link; of few pairs only their classes' segments are moved."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    own = segments.join(F.broadcast(keys) if pairs.count() <= SENT_PAIRS else keys, "key", "left_semi")
-    return _verified(pairs, own, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+    few = pairs.count() <= SENT_PAIRS
+    own = segments.join(F.broadcast(keys) if few else keys.distinct(), "key", "left_semi")
+    return _verified(_sent(pairs, few), own, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _sent(table: DataFrame, few: bool) -> DataFrame:
+    """``table`` to be sent to what it is joined with if it has few rows: a small table is not worth a shuffle of both."""
+    return F.broadcast(table) if few else table
+
+
+def _with_labels(links: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
+    """``links`` (src, dst) with the labels x and y of their ends, where these differ."""
+    return links.join(_sent(labels.select(F.col("key").alias("src"), F.col("label").alias("x")), few), "src").join(
+        _sent(labels.select(F.col("key").alias("dst"), F.col("label").alias("y")), few), "dst").where("x <> y")
+
+
+def _contracted(labels: DataFrame, links: DataFrame, few: bool) -> DataFrame:
     """``labels`` (key, label) after links (src, dst): linked labels move to the smallest label next to them, up to four steps far.
 
-    Some labels of one component may stay apart; that costs pairs later, never a link.
+    Some labels of one component may stay apart; that costs pairs later, never a link. ``few``: there are few labels.
     """
-    ends = links.join(labels.select(F.col("key").alias("src"), F.col("label").alias("x")), "src").join(
-        labels.select(F.col("key").alias("dst"), F.col("label").alias("y")), "dst").where("x <> y")
+    ends = _with_labels(links, labels, few)
     hook = stored(ends.groupBy(F.greatest("x", "y").alias("label")).agg(F.min(F.least("x", "y")).alias("to")), "hooks")
     for _ in range(2):
         ahead = hook.select(F.col("label").alias("to"), F.col("to").alias("next"))
-        hook = hook.join(ahead, "to", "left").select("label", F.coalesce("next", "to").alias("to"))
-    far = hook
-    return stored(labels.join(far, "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
+        hook = hook.join(_sent(ahead, few), "to", "left").select("label", F.coalesce("next", "to").alias("to"))
+    return stored(labels.join(_sent(hook, few), "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def _thinned(pairs: DataFrame, labels: DataFrame, segments: DataFrame, threshold: int, few: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -385,30 +396,31 @@ def _thinned(pairs: DataFrame, labels: DataFrame, segments: DataFrame, threshold
     verified and contracted, while there are many pairs a class and that settles a quarter of them. The pairs left are still to be verified."""
     found: list[DataFrame] = []
     many = pairs.count()
-    while True:
+    while many > PAIRS_AT_ONCE:
         both = pairs.select(F.col("a").alias("x"), F.struct("doubt", "a", "b", "na", "nb").alias("m")).union(
             pairs.select("b", F.struct("doubt", "a", "b", "na", "nb")))
         best = both.groupBy("x").agg(F.min("m").alias("m"))
         best = stored(best.select("m.*"), "best")
         if many <= PAIRS_PER_CLASS * best.count():
-            return pairs, labels, found
-        best = best.select(*pairs.columns).distinct()
+            break
+        best = stored(best.select(*pairs.columns).distinct(), "best")
         found.append(stored(_links(best, segments, threshold), "links"))
-        labels = _contracted(labels, found[-1])
-        left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        labels = _contracted(labels, found[-1], few)
+        left = pairs.join(_sent(best.select("a", "b"), few), ["a", "b"], "left_anti")
         for end in ("a", "b"):
-            of = labels.select(F.col("key").alias(end), F.col("label").alias(f"l{end}"))
-            left = left.join(F.broadcast(of) if few else of, end)
+            left = left.join(_sent(labels.select(F.col("key").alias(end), F.col("label").alias(f"l{end}")), few), end)
         pairs = stored(left.where("la <> lb").select(*pairs.columns), "pairs")
         before, many = many, pairs.count()
         if 4 * many > 3 * before:  # the best pairs connect little, so the others have their turn at once
-            return pairs, labels, found
+            break
+    return pairs, labels, found
 
 
 def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame:
-    """Link table (src, dst) between classes that connects exactly what all links connect.
+    """Table (src, dst) of class keys that connects exactly what all links connect: of stars of classes that links
+    connect, and of links between the stars.
 
-    ``growth=None`` walks all lists in one round and so gives every link.
+    ``growth=None`` walks all lists in one round and gives every link.
     """
     need = F.ceil(F.col("n") * threshold / F.lit(100.0)).cast("long")
     prefix = F.greatest(F.lit(0), F.col("c") - need + 1).cast("int")
@@ -429,7 +441,7 @@ def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame
             live = heads_of.select("key", "n", "c", F.col("key").alias("label"), F.posexplode("prefix").alias("i", "h")).select(
                 "h", "key", "n", "label", (F.col("n") - F.col("c") + F.col("i")).alias("pos"))
         else:  # lists of one label never get a second one, so only what was mixed before goes on
-            live = entries.join(F.broadcast(labels) if few else labels, "key")
+            live = entries.join(_sent(labels, few), "key")
         pairs_in = F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2
         mixed = stored(live.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), pairs_in.alias("m"), F.count(F.lit(1)).alias("p"))
                        .where((F.col("x") != F.col("y")) & (F.col("p") > low)).select("h", "m", "p"), "mixed")
@@ -461,8 +473,15 @@ def links_between(s: DataFrame, threshold: int, growth: int | None) -> DataFrame
         if high is None:
             break
         low = high
-        labels = _contracted(labels, new)
-    return reduce(DataFrame.union, found) if found else s.select(F.col("key").alias("src"), F.col("key").alias("dst")).limit(0)
+        labels = _contracted(labels, new, few)
+    if not found:
+        return s.select(F.col("key").alias("src"), F.col("key").alias("dst")).limit(0)
+    links = reduce(DataFrame.union, found)
+    if growth is None:
+        return links
+    # the labels' stars say what the links inside them say, so only the others go on, between the stars
+    stars = labels.where("key <> label").select(F.col("key").alias("src"), F.col("label").alias("dst"))
+    return stars.union(_with_labels(links, labels, few).select(F.col("x").alias("src"), F.col("y").alias("dst")))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -146,6 +146,45 @@ def test_ngram_pairs_of_one_component_are_not_all_verified(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and 59 <= sum(met) <= 4 * len(rows), met
 
 
+def test_ngram_rounds_shuffle_no_labels(spark, monkeypatch):
+    """A round's small tables are sent, so that it makes few tasks and shuffle files however many partitions a shuffle has."""
+    r = random.Random(3)
+    rows = []
+    for k in range(60):
+        w = [f"b{i}" for i in range(60)]
+        w[r.randrange(60)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    docs, kept, shuffles = spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.stored, {}
+
+    def planned(df, name, *a):
+        shuffles.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return kept(df, name, *a)
+
+    monkeypatch.setattr(ngram_join, "stored", planned)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.ngram_components(docs, size=4, threshold=85)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffles["labels"] and set(shuffles["labels"]) == {0}, shuffles
+    assert set(shuffles["hooks"]) == {1}, shuffles
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_connected_components_of_random_graphs(spark, monkeypatch, sent):
+    from riskloom.llm import components as stars
+
+    monkeypatch.setattr(stars, "SENT_EDGES", sent)
+    r = random.Random(sent)
+    pairs = {(r.randrange(120), r.randrange(120)) for _ in range(70)} | {(i, i + 1) for i in range(200, 240)}
+    want = components(260, lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    edges = spark.createDataFrame([*pairs, *list(pairs)[:9], (None, 3), (7, None)], "src long, dst long")
+    got = [(x.node, x.component) for x in stars.connected_components(edges).collect()]
+    assert sorted(got) == [(i, want[i]) for i in sorted({i for p in pairs if p[0] != p[1] for i in p})]
+
+
 def test_ngram_sets_of_texts_without_near_copies_stay(spark, monkeypatch):
     """The whole sets of all texts were shuffled; copies and texts that share some shingles only are no near copies."""
     r = random.Random(8)
