@@ -26,17 +26,18 @@ Search, as Spark jobs:
    list.
 
 The sets are written once; a round moves only those of its pairs (all, from ``SENT_ITEMS`` items on). Citations are
-checkpointed in each round; the other tables are Parquet files that are deleted when they are spent.
+checkpointed in each round; the other tables are Parquet files that are deleted when they are spent, and the shuffle
+files of each step go with its end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import rules
 from riskloom.operators.ordering import keyed_sequence
-from riskloom.session import delete_path, materialize, written
+from riskloom.session import delete_path, materialize, spent_shuffles_deleted, written
 
 THRESHOLD = 0.8
 SHINGLE_WORDS = 3
@@ -164,6 +165,11 @@ def _open(x: DataFrame, best: DataFrame) -> DataFrame:
 
 def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: int = RANK_BLOCK) -> DataFrame:
     """items: (item_id, tier, published_on, shingles, ...) -> (item_id, cite_id, similarity, ...)."""
+    with spent_shuffles_deleted(items.sparkSession):
+        return _citations(items, threshold, block)
+
+
+def _citations(items: DataFrame, threshold: float, block: int) -> DataFrame:
     carried = [c for c in items.columns if c not in ("item_id", "tier", "published_on", "shingles")]
     made: list[str] = []  # tables that are deleted at the end
     base = written(items.select("item_id", "tier", "published_on", "shingles", F.size("shingles").alias("n"), *carried), "near-items", made)
@@ -171,11 +177,11 @@ def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: i
     x = base.select("item_id", "tier", "published_on", "n", "shingles", p_len.alias("_p"), _cell_counts(base).alias("_f")).where("item_id is not null")
     by_rarity = F.array_sort(F.transform("shingles", lambda s: F.struct(F.get("_f", _cell(s)).alias("f"), s.alias("s"))))
     first = F.transform(F.slice(by_rarity, 1, F.col("_p")), lambda e: e["s"])
-    x = x.select("item_id", "tier", "published_on", "n", F.posexplode_outer(first).alias("pos", "s")).where(F.col("s").isNotNull())
-    prefix = written(x, "near-prefix", made)
-    band = _band(F.col("n"))
-    shared = prefix.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min(band).alias("lo"), F.max(band).alias("hi")).where("f > 1").drop("f")
-    entries = written(_entries(prefix.join(shared, "s"), threshold), "near-entries", made)
+    prefix = x.select("item_id", "tier", "published_on", "n", F.posexplode_outer(first).alias("pos", "s")).where(F.col("s").isNotNull())
+    # counted where the shingle's rows come together for the filter, so they are moved once and not written
+    band, same = _band(F.col("n")), Window.partitionBy("s")
+    shared = prefix.withColumns({"f": F.count(F.lit(1)).over(same), "lo": F.min(band).over(same), "hi": F.max(band).over(same)}).where("f > 1").drop("f")
+    entries = written(_entries(shared, threshold), "near-entries", made)
     sets, lists = base.select("item_id", "shingles"), ["s", "of", "to"]
     listed = entries.select("s", F.col("band").alias("of"), F.col("partner").alias("to"), quality().alias("qj"),
                             F.col("n").alias("nj"), F.col("pos").alias("pj"), F.col("item_id").alias("j"))
@@ -187,7 +193,8 @@ def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: i
     # what is open now goes on from the second rank
     active = written(_open(active, best).select("i", *lists, "n", "pos", "qi", F.lit(2).cast("long").alias("next")), "near-active", made)
     if not active.isEmpty():
-        walked = listed.join(active.select(*lists).distinct(), lists, "left_semi").select(F.struct(*lists).alias("key"), "qj", "qj.*", "nj", "pj", "j")
+        walked = written(listed.join(active.select(*lists).distinct(), lists, "left_semi"), "near-walked", made).select(
+            F.struct(*lists).alias("key"), "qj", "qj.*", "nj", "pj", "j")
         posting = written(keyed_sequence(
             walked, key="key", order=("tier", "undated", "published_on", "item_id", "nj", "pj"),
             bucket=F.struct("tier", "undated", "published_on"), seq_col="rank").select("key.*", "rank", "j", "qj", "nj", "pj"), "near-posting", made)

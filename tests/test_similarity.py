@@ -149,6 +149,36 @@ def test_spent_tables_leave_the_disk(spark):
     assert _bytes_under(spark) - before < sum(len(r[3]) for r in rows)
 
 
+def _shuffle_bytes(spark):
+    import glob
+    import os
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(os.path.getsize(f) for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data") if os.path.exists(f))
+
+
+def test_spent_shuffles_leave_the_disk(spark):
+    """Shuffle files of all steps lay there together until the driver's garbage was collected; now a step's go with its end."""
+    import time
+
+    rnd = random.Random(7)
+    texts = [[f"v{rnd.randrange(4000)}" for _ in range(300)] for _ in range(300)]
+    for k in range(1, 300, 3):
+        texts[k] = [*texts[k - 1][:-2], f"edit{k}"]
+    rows = [(k, 1 + k % 3, dt.date(2024, 1, 1 + k % 9), " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "item_id long, tier int, published_on date, text string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = _shuffle_bytes(spark), spark.conf.get(key)
+    got = SIM.near_copy_citations(SIM.with_shingles(df).drop("text"))
+    for _ in range(100):  # files are deleted in the background
+        grown = _shuffle_bytes(spark) - before
+        if grown < 50_000:
+            break
+        time.sleep(0.1)
+    assert grown < 50_000 and spark.conf.get(key) == setting
+    assert {r.item_id: r.cite_id for r in got.collect()} == _brute(rows)
+
+
 def test_most_sets_of_false_pairs_are_not_moved_whole(spark, monkeypatch):
     moved, met = [], SIM._with_overlaps
 
