@@ -16,7 +16,7 @@ Search, as Spark jobs:
    room for the overlap that the two lengths need. An entry is listed for, and looks into, only those bands of
    partner lengths for which its place leaves that room and in which its shingle stands. Posting lists are keyed by
    (shingle, band, partner band).
-4. In the first round every item meets the best item of each of its lists, found by an aggregation. Lists in
+4. In the first round every item meets the best item of each of its lists, found where the rows of a shingle are filtered. Lists in
    which that item was better than a member and than all that the member may cite are ranked by
    authority (skew-safe ``keyed_sequence``). Further rounds walk the ranks in
    blocks that double: an item meets the items of the next block that are better than it and than its
@@ -112,6 +112,22 @@ def _entries(prefix: DataFrame, threshold: float) -> DataFrame:
     return x.where(room >= _needed(n, F.greatest(shortest, F.lit(1)), threshold))
 
 
+def _faced(entries: DataFrame) -> DataFrame:
+    """The ``entries`` that face others, with ``m``, the best one that an entry faces (null if that is no better than the entry).
+
+    An entry of one band for partners of another faces the entries of that band for partners of its own. All rows of
+    a shingle are together already, so this moves nothing.
+    """
+    facing = Window.partitionBy("s", F.least("band", "partner"), F.greatest("band", "partner"))
+    up, down = F.col("band") <= F.col("partner"), F.col("band") >= F.col("partner")
+    one = F.struct(quality().alias("qj"), F.col("n").alias("nj"), F.col("pos").alias("pj"))
+    x = entries.withColumns({
+        "_m": F.when(up, F.min(F.when(down, one)).over(facing)).otherwise(F.min(F.when(up, one)).over(facing)),
+        "_f": F.count(F.lit(1)).over(facing)})
+    x = x.where(F.col("_m").isNotNull() & ((F.col("band") != F.col("partner")) | (F.col("_f") > 1)))
+    return x.withColumn("m", F.when(F.col("_m.qj") < quality(), F.col("_m"))).drop("_m", "_f")
+
+
 def _with_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (i, j, ...) with ``inter``, how many shingles of the sets (item_id, shingles) they share, and the sets' sizes.
 
@@ -128,9 +144,11 @@ def _with_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, made: list[str]) -> DataFrame:
     """(i, qj, sim) of those pairs (i, j, qj, n, nj) that reach the threshold.
 
-    A part of the shingles bounds the overlap: of the others, no more than the smaller set has can be shared.
+    A part of the shingles bounds the overlap: of the others, no more than the smaller set has can be shared. Half of
+    their bits do for it: one shingle fewer for two that look alike is one more among the others.
     """
-    part = sets.withColumn("shingles", F.filter("shingles", lambda s: F.pmod(s, F.lit(PART)) == 0))
+    halves = F.transform(F.filter("shingles", lambda s: F.pmod(s, F.lit(PART)) == 0), lambda s: F.shiftright(s, 32).cast("int"))
+    part = sets.withColumn("shingles", F.array_distinct(halves))
     most = F.col("inter") + F.least(F.col("n") - F.col("mi"), F.col("nj") - F.col("mj"))
     left = written(_with_overlaps(pairs, part).where(most >= _needed(F.col("n"), F.col("nj"), threshold)).select("i", "j", "qj", "n", "nj").distinct(), "near-left", made)
     inter = F.col("inter")
@@ -181,14 +199,14 @@ def _citations(items: DataFrame, threshold: float, block: int) -> DataFrame:
     # counted where the shingle's rows come together for the filter, so they are moved once and not written
     band, same = _band(F.col("n")), Window.partitionBy("s")
     shared = prefix.withColumns({"f": F.count(F.lit(1)).over(same), "lo": F.min(band).over(same), "hi": F.max(band).over(same)}).where("f > 1").drop("f")
-    entries = written(_entries(shared, threshold), "near-entries", made)
+    entries = written(_faced(_entries(shared, threshold)), "near-entries", made)
     sets, lists = base.select("item_id", "shingles"), ["s", "of", "to"]
     listed = entries.select("s", F.col("band").alias("of"), F.col("partner").alias("to"), quality().alias("qj"),
                             F.col("n").alias("nj"), F.col("pos").alias("pj"), F.col("item_id").alias("j"))
-    # the first round needs no ranks: an entry looks into the lists of its partner bands, at the best entry listed for its own band
-    leaders = listed.groupBy(*lists).agg(F.min(F.struct("qj", "nj", "pj")).alias("m")).select(*lists, "m.*", F.col("m.qj.item_id").alias("j"))
-    looking = entries.select(F.col("item_id").alias("i"), "s", F.col("partner").alias("of"), F.col("band").alias("to"), "n", "pos", quality().alias("qi"))
-    active = written(looking.join(leaders, lists).where("qj < qi"), "near-active", made)
+    # the first round needs no ranks: an entry meets the best one that it faces, listed for its own band in the list of its partner band
+    active = entries.where("m is not null").select(
+        F.col("item_id").alias("i"), "s", F.col("partner").alias("of"), F.col("band").alias("to"), "n", "pos", quality().alias("qi"),
+        "m.*", F.col("m.qj.item_id").alias("j"))
     best = _met(None, active, sets, threshold)
     # what is open now goes on from the second rank
     active = written(_open(active, best).select("i", *lists, "n", "pos", "qi", F.lit(2).cast("long").alias("next")), "near-active", made)

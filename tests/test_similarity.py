@@ -179,6 +179,22 @@ def test_spent_shuffles_leave_the_disk(spark):
     assert {r.item_id: r.cite_id for r in got.collect()} == _brute(rows)
 
 
+def test_entries_that_face_none_go_and_the_others_know_the_best(spark):
+    """All entries were shuffled twice to find the best that they face, most of them facing none."""
+    rnd = random.Random(9)
+    rows = [(k, rnd.randrange(1, 4), rnd.choice((None, dt.date(2024, 1, 1 + k % 9))), rnd.randrange(5, 9), rnd.randrange(3), rnd.randrange(12), 3 + k % 3, rnd.randrange(3, 6))
+            for k in range(150)]
+    df = spark.createDataFrame(rows, "item_id long, tier int, published_on date, n int, pos int, s long, band int, partner int")
+    want = {}
+    for r in rows:
+        faced = [(e[1], e[2] is None, e[2] or dt.date.min, e[0]) for e in rows if e is not r and (e[5], e[6], e[7]) == (r[5], r[7], r[6])]
+        if faced:
+            want[r[0]] = min(faced)[3] if min(faced) < (r[1], r[2] is None, r[2] or dt.date.min, r[0]) else None
+    out = SIM._faced(df)
+    assert {r.item_id: r.m and r.m.qj.item_id for r in out.collect()} == want and 0 < len(want) < len(rows)
+    assert SIM._faced(df.repartition(4, "s"))._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange") == 1
+
+
 def test_most_sets_of_false_pairs_are_not_moved_whole(spark, monkeypatch):
     moved, met = [], SIM._with_overlaps
 
@@ -197,6 +213,23 @@ def test_most_sets_of_false_pairs_are_not_moved_whole(spark, monkeypatch):
     assert 5 <= sum(moved[1::2]) < sum(moved[::2]) / 4
 
 
+def test_bound_moves_half_of_a_shingle_and_drops_no_link(spark, monkeypatch):
+    """The sets' parts are moved with each pair; shingles whose upper halves are equal count as one there."""
+    kinds, met = [], SIM._with_overlaps
+
+    def seen(pairs, sets):
+        kinds.append(sets.schema["shingles"].dataType.simpleString())
+        return met(pairs, sets)
+
+    monkeypatch.setattr(SIM, "_with_overlaps", seen)
+    monkeypatch.setattr(SIM, "delete_path", lambda *a: None)
+    alike = [6 * k for k in range(40)]  # one upper half, all in the part
+    sets = spark.createDataFrame([(1, alike), (2, alike[:36] + [(k << 33) * 6 for k in range(1, 5)]), (3, alike[:20])], "item_id long, shingles array<bigint>")
+    pairs = spark.createDataFrame([(1, 2, 2, 40, 40), (1, 3, 3, 40, 20)], "i long, j long, qj long, n int, nj int")
+    got = [tuple(r) for r in SIM._verified(pairs, sets, 0.8, []).collect()]
+    assert kinds == ["array<int>", "array<bigint>"] and got == [(1, 2, 36 / 44)]
+
+
 def test_few_or_many_losers_of_the_exact_dedupe(spark, monkeypatch):
     from riskloom.plans import catalog
     from tests.conftest import SF_SMALL
