@@ -80,3 +80,40 @@ def test_empty_tables(spark):
     assert top_k(df, df).count() == 0
     one = spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")
     assert top_k(one, one).count() == 0 and top_k(one, df).count() == 0
+
+
+def test_blocks_are_copied_for_few_groups_and_lie_compact(spark, monkeypatch):
+    """The blocks are the larger side: with more of them than tasks are wanted, each goes to one group once."""
+    r = np.random.default_rng(8)
+    data = [(i, v) for i, v in enumerate(r.normal(size=(1200, 4)).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    met, searched = [], topk_search._searched
+
+    def counted(index, queries, *rest):
+        met.append([(len(x["raw"]), x["n"]) for x in index.select("raw", "n").collect()])
+        return searched(index, queries, *rest)
+
+    monkeypatch.setattr(topk_search, "_searched", counted)
+    monkeypatch.setattr(topk_search, "BLOCK", 50)
+    monkeypatch.setattr(topk_search, "LEAST_GROUP", 1)
+    got = collected(top_k(df, df.where("vec_id % 100 = 0")))
+    assert set(got) == brute(data)
+    pilot, every = met
+    assert len(pilot) <= 8 and sum(n for _, n in every) == 1200  # 8 shuffle partitions
+    assert all(raw == 2 * 4 * n for raw, n in every)
+
+
+def test_wide_vectors_make_small_blocks(spark, monkeypatch):
+    met, searched = [], topk_search._searched
+    monkeypatch.setattr(topk_search, "_searched", lambda index, *rest: met.append([x["n"] for x in index.select("n").collect()]) or searched(index, *rest))
+    monkeypatch.setattr(topk_search, "POSTINGS", 512)
+    r = np.random.default_rng(9)
+    data = [(i, v) for i, v in enumerate(r.normal(size=(90, 64)).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert set(collected(top_k(df, df.where("vec_id % 100 = 0")))) == brute(data)
+    assert all(n <= 8 for blocks in met for n in blocks)
+
+
+def test_compact_keeps_integers():
+    for x in ([[-32768.0, 32767.0]], [[32768.0, 0.0]], [[-2.0 ** 31, 5.0]], [[2.0 ** 31, 1.0]], [[1e300, -3.0]]):
+        assert (topk_search.compact(np.array(x)).astype(np.float64) == np.array(x)).all()
