@@ -45,6 +45,7 @@ RANK_BLOCK = 4          # ranks met in the first round (only the best of a list)
 COUNT_CELLS = 1 << 16   # cells that shingles are counted into, for their order
 BAND_RATIO = 1.1        # lengths of a band differ by this factor at most
 SENT_ITEMS = 200_000    # so many ids or fewer are sent to the texts or sets that they pick
+SENT_ENTRIES = 20_000   # so many entries or fewer are sent to the lists that they walk
 PART = 6                # a pair's overlap is first counted on one of so many parts of its shingles
 
 
@@ -181,6 +182,20 @@ def _open(x: DataFrame, best: DataFrame) -> DataFrame:
     return x.join(best.select("i", "qb"), "i", "left").where((F.col("qj") < F.col("qi")) & (F.col("qb").isNull() | (F.col("qj") < F.col("qb")))).drop("qb")
 
 
+def _walking(active: DataFrame, many: int, posting: DataFrame, lists: list[str], start: int, block: int, width: int) -> DataFrame:
+    """The ``many`` rows of ``active`` with each row of ``posting`` from rank ``start`` on, ``block`` of them, in their list.
+
+    How many there are is counted: a table's size on disk says little of what it takes in the driver, where sent rows pass.
+    Many are not sent, and are repeated for each ``width`` ranks only.
+    """
+    ahead = posting.where(F.col("rank").between(start, start + block - 1))
+    if many <= SENT_ENTRIES:
+        return ahead.join(F.broadcast(active), lists)
+    part = F.floor((F.col("rank") - start) / width).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit((block - 1) // width))).alias("part")
+    return active.select("*", parts).hint("merge").join(ahead.withColumn("part", part), [*lists, "part"]).drop("part")
+
+
 def near_copy_citations(items: DataFrame, threshold: float = THRESHOLD, block: int = RANK_BLOCK) -> DataFrame:
     """items: (item_id, tier, published_on, shingles, ...) -> (item_id, cite_id, similarity, ...)."""
     with spent_shuffles_deleted(items.sparkSession):
@@ -209,23 +224,26 @@ def _citations(items: DataFrame, threshold: float, block: int) -> DataFrame:
         "m.*", F.col("m.qj.item_id").alias("j"))
     best = _met(None, active, sets, threshold)
     # what is open now goes on from the second rank
-    active = written(_open(active, best).select("i", *lists, "n", "pos", "qi", F.lit(2).cast("long").alias("next")), "near-active", made)
-    if not active.isEmpty():
+    active = written(_open(active, best).select("i", *lists, "n", "pos", "qi"), "near-active", made)
+    start, width = 2, 2 * block  # all entries stand at the same rank
+    if many := active.count():
         walked = written(listed.join(active.select(*lists).distinct(), lists, "left_semi"), "near-walked", made).select(
             F.struct(*lists).alias("key"), "qj", "qj.*", "nj", "pj", "j")
         posting = written(keyed_sequence(
             walked, key="key", order=("tier", "undated", "published_on", "item_id", "nj", "pj"),
             bucket=F.struct("tier", "undated", "published_on"), seq_col="rank").select("key.*", "rank", "j", "qj", "nj", "pj"), "near-posting", made)
-        at_next = posting.select(*lists, F.col("rank").alias("next"), "qj")
-        active = written(_open(active.join(at_next, [*lists, "next"]), best).drop("qj"), "near-active", made)
-    while not active.isEmpty():  # every round moves each row on by a block, so the walk ends
-        block *= 2
-        ranks = F.explode(F.sequence(F.col("next"), F.col("next") + (block - 1))).alias("rank")
-        met = active.select("i", "n", "pos", "qi", *lists, ranks).join(posting, [*lists, "rank"])
-        best = _met(best, _open(met, best), sets, threshold)
-        # an entry stays while the next rank still holds an item better than it and than its best
-        ahead = active.withColumn("next", F.col("next") + block)
-        active = written(_open(ahead.join(at_next, [*lists, "next"]), best).drop("qj"), "near-active", made)
+
+        def left(active: DataFrame, many: int) -> DataFrame:
+            """The entries for which the rank at ``start`` still holds an item better than them and than their best."""
+            at_next = posting.select(*lists, "rank", "qj")
+            return written(_open(_walking(active, many, at_next, lists, start, 1, 1), best).select("i", *lists, "n", "pos", "qi"), "near-active", made)
+
+        active = left(active, many)
+        while many := active.count():  # every round moves all rows on by a block, so the walk ends
+            block *= 2
+            best = _met(best, _open(_walking(active, many, posting, lists, start, block, width), best), sets, threshold)
+            start += block
+            active = left(active, many)
     kept: list[str] = []  # what the result reads
     own = written(base.select("item_id", *carried), "near-carried", kept)
     for path in made:

@@ -237,3 +237,25 @@ def test_few_or_many_losers_of_the_exact_dedupe(spark, monkeypatch):
     few = sorted(map(tuple, catalog.q_syndication_clusters(spark, SF_SMALL).collect()))
     monkeypatch.setattr(SIM, "SENT_ITEMS", 0)
     assert few and few == sorted(map(tuple, catalog.q_syndication_clusters(spark, SF_SMALL).collect()))
+
+
+def test_entries_that_walk_lists_are_sent_once_or_not_at_all(spark, monkeypatch):
+    """The rows that a walk repeats for ranks never pass through the driver, however small the tables' files are."""
+    plans, met = [], SIM._met
+
+    def seen(best, cand, *rest):
+        plans.append(cand._jdf.queryExecution().executedPlan().toString())
+        return met(best, cand, *rest)
+
+    monkeypatch.setattr(SIM, "_met", seen)
+    monkeypatch.setattr(SIM, "COUNT_CELLS", 1)  # the shared shingles stand in the prefixes, so whole lists are walked
+    shared = " ".join(f"t{i}" for i in range(40))
+    rows = [(k, 1, dt.date(2024, 1, 1), f"{shared} " + " ".join(f"x{k % 80}_{i}" for i in range(8)) + f" y{k}" * (k // 80)) for k in range(90)]
+    items = SIM.with_shingles(spark.createDataFrame(rows, "item_id long, tier int, published_on date, text string")).drop("text")
+    want = _brute(rows)
+    assert {r.item_id: r.cite_id for r in SIM.near_copy_citations(items).collect()} == want
+    assert len(plans) > 2 and not any("BroadcastExchange" in p and "explode(" in p for p in plans)
+    plans.clear()
+    monkeypatch.setattr(SIM, "SENT_ENTRIES", 0)
+    assert {r.item_id: r.cite_id for r in SIM.near_copy_citations(items).collect()} == want
+    assert len(plans) > 2 and all("SortMergeJoin [s" in p for p in plans[1:])
