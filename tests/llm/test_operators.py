@@ -453,6 +453,26 @@ def test_lm_gradients_are_right():
         assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(g[k][at], rel=2e-2, abs=1e-5)
 
 
+def test_lm_class_scores_are_made_a_few_at_a_time(monkeypatch):
+    """Those of all windows of a batch stood in memory several times over."""
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    c = lm_score.N_CLASSES
+    net = lm_score.Attention(r.standard_normal((c + 2, c)).astype(np.float32))
+    net.p = {k: (v + 0.1 * r.standard_normal(v.shape)).astype(np.float32) for k, v in net.p.items()}
+    x, y = r.integers(0, c + 2, (128, lm_score.CONTEXT + lm_score.FRESH)), r.integers(-1, c, (128, lm_score.FRESH))
+    tracemalloc.start()
+    logs = net.log_probs(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # the class scores alone take 4 MB
+    want = net.gradients(x, y)
+    monkeypatch.setattr(lm_score, "ROWS_AT_ONCE", 128 * lm_score.FRESH)
+    whole, got = net.log_probs(x, y), net.gradients(x, y)
+    assert np.abs(whole - logs).max() < 1e-5 and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
 def test_lm_pieces_hold_every_training_position(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "PIECE", 2 * lm_score.FRESH)
     texts = [None, " ".join(f"a{i % 7} b" for i in range(150)), "one two", "one two"]
